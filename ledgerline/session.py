@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 # these in spark-defaults; we never override a value that is already set.
 LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
