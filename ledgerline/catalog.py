@@ -326,3 +326,265 @@ FROM (SELECT *, (sy - slope * sx) / n AS intercept FROM (
       SELECT month_start, COALESCE(SUM(AMOUNT), 0) AS y FROM sales WHERE DATE IS NOT NULL GROUP BY month_start)))))"""))
 def f11_forecast(spark, sf):
     return TS.forecast_next_month(T.sales(spark, sf))
+
+
+# ------------------------------------------------------------------ G: ranking, share, Pareto
+def _rev_by(dim: str, where: str = "") -> str:
+    w = f"WHERE {dim} IS NOT NULL" + (f" AND {where}" if where else "")
+    return f"SELECT {dim}, COALESCE(SUM(AMOUNT), 0) AS v FROM sales {w} GROUP BY {dim}"
+
+
+@query("g1_top_customers", O.with_sales(
+    "SELECT CUSTOMER_NAME, CAST(v AS DOUBLE) AS AMOUNT FROM (" + _rev_by("CUSTOMER_NAME") + ") ORDER BY v DESC, CUSTOMER_NAME LIMIT 10"))
+def g1_top_customers(spark, sf):
+    return G.top_n(T.sales(spark, sf), M.CUSTOMER, 10)
+
+
+@query("g1_top_groups", O.with_sales(
+    "SELECT ITEM_NAME_GROUP, CAST(v AS DOUBLE) AS AMOUNT FROM (" + _rev_by("ITEM_NAME_GROUP") + ") ORDER BY v DESC, ITEM_NAME_GROUP LIMIT 10"))
+def g1_top_groups(spark, sf):
+    return G.top_n(T.sales(spark, sf), M.ITEM_GROUP, 10)
+
+
+@query("g2_top_others", O.with_sales(f"""
+SELECT label, AMOUNT FROM (
+  SELECT CUSTOMER_NAME AS label, CAST(v AS DOUBLE) AS AMOUNT FROM ({_rev_by('CUSTOMER_NAME')}) ORDER BY v DESC, CUSTOMER_NAME LIMIT 10)
+UNION ALL
+SELECT 'Others', CAST(alls - tops AS DOUBLE) FROM
+  (SELECT count(*) AS n, SUM(v) AS alls FROM ({_rev_by('CUSTOMER_NAME')})),
+  (SELECT SUM(v) AS tops FROM (SELECT v FROM ({_rev_by('CUSTOMER_NAME')}) ORDER BY v DESC, CUSTOMER_NAME LIMIT 10))
+WHERE n > 10 AND alls - tops > 0"""))
+def g2_top_others(spark, sf):
+    return G.top_n_others(T.sales(spark, sf), M.CUSTOMER, 10)
+
+
+@query("g3_state_scorecard", O.with_sales("""
+SELECT STATE, CAST(rev AS DOUBLE) AS Revenue, Orders, Customers,
+       CASE WHEN total > 0 THEN ROUND(CAST(rev AS DOUBLE) / CAST(total AS DOUBLE) * 100, 1) ELSE 0.0 END AS MarketShare,
+       CAST(ROUND(rev / CAST(10000000 AS DECIMAL(10,0)), 2) AS DOUBLE) AS Revenue_Cr
+FROM (SELECT STATE, COALESCE(SUM(AMOUNT), 0) AS rev, COUNT(DISTINCT INVOICE_NO) AS Orders,
+             COUNT(DISTINCT CUSTOMER_NAME) AS Customers
+      FROM sales WHERE STATE IS NOT NULL AND upper(STATE) NOT LIKE '%NOT FOUND%' GROUP BY STATE),
+     (SELECT SUM(AMOUNT) AS total FROM sales WHERE STATE IS NOT NULL AND upper(STATE) NOT LIKE '%NOT FOUND%')"""))
+def g3_state_scorecard(spark, sf):
+    return G.state_scorecard(T.sales(spark, sf))
+
+
+@query("g4_city_scorecard", O.with_sales("""
+SELECT CITY, CAST(SUM(AMOUNT) AS DOUBLE) AS Revenue, COUNT(DISTINCT CUSTOMER_NAME) AS Customers
+FROM sales WHERE CITY IS NOT NULL GROUP BY CITY ORDER BY Revenue DESC, CITY LIMIT 20"""))
+def g4_city_scorecard(spark, sf):
+    return G.city_scorecard(T.sales(spark, sf), 20)
+
+
+@query("g5_group_performance", O.with_sales("""
+SELECT ITEM_NAME_GROUP, CAST(rev AS DOUBLE) AS Revenue, Orders, Customers, AvgPrice, Share,
+       CAST(ROUND(SUM(CAST(Share AS DECIMAL(9,1))) OVER (ORDER BY rev DESC, ITEM_NAME_GROUP
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS DOUBLE) AS CumulativeShare
+FROM (SELECT *, ROUND(CAST(rev AS DOUBLE) / CAST(SUM(rev) OVER () AS DOUBLE) * 100, 1) AS Share FROM (
+  SELECT ITEM_NAME_GROUP, COALESCE(SUM(AMOUNT), 0) AS rev, COUNT(DISTINCT INVOICE_NO) AS Orders,
+         COUNT(DISTINCT CUSTOMER_NAME) AS Customers, CAST(SUM(AMOUNT) AS DOUBLE) / COUNT(AMOUNT) AS AvgPrice
+  FROM sales WHERE ITEM_NAME_GROUP IS NOT NULL GROUP BY ITEM_NAME_GROUP))"""))
+def g5_group_performance(spark, sf):
+    return G.group_performance(T.sales(spark, sf))
+
+
+ABC_SQL = """
+SELECT ITEM_NAME_GROUP, CAST(rev AS DOUBLE) AS AMOUNT, Percentage, Cumulative,
+       CASE WHEN Cumulative <= 80 THEN 'A' WHEN Cumulative <= 95 THEN 'B' ELSE 'C' END AS Class
+FROM (SELECT *, CAST(ROUND(SUM(CAST(Percentage AS DECIMAL(9,1))) OVER (ORDER BY rev DESC, ITEM_NAME_GROUP
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS DOUBLE) AS Cumulative
+  FROM (SELECT *, ROUND(CAST(rev AS DOUBLE) / CAST(SUM(rev) OVER () AS DOUBLE) * 100, 1) AS Percentage FROM (
+    SELECT ITEM_NAME_GROUP, COALESCE(SUM(AMOUNT), 0) AS rev FROM sales WHERE ITEM_NAME_GROUP IS NOT NULL GROUP BY ITEM_NAME_GROUP)))"""
+
+
+@query("g6_abc_pareto", O.with_sales(ABC_SQL))
+def g6_abc_pareto(spark, sf):
+    return G.abc_pareto(T.sales(spark, sf))
+
+
+@query("g7_class_counts", O.with_sales(f"SELECT Class, count(*) AS n FROM ({ABC_SQL}) GROUP BY Class"))
+def g7_class_counts(spark, sf):
+    return G.class_counts(G.abc_pareto(T.sales(spark, sf)))
+
+
+@query("g8_pareto_customers", O.with_sales(f"""
+SELECT CUSTOMER_NAME, CAST(v AS DOUBLE) AS AMOUNT,
+       CAST(SUM(v) OVER (ORDER BY v DESC, CUSTOMER_NAME ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+         / CAST((SELECT SUM(AMOUNT) FROM sales WHERE CUSTOMER_NAME IS NOT NULL) AS DOUBLE) * 100 AS cum_percent
+FROM ({_rev_by('CUSTOMER_NAME')}) ORDER BY v DESC, CUSTOMER_NAME LIMIT 50"""))
+def g8_pareto_customers(spark, sf):
+    return G.pareto(T.sales(spark, sf), M.CUSTOMER, 50)
+
+
+@query("g8_top_share_items", O.with_sales(f"""
+SELECT n AS entities, CAST(floor(n * 0.2) AS BIGINT) AS top_count, CAST(top AS DOUBLE) AS top_revenue,
+       CASE WHEN total <> 0 THEN CAST(top AS DOUBLE) / CAST(total AS DOUBLE) * 100 END AS share_pct
+FROM (SELECT count(*) AS n, COALESCE(SUM(v), 0) AS total,
+             COALESCE(SUM(CASE WHEN rk <= floor(cnt * 0.2) THEN v END), 0) AS top
+      FROM (SELECT v, row_number() OVER (ORDER BY v DESC, ITEMNAME) AS rk, count(*) OVER () AS cnt
+            FROM ({_rev_by('ITEMNAME')})))"""))
+def g8_top_share_items(spark, sf):
+    return G.top_share(T.sales(spark, sf), M.ITEM, 0.2)
+
+
+def _classes_sql(grp: str) -> str:
+    return f"""
+SELECT {grp}, CAST(rev AS DOUBLE) AS Revenue, Orders, CAST(rev AS DOUBLE) / CAST(total AS DOUBLE) * 100 AS Share,
+       CAST(cum AS DOUBLE) / CAST(total AS DOUBLE) * 100 AS CumShare,
+       CASE WHEN CAST(cum AS DOUBLE) / CAST(total AS DOUBLE) * 100 <= 70 THEN 'High Value'
+            WHEN CAST(cum AS DOUBLE) / CAST(total AS DOUBLE) * 100 <= 90 THEN 'Medium Value' ELSE 'Low Value' END AS Classification
+FROM (SELECT *, SUM(rev) OVER (ORDER BY rev DESC, {grp} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+             SUM(rev) OVER () AS total
+      FROM (SELECT {grp}, COALESCE(SUM(AMOUNT), 0) AS rev, COUNT(DISTINCT INVOICE_NO) AS Orders
+            FROM sales WHERE {grp} IS NOT NULL GROUP BY {grp}))"""
+
+
+@query("g9_classify_categories", O.with_sales(_classes_sql("ITEMNAME")))
+def g9_classify_categories(spark, sf):
+    return G.classify_categories(T.sales(spark, sf), M.ITEM)
+
+
+@query("g10_consolidation_candidates", O.with_sales(f"""
+SELECT *, Revenue / Orders AS Avg_Order_Value FROM ({_classes_sql('CUSTOMER_NAME')})
+WHERE Classification IN ('Low Value', 'Medium Value')
+  AND Orders > (SELECT CAST(SUM(o) AS DOUBLE) / count(*) FROM (
+        SELECT COUNT(DISTINCT INVOICE_NO) AS o FROM sales WHERE CUSTOMER_NAME IS NOT NULL GROUP BY CUSTOMER_NAME))"""))
+def g10_consolidation_candidates(spark, sf):
+    return G.consolidation_candidates(T.sales(spark, sf), M.CUSTOMER)
+
+
+@query("g11_consolidation_zone", O.with_sales("""
+SELECT ITEMNAME, Revenue, Orders, AOV FROM s, (SELECT CAST(SUM(Orders) AS DOUBLE) / count(*) AS ao, SUM(AOV) / count(*) AS av FROM s)
+WHERE Orders > ao AND AOV < av ORDER BY Orders DESC, ITEMNAME LIMIT 10""", """s AS (SELECT ITEMNAME, Revenue, Orders, Revenue / Orders AS AOV FROM (
+  SELECT ITEMNAME, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders
+  FROM sales WHERE ITEMNAME IS NOT NULL GROUP BY ITEMNAME) WHERE Revenue > 0)"""))
+def g11_consolidation_zone(spark, sf):
+    return G.consolidation_zone(T.sales(spark, sf), M.ITEM, 10)
+
+
+@query("g12_core_tail", O.with_sales("""
+SELECT CUSTOMER_NAME,
+       count(CASE WHEN cum <= 90 THEN 1 END) AS core_count,
+       CAST(COALESCE(SUM(CASE WHEN cum <= 90 THEN s END), 0) AS DOUBLE) AS core_spend,
+       count(CASE WHEN NOT (cum <= 90) THEN 1 END) AS tail_count,
+       CAST(COALESCE(SUM(CASE WHEN NOT (cum <= 90) THEN s END), 0) AS DOUBLE) AS tail_spend,
+       count(CASE WHEN share < 2.0 AND share > 0 THEN 1 END) AS micro_count,
+       CAST(COALESCE(SUM(CASE WHEN share < 2.0 AND share > 0 THEN s END), 0) AS DOUBLE) AS micro_spend,
+       CAST(COALESCE(SUM(CASE WHEN share < 2.0 AND share > 0 THEN s END), 0) * CAST(0.12 AS DECIMAL(3,2)) AS DOUBLE) AS opportunity
+FROM (SELECT CUSTOMER_NAME, s,
+             CAST(s AS DOUBLE) / CAST(et AS DOUBLE) * 100 AS share,
+             CAST(c AS DOUBLE) / CAST(et AS DOUBLE) * 100 AS cum
+      FROM (SELECT *, SUM(s) OVER (PARTITION BY CUSTOMER_NAME ORDER BY s DESC, ITEMNAME
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
+                   SUM(s) OVER (PARTITION BY CUSTOMER_NAME) AS et
+            FROM (SELECT CUSTOMER_NAME, ITEMNAME, COALESCE(SUM(AMOUNT), 0) AS s FROM sales
+                  WHERE CUSTOMER_NAME IS NOT NULL AND ITEMNAME IS NOT NULL GROUP BY CUSTOMER_NAME, ITEMNAME)))
+GROUP BY CUSTOMER_NAME"""))
+def g12_core_tail(spark, sf):
+    return G.core_tail(T.sales(spark, sf), M.CUSTOMER, M.ITEM)
+
+
+@query("g13_concentration", O.with_sales(f"""
+SELECT 5 AS k, ROUND(pct, 2) AS top_pct, CASE WHEN pct > 60 THEN 'high' ELSE 'healthy' END AS verdict
+FROM (SELECT CASE WHEN total <> 0 THEN CAST(top AS DOUBLE) / CAST(total AS DOUBLE) * 100 END AS pct FROM
+  (SELECT SUM(v) AS top FROM (SELECT v FROM ({_rev_by('CUSTOMER_NAME')}) ORDER BY v DESC, CUSTOMER_NAME LIMIT 5)),
+  (SELECT SUM(v) AS total FROM ({_rev_by('CUSTOMER_NAME')})))"""))
+def g13_concentration(spark, sf):
+    return G.concentration(T.sales(spark, sf), 5, 60.0)
+
+
+@query("g14_contribution", O.with_sales(f"""
+SELECT CUSTOMER_NAME, CAST(v AS DOUBLE) AS sales, ROUND(CAST(v AS DOUBLE) / CAST(SUM(v) OVER () AS DOUBLE) * 100, 2) AS pct
+FROM ({_rev_by('CUSTOMER_NAME')})"""))
+def g14_contribution(spark, sf):
+    return G.contribution(T.sales(spark, sf))
+
+
+ITEM_SQL = """SELECT ITEMNAME AS Item, ITEM_NAME_GROUP AS Category, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue,
+       COUNT(DISTINCT INVOICE_NO) AS Orders, CAST(COALESCE(SUM(QTY), 0) AS DOUBLE) AS Quantity
+FROM sales WHERE ITEMNAME IS NOT NULL AND ITEM_NAME_GROUP IS NOT NULL GROUP BY ITEMNAME, ITEM_NAME_GROUP"""
+
+
+@query("g15_item_details", O.with_sales(ITEM_SQL))
+def g15_item_details(spark, sf):
+    return G.item_details(T.sales(spark, sf))
+
+
+@query("g16_item_group_top25", O.with_sales(ITEM_SQL + " ORDER BY Revenue DESC, Item, Category LIMIT 25"))
+def g16_item_group_top25(spark, sf):
+    return G.item_details(T.sales(spark, sf), 25)
+
+
+@query("g17_group_deep_dive", O.with_sales("""
+SELECT g.ITEM_NAME_GROUP, CAST(v AS DOUBLE) AS Total_Revenue,
+       CASE WHEN total <> 0 THEN ROUND(CAST(v AS DOUBLE) / CAST(total AS DOUBLE) * 100, 1) END AS share_pct,
+       COALESCE(m.modal_item, 'N/A') AS modal_item, Order_Count
+FROM (SELECT ITEM_NAME_GROUP, COALESCE(SUM(AMOUNT), 0) AS v, COUNT(DISTINCT INVOICE_NO) AS Order_Count
+      FROM sales WHERE ITEM_NAME_GROUP IS NOT NULL GROUP BY ITEM_NAME_GROUP ORDER BY v DESC, ITEM_NAME_GROUP LIMIT 8) g
+LEFT JOIN (SELECT ITEM_NAME_GROUP, arg_min(ITEMNAME, (-c, ITEMNAME)) AS modal_item FROM (
+    SELECT ITEM_NAME_GROUP, ITEMNAME, count(*) AS c FROM sales
+    WHERE ITEM_NAME_GROUP IS NOT NULL AND ITEMNAME IS NOT NULL GROUP BY 1, 2) GROUP BY 1) m
+  ON g.ITEM_NAME_GROUP = m.ITEM_NAME_GROUP,
+  (SELECT COALESCE(SUM(AMOUNT), 0) AS total FROM sales)"""))
+def g17_group_deep_dive(spark, sf):
+    return G.group_deep_dive(T.sales(spark, sf), 8)
+
+
+@query("g18_pivot_top_long", O.with_sales(f"""
+SELECT tp.STATE, ts.ITEM_NAME_GROUP, CAST(COALESCE(x.v, 0) AS DOUBLE) AS AMOUNT
+FROM (SELECT STATE FROM ({_rev_by('STATE')}) ORDER BY v DESC, STATE LIMIT 8) tp
+CROSS JOIN (SELECT ITEM_NAME_GROUP FROM ({_rev_by('ITEM_NAME_GROUP')}) ORDER BY v DESC, ITEM_NAME_GROUP LIMIT 6) ts
+LEFT JOIN (SELECT STATE, ITEM_NAME_GROUP, SUM(AMOUNT) AS v FROM sales GROUP BY 1, 2) x
+  ON x.STATE = tp.STATE AND x.ITEM_NAME_GROUP = ts.ITEM_NAME_GROUP"""))
+def g18_pivot_top_long(spark, sf):
+    return G.pivot_top_long(T.sales(spark, sf), M.STATE, M.ITEM_GROUP, 8, 6)
+
+
+@query("g19_leader_state", O.with_sales(f"""
+SELECT 'STATE' AS dim, arg_min(STATE, (-v, STATE)) AS value, CAST(max(v) AS DOUBLE) AS AMOUNT,
+       CASE WHEN SUM(v) > 0 THEN ROUND(CAST(max(v) AS DOUBLE) / CAST(SUM(v) AS DOUBLE) * 100, 1) ELSE 0.0 END AS share,
+       count(*) AS active
+FROM ({_rev_by('STATE')})"""))
+def g19_leader_state(spark, sf):
+    return G.leader(T.sales(spark, sf), M.STATE)
+
+
+@query("g21_product_mix", O.with_sales("""
+SELECT CUSTOMER_NAME, rank, ITEM_NAME_GROUP, CAST(v AS DOUBLE) AS Revenue,
+       CASE WHEN et <> 0 THEN ROUND(CAST(v AS DOUBLE) / CAST(et AS DOUBLE) * 100, 1) END AS share_pct
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY CUSTOMER_NAME ORDER BY v DESC, ITEM_NAME_GROUP) AS INTEGER) AS rank,
+             SUM(v) OVER (PARTITION BY CUSTOMER_NAME) AS et
+      FROM (SELECT CUSTOMER_NAME, ITEM_NAME_GROUP, COALESCE(SUM(AMOUNT), 0) AS v FROM sales
+            WHERE CUSTOMER_NAME IS NOT NULL AND ITEM_NAME_GROUP IS NOT NULL GROUP BY 1, 2))
+WHERE rank <= 9"""))
+def g21_product_mix(spark, sf):
+    return G.product_mix(T.sales(spark, sf), 9)
+
+
+@query("g22_category_table", O.with_sales("""
+SELECT ITEM_NAME_GROUP, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Orders END AS AOV FROM (
+  SELECT ITEM_NAME_GROUP, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders
+  FROM sales WHERE ITEM_NAME_GROUP IS NOT NULL GROUP BY 1) ORDER BY Revenue DESC, ITEM_NAME_GROUP LIMIT 15"""))
+def g22_category_table(spark, sf):
+    return G.category_table(T.sales(spark, sf), 15)
+
+
+@query("g23_dimension_table_fy", O.with_sales("""
+SELECT FINANCIAL_YEAR AS label, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders,
+       COUNT(DISTINCT CUSTOMER_NAME) AS Customers
+FROM sales WHERE FINANCIAL_YEAR IS NOT NULL GROUP BY 1 ORDER BY Revenue DESC, label LIMIT 3"""))
+def g23_dimension_table_fy(spark, sf):
+    return G.dimension_table(T.sales(spark, sf), "fiscal_year", 2)
+
+
+@query("g24_state_report_customers", O.with_sales("""
+SELECT CUSTOMER_NAME, CAST(SUM(AMOUNT) AS DOUBLE) AS AMOUNT FROM sales WHERE STATE = 'AMERICA' AND CUSTOMER_NAME IS NOT NULL
+GROUP BY 1 ORDER BY AMOUNT DESC, CUSTOMER_NAME LIMIT 30"""))
+def g24_state_report_customers(spark, sf):
+    return G.report(T.sales(spark, sf), "state", "AMERICA")["customers"]
+
+
+@query("g24_month_report_items", O.with_sales(ITEM_SQL.replace("WHERE ITEMNAME", "WHERE MONTH = 'MAR-98' AND ITEMNAME")))
+def g24_month_report_items(spark, sf):
+    return G.report(T.sales(spark, sf), "month", "MAR-98")["items"]
