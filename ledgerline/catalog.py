@@ -588,3 +588,111 @@ def g24_state_report_customers(spark, sf):
 @query("g24_month_report_items", O.with_sales(ITEM_SQL.replace("WHERE ITEMNAME", "WHERE MONTH = 'MAR-98' AND ITEMNAME")))
 def g24_month_report_items(spark, sf):
     return G.report(T.sales(spark, sf), "month", "MAR-98")["items"]
+
+
+# ------------------------------------------------------------------ H: customers
+from .operators import customers as H  # noqa: E402
+
+RFM_BASE_SQL = """rfm_base AS (
+  SELECT CUSTOMER_NAME, CAST(floor((epoch(mx) - epoch(last)) / 86400) AS BIGINT) AS Recency, Frequency, money,
+         CAST(floor((epoch(last) - epoch(first)) / 86400) AS BIGINT) AS Tenure, s, lines
+  FROM (SELECT CUSTOMER_NAME, max(DATE) AS last, min(DATE) AS first, COUNT(DISTINCT INVOICE_NO) AS Frequency,
+               COALESCE(SUM(AMOUNT), 0) AS money, SUM(AMOUNT) AS s, COUNT(AMOUNT) AS lines
+        FROM sales WHERE CUSTOMER_NAME IS NOT NULL GROUP BY CUSTOMER_NAME),
+       (SELECT max(DATE) AS mx FROM sales)),
+rfm_edges AS (
+  SELECT *, quantile_cont(CAST(Recency AS DOUBLE), [0.25, 0.5, 0.75]) OVER () AS er,
+            quantile_cont(CAST(Frequency AS DOUBLE), [0.25, 0.5, 0.75]) OVER () AS ef,
+            quantile_cont(CAST(money AS DOUBLE), [0.25, 0.5, 0.75]) OVER () AS em,
+            count(*) OVER () AS n,
+            row_number() OVER (ORDER BY Frequency, CUSTOMER_NAME) AS rk
+  FROM rfm_base)"""
+
+
+def _bins(v: str, e: str) -> str:
+    return f"(CAST({v} > {e}[1] AS INTEGER) + CAST({v} > {e}[2] AS INTEGER) + CAST({v} > {e}[3] AS INTEGER))"
+
+
+@query("h1_customer_rollup", O.with_sales("""
+SELECT CUSTOMER_NAME, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders,
+       CAST(SUM(AMOUNT) AS DOUBLE) / COUNT(AMOUNT) AS AvgOrder, strftime(max(DATE), '%Y-%m-%d') AS LastOrder
+FROM sales WHERE CUSTOMER_NAME IS NOT NULL GROUP BY CUSTOMER_NAME"""))
+def h1_customer_rollup(spark, sf):
+    return H.customer_rollup(T.sales(spark, sf))
+
+
+H2_SQL = O.with_sales(f"""
+SELECT CUSTOMER_NAME, Recency, Frequency, CAST(money AS DOUBLE) AS Monetary,
+       CASE WHEN score >= 10 THEN 'Champions' WHEN score >= 8 THEN 'Loyal' WHEN score >= 6 THEN 'Potential'
+            WHEN score >= 4 THEN 'At Risk' ELSE 'Lost' END AS Segment
+FROM (SELECT *, (4 - {_bins('Recency', 'er')}) + (1 + {_bins('Frequency', 'ef')}) + (1 + {_bins('CAST(money AS DOUBLE)', 'em')}) AS score
+      FROM rfm_edges)""", RFM_BASE_SQL)
+
+
+@query("h2_rfm_segments", H2_SQL)
+def h2_rfm_segments(spark, sf):
+    return H.rfm_segments(T.sales(spark, sf))
+
+
+H3_SQL = O.with_sales(f"""
+SELECT CUSTOMER_NAME, Recency, Frequency, CAST(money AS DOUBLE) AS Monetary, R_Score, F_Score, M_Score,
+       CASE WHEN R_Score = 'Lost' THEN 'Inactive'
+            WHEN R_Score = 'At Risk' AND F_Score IN ('Loyal', 'Frequent') THEN 'Retention Opportunities'
+            WHEN R_Score = 'Active' AND F_Score = 'Frequent' THEN 'Consistent Buyers'
+            WHEN R_Score = 'Active' AND F_Score = 'Loyal' THEN 'Strategic Accounts'
+            ELSE 'Standard' END AS Segment
+FROM (SELECT *,
+        ['Active', 'At Risk', 'Churning', 'Lost'][{_bins('Recency', 'er')} + 1] AS R_Score,
+        ['One-time', 'Rare', 'Frequent', 'Loyal'][CAST(4 * (rk - 1) > (n - 1) AS INTEGER) + CAST(4 * (rk - 1) > 2 * (n - 1) AS INTEGER)
+                                                  + CAST(4 * (rk - 1) > 3 * (n - 1) AS INTEGER) + 1] AS F_Score,
+        ['Low', 'Medium', 'High', 'VIP'][{_bins('CAST(money AS DOUBLE)', 'em')} + 1] AS M_Score
+      FROM rfm_edges WHERE n >= 4)""", RFM_BASE_SQL)
+
+
+@query("h3_rfm_labels", H3_SQL)
+def h3_rfm_labels(spark, sf):
+    return H.rfm_labels(T.sales(spark, sf))
+
+
+@query("h4_segment_rollup", O.with_sales(
+    f"SELECT Segment, count(*) AS Count, COALESCE(SUM(Monetary), 0.0) AS Revenue FROM ({H3_SQL[H3_SQL.index('SELECT CUSTOMER_NAME, Recency'):]}) GROUP BY Segment",
+    RFM_BASE_SQL))
+def h4_segment_rollup(spark, sf):
+    return H.segment_rollup(H.rfm_labels(T.sales(spark, sf)))
+
+
+@query("h5_churn_features", O.with_sales("""
+SELECT CUSTOMER_NAME, Recency, Frequency, CAST(money AS DOUBLE) AS Monetary, Tenure,
+       CAST(s AS DOUBLE) / lines AS Avg_Order_Value, CAST(Recency > 90 AS INTEGER) AS Is_Churned
+FROM rfm_base""", RFM_BASE_SQL))
+def h5_churn_features(spark, sf):
+    return H.churn_features(T.sales(spark, sf))
+
+
+@query("h6_churn_scores")
+def h6_churn_scores(spark, sf):
+    return H.churn_scores(H.churn_features(T.sales(spark, sf)))
+
+
+@query("h7_customer_risk", O.with_sales("""
+SELECT CUSTOMER_NAME, COUNT(DISTINCT INVOICE_NO) AS Orders, strftime(max(DATE), '%Y-%m-%d') AS LastOrder,
+       COUNT(DISTINCT INVOICE_NO) = 1 AS single_order,
+       floor((epoch(TIMESTAMP '2001-08-01') - epoch(max(DATE))) / 86400) > 90 AS inactive_90
+FROM sales WHERE CUSTOMER_NAME IS NOT NULL GROUP BY CUSTOMER_NAME"""))
+def h7_customer_risk(spark, sf):
+    return H.customer_risk(T.sales(spark, sf), "2001-08-01")
+
+
+@query("h8_revenue_drops", O.with_sales("""
+SELECT CUSTOMER_NAME AS entity, 'customer' AS entity_type, cv AS current_revenue, pv AS previous_revenue,
+       ROUND((cv - pv) / pv * 100, 1) AS change_pct
+FROM (SELECT CUSTOMER_NAME,
+             CAST(COALESCE(SUM(CASE WHEN cur THEN AMOUNT END), 0) AS DOUBLE) AS cv, count(CASE WHEN cur THEN 1 END) AS cn,
+             CAST(COALESCE(SUM(CASE WHEN NOT cur THEN AMOUNT END), 0) AS DOUBLE) AS pv, count(CASE WHEN NOT cur THEN 1 END) AS pn
+      FROM (SELECT *, DATE >= TIMESTAMP '1999-01-01' AS cur FROM sales
+            WHERE DATE >= TIMESTAMP '1997-12-31' AND DATE < TIMESTAMP '2000-01-01' AND CUSTOMER_NAME IS NOT NULL)
+      GROUP BY CUSTOMER_NAME)
+WHERE cn > 0 AND pn > 0 AND pv > 0 AND cv < pv AND (cv - pv) / pv * 100 <= -20.0
+ORDER BY change_pct, entity LIMIT 20"""))
+def h8_revenue_drops(spark, sf):
+    return H.revenue_drops(T.sales(spark, sf), "1999-01-01", "1999-12-31", 20.0, 20)
