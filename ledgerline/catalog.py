@@ -696,3 +696,260 @@ WHERE cn > 0 AND pn > 0 AND pv > 0 AND cv < pv AND (cv - pv) / pv * 100 <= -20.0
 ORDER BY change_pct, entity LIMIT 20"""))
 def h8_revenue_drops(spark, sf):
     return H.revenue_drops(T.sales(spark, sf), "1999-01-01", "1999-12-31", 20.0, 20)
+
+
+# ------------------------------------------------------------------ C: ingest transforms (on dirty_sales)
+from .operators import ingest as C  # noqa: E402
+from .operators import quality as K  # noqa: E402
+
+DIRTY_COLS = ["DATE", "INVOICE_NO", "CUSTOMER_NAME", "ITEMNAME", "ITEM_NAME_GROUP", "MATERIALGROUP", "CITY", "STATE",
+              "REGION", "QTY", "AMOUNT", "tenant_id"]
+
+
+def _out(df: DataFrame) -> DataFrame:
+    """Money leaves as double; dates stay timestamps."""
+    from pyspark.sql import types as Ty
+
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, Ty.DecimalType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def _sql_cols(cols, overrides: dict[str, str] | None = None) -> str:
+    overrides = overrides or {}
+    out = []
+    for c in cols:
+        if c in overrides:
+            out.append(f"{overrides[c]} AS {c}")
+        elif c == "AMOUNT":
+            out.append("CAST(AMOUNT AS DOUBLE) AS AMOUNT")
+        else:
+            out.append(c)
+    return ", ".join(out)
+
+
+RAW_HEADERS = {  # messy upload headers over dirty_sales columns (C1/C2 input)
+    "DATE": " Date", "INVOICE_NO": "Invoice No.", "CUSTOMER_NAME": "Party Name", "ITEMNAME": "Item.Name",
+    "ITEM_NAME_GROUP": "Item Name Group", "MATERIALGROUP": "Material Group", "CITY": "City/Town",
+    "STATE": "State ", "REGION": "Region", "QTY": "Qty", "AMOUNT": "Amount", "tenant_id": "tenant_id",
+}
+STD_NAMES = {"DATE": "DATE", "INVOICE_NO": "INVOICE_NO", "CUSTOMER_NAME": "CUSTOMER_NAME", "ITEMNAME": "ITEMNAME",
+             "ITEM_NAME_GROUP": "ITEM_NAME_GROUP", "MATERIALGROUP": "MATERIAL_GROUP", "CITY": "CITY", "STATE": "STATE",
+             "REGION": "REGION", "QTY": "QTY", "AMOUNT": "AMOUNT", "tenant_id": "TENANT_ID"}
+
+
+def raw_upload(spark, sf) -> DataFrame:
+    d = T.dirty_sales(spark, sf)
+    return d.select(*[F.col(c).alias(RAW_HEADERS[c]) for c in DIRTY_COLS])
+
+
+def city_map(spark, sf) -> DataFrame:
+    """A city -> state map derived from the nation/region tables (even nation keys)."""
+    n = T.table(spark, sf, "nation").alias("n")
+    r = T.table(spark, sf, "region").alias("r")
+    return (n.join(r, F.col("n.n_regionkey") == F.col("r.r_regionkey")).where(F.col("n.n_nationkey") % 2 == 0)
+             .select(F.upper(F.col("n.n_name")).alias("CITY_KEY"), F.col("r.r_name").alias("MAPPED_STATE")))
+
+
+CITY_MAP_SQL = """city_map AS (SELECT upper(n.n_name) AS CITY_KEY, r.r_name AS MAPPED_STATE
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey % 2 = 0)"""
+
+
+@query("c1_c2_standardize_headers", O.with_dirty(
+    "SELECT " + ", ".join(f"{c} AS {STD_NAMES[c]}" if c != "AMOUNT" else "CAST(AMOUNT AS DOUBLE) AS AMOUNT"
+                          for c in DIRTY_COLS) + " FROM dirty_sales"))
+def c1_c2_standardize_headers(spark, sf):
+    return _out(C.standardize_headers(raw_upload(spark, sf)))
+
+
+@query("c3_upper_strings", O.with_dirty("SELECT " + _sql_cols(
+    DIRTY_COLS, {c: f"upper({O.strip_sql(c)})" for c in DIRTY_COLS
+                 if c not in ("DATE", "QTY", "AMOUNT")}) + " FROM dirty_sales"))
+def c3_upper_strings(spark, sf):
+    return _out(C.upper_strings(T.dirty_sales(spark, sf)))
+
+
+COALESCE_STATE_SQL = f"""CASE WHEN s2 = '' THEN 'State Not Found' ELSE s2 END"""
+C4_INNER = f"""SELECT *, {O.strip_sql("COALESCE(CASE WHEN COALESCE(" + O.strip_sql("STATE") + ", '') = '' OR COALESCE(upper(STATE) LIKE '%NOT FOUND%', false) THEN " + O.strip_sql("COALESCE(REGION, '')") + " ELSE STATE END, '')")} AS s2 FROM dirty_sales"""
+
+
+@query("c4_coalesce_state", O.with_dirty("SELECT " + _sql_cols(
+    [c for c in DIRTY_COLS if c != "REGION"], {"STATE": COALESCE_STATE_SQL}) + f" FROM ({C4_INNER})"))
+def c4_coalesce_state(spark, sf):
+    return _out(C.coalesce_state(T.dirty_sales(spark, sf)))
+
+
+MASTER_DEDUP_SQL = """master_dedup AS (SELECT CUSTOMER_NAME, STATE, CITY FROM (
+  SELECT *, row_number() OVER (PARTITION BY CUSTOMER_NAME ORDER BY STATE IS NULL, STATE, CITY IS NULL, CITY) AS rn
+  FROM master) WHERE rn = 1)"""
+
+
+@query("c5_enrich_customers", O.with_dirty("SELECT " + _sql_cols(
+    DIRTY_COLS, {"STATE": "COALESCE(m.STATE, d.STATE)", "CITY": "COALESCE(m.CITY, d.CITY)",
+                 "CUSTOMER_NAME": "d.CUSTOMER_NAME"})
+    + " FROM dirty_sales d LEFT JOIN master_dedup m ON d.CUSTOMER_NAME IS NOT DISTINCT FROM m.CUSTOMER_NAME",
+    O.MASTER, MASTER_DEDUP_SQL))
+def c5_enrich_customers(spark, sf):
+    d = C.enrich_customers(T.dirty_sales(spark, sf), T.customer_master(spark, sf))
+    return _out(d.select(*DIRTY_COLS))
+
+
+@query("c6_fill_state_from_city", O.with_dirty("SELECT " + _sql_cols(DIRTY_COLS, {
+    "STATE": "CASE WHEN d.STATE IS NULL OR trim(d.STATE) = '' OR upper(d.STATE) LIKE '%NOT FOUND%' "
+             "THEN COALESCE(cm.MAPPED_STATE, 'State Not Found') ELSE d.STATE END", "CITY": "d.CITY"})
+    + f" FROM dirty_sales d LEFT JOIN city_map cm ON upper({O.strip_sql('d.CITY')}) = cm.CITY_KEY", CITY_MAP_SQL))
+def c6_fill_state_from_city(spark, sf):
+    d = C.fill_state_from_city(T.dirty_sales(spark, sf), city_map(spark, sf))
+    return _out(d.select(*DIRTY_COLS))
+
+
+@query("c7_c9_add_calendar", O.with_dirty("""
+SELECT INVOICE_NO, DATE,
+       CASE WHEN DATE IS NULL THEN 'UNKNOWN' ELSE
+         'FY' || CAST((year(DATE) - CASE WHEN month(DATE) < 4 THEN 1 ELSE 0 END) % 100 AS VARCHAR) || '-' ||
+         CAST((year(DATE) - CASE WHEN month(DATE) < 4 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR) END AS FINANCIAL_YEAR,
+       upper(strftime(DATE, '%b-%y')) AS MONTH,
+       CAST(year(DATE) - CASE WHEN month(DATE) < 4 THEN 1 ELSE 0 END AS DOUBLE) AS fy_start,
+       strftime(date_trunc('month', DATE), '%Y-%m-%d') AS month_start
+FROM dirty_sales"""))
+def c7_c9_add_calendar(spark, sf):
+    d = C.add_calendar(T.dirty_sales(spark, sf))
+    return d.select(M.INVOICE_NO, M.DATE, M.FY, M.MONTH, F.col(M.FY_START).cast("double").alias(M.FY_START),
+                    F.date_format(M.MONTH_START, "yyyy-MM-dd").alias(M.MONTH_START))
+
+
+@query("c11_map_groups", O.with_dirty(
+    f"SELECT INVOICE_NO, ITEMNAME, {O.map_groups_sql('ITEM_NAME_GROUP')} AS ITEM_NAME_GROUP FROM dirty_sales"))
+def c11_map_groups(spark, sf):
+    return C.map_groups(T.dirty_sales(spark, sf)).select(M.INVOICE_NO, M.ITEM, M.ITEM_GROUP)
+
+
+@query("c12_exclude_groups", O.with_dirty(
+    f"SELECT INVOICE_NO, ITEMNAME, ITEM_NAME_GROUP FROM dirty_sales WHERE NOT {O.excluded_sql('ITEM_NAME_GROUP')}"))
+def c12_exclude_groups(spark, sf):
+    return C.exclude_groups(T.dirty_sales(spark, sf)).select(M.INVOICE_NO, M.ITEM, M.ITEM_GROUP)
+
+
+def _tax_sql(home: str) -> str:
+    intra = f"upper(trim(COALESCE(STATE, 'Unknown'))) IN ('{home}', 'UNKNOWN', 'STATE NOT FOUND')"
+    return f"""SELECT INVOICE_NO, STATE, CAST(AMOUNT AS DOUBLE) AS AMOUNT,
+       CAST(CASE WHEN {intra} THEN 0 ELSE AMOUNT * CAST(0.18 AS DECIMAL(3,2)) END AS DOUBLE) AS IGST,
+       CAST(CASE WHEN {intra} THEN AMOUNT * CAST(0.09 AS DECIMAL(3,2)) ELSE 0 END AS DOUBLE) AS CGST,
+       CAST(CASE WHEN {intra} THEN AMOUNT * CAST(0.09 AS DECIMAL(3,2)) ELSE 0 END AS DOUBLE) AS SGST,
+       CAST(CASE WHEN {intra} THEN 2 * (AMOUNT * CAST(0.09 AS DECIMAL(3,2))) ELSE AMOUNT * CAST(0.18 AS DECIMAL(3,2)) END AS DOUBLE) AS TAX,
+       CAST(AMOUNT + CASE WHEN {intra} THEN 2 * (AMOUNT * CAST(0.09 AS DECIMAL(3,2))) ELSE AMOUNT * CAST(0.18 AS DECIMAL(3,2)) END AS DOUBLE) AS TOTALAMOUNT
+FROM dirty_sales"""
+
+
+@query("c13_add_taxes", O.with_dirty(_tax_sql("ASIA")))
+def c13_add_taxes(spark, sf):
+    d = C.add_taxes(T.dirty_sales(spark, sf), home_state=" asia ")
+    return _out(d.select(M.INVOICE_NO, M.STATE, M.AMOUNT, "IGST", "CGST", "SGST", "TAX", "TOTALAMOUNT"))
+
+
+INGEST_SQL = O.with_dirty(f"""
+SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, ITEM_NAME_GROUP, MATERIAL_GROUP, CITY, STATE, QTY,
+       CAST(AMOUNT AS DOUBLE) AS AMOUNT, TENANT_ID, FINANCIAL_YEAR, MONTH,
+       CAST(CASE WHEN {{intra}} THEN 0 ELSE AMOUNT * CAST(0.18 AS DECIMAL(3,2)) END AS DOUBLE) AS IGST,
+       CAST(CASE WHEN {{intra}} THEN AMOUNT * CAST(0.09 AS DECIMAL(3,2)) ELSE 0 END AS DOUBLE) AS CGST,
+       CAST(CASE WHEN {{intra}} THEN AMOUNT * CAST(0.09 AS DECIMAL(3,2)) ELSE 0 END AS DOUBLE) AS SGST,
+       CAST(CASE WHEN {{intra}} THEN 2 * (AMOUNT * CAST(0.09 AS DECIMAL(3,2))) ELSE AMOUNT * CAST(0.18 AS DECIMAL(3,2)) END AS DOUBLE) AS TAX,
+       CAST(AMOUNT + CASE WHEN {{intra}} THEN 2 * (AMOUNT * CAST(0.09 AS DECIMAL(3,2))) ELSE AMOUNT * CAST(0.18 AS DECIMAL(3,2)) END AS DOUBLE) AS TOTALAMOUNT
+FROM (
+  SELECT *, {O.map_groups_sql('g0')} AS ITEM_NAME_GROUP FROM (
+    SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, ITEM_NAME_GROUP AS g0, MATERIALGROUP AS MATERIAL_GROUP, QTY, AMOUNT,
+           tenant_id AS TENANT_ID,
+           CASE WHEN s1 IS NULL OR trim(s1) = '' OR upper(s1) LIKE '%NOT FOUND%' THEN COALESCE(cm.MAPPED_STATE, 'State Not Found') ELSE s1 END AS STATE,
+           c1 AS CITY,
+           CASE WHEN DATE IS NULL THEN 'UNKNOWN' ELSE
+             'FY' || CAST((year(DATE) - CASE WHEN month(DATE) < 4 THEN 1 ELSE 0 END) % 100 AS VARCHAR) || '-' ||
+             CAST((year(DATE) - CASE WHEN month(DATE) < 4 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR) END AS FINANCIAL_YEAR,
+           upper(strftime(DATE, '%b-%y')) AS MONTH
+    FROM (SELECT d.*, COALESCE(m.STATE, CASE WHEN d.s2 = '' THEN 'State Not Found' ELSE d.s2 END) AS s1,
+                 COALESCE(m.CITY, d.CITY) AS c1
+          FROM ({C4_INNER}) d LEFT JOIN master_dedup m ON d.CUSTOMER_NAME IS NOT DISTINCT FROM m.CUSTOMER_NAME) x
+    LEFT JOIN city_map cm ON upper({O.strip_sql('x.c1')}) = cm.CITY_KEY))
+WHERE NOT {O.excluded_sql('ITEM_NAME_GROUP')}""", O.MASTER, MASTER_DEDUP_SQL, CITY_MAP_SQL).replace(
+    "{intra}", "upper(trim(COALESCE(STATE, 'Unknown'))) IN ('MAHARASHTRA', 'UNKNOWN', 'STATE NOT FOUND')")
+
+
+@query("c18_ingest_pipeline", INGEST_SQL)
+def c18_ingest_pipeline(spark, sf):
+    d = C.ingest(raw_upload(spark, sf), T.customer_master(spark, sf), city_map=city_map(spark, sf))
+    return _out(d.drop(M.FY_START, M.MONTH_START))
+
+
+# ------------------------------------------------------------------ K: data quality (on dirty_sales)
+@query("k1_health", O.with_dirty("""
+SELECT total_rows, missing_dates, repeat_invoice_rows, negative_amounts, score,
+       CASE WHEN total_rows = 0 THEN 'no_data' WHEN score >= 80 THEN 'good' WHEN score >= 50 THEN 'warning' ELSE 'poor' END AS status
+FROM (SELECT *, CASE WHEN total_rows > 0 THEN greatest(0.0, least(100.0, ROUND(
+        100.0 - CAST(missing_dates AS DOUBLE) / CAST(total_rows AS DOUBLE) * 30
+        - least(CAST(repeat_invoice_rows AS DOUBLE) / greatest(CAST(total_rows AS DOUBLE), 1.0) * 100, 40.0)
+        - least(CAST(negative_amounts AS DOUBLE) / greatest(CAST(total_rows AS DOUBLE), 1.0) * 100, 30.0), 1))) ELSE 0.0 END AS score
+  FROM (SELECT count(*) AS total_rows, count(*) FILTER (WHERE DATE IS NULL) AS missing_dates,
+               count(*) - (SELECT count(*) FROM (SELECT DISTINCT INVOICE_NO, DATE FROM dirty_sales)) AS repeat_invoice_rows,
+               count(*) FILTER (WHERE AMOUNT < 0) AS negative_amounts FROM dirty_sales))"""))
+def k1_health(spark, sf):
+    return K.health(T.dirty_sales(spark, sf))
+
+
+FLAG_SQL = """CASE WHEN COALESCE(AMOUNT <= 0, false) THEN 'Zero/Negative Amount'
+     WHEN COALESCE(upper(STATE) LIKE '%UNKNOWN%' OR upper(STATE) LIKE '%NOT FOUND%', false)
+       OR COALESCE(upper(CITY) LIKE '%UNKNOWN%' OR upper(CITY) LIKE '%NOT FOUND%', false) THEN 'Missing Location Data'
+     ELSE 'Clean' END"""
+
+
+@query("k2_anomaly_flags", O.with_dirty(
+    f"SELECT INVOICE_NO, STATE, CITY, CAST(AMOUNT AS DOUBLE) AS AMOUNT, {FLAG_SQL} AS Anomaly_Flag FROM dirty_sales"))
+def k2_anomaly_flags(spark, sf):
+    d = K.with_anomaly_flag(T.dirty_sales(spark, sf))
+    return _out(d.select(M.INVOICE_NO, M.STATE, M.CITY, M.AMOUNT, "Anomaly_Flag"))
+
+
+@query("k3_anomaly_counts", O.with_dirty(f"SELECT {FLAG_SQL} AS Anomaly_Flag, count(*) AS n FROM dirty_sales GROUP BY 1"))
+def k3_anomaly_counts(spark, sf):
+    return K.anomaly_counts(T.dirty_sales(spark, sf))
+
+
+@query("k3_anomaly_summary", O.with_dirty(f"""
+SELECT total_rows, anomalies, CASE WHEN total_rows > 0 THEN (total_rows - anomalies) / total_rows * 100 ELSE 0.0 END AS health_pct
+FROM (SELECT count(*) AS total_rows, count(*) FILTER (WHERE {FLAG_SQL} <> 'Clean') AS anomalies FROM dirty_sales)"""))
+def k3_anomaly_summary(spark, sf):
+    return K.anomaly_summary(T.dirty_sales(spark, sf))
+
+
+@query("k4_null_counts", O.with_dirty(
+    "SELECT \"column\", missing FROM (SELECT unnest([" + ", ".join(
+        f"{{'column': '{c}', 'missing': count(*) FILTER (WHERE {c} IS NULL)}}" for c in DIRTY_COLS)
+    + "], recursive := true) FROM dirty_sales) WHERE missing > 0"))
+def k4_null_counts(spark, sf):
+    return K.null_counts(T.dirty_sales(spark, sf))
+
+
+@query("k5_missing_location", O.with_dirty("""
+SELECT INVOICE_NO, CUSTOMER_NAME, CITY, STATE, CAST(AMOUNT AS DOUBLE) AS AMOUNT FROM dirty_sales
+WHERE COALESCE(upper(CITY) LIKE '%NOT FOUND%' OR upper(CITY) LIKE '%UNKNOWN%', false)
+   OR COALESCE(upper(STATE) LIKE '%NOT FOUND%' OR upper(STATE) LIKE '%UNKNOWN%', false)
+   OR COALESCE(upper(STATE) = 'AFRICA', false)"""))
+def k5_missing_location(spark, sf):
+    return _out(K.missing_location(T.dirty_sales(spark, sf), home_state="Africa"))
+
+
+@query("k6_reconciliation", O.with_dirty(f"""
+SELECT raw_rows, out_rows, raw_rows - out_rows AS diff, raw_amount, out_amount, out_amount - raw_amount AS amount_diff,
+       CASE WHEN raw_rows - out_rows > 0 THEN 'LOST' WHEN raw_rows - out_rows < 0 THEN 'GAINED' ELSE 'MATCH' END AS verdict
+FROM (SELECT count(*) AS raw_rows, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS raw_amount FROM dirty_sales),
+     (SELECT count(*) AS out_rows, CAST(COALESCE(SUM(TOTALAMOUNT), 0) AS DOUBLE) AS out_amount FROM (
+        SELECT AMOUNT + CASE WHEN upper(trim(COALESCE(STATE, 'Unknown'))) IN ('MAHARASHTRA', 'UNKNOWN', 'STATE NOT FOUND')
+                             THEN 2 * (AMOUNT * CAST(0.09 AS DECIMAL(3,2))) ELSE AMOUNT * CAST(0.18 AS DECIMAL(3,2)) END AS TOTALAMOUNT
+        FROM dirty_sales WHERE NOT {O.excluded_sql(O.map_groups_sql('ITEM_NAME_GROUP'))}))"""))
+def k6_reconciliation(spark, sf):
+    raw = T.dirty_sales(spark, sf)
+    processed = C.add_taxes(C.exclude_groups(C.map_groups(raw)))
+    return K.reconciliation(raw, processed)
+
+
+@query("k8_value_distribution", O.with_dirty(
+    "SELECT STATE, count(*) AS n FROM dirty_sales WHERE STATE IS NOT NULL GROUP BY STATE"))
+def k8_value_distribution(spark, sf):
+    return K.value_distribution(T.dirty_sales(spark, sf), M.STATE)

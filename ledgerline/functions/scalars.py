@@ -84,8 +84,13 @@ def inr(c, prefix: str = "₹", dp: int = 2) -> Column:
             .otherwise(small))
 
 
-def regex_any(words: list[str]) -> str:
-    """One alternation regex over literal words (regex-escaped)."""
+def regex_literal(word: str) -> str:
+    """Escape regex metacharacters only (spaces stay plain, valid in Java and RE2)."""
     import re
 
-    return "|".join(re.escape(w) for w in words)
+    return re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", word)
+
+
+def regex_any(words: list[str]) -> str:
+    """One alternation regex over literal words."""
+    return "|".join(regex_literal(w) for w in words)

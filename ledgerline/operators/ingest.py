@@ -23,7 +23,7 @@ from ..fixed_values import (
     INTRA_STATE_EXTRA, MATERIAL_GROUP_MAPPINGS, PREFERRED_ORDER, REGION_COLUMNS, STALE_TAX_COLUMNS,
     STATE_PLACEHOLDER, TAX_RATE,
 )
-from ..functions.scalars import fy_label, fy_start, month_label, month_start, strip
+from ..functions.scalars import fy_label, fy_start, month_label, month_start, regex_any, strip
 
 
 # ---------------------------------------------------------------- C1, C2
@@ -83,24 +83,25 @@ def upper_strings(df: DataFrame) -> DataFrame:
 
 
 def _blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+    return F.coalesce(strip(c), F.lit("")) == ""
 
 
 def coalesce_state(df: DataFrame, placeholder: str = STATE_PLACEHOLDER) -> DataFrame:
     """C4: fill blank / "NOT FOUND" STATE from REGION, PROVINCE, TERRITORY in
-    that order, drop those columns, blank -> placeholder."""
+    that order, drop those columns, blank -> placeholder (whitespace stripped
+    the way Python's ``str.strip`` does: tabs and NBSP too)."""
     regions = [c for c in REGION_COLUMNS if c in df.columns]
     if not regions:
         if M.STATE not in df.columns:
             return df.withColumn(M.STATE, F.lit(placeholder))
-        s = F.trim(F.coalesce(F.col(M.STATE), F.lit("")))
+        s = strip(F.coalesce(F.col(M.STATE), F.lit("")))
         return df.withColumn(M.STATE, F.when(s == "", F.lit(placeholder)).otherwise(s))
     state = (F.col(M.STATE) if M.STATE in df.columns
-             else F.trim(F.coalesce(F.col(regions[0]).cast("string"), F.lit(""))))
+             else strip(F.coalesce(F.col(regions[0]).cast("string"), F.lit(""))))
     for rc in regions:
         need = _blank(state) | F.coalesce(F.upper(state).contains("NOT FOUND"), F.lit(False))
-        state = F.when(need, F.trim(F.coalesce(F.col(rc).cast("string"), F.lit("")))).otherwise(state)
-    state = F.trim(F.coalesce(state, F.lit("")))
+        state = F.when(need, strip(F.coalesce(F.col(rc).cast("string"), F.lit("")))).otherwise(state)
+    state = strip(F.coalesce(state, F.lit("")))
     state = F.when(state == "", F.lit(placeholder)).otherwise(state)
     return df.withColumn(M.STATE, state).drop(*regions)
 
@@ -170,7 +171,7 @@ def fill_state_from_city(df: DataFrame, city_map: DataFrame | None = None,
     if M.CITY not in df.columns:
         return df.withColumn(M.STATE, F.coalesce(F.col(M.STATE), F.lit(placeholder)))
     cm = F.broadcast(city_map.select(F.col("CITY_KEY").alias("__ck"), F.col("MAPPED_STATE").alias("__ms")))
-    key = F.upper(F.trim(F.col(M.CITY).cast("string")))
+    key = F.upper(strip(F.col(M.CITY).cast("string")))
     j = df.withColumn("__ck_in", key).join(cm, F.col("__ck_in") == F.col("__ck"), "left")
     s = F.col(M.STATE)
     need = s.isNull() | (F.trim(s) == "") | F.upper(s).contains("NOT FOUND")
@@ -238,9 +239,7 @@ def exclude_groups(df: DataFrame, keywords=EXCLUDE_KEYWORDS, col: str | None = N
     col = col or M.material_group_col(df)
     if col is None or not keywords:
         return df
-    import re
-
-    pattern = "(?i)(" + "|".join(re.escape(k) for k in keywords) + ")"
+    pattern = "(?i)(" + regex_any(keywords) + ")"
     return df.where(~F.coalesce(group_norm(F.col(col)).rlike(pattern), F.lit(False)))
 
 

@@ -40,11 +40,11 @@ DIRTY = f"""dirty_sales AS (
          CASE WHEN p.p_partkey % 11 = 0 THEN 'raw ' || p.p_brand
               WHEN p.p_partkey % 13 = 0 THEN 'conduit  ' || p.p_brand || ' gland'
               WHEN p.p_partkey % 17 = 0 THEN NULL
-              WHEN p.p_partkey % 19 = 0 THEN ' REVERSE  FORWORD ' || p.p_brand
+              WHEN p.p_partkey % 19 = 0 THEN chr(160) || 'REVERSE  FORWORD ' || p.p_brand
               ELSE p.p_brand END AS ITEM_NAME_GROUP,
          p.p_type AS MATERIALGROUP,
          CASE WHEN c.c_nationkey = 24 THEN 'UNKNOWN'
-              WHEN c.c_nationkey = 3 THEN ' ' || lower(n.n_name) || chr(9)
+              WHEN c.c_nationkey = 3 THEN chr(160) || lower(n.n_name) || chr(9)
               ELSE n.n_name END AS CITY,
          CASE WHEN c.c_nationkey % 7 = 0 THEN ''
               WHEN c.c_nationkey = 13 THEN NULL
@@ -96,3 +96,28 @@ def month_label_start_sql(expr: str) -> str:
     mon = f"CASE WHEN length({lab}) >= 3 AND {pos} > 0 AND {pos} % 3 = 1 THEN ({pos} - 1) // 3 + 1 END"
     year = f"CASE WHEN ({yy}) >= 69 THEN ({yy}) + 1900 ELSE ({yy}) + 2000 END"
     return f"CASE WHEN ({mon}) IS NOT NULL AND ({yy}) IS NOT NULL THEN make_date({year}, {mon}, 1) END"
+
+
+def strip_sql(expr: str) -> str:
+    """SQL twin of ``scalars.strip`` (edge whitespace incl. NBSP)."""
+    return f"regexp_replace({expr}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
+
+
+def map_groups_sql(expr: str) -> str:
+    """SQL twin of ``ingest.map_groups`` with the default rules (ordered)."""
+    from .fixed_values import MATERIAL_GROUP_MAPPINGS
+
+    out = expr
+    for pattern, repl in MATERIAL_GROUP_MAPPINGS:
+        out = f"CASE WHEN COALESCE(regexp_matches({out}, '(?i){pattern}'), false) THEN '{repl}' ELSE {out} END"
+    return out
+
+
+def excluded_sql(expr: str) -> str:
+    """SQL twin of the C12 keyword test (TRUE = drop)."""
+    from .fixed_values import EXCLUDE_KEYWORDS
+    from .functions.scalars import regex_any
+
+    norm = f"upper(trim(regexp_replace(replace({expr}, chr(160), ' '), '\\s+', ' ', 'g')))"
+    pat = "(?i)(" + regex_any(EXCLUDE_KEYWORDS) + ")"
+    return f"COALESCE(regexp_matches({norm}, '{pat}'), false)"

@@ -96,11 +96,11 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.when(pk % 11 == 0, F.concat(F.lit("raw "), F.col("p_brand")))
           .when(pk % 13 == 0, F.concat(F.lit("conduit  "), F.col("p_brand"), F.lit(" gland")))
           .when(pk % 17 == 0, F.lit(None))
-          .when(pk % 19 == 0, F.concat(F.lit(" REVERSE  FORWORD "), F.col("p_brand")))
+          .when(pk % 19 == 0, F.concat(F.lit("\u00a0REVERSE  FORWORD "), F.col("p_brand")))
           .otherwise(F.col("p_brand"))).alias(M.ITEM_GROUP),
         F.col("p_type").alias(M.MATERIAL),
         (F.when(nk == 24, F.lit("UNKNOWN"))
-          .when(nk == 3, F.concat(F.lit(" "), F.lower(F.col("n_name")), F.lit("\t")))
+          .when(nk == 3, F.concat(F.lit("\u00a0"), F.lower(F.col("n_name")), F.lit("\t")))
           .otherwise(F.col("n_name"))).alias(M.CITY),
         (F.when(nk % 7 == 0, F.lit(""))
           .when(nk == 13, F.lit(None))
