@@ -953,3 +953,140 @@ def k6_reconciliation(spark, sf):
     "SELECT STATE, count(*) AS n FROM dirty_sales WHERE STATE IS NOT NULL GROUP BY STATE"))
 def k8_value_distribution(spark, sf):
     return K.value_distribution(T.dirty_sales(spark, sf), M.STATE)
+
+
+# ------------------------------------------------------------------ G20, M1: insight rows, currency text
+def inr_sql(expr: str, prefix: str = "Rs.") -> str:
+    v = f"CAST({expr} AS DECIMAL(20,4))"
+    sym = f"{prefix} " if prefix else ""
+
+    def unit(factor: str, suffix: str) -> str:
+        return (f"'{sym}' || CAST(CAST(ROUND({v} * CAST({factor} AS DECIMAL(9,8)), 2) AS DECIMAL(38,2)) AS VARCHAR)"
+                f" || ' {suffix}'")
+
+    return (f"CASE WHEN {v} >= 10000000 THEN {unit('0.0000001', 'Cr')} WHEN {v} >= 100000 THEN {unit('0.00001', 'L')} "
+            f"WHEN {v} >= 1000 THEN {unit('0.001', 'K')} ELSE '{sym}' || format('{{:,}}', CAST(ROUND({v}, 0) AS BIGINT)) END")
+
+
+@query("m1_inr_format", O.with_sales(f"""
+SELECT CUSTOMER_NAME, strftime(month_start, '%Y-%m') AS month, CAST(v AS DOUBLE) AS AMOUNT, {inr_sql('v', '₹')} AS AMOUNT_TEXT
+FROM (SELECT CUSTOMER_NAME, month_start, SUM(AMOUNT) AS v FROM sales GROUP BY 1, 2)"""))
+def m1_inr_format(spark, sf):
+    from .functions.scalars import inr
+
+    g = T.sales(spark, sf).groupBy(M.CUSTOMER, M.MONTH_START).agg(F.sum(M.AMOUNT).alias("v"))
+    return g.select(M.CUSTOMER, F.date_format(M.MONTH_START, "yyyy-MM").alias("month"),
+                    F.col("v").cast("double").alias(M.AMOUNT), inr(F.col("v"), "₹").alias("AMOUNT_TEXT"))
+
+
+@query("g20_insights", O.with_sales(f"""
+SELECT kind, value, text FROM (
+  SELECT 'concentration' AS kind, pct AS value,
+         CASE WHEN pct > 60.0 THEN printf('HIGH CONCENTRATION: Top 3 customers account for %.1f%% of revenue.', pct)
+              ELSE printf('HEALTHY MIX: Top 3 customers account for %.1f%% of revenue.', pct) END AS text
+  FROM (SELECT ROUND(CAST(top AS DOUBLE) / CAST(total AS DOUBLE) * 100, 1) AS pct, total FROM
+          (SELECT SUM(v) AS top FROM (SELECT v FROM ({_rev_by('CUSTOMER_NAME')}) ORDER BY v DESC, CUSTOMER_NAME LIMIT 3)),
+          (SELECT SUM(v) AS total FROM ({_rev_by('CUSTOMER_NAME')}))) WHERE total > 0
+  UNION ALL
+  SELECT 'portfolio', share, printf('PORTFOLIO: %d material groups active. ''%s'' leads with %.1f%% share.', active, substr(value, 1, 30), share)
+  FROM (SELECT arg_min(ITEM_NAME_GROUP, (-v, ITEM_NAME_GROUP)) AS value, count(*) AS active,
+               CASE WHEN SUM(v) > 0 THEN ROUND(CAST(max(v) AS DOUBLE) / CAST(SUM(v) AS DOUBLE) * 100, 1) ELSE 0.0 END AS share
+        FROM ({_rev_by('ITEM_NAME_GROUP')}))
+  UNION ALL
+  SELECT 'order_size', aov, 'ORDER SIZE: Average order value is ' || {inr_sql('aov')} ||
+         CASE WHEN aov < 50000.0 THEN ' - consider bundling strategies to increase order size.' ELSE ' - strong per-order commitment.' END
+  FROM (SELECT CASE WHEN COUNT(DISTINCT INVOICE_NO) > 0 THEN CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) / COUNT(DISTINCT INVOICE_NO) ELSE 0.0 END AS aov
+        FROM sales) WHERE aov > 0
+  UNION ALL
+  SELECT 'geography', CAST(count(*) AS DOUBLE), printf('GEOGRAPHY: Active across %d states. Top state: %s.', count(*), arg_min(STATE, (-v, STATE)))
+  FROM ({_rev_by('STATE')}))"""))
+def g20_insights(spark, sf):
+    return G.insights(T.sales(spark, sf))
+
+
+# ------------------------------------------------------------------ I: pricing
+from .operators import geo as J  # noqa: E402
+from .operators import pricing as I  # noqa: E402
+
+UNIT_SQL = "SELECT *, CAST(AMOUNT AS DOUBLE) / CAST(QTY AS DOUBLE) AS UNIT_PRICE FROM sales WHERE QTY > 0 AND AMOUNT > 0"
+TOP_PRODUCTS_SQL = f"""top_products AS (SELECT MATERIALGROUP, ITEM_NAME_GROUP FROM (
+  SELECT MATERIALGROUP, ITEM_NAME_GROUP, row_number() OVER (PARTITION BY MATERIALGROUP ORDER BY SUM(AMOUNT) DESC, ITEM_NAME_GROUP) AS r
+  FROM ({UNIT_SQL}) WHERE MATERIALGROUP IS NOT NULL AND ITEM_NAME_GROUP IS NOT NULL GROUP BY 1, 2) WHERE r <= 50)"""
+
+
+@query("i1_unit_prices", O.with_sales(f"SELECT INVOICE_NO, ITEM_NAME_GROUP, QTY, CAST(AMOUNT AS DOUBLE) AS AMOUNT, UNIT_PRICE FROM ({UNIT_SQL})"))
+def i1_unit_prices(spark, sf):
+    return _out(I.unit_prices(T.sales(spark, sf)).select(M.INVOICE_NO, M.ITEM_GROUP, M.QTY, M.AMOUNT, "UNIT_PRICE"))
+
+
+@query("i2_demand_curve", O.with_sales(f"""
+SELECT u.MATERIALGROUP, u.ITEM_NAME_GROUP, ROUND(UNIT_PRICE, 0) AS PRICE_BIN, CAST(SUM(QTY) AS DOUBLE) AS TOTAL_QTY, count(QTY) AS TXN_COUNT
+FROM ({UNIT_SQL}) u SEMI JOIN top_products t ON u.MATERIALGROUP = t.MATERIALGROUP AND u.ITEM_NAME_GROUP = t.ITEM_NAME_GROUP
+GROUP BY 1, 2, 3""", TOP_PRODUCTS_SQL))
+def i2_demand_curve(spark, sf):
+    return I.demand_curve(T.sales(spark, sf), 50)
+
+
+@query("i3_price_stats", O.with_sales(f"""
+SELECT u.MATERIALGROUP, u.ITEM_NAME_GROUP, ROUND(avg(UNIT_PRICE), 6) AS avg_price, ROUND(stddev_samp(UNIT_PRICE), 6) AS price_stddev
+FROM ({UNIT_SQL}) u SEMI JOIN top_products t ON u.MATERIALGROUP = t.MATERIALGROUP AND u.ITEM_NAME_GROUP = t.ITEM_NAME_GROUP
+GROUP BY 1, 2""", TOP_PRODUCTS_SQL))
+def i3_price_stats(spark, sf):
+    return I.price_stats(T.sales(spark, sf), 50)
+
+
+@query("i4_lowess_trend")
+def i4_lowess_trend(spark, sf):
+    return I.smooth(I.demand_curve(T.sales(spark, sf), 50))
+
+
+# ------------------------------------------------------------------ J: geography
+def region_coords(spark, sf) -> DataFrame:
+    """State coordinates derived from the region table (regions 0..2; others fall back)."""
+    r = T.table(spark, sf, "region")
+    return r.where(F.col("r_regionkey") < 3).select(
+        F.initcap(F.col("r_name")).alias("name"), (F.col("r_regionkey") * 10.5 + 5.25).alias("lat"),
+        (F.col("r_regionkey") * -20.25 + 70.5).alias("lon"))
+
+
+def nation_coords(spark, sf) -> DataFrame:
+    """City coordinates derived from the nation table (even keys; others unmatched)."""
+    n = T.table(spark, sf, "nation")
+    return n.where(F.col("n_nationkey") % 2 == 0).select(
+        F.col("n_name").alias("name"), (F.col("n_nationkey") * 1.5).alias("lat"), (F.col("n_regionkey") * 12.0).alias("lon"))
+
+
+@query("j1_state_coords", O.with_sales("""
+SELECT s.STATE, s.Revenue, COALESCE(c.lat, 20.5937) AS lat, COALESCE(c.lon, 78.9629) AS lon
+FROM (SELECT STATE, CAST(SUM(AMOUNT) AS DOUBLE) AS Revenue FROM sales WHERE STATE IS NOT NULL GROUP BY STATE) s
+LEFT JOIN (SELECT upper(r_name) AS k, r_regionkey * 10.5 + 5.25 AS lat, r_regionkey * -20.25 + 70.5 AS lon
+           FROM region WHERE r_regionkey < 3) c ON upper(trim(s.STATE)) = c.k"""))
+def j1_state_coords(spark, sf):
+    g = T.sales(spark, sf).groupBy(M.STATE).agg(F.sum(M.AMOUNT).cast("double").alias("Revenue"))
+    return J.add_state_coords(g, region_coords(spark, sf))
+
+
+@query("j2_city_coords", O.with_sales("""
+SELECT s.CITY, s.Revenue, c.lat, c.lon
+FROM (SELECT CITY, CAST(SUM(AMOUNT) AS DOUBLE) AS Revenue FROM sales WHERE CITY IS NOT NULL GROUP BY CITY) s
+JOIN (SELECT upper(n_name) AS k, n_nationkey * 1.5 AS lat, n_regionkey * 12.0 AS lon FROM nation WHERE n_nationkey % 2 = 0) c
+  ON upper(s.CITY) = c.k"""))
+def j2_city_coords(spark, sf):
+    g = T.sales(spark, sf).groupBy(M.CITY).agg(F.sum(M.AMOUNT).cast("double").alias("Revenue"))
+    return J.add_city_coords(g, nation_coords(spark, sf))
+
+
+@query("j3_city_drill", O.with_sales("""
+SELECT CITY AS city, CAST(SUM(AMOUNT) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Invoices,
+       CAST(ROUND(SUM(AMOUNT) / CAST(100000 AS DECIMAL(10,0)), 1) AS DOUBLE) AS Revenue_L
+FROM sales WHERE STATE = 'EUROPE' AND CITY IS NOT NULL GROUP BY CITY ORDER BY Revenue DESC, city LIMIT 15"""))
+def j3_city_drill(spark, sf):
+    return J.city_drill(T.sales(spark, sf), "EUROPE")
+
+
+@query("j4_geo_summary", O.with_sales(f"""
+SELECT top_state, active_states, CAST(ROUND(t / active_states / CAST(10000000 AS DECIMAL(10,0)), 2) AS DOUBLE) AS avg_revenue_cr, top_city
+FROM (SELECT arg_min(STATE, (-v, STATE)) AS top_state, count(*) AS active_states, SUM(v) AS t FROM ({_rev_by('STATE')})),
+     (SELECT arg_min(CITY, (-v, CITY)) AS top_city FROM ({_rev_by('CITY')}))"""))
+def j4_geo_summary(spark, sf):
+    return J.geo_summary(T.sales(spark, sf))

@@ -65,16 +65,16 @@ def pct_or_zero(num, den, dp: int = 1) -> Column:
 
 
 def inr(c, prefix: str = "₹", dp: int = 2) -> Column:
-    """Indian currency text: Cr / L / K with ``dp`` decimals, grouped integer below 1 000.
-
-    Scaling multiplies by an exact decimal literal so rounding is half-up on the
-    exact value, never on a binary approximation.
-    """
-    v = _c(c).cast("decimal(38,4)")
+    """M1: Indian currency text — Cr / L / K with ``dp`` decimals at or above
+    1 000, a grouped whole number below (negatives fall below, as in the
+    reference). Scaling multiplies exact decimals (money fits decimal(20,4),
+    the factor decimal(9,8)), so the rounding is half-up on the exact value."""
+    v = _c(c).cast("decimal(20,4)")
     sym = f"{prefix} " if prefix else ""
 
     def unit(scale: int, suffix: str) -> Column:
-        scaled = F.round(v * F.lit(Decimal(1) / Decimal(scale)).cast("decimal(12,8)"), dp)
+        factor = F.lit(Decimal(1) / Decimal(scale)).cast("decimal(9,8)")
+        scaled = F.round(v * factor, dp)
         return F.concat(F.lit(sym), scaled.cast(f"decimal(38,{dp})").cast("string"), F.lit(f" {suffix}"))
 
     small = F.concat(F.lit(sym), F.format_number(F.round(v, 0), 0))

@@ -320,13 +320,15 @@ def insights(df: DataFrame, aov_threshold: float = 50000.0, concentration_k: int
     from .kpi import kpi_summary
 
     grp = M.dashboard_group_col(df)
-    conc = concentration(df, concentration_k, concentration_pct).select(
-        F.lit("concentration").alias("kind"), F.col("top_pct").alias("value"),
-        F.when(F.col("top_pct") > concentration_pct,
-               F.format_string(f"HIGH CONCENTRATION: Top {concentration_k} customers account for %.1f%% of revenue.",
-                               F.round("top_pct", 1)))
-         .otherwise(F.format_string(f"HEALTHY MIX: Top {concentration_k} customers account for %.1f%% of revenue.",
-                                    F.round("top_pct", 1))).alias("text"))
+    g = _by(df, M.CUSTOMER, F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__v"))
+    top = top_k(g, concentration_k, *_desc("__v", M.CUSTOMER)).agg(F.coalesce(F.sum("__v"), F.lit(0)).alias("__top"))
+    pct = F.round(F.col("__top").cast("double") / F.col("__total").cast("double") * 100, 1)
+    conc = with_total(top, _total(g, "__v")).where(F.col("__total") > 0).select(
+        F.lit("concentration").alias("kind"), pct.alias("value"),
+        F.when(pct > concentration_pct,
+               F.format_string(f"HIGH CONCENTRATION: Top {concentration_k} customers account for %.1f%% of revenue.", pct))
+         .otherwise(F.format_string(f"HEALTHY MIX: Top {concentration_k} customers account for %.1f%% of revenue.", pct))
+         .alias("text"))
     lg = leader(df, grp).select(
         F.lit("portfolio").alias("kind"), F.col("share").alias("value"),
         F.format_string("PORTFOLIO: %d material groups active. '%s' leads with %.1f%% share.",
