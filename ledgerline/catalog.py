@@ -1090,3 +1090,118 @@ FROM (SELECT arg_min(STATE, (-v, STATE)) AS top_state, count(*) AS active_states
      (SELECT arg_min(CITY, (-v, CITY)) AS top_city FROM ({_rev_by('CITY')}))"""))
 def j4_geo_summary(spark, sf):
     return J.geo_summary(T.sales(spark, sf))
+
+
+# ------------------------------------------------------------------ B: sinks (DataFrame parts)
+from .sinks import writers as B  # noqa: E402
+
+B_COLS = [M.DATE, M.INVOICE_NO, M.CUSTOMER, M.ITEM, M.QTY, M.AMOUNT, M.TENANT]
+
+
+@query("b1_append_new", O.with_sales("""
+SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, CAST(AMOUNT AS DOUBLE) AS AMOUNT, tenant_id FROM sales n
+WHERE DATE >= TIMESTAMP '1998-07-01'
+  AND NOT EXISTS (SELECT 1 FROM sales e WHERE e.DATE < TIMESTAMP '1999-01-01'
+                  AND e.INVOICE_NO IS NOT DISTINCT FROM n.INVOICE_NO AND e.tenant_id IS NOT DISTINCT FROM n.tenant_id)"""))
+def b1_append_new(spark, sf):
+    s = T.sales(spark, sf).select(*B_COLS)
+    new = s.where(F.col(M.DATE) >= F.lit("1998-07-01").cast("timestamp"))
+    existing = s.where(F.col(M.DATE) < F.lit("1999-01-01").cast("timestamp"))
+    return _out(B.append_new(new, existing))
+
+
+@query("b6_merge_snapshot", O.with_sales("""
+SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, CAST(AMOUNT AS DOUBLE) AS AMOUNT, tenant_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY INVOICE_NO ORDER BY src, DATE NULLS FIRST, INVOICE_NO NULLS FIRST,
+           CUSTOMER_NAME NULLS FIRST, ITEMNAME NULLS FIRST, QTY NULLS FIRST, AMOUNT NULLS FIRST, tenant_id NULLS FIRST) AS r
+  FROM (SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, AMOUNT, tenant_id, 0 AS src FROM sales
+        WHERE DATE < TIMESTAMP '1999-01-01'
+        UNION ALL
+        SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, AMOUNT * 2, tenant_id, 1 FROM sales
+        WHERE DATE >= TIMESTAMP '1998-07-01'))
+WHERE r = 1"""))
+def b6_merge_snapshot(spark, sf):
+    s = T.sales(spark, sf).select(*B_COLS)
+    old = s.where(F.col(M.DATE) < F.lit("1999-01-01").cast("timestamp"))
+    new = s.where(F.col(M.DATE) >= F.lit("1998-07-01").cast("timestamp")).withColumn(M.AMOUNT, F.col(M.AMOUNT) * 2)
+    return _out(B.merge_snapshot(old, new))
+
+
+# ------------------------------------------------------------------ N: streaming folder ingest
+@query("n1_n4_stream_ingest", INGEST_SQL)
+def n1_n4_stream_ingest(spark, sf):
+    """The raw upload (messy headers) written as 4 CSV files in two column
+    orders (invoices never span files), ingested by the folder stream one file
+    per micro-batch, read back. Scratch folders live under the shared
+    checkpoint directory."""
+    import uuid
+
+    from .session import shared_dir
+    from .sources.files import CSV_OPTIONS
+    from .streaming.ingest_stream import start_ingest
+
+    base = shared_dir(spark, f"stream-{uuid.uuid4().hex}")
+    src, stage, dst, ck = (f"{base}/{x}" for x in ("src", "stage", "table", "ckpt"))
+    raw = raw_upload(spark, sf)
+    key = RAW_HEADERS[M.INVOICE_NO]
+    layouts = [raw.columns, list(reversed(raw.columns))]
+    opts = {**CSV_OPTIONS, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
+    for i, cols in enumerate(layouts):
+        part = (raw.where(F.abs(F.hash(F.col(f"`{key}`"))) % 2 == i).select(*[F.col(f"`{c}`") for c in cols])
+                .repartition(2, F.col(f"`{key}`")))
+        part.write.mode("overwrite").options(**opts).csv(f"{stage}/{i}")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    srcp = jvm.org.apache.hadoop.fs.Path(src)
+    fs = srcp.getFileSystem(conf)
+    fs.mkdirs(srcp)
+    for i in range(len(layouts)):
+        for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{stage}/{i}")):
+            name = st.getPath().getName()
+            if name.endswith(".csv"):
+                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{src}/{i}-{name}"))
+    q = start_ingest(spark, src, dst, ck, T.customer_master(spark, sf), city_map=city_map(spark, sf),
+                     trigger={"availableNow": True}, files_per_trigger=1)
+    q.awaitTermination()
+    out = spark.read.parquet(dst).drop("batch_id", M.FY_START, M.MONTH_START)
+    return _out(out)
+
+
+# ------------------------------------------------------------------ L: questions as batch jobs
+from .operators import questions as L  # noqa: E402
+
+
+def questions(spark, sf) -> DataFrame:
+    """Questions built from templates over every customer, region and part type."""
+    c = T.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    n = T.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    r = T.table(spark, sf, "region").select("r_regionkey", "r_name")
+    cr = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    q1 = cr.select(F.concat(F.lit("c"), F.col("c_custkey"), F.lit("-1")).alias("q_id"),
+                   F.concat(F.lit("Top 3 products for "), F.col("c_name"), F.lit(" in 2000?")).alias("text"))
+    q2 = cr.select(F.concat(F.lit("c"), F.col("c_custkey"), F.lit("-2")).alias("q_id"),
+                   F.concat(F.lit("how many orders did "), F.col("c_name"), F.lit(" place in "),
+                            F.lower(F.col("r_name")), F.lit(",")).alias("text"))
+    q3 = r.select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("q_id"),
+                  F.concat(F.lit("best 2 customers in "), F.col("r_name"), F.lit(" by units: top 2")).alias("text"))
+    t = T.table(spark, sf, "part").select("p_type").distinct()
+    q4 = t.select(F.concat(F.lit("t-"), F.col("p_type")).alias("q_id"),
+                  F.concat(F.lit("total revenue for "), F.lower(F.col("p_type")), F.lit(" items in 2001")).alias("text"))
+    q5 = r.select(F.concat(F.lit("s"), F.col("r_regionkey")).alias("q_id"),
+                  F.concat(F.lit("Which state is best by invoices?")).alias("text"))
+    return q1.unionByName(q2).unionByName(q3).unionByName(q4).unionByName(q5)
+
+
+@query("l1_link_entities")
+def l1_link_entities(spark, sf):
+    return L.link_entities(questions(spark, sf), L.dictionary(T.sales(spark, sf)))
+
+
+@query("l2_parse_intent")
+def l2_parse_intent(spark, sf):
+    return L.parse_intent(questions(spark, sf))
+
+
+@query("l3_answer")
+def l3_answer(spark, sf):
+    return L.answer(questions(spark, sf), T.sales(spark, sf))

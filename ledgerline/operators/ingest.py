@@ -302,10 +302,13 @@ class IngestConfig:
 
 
 def ingest(raw: DataFrame, master: DataFrame | None = None, cfg: IngestConfig = IngestConfig(),
-           city_map: DataFrame | None = None) -> DataFrame:
-    """C18, API order: headers -> state coalesce -> master -> city fallback ->
-    calendar -> defaults -> map -> exclude -> taxes. One lazy plan."""
+           city_map: DataFrame | None = None, coerce=None) -> DataFrame:
+    """C18, API order: headers -> (type coercion for text uploads) -> state
+    coalesce -> master -> city fallback -> calendar -> defaults -> map ->
+    exclude -> taxes. One lazy plan."""
     df = standardize_headers(raw)
+    if coerce is not None:
+        df = coerce(df)
     if cfg.normalise_values:
         df = upper_strings(df)
     df = coalesce_state(df)

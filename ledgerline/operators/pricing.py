@@ -70,41 +70,50 @@ def price_stats(df: DataFrame, top: int = 50, dp: int = 6) -> DataFrame:
                    F.round(F.stddev_samp("UNIT_PRICE"), dp).alias("price_stddev")))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, frac: float = 2.0 / 3.0, it: int = 3) -> np.ndarray:
-    """Locally weighted linear regression (tricube weights, ``it`` robustifying
-    iterations with bisquare weights), evaluated at each ``x``."""
+def lowess(x: np.ndarray, y: np.ndarray, frac: float = 2.0 / 3.0, it: int = 3, chunk: int = 512) -> np.ndarray:
+    """Locally weighted linear regression (tricube weights over the nearest
+    ``frac`` of points, ``it`` robustifying passes with bisquare weights),
+    evaluated at each ``x``. Vectorised over rows in chunks of ``chunk``
+    (memory chunk x n)."""
     n = len(x)
     if n == 0:
         return np.array([], dtype=float)
     if n < 3:
-        return y.astype(float).copy()
+        return np.asarray(y, dtype=float).copy()
     order = np.argsort(x, kind="stable")
-    xs, ys = x[order].astype(float), y[order].astype(float)
-    r = max(int(np.ceil(frac * n)), 2)
-    fit = np.empty(n)
+    xs, ys = np.asarray(x, float)[order], np.asarray(y, float)[order]
+    r = min(max(int(np.ceil(frac * n)), 2), n)
+    # the neighbourhood radius does not change across robustness passes
+    radius = np.concatenate([
+        np.partition(np.abs(xs[None, :] - xs[lo:lo + chunk, None]), r - 1, axis=1)[:, r - 1]
+        for lo in range(0, n, chunk)])
     robust = np.ones(n)
+    fit = np.empty(n)
     for _ in range(it + 1):
-        for i in range(n):
-            d = np.abs(xs - xs[i])
-            h = np.partition(d, r - 1)[r - 1]
-            w = np.zeros(n) if h == 0 else np.clip(1 - (d / h) ** 3, 0, None) ** 3
-            if h == 0:
-                w[d == 0] = 1.0
-            w = w * robust
-            sw = w.sum()
-            if sw <= 0:
-                fit[i] = ys[i]
-                continue
-            mx, my = (w * xs).sum() / sw, (w * ys).sum() / sw
-            vx = (w * (xs - mx) ** 2).sum()
-            slope = 0.0 if vx <= 1e-12 * max(1.0, mx * mx) else (w * (xs - mx) * (ys - my)).sum() / vx
-            fit[i] = my + slope * (xs[i] - mx)
+        for lo in range(0, n, chunk):
+            xi = xs[lo:lo + chunk]
+            d = np.abs(xs[None, :] - xi[:, None])
+            h = radius[lo:lo + chunk]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                u = np.where(h[:, None] > 0, d / h[:, None], np.where(d == 0, 0.0, 2.0))
+            t = np.maximum(1.0 - u * u * u, 0.0)
+            w = t * t * t * robust[None, :]
+            sw = w.sum(axis=1)
+            safe = np.where(sw > 0, sw, 1.0)
+            mx = (w * xs).sum(axis=1) / safe
+            my = (w * ys).sum(axis=1) / safe
+            dx = xs[None, :] - mx[:, None]
+            vx = (w * dx * dx).sum(axis=1)
+            cov = (w * dx * (ys[None, :] - my[:, None])).sum(axis=1)
+            slope = np.where(vx > 1e-12 * np.maximum(1.0, mx * mx), cov / np.where(vx > 0, vx, 1.0), 0.0)
+            fit[lo:lo + chunk] = np.where(sw > 0, my + slope * (xi - mx), ys[lo:lo + chunk])
         resid = ys - fit
         s = np.median(np.abs(resid))
         if s <= 0:
             break
-        u = resid / (6.0 * s)
-        robust = np.where(np.abs(u) < 1, (1 - u ** 2) ** 2, 0.0)
+        q = resid / (6.0 * s)
+        b = 1.0 - q * q
+        robust = np.where(np.abs(q) < 1, b * b, 0.0)
     out = np.empty(n)
     out[order] = fit
     return out
