@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..fixed_values import RFM_LOWEST, RFM_SEGMENTS
-from ..plans.common import iso_date, keyed, running_sum, with_total
+from ..plans.common import iso_date, keyed, materialize, running_sum, with_total
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -56,14 +56,16 @@ def percentile_edges(df: DataFrame, col: str, name: str) -> DataFrame:
 
 
 def rank_edges(df: DataFrame, col: str, key: str, name: str) -> DataFrame:
-    """Exact linear-interpolation quartile edges from order statistics.
+    """Exact linear-interpolation quartile edges from order statistics
+    (``df`` is expected to be materialized by the caller).
 
     A bucketed running count ranks the rows (value asc, key asc); only the
     rows at the interpolation positions floor/ceil((n-1)q) are kept (at most
     2 per quantile), so the edge computation never gathers the column.
     """
     n = df.agg(F.count(F.lit(1)).alias("__n"))
-    r = with_total(running_sum(df.where(F.col(col).isNotNull()), col, key, None, "__r", descending=False), n)
+    r = with_total(running_sum(df.where(F.col(col).isNotNull()), col, key, None, "__r", descending=False,
+                               materialized=True), n)
     pos = [(F.col("__n") - 1) * F.lit(q) for q in QUARTILES]
     idx = F.col("__r") - 1
     keep = None
@@ -104,7 +106,7 @@ def segment_of(score: Column, segments=RFM_SEGMENTS, lowest: str = RFM_LOWEST) -
 def rfm_segments(df: DataFrame) -> DataFrame:
     """H2 (flagship): quartile scores R (reversed), F, M summed to 3..12 ->
     Champions >= 10, Loyal >= 8, Potential >= 6, At Risk >= 4, else Lost."""
-    b = _with_edges(rfm_base(df))
+    b = _with_edges(materialize(rfm_base(df)))
     r = F.lit(4) - below(F.col("Recency"), "__er")
     f = F.lit(1) + below(F.col("Frequency"), "__ef")
     m = F.lit(1) + below(F.col("__money").cast("double"), "__em")
@@ -127,9 +129,9 @@ def rfm_labels(df: DataFrame, min_customers: int = 4) -> DataFrame:
     """H3: R (Recency quartile: Active..Lost), F (quartile of the rank-first
     of Frequency, ties by name), M (Low..VIP) and the 5 label segments; later
     rules override earlier ones. Empty below ``min_customers`` customers."""
-    base = rfm_base(df)
+    base = materialize(rfm_base(df))
     b = _with_edges(base)
-    b = running_sum(b, "Frequency", M.CUSTOMER, None, "__rank", descending=False)
+    b = running_sum(b, "Frequency", M.CUSTOMER, None, "__rank", descending=False, materialized=True)
     n = base.agg(F.count(F.lit(1)).alias("__n"))
     b = with_total(b, n).where(F.col("__n") >= min_customers)
     rb = below(F.col("Recency"), "__er")

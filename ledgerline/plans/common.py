@@ -45,6 +45,20 @@ def top_k(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
     return out.limit(n) if n is not None else out
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used for entity-level tables that a plan needs more than once (edge
+    estimation plus the main pass): the fact is aggregated once instead of
+    once per use, and the lineage is cut, so a lost executor re-reads the
+    written table rather than recomputing the fact aggregation.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _edges(df: DataFrame, value: str, buckets: int) -> list[float]:
     """Approximate quantile edges of ``value`` as driver-side literals.
 
@@ -69,6 +83,7 @@ def running_sum(
     descending: bool = True,
     partition_cols: tuple[str, ...] = (),
     buckets: int | None = None,
+    materialized: bool = False,
 ) -> DataFrame:
     """Cumulative sum of ``sum_col`` (a running count if None) in the order
     (``order_col`` desc/asc, ``key_col`` asc), optionally restarting per
@@ -80,10 +95,14 @@ def running_sum(
     ``order_col`` always share a bucket, so the order across buckets is exact.
     With no partition columns the offsets table has ``buckets`` rows and is
     broadcast; with them it has partitions x buckets rows and is joined by key.
+    The input is materialized first (unless the caller already did), so the
+    edge pass and the main pass read one written table.
     """
     spark = df.sparkSession
     if buckets is None:
         buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    if materialized is False:
+        df = materialize(df)
     edges = _edges(df, order_col, buckets)
     v = F.col(order_col)
     asc_idx = sum((F.when(v > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))

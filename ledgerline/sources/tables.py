@@ -59,8 +59,8 @@ def with_calendar(df: DataFrame) -> DataFrame:
               .withColumn(M.MONTH_START, month_start(d)))
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean sales fact with calendar columns."""
+def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean sales fact with calendar columns, as a plan over the tables."""
     b = _base(spark, sf_dir)
     fact = b.select(
         F.col("o_orderdate").alias(M.DATE),
@@ -137,3 +137,59 @@ def customer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("A_"), F.col("n_name")).alias(M.CITY),
     )
     return base.unionByName(dup)
+
+
+SALES_INPUTS = ["lineitem", "orders", "customer", "nation", "region", "part"]
+_SALES_SCHEMAS: dict[str, tuple] = {}  # target path -> (schema, columns): skips re-analysing the build plan
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the inputs: path, size and modification time of each table."""
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1(sf_dir.rstrip("/").encode())
+    for t in SALES_INPUTS:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        st = fs.getFileStatus(p)
+        summary = fs.getContentSummary(p)
+        h.update(f"{t}:{summary.getLength()}:{st.getModificationTime()}".encode())
+    return h.hexdigest()[:16]
+
+
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sales fact (the reference's one wide ``sales_master`` table).
+
+    Built once per input fingerprint from the six tables — the one big join,
+    lineitem x orders, shuffles on the order key; dimensions are broadcast —
+    and written under the shared checkpoint folder, partitioned by tenant and
+    sorted by DATE inside each file so date filters skip row groups. Every
+    report then scans this table with partition pruning, pushed filters and
+    column pruning. The write goes to a temporary path first and is renamed
+    into place, so a concurrent or failed build never leaves a partial table.
+    """
+    import uuid
+
+    from ..session import shared_dir
+
+    target = shared_dir(spark, f"fact/sales-{_fingerprint(spark, sf_dir)}")
+    known = _SALES_SCHEMAS.get(target)
+    if known is not None:  # built and analysed earlier in this process
+        return spark.read.schema(known[0]).parquet(target).select(*known[1])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    tp = jvm.org.apache.hadoop.fs.Path(target)
+    fs = tp.getFileSystem(conf)
+    plan = build_sales(spark, sf_dir)
+    _SALES_SCHEMAS[target] = (plan.schema, plan.columns)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
+        tmp = f"{target}-tmp-{uuid.uuid4().hex}"
+        (plan.repartition(M.TENANT).sortWithinPartitions(M.DATE)
+             .write.mode("overwrite").partitionBy(M.TENANT).parquet(tmp))
+        if not fs.exists(tp):
+            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), tp)
+        else:  # another builder won the race
+            fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
+    return spark.read.schema(plan.schema).parquet(target).select(*plan.columns)
