@@ -192,14 +192,16 @@ def churn_scores(features: DataFrame, min_customers: int = 10, churn_days: int =
         return (features.withColumn("Churn_Probability", F.lit(float(stats["lo"]) * 100.0))
                 .where(active).select(*out_cols, "Churn_Probability"))
     data = features.na.fill(0.0, FEATURES)
-    pipe = Pipeline(stages=[
+    prep = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURES, outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True),
-        RandomForestClassifier(featuresCol="__x", labelCol="Is_Churned", numTrees=num_trees, seed=seed,
-                               probabilityCol="__p", rawPredictionCol="__rp", predictionCol="__pred"),
-    ])
-    model = pipe.fit(data)
-    scored = model.transform(data).withColumn("Churn_Probability", vector_to_array(F.col("__p"))[1] * 100.0)
+    ]).fit(data)
+    x = prep.transform(data)
+    forest = RandomForestClassifier(featuresCol="__x", labelCol="Is_Churned", numTrees=num_trees, seed=seed,
+                                    probabilityCol="__p", rawPredictionCol="__rp", predictionCol="__pred").fit(x)
+    # score with a copy: the fitted model's training summary holds the session, which must not
+    # travel inside task closures
+    scored = forest.copy().transform(x).withColumn("Churn_Probability", vector_to_array(F.col("__p"))[1] * 100.0)
     return scored.where(active).select(*out_cols, "Churn_Probability")
 
 
