@@ -1,7 +1,7 @@
 """Plan building blocks shared by the report operators.
 
-Everything here is lazy except ``running_sum``'s bucket edges (a bounded,
-documented driver collect of a few dozen numbers).
+Everything here is lazy except ``materialize`` (and ``running_sum``, which
+uses it): a written intermediate in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -59,21 +59,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _edges(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Approximate quantile edges of ``value`` as driver-side literals.
-
-    Bounded collect: ``buckets - 1`` floats. Literal edges make the bucket of a
-    row a pure function of its value, so a recomputed stage (lost executor)
-    assigns every row to the same bucket again.
-    """
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    vals = df.select(F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    qs = vals.approxQuantile("__v", probs, 1.0 / (4 * buckets))
-    return sorted(set(float(q) for q in qs))
-
-
 def running_sum(
     df: DataFrame,
     order_col: str,
@@ -82,46 +67,42 @@ def running_sum(
     out_col: str,
     descending: bool = True,
     partition_cols: tuple[str, ...] = (),
-    buckets: int | None = None,
+    ranges: int | None = None,
     materialized: bool = False,
 ) -> DataFrame:
     """Cumulative sum of ``sum_col`` (a running count if None) in the order
     (``order_col`` desc/asc, ``key_col`` asc), optionally restarting per
     ``partition_cols``, without a single-partition window.
 
-    Rows are cut into value buckets by literal quantile edges; each
-    (partition, bucket) is ordered by its own window, and the totals of the
-    earlier buckets of the same partition are added as an offset. Ties of
-    ``order_col`` always share a bucket, so the order across buckets is exact.
-    With no partition columns the offsets table has ``buckets`` rows and is
-    broadcast; with them it has partitions x buckets rows and is joined by key.
-    The input is materialized first (unless the caller already did), so the
-    edge pass and the main pass read one written table.
+    1. ``repartitionByRange`` on the full sort key (partition columns, value,
+       key) cuts the rows into ``ranges`` contiguous ranges. The key is part of
+       the range key, so a value shared by a third of the rows is still split
+       across ranges — ties never pile up in one task.
+    2. The ranged rows are written once (``materialize``): range i is file i
+       from then on, so ``spark_partition_id()`` is a stable range number
+       even if a stage is recomputed.
+    3. Per (partition group, range) totals — at most groups + ranges rows —
+       give each range its offset (the sum of earlier ranges of its group).
+    4. A window per (group, range) adds the in-range running sum.
     """
     spark = df.sparkSession
-    if buckets is None:
-        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    if materialized is False:
-        df = materialize(df)
-    edges = _edges(df, order_col, buckets)
+    n = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    parts = list(partition_cols)
     v = F.col(order_col)
-    asc_idx = sum((F.when(v > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-    idx = (F.lit(len(edges)) - asc_idx) if descending else asc_idx
+    ordv = v.desc_nulls_last() if descending else v.asc_nulls_last()
+    order = [*(F.col(p).asc_nulls_first() for p in parts), ordv, F.col(key_col).asc_nulls_first()]
     amount = F.col(sum_col) if sum_col is not None else F.lit(1)
-    parts = list(partition_cols)
-
-    b = df.withColumn("__bucket", idx).withColumn("__amt", amount)
-    totals = b.groupBy(*parts, "__bucket").agg(F.sum("__amt").alias("__bt"))
-    wo = Window.partitionBy(*parts).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__offset", F.coalesce(F.sum("__bt").over(wo), F.lit(0))).drop("__bt")
+    ranged = materialize(df.withColumn("__amt", amount).repartitionByRange(n, *order).sortWithinPartitions(*order))
+    b = ranged.withColumn("__rid", F.spark_partition_id())
+    totals = b.groupBy(*parts, "__rid").agg(F.sum("__amt").alias("__rt"))
+    wo = Window.partitionBy(*parts).orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__offset", F.coalesce(F.sum("__rt").over(wo), F.lit(0))).drop("__rt")
     if not parts:
-        offsets = F.broadcast(offsets)  # <= buckets rows
-    ordv = v.desc() if descending else v.asc()
-    w = (Window.partitionBy(*parts, "__bucket").orderBy(ordv, F.col(key_col).asc())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return (b.join(offsets, [*parts, "__bucket"])
+        offsets = F.broadcast(offsets)  # at most ``n`` rows
+    w = Window.partitionBy(*parts, "__rid").orderBy(*order[len(parts):]).rowsBetween(Window.unboundedPreceding, 0)
+    return (b.join(offsets, [*parts, "__rid"])
              .withColumn(out_col, F.sum("__amt").over(w) + F.col("__offset"))
-             .drop("__bucket", "__amt", "__offset"))
+             .drop("__rid", "__amt", "__offset"))
 
 
 def iso_date(c) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -95,12 +95,15 @@ def merge_snapshot(old: DataFrame, new: DataFrame, key: str = M.INVOICE_NO,
     a side, the smallest row by its columns — a deterministic stand-in for file
     order), preferred columns first. Ordering by DATE desc is the writer's job.
 
-    ``row_number`` over ``partitionBy(key)``: rows per invoice are its lines.
+    Struct ordering puts NULL fields first, matching ``NULLS FIRST``.
     """
     u = old.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)), allowMissingColumns=True)
     cols = [c for c in u.columns if c != "__src"]
-    w = Window.partitionBy(key).orderBy(F.col("__src"), *[F.col(c).asc_nulls_first() for c in cols])
-    one = u.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r", "__src")
+    # arg-min per invoice as an aggregate: partial (map-side) aggregation keeps a
+    # hot invoice from landing whole in one task, unlike a per-key window.
+    row = F.struct(*[F.col(c) for c in cols])
+    rank = F.struct(F.col("__src"), *[F.col(c) for c in cols])
+    one = u.groupBy(key).agg(F.min_by(row, rank).alias("__r")).select(*[F.col(f"__r.{c}").alias(c) for c in cols])
     first = [c for c in preferred if c in one.columns]
     return one.select(*first, *[c for c in one.columns if c not in first])
 
