@@ -129,11 +129,15 @@ def answer(questions: DataFrame, fact: DataFrame) -> DataFrame:
     The distinct signatures are collected to plan one aggregation each (at
     most 2^4 filter sets x 3 metrics x 2 shapes x 3 dimensions; a handful in
     practice)."""
+    from ..plans.common import materialize
+
     prod = product_dim(fact)
-    sp = specs(questions, fact)
+    # the linked specs feed the signature pass and every branch: written once
+    sp = materialize(specs(questions, fact))
     fcol = {M.STATE: M.STATE, M.CUSTOMER: M.CUSTOMER, "PRODUCT": prod, "YEAR": "__year"}
     sig_cols = [F.col(c).isNotNull().alias(f"has_{c}") for c in fcol] + [F.col("metric"), F.col("shape"), F.col("dim")]
-    sigs = [r.asDict() for r in sp.select(*sig_cols).distinct().collect()]  # bounded, see docstring
+    # bounded (see docstring): one row per signature with the deepest list it asks for
+    sigs = [r.asDict() for r in sp.groupBy(*sig_cols).agg(F.max("k").alias("kmax")).collect()]
     f = fact.withColumn("__year", F.year(M.DATE).cast("string"))
     outs = []
     for s in sigs:
@@ -152,7 +156,7 @@ def answer(questions: DataFrame, fact: DataFrame) -> DataFrame:
         kcols = [f"__f_{c}" for c in keys]
         if s["shape"] == "top":
             dim = s["dim"]
-            kmax = q.agg(F.max("k")).first()[0] or DEFAULT_K  # one scalar: the deepest list asked for
+            kmax = s["kmax"] or DEFAULT_K
             g = base.where(F.col(dim).isNotNull()).groupBy(*kcols, dim).agg(_metric(s["metric"]).alias("value"))
             w = Window.partitionBy(*kcols).orderBy(F.col("value").desc(), F.col(dim).asc()) if kcols else \
                 Window.orderBy(F.col("value").desc(), F.col(dim).asc())
