@@ -1192,16 +1192,85 @@ def questions(spark, sf) -> DataFrame:
     return q1.unionByName(q2).unionByName(q3).unionByName(q4).unionByName(q5)
 
 
-@query("l1_link_entities")
+
+
+# SQL twins of the question-answering queries (questions, dictionary, n-grams, links, intents, specs)
+L_CTES = [r"""questions AS (
+  SELECT 'c' || c.c_custkey || '-1' AS q_id, 'Top 3 products for ' || c.c_name || ' in 2000?' AS text
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  UNION ALL
+  SELECT 'c' || c.c_custkey || '-2', 'how many orders did ' || c.c_name || ' place in ' || lower(r.r_name) || ','
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  UNION ALL
+  SELECT 'r' || r_regionkey, 'best 2 customers in ' || r_name || ' by units: top 2' FROM region
+  UNION ALL
+  SELECT 't-' || p_type, 'total revenue for ' || lower(p_type) || ' items in 2001' FROM (SELECT DISTINCT p_type FROM part)
+  UNION ALL
+  SELECT 's' || r_regionkey, 'Which state is best by invoices?' FROM region)""",
+r"""dict_all AS (
+  SELECT DISTINCT lower(STATE) AS key, 'STATE' AS col, STATE AS value, 0 AS prio FROM sales WHERE STATE IS NOT NULL
+  UNION ALL SELECT DISTINCT lower(CUSTOMER_NAME), 'CUSTOMER_NAME', CUSTOMER_NAME, 1 FROM sales WHERE CUSTOMER_NAME IS NOT NULL
+  UNION ALL SELECT DISTINCT lower(MATERIALGROUP), 'PRODUCT', MATERIALGROUP, 2 FROM sales WHERE MATERIALGROUP IS NOT NULL)""",
+r"""dict AS (SELECT key, arg_min(col, (-prio, value)) AS col, arg_min(value, (-prio, value)) AS value FROM dict_all GROUP BY key)""",
+r"""words AS (SELECT q_id, list_filter(regexp_split_to_array(trim(lower(text)), '[\s\x{00A0}]+'), lambda w: w <> '') AS words FROM questions)""",
+r"""poss AS (SELECT q_id, words, unnest(range(len(words))) AS pos FROM words)""",
+r"""grams AS (SELECT q_id, pos, len, regexp_replace(array_to_string(words[pos + 1 : pos + len], ' '), '^[?,.!:]+|[?,.!:]+$', '', 'g') AS chunk
+  FROM poss, (SELECT unnest(range(1, 5)) AS len) WHERE pos + len <= len(words))""",
+r"""links AS (
+  SELECT q_id, col AS "column", value FROM (
+    SELECT g.q_id, d.col, d.value, row_number() OVER (PARTITION BY g.q_id, d.col ORDER BY g.len DESC, g.pos) AS r
+    FROM grams g JOIN dict d ON g.chunk = d.key) WHERE r = 1
+  UNION ALL
+  SELECT q_id, 'YEAR', regexp_extract(lower(text), '\b(20\d{2})\b', 1) FROM questions
+  WHERE regexp_extract(lower(text), '\b(20\d{2})\b', 1) <> '')""",
+r"""intents AS (SELECT q_id, metric, shape, CASE WHEN shape = 'top' THEN k END AS k, CASE WHEN shape = 'top' THEN dim END AS dim FROM (
+  SELECT q_id,
+    CASE WHEN contains(t, 'quantity') OR contains(t, 'qty') OR contains(t, 'volume') OR contains(t, 'units') THEN 'QTY'
+         WHEN contains(t, 'count') OR contains(t, 'orders') OR contains(t, 'invoices') THEN 'INVOICE_NO' ELSE 'AMOUNT' END AS metric,
+    CASE WHEN contains(t, 'top') OR contains(t, 'best') THEN 'top' ELSE 'total' END AS shape,
+    CASE WHEN regexp_extract(t, 'top (\d+)', 1) <> '' THEN CAST(regexp_extract(t, 'top (\d+)', 1) AS INTEGER) ELSE 5 END AS k,
+    CASE WHEN contains(t, 'customer') THEN 'CUSTOMER_NAME' WHEN contains(t, 'product') OR contains(t, 'item') THEN 'MATERIALGROUP'
+         WHEN contains(t, 'state') OR contains(t, 'region') THEN 'STATE' ELSE 'CUSTOMER_NAME' END AS dim
+  FROM (SELECT q_id, lower(trim(text)) AS t FROM questions)))""",
+r"""spec AS (SELECT i.*, f.f_state, f.f_cust, f.f_prod, f.f_year FROM intents i LEFT JOIN (
+  SELECT q_id, max(CASE WHEN "column" = 'STATE' THEN value END) AS f_state, max(CASE WHEN "column" = 'CUSTOMER_NAME' THEN value END) AS f_cust,
+         max(CASE WHEN "column" = 'PRODUCT' THEN value END) AS f_prod, max(CASE WHEN "column" = 'YEAR' THEN value END) AS f_year
+  FROM links GROUP BY q_id) f ON i.q_id = f.q_id)""",
+]
+
+L1_SQL = 'SELECT q_id, "column", value FROM links'
+L2_SQL = "SELECT q_id, metric, shape, CAST(k AS DOUBLE) AS k, dim FROM intents"
+L3_SQL_CTES = [r"""m AS (SELECT sp.q_id, sp.metric, sp.shape, sp.k, sp.dim, s.STATE, s.CUSTOMER_NAME, s.MATERIALGROUP, s.INVOICE_NO, s.QTY, s.AMOUNT
+  FROM spec sp JOIN sales s
+    ON (sp.f_state IS NULL OR s.STATE = sp.f_state) AND (sp.f_cust IS NULL OR s.CUSTOMER_NAME = sp.f_cust)
+   AND (sp.f_prod IS NULL OR s.MATERIALGROUP = sp.f_prod) AND (sp.f_year IS NULL OR CAST(year(s.DATE) AS VARCHAR) = sp.f_year))""",
+r"""tops AS (SELECT q_id, k, name, value, row_number() OVER (PARTITION BY q_id ORDER BY value DESC, name) AS rank FROM (
+  SELECT q_id, k, CASE dim WHEN 'CUSTOMER_NAME' THEN CUSTOMER_NAME WHEN 'MATERIALGROUP' THEN MATERIALGROUP ELSE STATE END AS name,
+         CASE WHEN any_value(metric) = 'INVOICE_NO' THEN CAST(count(DISTINCT INVOICE_NO) AS DOUBLE)
+              WHEN any_value(metric) = 'QTY' THEN CAST(COALESCE(SUM(QTY), 0) AS DOUBLE)
+              ELSE CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) END AS value
+  FROM m WHERE shape = 'top' GROUP BY q_id, k, dim, name) WHERE name IS NOT NULL)"""]
+L3_SQL = r"""SELECT q_id, CAST(rank AS INTEGER) AS rank, name, value FROM tops WHERE rank <= k
+UNION ALL
+SELECT q_id, 1, 'Total', CASE WHEN any_value(metric) = 'INVOICE_NO' THEN CAST(count(DISTINCT INVOICE_NO) AS DOUBLE)
+                              WHEN any_value(metric) = 'QTY' THEN CAST(COALESCE(SUM(QTY), 0) AS DOUBLE)
+                              ELSE CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) END
+FROM m WHERE shape = 'total' GROUP BY q_id
+UNION ALL
+SELECT q_id, 0, 'NO DATA', CAST(NULL AS DOUBLE) FROM spec WHERE q_id NOT IN (SELECT q_id FROM m)"""
+
+
+
+@query("l1_link_entities", O.with_sales(L1_SQL, *L_CTES))
 def l1_link_entities(spark, sf):
     return L.link_entities(questions(spark, sf), L.dictionary(T.sales(spark, sf)))
 
 
-@query("l2_parse_intent")
+@query("l2_parse_intent", O.with_sales(L2_SQL, *L_CTES))
 def l2_parse_intent(spark, sf):
-    return L.parse_intent(questions(spark, sf))
+    return L.parse_intent(questions(spark, sf)).withColumn("k", F.col("k").cast("double"))
 
 
-@query("l3_answer")
+@query("l3_answer", O.with_sales(L3_SQL, *L_CTES, *L3_SQL_CTES))
 def l3_answer(spark, sf):
     return L.answer(questions(spark, sf), T.sales(spark, sf))

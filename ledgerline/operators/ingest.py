@@ -222,10 +222,12 @@ def map_groups(df: DataFrame, rules=MATERIAL_GROUP_MAPPINGS, col: str | None = N
     col = col or M.material_group_col(df)
     if col is None:
         return df
-    c = F.col(col)
+    # one projection per rule: nesting the rules in one expression would repeat
+    # the earlier regexes in every later branch (2^rules evaluations)
     for pattern, replacement in rules:
-        c = F.when(F.coalesce(c.rlike("(?i)" + pattern), F.lit(False)), F.lit(replacement)).otherwise(c)
-    return df.withColumn(col, c)
+        c = F.col(col)
+        df = df.withColumn(col, F.when(F.coalesce(c.rlike("(?i)" + pattern), F.lit(False)), F.lit(replacement)).otherwise(c))
+    return df
 
 
 def group_norm(c: Column) -> Column:
