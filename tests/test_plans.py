@@ -28,3 +28,18 @@ def test_running_count_with_groups(spark):
     out = running_sum(df, "v", "key", None, "rank", descending=False, partition_cols=("g",), ranges=3)
     got = sorted((r.g, r.key, r.rank) for r in out.collect())
     assert got == [("g1", "a", 2), ("g1", "b", 3), ("g1", "c", 1), ("g2", "a", 1), ("g2", "b", 2)]
+
+
+def test_stored_fact_layout(spark):
+    """The stored fact is partitioned by tenant, and reports prune on it."""
+    import os
+
+    from ledgerline.sources import tables as T
+    from tests.conftest import SF_SMALL
+
+    df = T.sales(spark, SF_SMALL)
+    path = df.inputFiles()[0].split("/tenant_id=")[0].replace("file:", "")
+    tenants = sorted(d for d in os.listdir(path) if d.startswith("tenant_id="))
+    assert len(tenants) == df.select("tenant_id").distinct().count()
+    plan = df.where(F.col("tenant_id") == "BUILDING").select("AMOUNT")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "ReadSchema: struct<AMOUNT" in plan
