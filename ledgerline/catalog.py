@@ -872,8 +872,8 @@ WHERE NOT {O.excluded_sql('ITEM_NAME_GROUP')}""", O.MASTER, MASTER_DEDUP_SQL, CI
     "{intra}", "upper(trim(COALESCE(STATE, 'Unknown'))) IN ('MAHARASHTRA', 'UNKNOWN', 'STATE NOT FOUND')")
 
 
-@query("c18_ingest_pipeline", INGEST_SQL)
-def c18_ingest_pipeline(spark, sf):
+@query("c18_ingest", INGEST_SQL)
+def c18_ingest(spark, sf):
     d = C.ingest(raw_upload(spark, sf), T.customer_master(spark, sf), city_map=city_map(spark, sf))
     return _out(d.drop(M.FY_START, M.MONTH_START))
 
@@ -918,6 +918,13 @@ def k3_anomaly_summary(spark, sf):
     return K.anomaly_summary(T.dirty_sales(spark, sf))
 
 
+@query("k3_anomaly_rows", O.with_dirty(
+    f"SELECT DATE, CUSTOMER_NAME, INVOICE_NO, CITY, STATE, CAST(AMOUNT AS DOUBLE) AS AMOUNT, {FLAG_SQL} AS Anomaly_Flag "
+    f"FROM dirty_sales WHERE {FLAG_SQL} <> 'Clean'"))
+def k3_anomaly_rows(spark, sf):
+    return _out(K.anomaly_rows(T.dirty_sales(spark, sf)))
+
+
 @query("k4_null_counts", O.with_dirty(
     "SELECT \"column\", missing FROM (SELECT unnest([" + ", ".join(
         f"{{'column': '{c}', 'missing': count(*) FILTER (WHERE {c} IS NULL)}}" for c in DIRTY_COLS)

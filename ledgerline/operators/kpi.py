@@ -3,7 +3,9 @@
 Each KPI is one aggregation over the (already filtered) fact. Distinct
 counts are exact (``count(DISTINCT ..)``): Catalyst expands rows once per
 distinct column and aggregates map-side per (column, value) before the
-shuffle, so no distinct set is ever held in one task.
+shuffle, so no distinct set is ever held in one task. E1/E3 first reduce the
+lines to one row per (invoice, customer), so the expansion is over invoices,
+not lines.
 """
 
 from __future__ import annotations
@@ -22,9 +24,18 @@ def _aov(rev, orders):
     return F.when(orders > 0, rev / orders).otherwise(F.lit(0.0))
 
 
+def _per_invoice(df: DataFrame, *extra: str) -> DataFrame:
+    """Lines reduced to one row per (extra keys, invoice, customer) with partial
+    sums (map-side aggregation). Distinct counts then expand invoice-level rows,
+    not fact lines (Catalyst's Expand copies every input row once per distinct
+    column). NULL keys stay as their own groups, so revenue keeps every line."""
+    return df.groupBy(*extra, M.INVOICE_NO, M.CUSTOMER).agg(F.sum(M.AMOUNT).alias(M.AMOUNT),
+                                                            F.count(F.lit(1)).alias("__lines"))
+
+
 def kpi_summary(df: DataFrame) -> DataFrame:
     """Revenue, orders (distinct invoices), customers, average order value."""
-    agg = df.agg(
+    agg = _per_invoice(df).agg(
         revenue().alias("revenue"),
         F.count_distinct(M.INVOICE_NO).alias("orders"),
         F.count_distinct(M.CUSTOMER).alias("customers"),
@@ -79,7 +90,7 @@ def compare_previous(df: DataFrame, start: str, end: str, aligned: bool = False)
     prev_start, s, e, incl = previous_window(start, end, aligned)
     d = F.col(M.DATE)
     upper = (d <= F.lit(e)) if incl else (d < F.lit(e))
-    w = df.where((d >= F.lit(prev_start)) & upper).withColumn("__cur", d >= F.lit(s))
+    w = _per_invoice(df.where((d >= F.lit(prev_start)) & upper).withColumn("__cur", d >= F.lit(s)), "__cur")
     cur, prv = F.col("__cur"), ~F.col("__cur")
     a = w.agg(
         F.coalesce(F.sum(F.when(cur, F.col(M.AMOUNT))), F.lit(0)).cast("double").alias("cr"),
@@ -88,7 +99,7 @@ def compare_previous(df: DataFrame, start: str, end: str, aligned: bool = False)
         F.coalesce(F.sum(F.when(prv, F.col(M.AMOUNT))), F.lit(0)).cast("double").alias("pr"),
         F.count_distinct(F.when(prv, F.col(M.INVOICE_NO))).alias("po"),
         F.count_distinct(F.when(prv, F.col(M.CUSTOMER))).alias("pc"),
-        F.count(F.when(prv, F.lit(1))).alias("prows"),
+        F.coalesce(F.sum(F.when(prv, F.col("__lines"))), F.lit(0)).alias("prows"),
     )
     a = a.withColumn("ca", _aov(F.col("cr"), F.col("co"))).withColumn("pa", _aov(F.col("pr"), F.col("po")))
     rows = a.select(F.col("prows"), F.explode(F.array(*[
@@ -128,8 +139,11 @@ def mtd_growth(df: DataFrame) -> DataFrame:
     month interval clamps, as the reference's fallback does).
     """
     d = F.col(M.DATE)
-    mx = df.agg(F.max(M.DATE).alias("__mx"))
-    b = with_total(df.select(M.DATE, M.AMOUNT), mx)
+    # one row per distinct timestamp (map-side partial sums): the max and both
+    # windows are then read from that small table instead of scanning the fact twice
+    per_ts = df.where(d.isNotNull()).groupBy(M.DATE).agg(F.sum(M.AMOUNT).alias(M.AMOUNT))
+    mx = per_ts.agg(F.max(M.DATE).alias("__mx"))
+    b = with_total(per_ts, mx)
     mxc = F.col("__mx")
     cur_start = F.date_trunc("month", mxc)
     prev_end = mxc - F.expr("INTERVAL 1 MONTH")

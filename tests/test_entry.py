@@ -151,6 +151,6 @@ def test_plans_push_down_and_stay_in_jvm(spark):
     text = d1._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(DATE), GreaterThanOrEqual(DATE" in text or "GreaterThanOrEqual(DATE" in text
     assert "ReadSchema: struct<DATE" in text and "ITEMNAME" not in text.split("ReadSchema:")[1].split("\n")[0]
-    for name in ("e1_kpi_summary", "g9_classify_categories", "h2_rfm_segments", "c18_ingest_pipeline", "g12_core_tail"):
+    for name in ("e1_kpi_summary", "g9_classify_categories", "h2_rfm_segments", "c18_ingest", "g12_core_tail"):
         p = _plan(QUERIES[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
