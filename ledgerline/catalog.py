@@ -66,11 +66,11 @@ def d1_filtered_kpis(spark, sf):
 
 
 @query("d1_filtered_rows", O.with_sales(
-    f"SELECT DATE, INVOICE_NO, CUSTOMER_NAME, STATE, FINANCIAL_YEAR, CAST(AMOUNT AS DOUBLE) AS AMOUNT "
-    f"FROM sales WHERE {FILTER_SQL_WHERE}"))
+    "SELECT strftime(DATE, '%Y-%m-%d %H:%M:%S') AS DATE, INVOICE_NO, CUSTOMER_NAME, STATE, FINANCIAL_YEAR, "
+    f"CAST(AMOUNT AS DOUBLE) AS AMOUNT FROM sales WHERE {FILTER_SQL_WHERE}"))
 def d1_filtered_rows(spark, sf):
     d = D.apply_filters(T.sales(spark, sf), FILTER_SPEC)
-    return d.select(M.DATE, M.INVOICE_NO, M.CUSTOMER, M.STATE, M.FY, F.col(M.AMOUNT).cast("double").alias(M.AMOUNT))
+    return _out(d.select(M.DATE, M.INVOICE_NO, M.CUSTOMER, M.STATE, M.FY, M.AMOUNT))
 
 
 @query("d3_entity_filter", O.with_sales(
@@ -281,7 +281,7 @@ def f6_fy_summary(spark, sf):
 
 
 @query("f7_fy_month_matrix", O.with_sales("""
-SELECT FINANCIAL_YEAR, month(DATE) AS Month_Num, strftime(DATE, '%b') AS Month_Name, CAST(SUM(AMOUNT) AS DOUBLE) AS AMOUNT
+SELECT FINANCIAL_YEAR, CAST(month(DATE) AS INTEGER) AS Month_Num, strftime(DATE, '%b') AS Month_Name, CAST(SUM(AMOUNT) AS DOUBLE) AS AMOUNT
 FROM sales WHERE DATE IS NOT NULL GROUP BY 1, 2, 3"""))
 def f7_fy_month_matrix(spark, sf):
     return TS.fy_month_matrix(T.sales(spark, sf))
@@ -707,11 +707,21 @@ DIRTY_COLS = ["DATE", "INVOICE_NO", "CUSTOMER_NAME", "ITEMNAME", "ITEM_NAME_GROU
 
 
 def _out(df: DataFrame) -> DataFrame:
-    """Money leaves as double; dates stay timestamps."""
+    """Output edge of row-level queries: money as double, timestamps as ISO text
+    (as the reference's JSON output renders them)."""
     from pyspark.sql import types as Ty
 
-    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, Ty.DecimalType)
-                       else F.col(f.name) for f in df.schema.fields])
+    def edge(f):
+        if isinstance(f.dataType, Ty.DecimalType):
+            return F.col(f.name).cast("double").alias(f.name)
+        if isinstance(f.dataType, (Ty.TimestampType, Ty.TimestampNTZType)):
+            return F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name)
+        return F.col(f.name)
+
+    return df.select(*[edge(f) for f in df.schema.fields])
+
+
+TS_SQL = "strftime(DATE, '%Y-%m-%d %H:%M:%S') AS DATE"
 
 
 def _sql_cols(cols, overrides: dict[str, str] | None = None) -> str:
@@ -722,6 +732,8 @@ def _sql_cols(cols, overrides: dict[str, str] | None = None) -> str:
             out.append(f"{overrides[c]} AS {c}")
         elif c == "AMOUNT":
             out.append("CAST(AMOUNT AS DOUBLE) AS AMOUNT")
+        elif c == "DATE":
+            out.append(TS_SQL)
         else:
             out.append(c)
     return ", ".join(out)
@@ -755,8 +767,8 @@ CITY_MAP_SQL = """city_map AS (SELECT upper(n.n_name) AS CITY_KEY, r.r_name AS M
 
 
 @query("c1_c2_standardize_headers", O.with_dirty(
-    "SELECT " + ", ".join(f"{c} AS {STD_NAMES[c]}" if c != "AMOUNT" else "CAST(AMOUNT AS DOUBLE) AS AMOUNT"
-                          for c in DIRTY_COLS) + " FROM dirty_sales"))
+    "SELECT " + ", ".join(TS_SQL if c == "DATE" else f"{c} AS {STD_NAMES[c]}" if c != "AMOUNT"
+                          else "CAST(AMOUNT AS DOUBLE) AS AMOUNT" for c in DIRTY_COLS) + " FROM dirty_sales"))
 def c1_c2_standardize_headers(spark, sf):
     return _out(C.standardize_headers(raw_upload(spark, sf)))
 
@@ -803,7 +815,7 @@ def c6_fill_state_from_city(spark, sf):
 
 
 @query("c7_c9_add_calendar", O.with_dirty("""
-SELECT INVOICE_NO, DATE,
+SELECT INVOICE_NO, strftime(DATE, '%Y-%m-%d %H:%M:%S') AS DATE,
        CASE WHEN DATE IS NULL THEN 'UNKNOWN' ELSE
          'FY' || CAST((year(DATE) - CASE WHEN month(DATE) < 4 THEN 1 ELSE 0 END) % 100 AS VARCHAR) || '-' ||
          CAST((year(DATE) - CASE WHEN month(DATE) < 4 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR) END AS FINANCIAL_YEAR,
@@ -813,7 +825,8 @@ SELECT INVOICE_NO, DATE,
 FROM dirty_sales"""))
 def c7_c9_add_calendar(spark, sf):
     d = C.add_calendar(T.dirty_sales(spark, sf))
-    return d.select(M.INVOICE_NO, M.DATE, M.FY, M.MONTH, F.col(M.FY_START).cast("double").alias(M.FY_START),
+    return d.select(M.INVOICE_NO, F.date_format(M.DATE, "yyyy-MM-dd HH:mm:ss").alias(M.DATE), M.FY, M.MONTH,
+                    F.col(M.FY_START).cast("double").alias(M.FY_START),
                     F.date_format(M.MONTH_START, "yyyy-MM-dd").alias(M.MONTH_START))
 
 
@@ -847,8 +860,8 @@ def c13_add_taxes(spark, sf):
 
 
 INGEST_SQL = O.with_dirty(f"""
-SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, ITEM_NAME_GROUP, MATERIAL_GROUP, CITY, STATE, QTY,
-       CAST(AMOUNT AS DOUBLE) AS AMOUNT, TENANT_ID, FINANCIAL_YEAR, MONTH,
+SELECT strftime(DATE, '%Y-%m-%d %H:%M:%S') AS DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, ITEM_NAME_GROUP,
+       MATERIAL_GROUP, CITY, STATE, QTY, CAST(AMOUNT AS DOUBLE) AS AMOUNT, TENANT_ID, FINANCIAL_YEAR, MONTH,
        CAST(CASE WHEN {{intra}} THEN 0 ELSE AMOUNT * CAST(0.18 AS DECIMAL(3,2)) END AS DOUBLE) AS IGST,
        CAST(CASE WHEN {{intra}} THEN AMOUNT * CAST(0.09 AS DECIMAL(3,2)) ELSE 0 END AS DOUBLE) AS CGST,
        CAST(CASE WHEN {{intra}} THEN AMOUNT * CAST(0.09 AS DECIMAL(3,2)) ELSE 0 END AS DOUBLE) AS SGST,
@@ -919,7 +932,7 @@ def k3_anomaly_summary(spark, sf):
 
 
 @query("k3_anomaly_rows", O.with_dirty(
-    f"SELECT DATE, CUSTOMER_NAME, INVOICE_NO, CITY, STATE, CAST(AMOUNT AS DOUBLE) AS AMOUNT, {FLAG_SQL} AS Anomaly_Flag "
+    f"SELECT {TS_SQL}, CUSTOMER_NAME, INVOICE_NO, CITY, STATE, CAST(AMOUNT AS DOUBLE) AS AMOUNT, {FLAG_SQL} AS Anomaly_Flag "
     f"FROM dirty_sales WHERE {FLAG_SQL} <> 'Clean'"))
 def k3_anomaly_rows(spark, sf):
     return _out(K.anomaly_rows(T.dirty_sales(spark, sf)))
@@ -1106,7 +1119,8 @@ B_COLS = [M.DATE, M.INVOICE_NO, M.CUSTOMER, M.ITEM, M.QTY, M.AMOUNT, M.TENANT]
 
 
 @query("b1_append_new", O.with_sales("""
-SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, CAST(AMOUNT AS DOUBLE) AS AMOUNT, tenant_id FROM sales n
+SELECT strftime(DATE, '%Y-%m-%d %H:%M:%S') AS DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY,
+       CAST(AMOUNT AS DOUBLE) AS AMOUNT, tenant_id FROM sales n
 WHERE DATE >= TIMESTAMP '1998-07-01'
   AND NOT EXISTS (SELECT 1 FROM sales e WHERE e.DATE < TIMESTAMP '1999-01-01'
                   AND e.INVOICE_NO IS NOT DISTINCT FROM n.INVOICE_NO AND e.tenant_id IS NOT DISTINCT FROM n.tenant_id)"""))
@@ -1118,7 +1132,8 @@ def b1_append_new(spark, sf):
 
 
 @query("b6_merge_snapshot", O.with_sales("""
-SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, CAST(AMOUNT AS DOUBLE) AS AMOUNT, tenant_id FROM (
+SELECT strftime(DATE, '%Y-%m-%d %H:%M:%S') AS DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY,
+       CAST(AMOUNT AS DOUBLE) AS AMOUNT, tenant_id FROM (
   SELECT *, row_number() OVER (PARTITION BY INVOICE_NO ORDER BY src, DATE NULLS FIRST, INVOICE_NO NULLS FIRST,
            CUSTOMER_NAME NULLS FIRST, ITEMNAME NULLS FIRST, QTY NULLS FIRST, AMOUNT NULLS FIRST, tenant_id NULLS FIRST) AS r
   FROM (SELECT DATE, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, AMOUNT, tenant_id, 0 AS src FROM sales
