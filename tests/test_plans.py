@@ -43,3 +43,14 @@ def test_stored_fact_layout(spark):
     assert len(tenants) == df.select("tenant_id").distinct().count()
     plan = df.where(F.col("tenant_id") == "BUILDING").select("AMOUNT")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tenant_id" in plan and "ReadSchema: struct<AMOUNT" in plan
+
+
+def test_per_group_top_k_limits_before_shuffle(spark):
+    """row_number() <= k filters are planned as WindowGroupLimit (partial, then final)."""
+    import __spark_entry__ as entry
+    from tests.conftest import SF_SMALL
+
+    for name in ("g21_product_mix", "i2_demand_curve"):
+        df = entry.queries()[name](spark, SF_SMALL)
+        df.write.format("noop").mode("overwrite").save()
+        assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2, name
