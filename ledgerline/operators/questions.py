@@ -32,7 +32,6 @@ CUSTOMER_WORDS = ["customer"]
 PRODUCT_WORDS = ["product", "item"]
 STATE_WORDS = ["state", "region"]
 
-ENTITY_COLUMNS = [M.STATE, M.CUSTOMER, "PRODUCT"]
 
 
 def product_dim(fact: DataFrame) -> str:

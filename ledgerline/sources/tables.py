@@ -35,7 +35,7 @@ def amount_expr(price: str = "l_extendedprice", discount: str = "l_discount"):
     return F.col(price).cast("decimal(12,2)") * (F.lit(1) - F.col(discount).cast("decimal(4,2)"))
 
 
-def _base(spark: SparkSession, sf_dir: str, with_keys: bool = False) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -146,7 +146,7 @@ def customer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SALES_INPUTS = ["lineitem", "orders", "customer", "nation", "region", "part"]
 LAYOUT = "r2"  # bump when the stored layout changes
-_SALES_SCHEMAS: dict[str, tuple] = {}  # target path -> (schema, columns): skips re-analysing the build plan
+_STORED_SCHEMAS: dict[str, tuple] = {}  # target path -> (schema, columns): skips re-analysing the build plan
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -182,7 +182,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     from ..session import shared_dir
 
     target = shared_dir(spark, f"fact/{name}-{LAYOUT}-{_fingerprint(spark, sf_dir)}")
-    known = _SALES_SCHEMAS.get(target)
+    known = _STORED_SCHEMAS.get(target)
     if known is not None:  # built and analysed earlier in this process
         return spark.read.schema(known[0]).parquet(target).select(*known[1])
     jvm = spark.sparkContext._jvm
@@ -190,7 +190,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     tp = jvm.org.apache.hadoop.fs.Path(target)
     fs = tp.getFileSystem(conf)
     plan = build(spark, sf_dir)
-    _SALES_SCHEMAS[target] = (plan.schema, plan.columns)
+    _STORED_SCHEMAS[target] = (plan.schema, plan.columns)
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
         tmp = f"{target}-tmp-{uuid.uuid4().hex}"
         (plan.repartitionByRange(M.TENANT, M.DATE).sortWithinPartitions(M.TENANT, M.DATE)
