@@ -234,7 +234,7 @@ def revenue_drops(df: DataFrame, start: str, end: str, threshold_pct: float = 20
         F.count(F.when(F.col("__cur"), 1)).alias("cn"),
         F.coalesce(F.sum(F.when(~F.col("__cur"), F.col(M.AMOUNT))), F.lit(0)).cast("double").alias("pv"),
         F.count(F.when(~F.col("__cur"), 1)).alias("pn"))
-    pct = (F.col("cv") - F.col("pv")) / F.col("pv") * 100
+    pct = F.try_divide(F.col("cv") - F.col("pv"), F.col("pv")) * 100
     a = g.where((F.col("cn") > 0) & (F.col("pn") > 0) & (F.col("pv") > 0) & (F.col("cv") < F.col("pv")))
     a = a.withColumn("__pct", pct).where(F.col("__pct") <= -threshold_pct)
     out = a.select(F.col(M.CUSTOMER).alias("entity"), F.lit("customer").alias("entity_type"),

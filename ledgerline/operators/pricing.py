@@ -29,7 +29,7 @@ def unit_prices(df: DataFrame) -> DataFrame:
     """Rows with QTY > 0 and AMOUNT > 0, UNIT_PRICE = AMOUNT / QTY."""
     q = M.qty_col(df)
     return (df.where((F.col(q) > 0) & (F.col(M.AMOUNT) > 0))
-              .withColumn("UNIT_PRICE", F.col(M.AMOUNT).cast("double") / F.col(q).cast("double")))
+              .withColumn("UNIT_PRICE", F.try_divide(F.col(M.AMOUNT).cast("double"), F.col(q).cast("double"))))
 
 
 def _top_products(pe: DataFrame, material: str | None, product: str, top: int) -> DataFrame:

@@ -33,8 +33,13 @@ def _total(df: DataFrame, value: str, name: str = "__total") -> DataFrame:
     return df.agg(F.coalesce(F.sum(value), F.lit(0)).alias(name))
 
 
+def _ratio(num: Column, den: Column) -> Column:
+    """num / den as double, NULL when den is 0 (ANSI mode raises on a zero divisor)."""
+    return F.try_divide(num.cast("double"), den.cast("double"))
+
+
 def _share(value: str, total: str = "__total", dp: int | None = 1) -> Column:
-    s = F.col(value).cast("double") / F.col(total).cast("double") * 100
+    s = _ratio(F.col(value), F.col(total)) * 100
     return F.round(s, dp) if dp is not None else s
 
 
@@ -136,7 +141,7 @@ def pareto(df: DataFrame, dim: str = M.CUSTOMER, n: int = 50) -> DataFrame:
     top = top.withColumn("__cum", F.sum("__v").over(w))  # n rows
     t = with_total(top, _total(g, "__v"))
     return t.select(dim, F.col("__v").cast("double").alias(M.AMOUNT),
-                    (F.col("__cum").cast("double") / F.col("__total").cast("double") * 100).alias("cum_percent"))
+                    (_ratio(F.col("__cum"), F.col("__total")) * 100).alias("cum_percent"))
 
 
 def top_share(df: DataFrame, dim: str = M.CUSTOMER, frac: float = 0.2) -> DataFrame:
@@ -161,8 +166,8 @@ def _value_classes(df: DataFrame, grp: str) -> DataFrame:
             F.count_distinct(M.INVOICE_NO).alias("Orders"))
     t = with_total(g, _total(g, "__rev"))
     r = running_sum(t, "__rev", grp, "__rev", "__cum")
-    share = F.col("__rev").cast("double") / F.col("__total").cast("double") * 100
-    cum = F.col("__cum").cast("double") / F.col("__total").cast("double") * 100
+    share = _ratio(F.col("__rev"), F.col("__total")) * 100
+    cum = _ratio(F.col("__cum"), F.col("__total")) * 100
     cls = F.when(cum <= 70, "High Value").when(cum <= 90, "Medium Value").otherwise("Low Value")
     return r.select(grp, F.col("__rev").cast("double").alias("Revenue"), "Orders", share.alias("Share"),
                     cum.alias("CumShare"), cls.alias("Classification"))
@@ -179,14 +184,14 @@ def consolidation_candidates(df: DataFrame, grp: str = M.ITEM_GROUP) -> DataFram
     avg = c.agg((F.sum("Orders").cast("double") / F.count(F.lit(1))).alias("__avg_orders"))
     t = with_total(c, avg)
     return (t.where(F.col("Classification").isin("Low Value", "Medium Value") & (F.col("Orders") > F.col("__avg_orders")))
-             .withColumn("Avg_Order_Value", F.col("Revenue") / F.col("Orders")).drop("__avg_orders"))
+             .withColumn("Avg_Order_Value", _ratio(F.col("Revenue"), F.col("Orders"))).drop("__avg_orders"))
 
 
 def consolidation_zone(df: DataFrame, grp: str = M.ITEM_GROUP, n: int = 10) -> DataFrame:
     """Revenue > 0, orders above the mean and AOV below the mean AOV; top n by orders."""
     g = _by(df, grp, F.coalesce(F.sum(M.AMOUNT), F.lit(0)).cast("double").alias("Revenue"),
             F.count_distinct(M.INVOICE_NO).alias("Orders"))
-    g = g.withColumn("AOV", F.col("Revenue") / F.col("Orders")).where(F.col("Revenue") > 0)
+    g = g.withColumn("AOV", _ratio(F.col("Revenue"), F.col("Orders"))).where(F.col("Revenue") > 0)
     avg = g.agg((F.sum("Orders").cast("double") / F.count(F.lit(1))).alias("__ao"),
                 (F.sum("AOV") / F.count(F.lit(1))).alias("__av"))
     t = with_total(g, avg).where((F.col("Orders") > F.col("__ao")) & (F.col("AOV") < F.col("__av")))
@@ -202,8 +207,8 @@ def core_tail(df: DataFrame, entity: str = M.CUSTOMER, item: str | None = None)
     tot = g.groupBy(entity).agg(F.sum("__s").alias("__et"))
     r = running_sum(g, "__s", item, "__s", "__cum", partition_cols=(entity,))
     r = r.join(tot, entity)
-    share = F.col("__s").cast("double") / F.col("__et").cast("double") * 100
-    cum = F.col("__cum").cast("double") / F.col("__et").cast("double") * 100
+    share = _ratio(F.col("__s"), F.col("__et")) * 100
+    cum = _ratio(F.col("__cum"), F.col("__et")) * 100
     core, micro = cum <= 90, (share < 2.0) & (share > 0)
     out = r.groupBy(entity).agg(
         F.count(F.when(core, 1)).alias("core_count"),

@@ -170,3 +170,14 @@ def test_drop_alerts_threshold(spark):
             (d(2024, 1, 10), "3", "B", "i", "g", "S", "C", 1.0, 50), (d(2023, 12, 10), "4", "C", "i", "g", "S", "C", 1.0, 100)]
     out = rows(H.revenue_drops(fact(spark, recs), "2024-01-01", "2024-01-31"), "entity", "change_pct")
     assert out == [("A", -20.0)]  # exactly at threshold is an alert; one-period customers are not
+
+
+def test_zero_totals_do_not_raise(spark):
+    """Revenue netting to zero (a refund line) must give NULL shares, not a divide-by-zero error."""
+    recs = [(d(2024, 1, 1), "1", "A", "i", "g", "S", "C", 1.0, 5), (d(2024, 1, 2), "2", "A", "i", "g", "S", "C", 1.0, -5)]
+    df = fact(spark, recs)
+    assert rows(G.abc_pareto(df), "Percentage", "Cumulative") == [(None, None)]
+    assert rows(G.classify_categories(df, "ITEM_NAME_GROUP"), "Share") == [(None,)]
+    assert rows(G.core_tail(df), "core_count", "tail_count") == [(0, 0)]  # NaN share: neither side, as in pandas
+    assert rows(G.contribution(df), "pct") == [(None,)]
+    assert G.pareto(df).count() == 1
