@@ -75,9 +75,9 @@ def d1_filtered_rows(spark, sf):
 
 @query("d3_entity_filter", O.with_sales(
     "SELECT CAST(COALESCE(SUM(AMOUNT),0) AS DOUBLE) AS revenue, COUNT(*) AS lines FROM sales "
-    "WHERE CITY = 'GERMANY' AND STATE = 'EUROPE' AND ITEM_NAME_GROUP = 'Brand#7'"))
+    "WHERE CITY = 'NATION_3' AND STATE = 'EUROPE' AND ITEM_NAME_GROUP = 'Brand#7'"))
 def d3_entity_filter(spark, sf):
-    d = D.entity_filter(T.sales(spark, sf), "city", "GERMANY", customer="All", state="EUROPE", group="Brand#7")
+    d = D.entity_filter(T.sales(spark, sf), "city", "NATION_3", customer="All", state="EUROPE", group="Brand#7")
     return d.agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).cast("double").alias("revenue"), F.count(F.lit(1)).alias("lines"))
 
 
@@ -1296,3 +1296,66 @@ def l2_parse_intent(spark, sf):
 @query("l3_answer", O.with_sales(L3_SQL, *L_CTES, *L3_SQL_CTES))
 def l3_answer(spark, sf):
     return L.answer(questions(spark, sf), T.sales(spark, sf))
+
+
+# ------------------------------------------------------------------ composites: E8, F7 pivot, G2 mode, G23, G24
+@query("e8_dashboard_trend", O.with_sales("""
+SELECT strftime(m, '%Y-%m') AS DATE, COALESCE(a, 0.0) AS AMOUNT FROM (
+  SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS m
+  FROM (SELECT min(month_start) AS lo, max(month_start) AS hi FROM f WHERE DATE IS NOT NULL)) cal
+LEFT JOIN (SELECT month_start, CAST(SUM(AMOUNT) AS DOUBLE) AS a FROM f WHERE DATE IS NOT NULL GROUP BY month_start) x
+  ON cal.m = x.month_start
+ORDER BY m DESC LIMIT 36""", "f AS (SELECT * FROM sales WHERE DATE >= TIMESTAMP '1997-04-01' AND DATE < TIMESTAMP '2000-04-01' "
+                           "AND STATE IN ('ASIA', 'EUROPE'))"))
+def e8_dashboard_trend(spark, sf):
+    f = Filters(states=["ASIA", "EUROPE"], start_date="1997-04-01", end_date="2000-03-31")
+    full = D.apply_filters(T.sales(spark, sf), Filters(states=f.states))
+    return E.dashboard(D.apply_filters(T.sales(spark, sf), f), f.start_date, f.end_date, full=full)["trend"]
+
+
+@query("e8_dashboard_comparison", _compare_sql("1997-11-30", "1998-01-01", "1998-02-01").replace(
+    "FROM sales\n          WHERE DATE", "FROM sales\n          WHERE STATE IN ('ASIA', 'EUROPE') AND DATE"))
+def e8_dashboard_comparison(spark, sf):
+    full = D.apply_filters(T.sales(spark, sf), Filters(states=["ASIA", "EUROPE"]))
+    cur = D.date_range(full, "1998-01-01", "1998-01-31")
+    return E.dashboard(cur, "1998-01-01", "1998-01-31", full=full)["comparison"]
+
+
+@query("f7_fy_month_pivot", O.with_sales(
+    "SELECT FINANCIAL_YEAR, " + ", ".join(
+        f"CAST(COALESCE(SUM(CASE WHEN month(DATE) = {m} THEN AMOUNT END), 0) AS DOUBLE) AS \"{m}\"" for m in range(1, 13))
+    + " FROM sales WHERE DATE IS NOT NULL GROUP BY FINANCIAL_YEAR"))
+def f7_fy_month_pivot(spark, sf):
+    return TS.fy_month_pivot(T.sales(spark, sf))
+
+
+@query("g2_top_others_always", O.with_sales(f"""
+SELECT label, AMOUNT FROM (
+  SELECT ITEM_NAME_GROUP AS label, CAST(v AS DOUBLE) AS AMOUNT FROM ({_rev_by('ITEM_NAME_GROUP')}) ORDER BY v DESC, ITEM_NAME_GROUP LIMIT 10)
+UNION ALL
+SELECT 'Others', CAST(alls - tops AS DOUBLE) FROM
+  (SELECT count(*) AS n, SUM(v) AS alls FROM ({_rev_by('ITEM_NAME_GROUP')})),
+  (SELECT SUM(v) AS tops FROM (SELECT v FROM ({_rev_by('ITEM_NAME_GROUP')}) ORDER BY v DESC, ITEM_NAME_GROUP LIMIT 10))
+WHERE n > 10"""))
+def g2_top_others_always(spark, sf):
+    return G.top_n_others(T.sales(spark, sf), M.ITEM_GROUP, 10, mode="always")
+
+
+@query("g23_dynamic_report_share", O.with_sales(f"""
+SELECT label, AMOUNT FROM (
+  SELECT STATE AS label, CAST(v AS DOUBLE) AS AMOUNT FROM ({_rev_by('STATE')}) ORDER BY v DESC, STATE LIMIT 3)
+UNION ALL
+SELECT 'Others', CAST(alls - tops AS DOUBLE) FROM
+  (SELECT count(*) AS n, SUM(v) AS alls FROM ({_rev_by('STATE')})),
+  (SELECT SUM(v) AS tops FROM (SELECT v FROM ({_rev_by('STATE')}) ORDER BY v DESC, STATE LIMIT 3))
+WHERE n > 3 AND alls - tops > 0"""))
+def g23_dynamic_report_share(spark, sf):
+    return G.dynamic_report(T.sales(spark, sf), "state", secondary=None, n=1, include_pivot=False)["share"]
+
+
+@query("g24_city_report_groups", O.with_sales("""
+SELECT ITEM_NAME_GROUP, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Orders END AS AOV FROM (
+  SELECT ITEM_NAME_GROUP, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders
+  FROM sales WHERE CITY = 'NATION_3' AND ITEM_NAME_GROUP IS NOT NULL GROUP BY 1)"""))
+def g24_city_report_groups(spark, sf):
+    return G.report(T.sales(spark, sf), "city", "NATION_3")["groups"]

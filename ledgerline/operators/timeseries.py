@@ -106,8 +106,9 @@ def fy_month_pivot(df: DataFrame) -> DataFrame:
     """F7 as a matrix: one column per calendar month, values listed literally
     (no driver pass to discover them)."""
     d = df.where(F.col(M.DATE).isNotNull()).withColumn("Month_Num", F.month(M.DATE))
-    return (d.groupBy(M.FY).pivot("Month_Num", list(range(1, 13)))
-             .agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).cast("double")))
+    months = list(range(1, 13))
+    p = d.groupBy(M.FY).pivot("Month_Num", months).agg(F.sum(M.AMOUNT).cast("double"))
+    return p.na.fill(0.0, [str(m) for m in months])  # months with no sales in a year are 0
 
 
 def fy_month_totals(df: DataFrame) -> DataFrame:
