@@ -21,19 +21,28 @@ def append_new(new: DataFrame, existing: DataFrame | None, key: str = M.INVOICE_
     """B1: the rows of ``new`` whose invoice is not stored yet (per tenant).
 
     All lines of a new invoice are kept, and duplicates inside the batch are
-    kept; no key column -> everything. The stored key set is reduced to
-    distinct (tenant, key) before a NULL-safe left-anti join, so a skewed key
-    costs one row on the build side.
+    kept; no key column -> everything. The stored keys are first cut down to
+    those present in the batch and de-duplicated, then a NULL-safe left-anti
+    join removes known invoices; a skewed key costs one row on the build side.
     """
     if existing is None or key not in new.columns:
         return new
     keys = [c for c in (tenant_col, key) if c and c in new.columns and c in existing.columns]
-    stored = existing.select(*keys).distinct()
-    cond = None
-    for c in keys:
-        x = new[c].eqNullSafe(stored[c])
-        cond = x if cond is None else cond & x
-    return new.join(stored, cond, "left_anti")
+
+    def null_safe(left: DataFrame, right: DataFrame):
+        cond = None
+        for c in keys:
+            x = left[c].eqNullSafe(right[c])
+            cond = x if cond is None else cond & x
+        return cond
+
+    # Only stored keys that occur in this batch matter. The batch's key set is
+    # usually small next to the history, so AQE broadcasts it and the history
+    # scan is filtered map-side instead of shuffling every stored key.
+    batch_keys = new.select(*keys).distinct()
+    stored = existing.select(*keys)
+    hits = stored.join(batch_keys, null_safe(stored, batch_keys), "left_semi").distinct()
+    return new.join(hits, null_safe(new, hits), "left_anti")
 
 
 def load(new: DataFrame, path: str, key: str = M.INVOICE_NO, partition_by: str = M.TENANT) -> int:
