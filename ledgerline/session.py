@@ -21,6 +21,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of intermediates are removed once no DataFrame refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # dimension tables are tiny; the fact never goes below this threshold.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
