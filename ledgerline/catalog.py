@@ -676,8 +676,8 @@ def h6_churn_scores(spark, sf):
 
 @query("h7_customer_risk", O.with_sales("""
 SELECT CUSTOMER_NAME, COUNT(DISTINCT INVOICE_NO) AS Orders, strftime(max(DATE), '%Y-%m-%d') AS LastOrder,
-       COUNT(DISTINCT INVOICE_NO) = 1 AS single_order,
-       floor((epoch(TIMESTAMP '2001-08-01') - epoch(max(DATE))) / 86400) > 90 AS inactive_90
+       COUNT(DISTINCT INVOICE_NO) <= 1 AS single_order,
+       COALESCE((epoch(TIMESTAMP '2001-08-01') - epoch(CAST(CAST(max(DATE) AS DATE) AS TIMESTAMP))) / 86400 > 90, false) AS inactive_90
 FROM sales WHERE CUSTOMER_NAME IS NOT NULL GROUP BY CUSTOMER_NAME"""))
 def h7_customer_risk(spark, sf):
     return H.customer_risk(T.sales(spark, sf), "2001-08-01")

@@ -206,13 +206,16 @@ def churn_scores(features: DataFrame, min_customers: int = 10, churn_days: int =
 
 
 def customer_risk(df: DataFrame, asof: str, inactive_days: int = 90) -> DataFrame:
-    """H7: single-order customers and customers inactive for more than
-    ``inactive_days`` at ``asof`` (a parameter, never the wall clock)."""
+    """H7: single-order customers (at most one invoice) and customers whose last
+    order date is more than ``inactive_days`` days (fractional, from that
+    date's midnight) before ``asof`` — a parameter, never the wall clock."""
     g = keyed(df, M.CUSTOMER).groupBy(M.CUSTOMER).agg(F.count_distinct(M.INVOICE_NO).alias("Orders"),
                                                       F.max(M.DATE).alias("__last"))
-    days = elapsed_days(F.to_timestamp(F.lit(asof)), F.col("__last"))
+    last_day = F.to_date("__last").cast("timestamp")
+    days = (F.unix_seconds(F.to_timestamp(F.lit(asof))) - F.unix_seconds(last_day)) / 86400
     return g.select(M.CUSTOMER, "Orders", iso_date("__last").alias("LastOrder"),
-                    (F.col("Orders") == 1).alias("single_order"), (days > inactive_days).alias("inactive_90"))
+                    (F.col("Orders") <= 1).alias("single_order"),
+                    F.coalesce(days > inactive_days, F.lit(False)).alias("inactive_90"))
 
 
 def revenue_drops(df: DataFrame, start: str, end: str, threshold_pct: float = 20.0, n: int = 20) -> DataFrame:
