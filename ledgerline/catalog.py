@@ -551,19 +551,20 @@ def g19_leader_state(spark, sf):
 
 
 @query("g21_product_mix", O.with_sales("""
-SELECT CUSTOMER_NAME, rank, ITEM_NAME_GROUP, CAST(v AS DOUBLE) AS Revenue,
-       CASE WHEN et <> 0 THEN ROUND(CAST(v AS DOUBLE) / CAST(et AS DOUBLE) * 100, 1) END AS share_pct
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY CUSTOMER_NAME ORDER BY v DESC, ITEM_NAME_GROUP) AS INTEGER) AS rank,
-             SUM(v) OVER (PARTITION BY CUSTOMER_NAME) AS et
+SELECT x.CUSTOMER_NAME, rank, ITEM_NAME_GROUP, CAST(v AS DOUBLE) AS Revenue,
+       ROUND(CAST(v AS DOUBLE) / CAST(t.et AS DOUBLE) * 100, 1) AS share_pct
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY CUSTOMER_NAME ORDER BY v DESC, ITEM_NAME_GROUP) AS INTEGER) AS rank
       FROM (SELECT CUSTOMER_NAME, ITEM_NAME_GROUP, COALESCE(SUM(AMOUNT), 0) AS v FROM sales
-            WHERE CUSTOMER_NAME IS NOT NULL AND ITEM_NAME_GROUP IS NOT NULL GROUP BY 1, 2))
-WHERE rank <= 9"""))
+            WHERE CUSTOMER_NAME IS NOT NULL AND ITEM_NAME_GROUP IS NOT NULL GROUP BY 1, 2)) x
+JOIN (SELECT CUSTOMER_NAME, SUM(AMOUNT) AS et FROM sales WHERE CUSTOMER_NAME IS NOT NULL GROUP BY 1) t
+  ON x.CUSTOMER_NAME = t.CUSTOMER_NAME
+WHERE rank <= 9 AND t.et > 0"""))
 def g21_product_mix(spark, sf):
     return G.product_mix(T.sales(spark, sf), 9)
 
 
 @query("g22_category_table", O.with_sales("""
-SELECT ITEM_NAME_GROUP, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Orders END AS AOV FROM (
+SELECT ITEM_NAME_GROUP, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Orders ELSE 0.0 END AS AOV FROM (
   SELECT ITEM_NAME_GROUP, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders
   FROM sales WHERE ITEM_NAME_GROUP IS NOT NULL GROUP BY 1) ORDER BY Revenue DESC, ITEM_NAME_GROUP LIMIT 15"""))
 def g22_category_table(spark, sf):
@@ -1354,7 +1355,7 @@ def g23_dynamic_report_share(spark, sf):
 
 
 @query("g24_city_report_groups", O.with_sales("""
-SELECT ITEM_NAME_GROUP, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Orders END AS AOV FROM (
+SELECT ITEM_NAME_GROUP, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Orders ELSE 0.0 END AS AOV FROM (
   SELECT ITEM_NAME_GROUP, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders
   FROM sales WHERE CITY = 'NATION_3' AND ITEM_NAME_GROUP IS NOT NULL GROUP BY 1)"""))
 def g24_city_report_groups(spark, sf):

@@ -363,18 +363,19 @@ def product_mix(df: DataFrame, n: int = 9, entity: str = M.CUSTOMER) -> DataFram
     grp = M.dashboard_group_col(df)
     g = keyed(df, entity, grp).groupBy(entity, grp).agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__v"))
     w = Window.partitionBy(entity).orderBy(F.col("__v").desc(), F.col(grp).asc())
-    tot = g.groupBy(entity).agg(F.sum("__v").alias("__et"))
+    # the customer's total over all its lines (a line without a group still counts);
+    # customers whose total is not positive get no mix, as in the reference
+    tot = keyed(df, entity).groupBy(entity).agg(F.sum(M.AMOUNT).alias("__et")).where(F.col("__et") > 0)
     r = g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).join(tot, entity)
     return r.select(entity, "rank", grp, F.col("__v").cast("double").alias("Revenue"),
-                    F.when(F.col("__et") != 0, F.round(F.col("__v").cast("double") / F.col("__et").cast("double") * 100, 1))
-                     .alias("share_pct"))
+                    F.round(F.col("__v").cast("double") / F.col("__et").cast("double") * 100, 1).alias("share_pct"))
 
 
 def category_table(df: DataFrame, n: int = 15, grp: str | None = None) -> DataFrame:
     """Top ``n`` groups with revenue, orders and AOV."""
     grp = grp or M.dashboard_group_col(df)
     g = _by(df, grp, revenue().alias("Revenue"), F.count_distinct(M.INVOICE_NO).alias("Orders"))
-    g = g.withColumn("AOV", F.when(F.col("Orders") > 0, F.col("Revenue") / F.col("Orders")))
+    g = g.withColumn("AOV", F.when(F.col("Orders") > 0, F.col("Revenue") / F.col("Orders")).otherwise(F.lit(0.0)))
     return top_k(g, n, *_desc("Revenue", grp))
 
 
