@@ -518,7 +518,7 @@ def g16_item_group_top25(spark, sf):
 
 @query("g17_group_deep_dive", O.with_sales("""
 SELECT g.ITEM_NAME_GROUP, CAST(v AS DOUBLE) AS Total_Revenue,
-       CASE WHEN total <> 0 THEN ROUND(CAST(v AS DOUBLE) / CAST(total AS DOUBLE) * 100, 1) END AS share_pct,
+       CASE WHEN total > 0 THEN ROUND(CAST(v AS DOUBLE) / CAST(total AS DOUBLE) * 100, 1) ELSE 0.0 END AS share_pct,
        COALESCE(m.modal_item, 'N/A') AS modal_item, Order_Count
 FROM (SELECT ITEM_NAME_GROUP, COALESCE(SUM(AMOUNT), 0) AS v, COUNT(DISTINCT INVOICE_NO) AS Order_Count
       FROM sales WHERE ITEM_NAME_GROUP IS NOT NULL GROUP BY ITEM_NAME_GROUP ORDER BY v DESC, ITEM_NAME_GROUP LIMIT 8) g

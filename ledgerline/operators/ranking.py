@@ -269,7 +269,7 @@ def group_deep_dive(df: DataFrame, n: int = 8) -> DataFrame:
     total = df.agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__total"))
     t = with_total(top.join(mode, grp, "left"), total)
     return t.select(grp, F.col("__v").cast("double").alias("Total_Revenue"),
-                    F.when(F.col("__total") != 0, _share("__v")).alias("share_pct"),
+                    F.when(F.col("__total") > 0, _share("__v")).otherwise(F.lit(0.0)).alias("share_pct"),
                     F.coalesce(F.col("modal_item"), F.lit("N/A")).alias("modal_item"), "Order_Count")
 
 
