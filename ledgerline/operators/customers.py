@@ -218,7 +218,8 @@ def customer_risk(df: DataFrame, asof: str, inactive_days: int = 90) -> DataFram
                     F.coalesce(days > inactive_days, F.lit(False)).alias("inactive_90"))
 
 
-def revenue_drops(df: DataFrame, start: str, end: str, threshold_pct: float = 20.0, n: int = 20) -> DataFrame:
+def revenue_drops(df: DataFrame, start: str | None = None, end: str | None = None, threshold_pct: float = 20.0,
+                  n: int = 20) -> DataFrame:
     """H8: customers present in both windows with previous revenue > 0 and a
     drop of at least ``threshold_pct``; change 1 dp; the ``n`` worst.
 
@@ -227,6 +228,14 @@ def revenue_drops(df: DataFrame, start: str, end: str, threshold_pct: float = 20
     """
     from .kpi import previous_window
 
+    if start is None or end is None:
+        # the reference falls back to the data's first / last date: a 1-row scalar
+        lo, hi = df.agg(F.min(M.DATE), F.max(M.DATE)).first()
+        if lo is None:
+            return df.sparkSession.createDataFrame([], "entity string, entity_type string, current_revenue double, "
+                                                       "previous_revenue double, change_pct double")
+        start = start or lo.date().isoformat()
+        end = end or hi.date().isoformat()  # date-only: the last day is included whole, as in the reference
     # same window arithmetic as E3: the previous window ends at ``start``
     prev_start, s, e, incl = previous_window(start, end)
     d = F.col(M.DATE)

@@ -74,6 +74,13 @@ def read_csv(spark: SparkSession, path: str | list[str], schema=None) -> DataFra
     return r.csv(path)
 
 
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """A1 for one uploaded file: an empty file (no header) is rejected."""
+    if first_line(spark, path) is None:
+        raise ValueError(f"uploaded file is empty: {path}")
+    return read_csv(spark, path)
+
+
 def read_folder(spark: SparkSession, paths: str | list[str], standardize: bool = True) -> DataFrame | None:
     """A2: read many CSV files whose headers may differ; one scan per distinct
     header, headers normalised (C1/C2), outer union by name. Empty and

@@ -111,3 +111,13 @@ def test_stream_split_invariance_and_replay(spark, tmpdir_path):
     audit = spark.read.parquet(f"{base}/audit")
     assert audit.count() == 3 and audit.agg(F.sum("NEW_RECORDS_ADDED")).collect()[0][0] == 5
     assert not os.path.exists(f"{base}/src/f1.csv") or os.path.exists(f"{base}/archive")
+
+
+def test_empty_upload_rejected(spark, tmpdir_path):
+    import pytest
+
+    _write(f"{tmpdir_path}/e.csv", "")
+    with pytest.raises(ValueError):
+        A.read_upload(spark, f"{tmpdir_path}/e.csv")
+    _write(f"{tmpdir_path}/ok.csv", "Amount,City\n1,X\n")
+    assert A.read_upload(spark, f"{tmpdir_path}/ok.csv").count() == 1

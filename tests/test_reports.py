@@ -181,3 +181,13 @@ def test_zero_totals_do_not_raise(spark):
     assert rows(G.core_tail(df), "core_count", "tail_count") == [(0, 0)]  # NaN share: neither side, as in pandas
     assert rows(G.contribution(df), "pct") == [(None,)]
     assert G.pareto(df).count() == 1
+
+
+def test_drop_alerts_default_window(spark):
+    # no dates given: the window is the data's first..last date (last day whole), previous one before it
+    recs = [(d(2024, 1, 10), "1", "A", "i", "g", "S", "C", 1.0, 80), (d(2024, 1, 31), "2", "A", "i", "g", "S", "C", 1.0, 0),
+            (d(2023, 12, 10), "3", "A", "i", "g", "S", "C", 1.0, 100)]
+    df = fact(spark, recs).where(F.col("DATE") >= F.lit("2024-01-01").cast("timestamp"))
+    assert H.revenue_drops(df).count() == 0  # nothing before the data's own start
+    # end defaults to the last date (Jan 31): current 80 vs previous (Nov 30 .. Dec 31) 100 -> -20 %
+    assert rows(H.revenue_drops(fact(spark, recs), "2024-01-01"), "entity", "change_pct") == [("A", -20.0)]
