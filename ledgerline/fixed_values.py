@@ -48,7 +48,7 @@ MATERIAL_GROUP_CANDIDATES = [
 ]
 
 # FIXED VALUES: header synonym rules, evaluated in this order per column.
-# (target, substrings, extra condition)
+# (target, substrings); INVOICE_NO also takes an exact "NO", never a DATE column; ITEMNAME never a GROUP column.
 HEADER_SYNONYMS = [
     ("CITY", ["CITY", "TOWN", "DISTRICT", "LOCATION", "STATION", "DESTINATION", "PLACE"]),
     ("STATE", ["STATE", "REGION", "PROVINCE", "TERRITORY", "POS", "SUPPLY"]),
