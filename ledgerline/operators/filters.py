@@ -180,8 +180,11 @@ def page(df: DataFrame, term: str | None, keys: list[str], sort: str | None, asc
     return df.orderBy(*order).offset(page_no * size).limit(size)
 
 
-def preset(name: str, asof: str) -> tuple[str, str]:
-    """Relative ranges as (start, end) ISO dates, end = asof (inclusive day)."""
+def preset(name: str, asof: str) -> tuple[str | None, str | None]:
+    """Relative ranges as (start, end) ISO dates, end = asof (inclusive day);
+    "all" (all time) has no bounds."""
+    if name in ("all", "all_time"):
+        return None, None
     a = _dt.date.fromisoformat(asof[:10])
     if name in ("7d", "last_7_days"):
         s = a - _dt.timedelta(days=7)

@@ -160,6 +160,8 @@ def test_currency_text(spark):
 def test_filter_helpers(spark):
     assert fy_spellings(["FY25-26", " 24-25 ", ""]) == ["24-25", "25-26", "FY24-25", "FY25-26"]
     assert preset("ytd", "2024-03-05") == ("2024-01-01", "2024-03-05")
+    assert preset("last_7_days", "2024-03-05") == ("2024-02-27", "2024-03-05")
+    assert preset("all", "2024-03-05") == (None, None)
     df = spark.createDataFrame([("APR-24",), ("Apr-92",), ("bad",), ("JAN-69",)], "m string")
     out = [r[0] for r in df.select(month_label_start(F.col("m"))).collect()]
     assert out == [dt.date(2024, 4, 1), dt.date(1992, 4, 1), None, dt.date(1969, 1, 1)]
