@@ -193,3 +193,22 @@ def test_drop_alerts_default_window(spark):
     assert H.revenue_drops(df).count() == 0  # nothing before the data's own start
     # end defaults to the last date (Jan 31): current 80 vs previous (Nov 30 .. Dec 31) 100 -> -20 %
     assert rows(H.revenue_drops(fact(spark, recs), "2024-01-01"), "entity", "change_pct") == [("A", -20.0)]
+
+
+def test_entity_linking_edges(spark):
+    from ledgerline.operators import questions as Q
+
+    f = spark.createDataFrame(
+        [("GOA", "Goa", "WIDGET"), ("KERALA", "Big Red Cat Co", "GEAR"), ("KERALA", "Red", "GEAR")],
+        "STATE string, CUSTOMER_NAME string, MATERIALGROUP string")
+    qs = spark.createDataFrame([
+        ("q1", "total for big red cat co?"),     # four-word name wins over the one-word "red"
+        ("q2", "top 3 in goa in 2025"),          # "goa" is a state and a customer: the later index (customer) wins
+        ("q3", "how are we doing"),              # no entity
+        ("q4", "Gear sales in kerala, 2031!"),   # edge punctuation stripped; year token
+    ], "q_id string, text string")
+    got = sorted((r.q_id, r.column, r.value) for r in Q.link_entities(qs, Q.dictionary(f)).collect())
+    assert got == [("q1", "CUSTOMER_NAME", "Big Red Cat Co"), ("q2", "CUSTOMER_NAME", "Goa"), ("q2", "YEAR", "2025"),
+                   ("q4", "PRODUCT", "GEAR"), ("q4", "STATE", "KERALA"), ("q4", "YEAR", "2031")]
+    intents = {r.q_id: (r.metric, r.shape, r.k) for r in Q.parse_intent(qs).collect()}
+    assert intents["q2"] == ("AMOUNT", "top", 3) and intents["q3"] == ("AMOUNT", "total", None)
