@@ -161,18 +161,25 @@ def answer(questions: DataFrame, fact: DataFrame) -> DataFrame:
                 Window.orderBy(F.col("value").desc(), F.col(dim).asc())
             if kcols:
                 g = g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kmax)
+                g = g.select(*kcols, "rank", F.col(dim).cast("string").alias("name"), "value")
+                j = q.join(g, kcols, "left")
             else:
-                g = g.orderBy(F.col("value").desc(), F.col(dim).asc()).limit(int(kmax))
-                g = g.withColumn("rank", F.row_number().over(w))  # kmax rows
-            g = g.select(*kcols, "rank", F.col(dim).cast("string").alias("name"), "value")
-            j = q.join(g, kcols, "left") if kcols else q.withColumn("__o", F.lit(1)).join(
-                F.broadcast(g.withColumn("__o", F.lit(1))), "__o", "left")
+                # one global list of at most kmax rows, attached to every question of the
+                # signature as a scalar (no join): each question keeps its first k entries
+                top = g.orderBy(F.col("value").desc(), F.col(dim).asc()).limit(int(kmax))
+                top = top.withColumn("rank", F.row_number().over(w))  # kmax rows
+                lst = top.agg(F.sort_array(F.collect_list(F.struct(
+                    "rank", F.col(dim).cast("string").alias("name"), "value")))).scalar()
+                j = q.select("q_id", "k", F.explode_outer(lst).alias("__t")).select("q_id", "k", "__t.*")
             j = j.where(F.col("rank").isNull() | (F.col("rank") <= F.col("k")))
         else:
             g = base.groupBy(*kcols).agg(_metric(s["metric"]).alias("value"), F.count(F.lit(1)).alias("__n"))
             g = g.select(*kcols, F.lit(1).alias("rank"), F.lit("Total").alias("name"), "value")
-            j = q.join(g, kcols, "left") if kcols else q.withColumn("__o", F.lit(1)).join(
-                F.broadcast(g.withColumn("__o", F.lit(1))), "__o", "left")
+            if kcols:
+                j = q.join(g, kcols, "left")
+            else:  # a global total: one row, attached as a scalar
+                j = q.select("q_id", "k", F.lit(1).alias("rank"), F.lit("Total").alias("name"),
+                             g.select("value").scalar().alias("value"))
         nodata = F.col("rank").isNull()
         outs.append(j.select("q_id", F.when(nodata, 0).otherwise(F.col("rank")).cast("int").alias("rank"),
                              F.when(nodata, "NO DATA").otherwise(F.col("name")).alias("name"),

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 
-_ONE = "__one"
-
-
 def revenue(col: str = M.AMOUNT) -> Column:
     """Sum of money that is 0 (not NULL) over no rows, as pandas ``sum`` gives."""
     return F.coalesce(F.sum(col), F.lit(0)).cast("double")
@@ -31,11 +28,14 @@ def keyed(df: DataFrame, *keys: str) -> DataFrame:
 def with_total(df: DataFrame, total: DataFrame) -> DataFrame:
     """Attach the columns of a 1-row aggregate to every row.
 
-    The 1-row side has a proven size bound (one row), so it is broadcast; the
-    join is an equi-join on a constant key, i.e. no shuffle of ``df``.
+    The aggregate becomes one scalar subquery (``DataFrame.scalar()``) holding
+    a struct of its columns: it runs once, its single value is substituted
+    into the projection, and no join — broadcast or otherwise — is planned.
     """
-    t = total.withColumn(_ONE, F.lit(1))
-    return df.withColumn(_ONE, F.lit(1)).join(F.broadcast(t), _ONE).drop(_ONE)
+    cols = total.columns
+    packed = total.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__s")).scalar()
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], packed.alias("__s")).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col("__s")[c].alias(c) for c in cols])
 
 
 def top_k(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
