@@ -3,13 +3,14 @@
 Byte-pair merging gives each prefix of a pre-token one encoding, and the last
 token of that encoding fixes the rest: it is the one vocabulary token that ends
 at the prefix, and that merging keeps apart from the last token of the shorter
-prefix. For every prefix the candidates come from an Aho-Corasick automaton
-over the vocabulary (its suffix links list the tokens that end at a byte),
-the pair test picks the right one, and following the stored last tokens back
-from the end gives the ids, equal to those of the merge procedure.
-
-Pre-tokens are independent, so their encodings are kept in a bounded cache per
-Python worker. Added tokens (such as an end-of-text marker) found in a text are
+prefix. For every prefix the candidates come from a suffix automaton of the
+vocabulary (its links list the tokens that end at a byte), the pair test picks
+the right one, and following the stored last tokens back from the end gives the
+ids, equal to those of the merge procedure.
+
+Pre-tokens are independent: those new to a Python worker are taken in sorted
+order, so that a prefix shared with the one before keeps its stored tokens, and
+their encodings go to a bounded cache. Added tokens (such as an end-of-text marker) found in a text are
 split off first, as the tokenizers library does by default.
 
 Rows: null text counts as empty (no tokens); an empty table gives an empty
@@ -22,7 +23,7 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?
 LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": "\t-\r \x85\xa0"}
 UNICODE = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\p{White_Space}"}
 CACHE_ENTRIES = 800_000
+PAIR_ENTRIES = 300_000
+SLICE_CHARS = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,25 +46,57 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class PieceCache(dict):
-    """Pre-token -> its ids as little-endian int32; emptied when full."""
-
-    def __init__(self, piece_ids):
-        self.piece_ids = piece_ids
-
-    def __missing__(self, pre_token: str) -> bytes:
-        ids = self.piece_ids(pre_token.encode("utf-8").decode("latin-1"))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[pre_token] = packed = struct.pack(f"<{len(ids)}i", *ids)
-        return packed
+class SuffixAutomaton:
+    """Lists the tokens that end at a byte: Aho-Corasick over the vocabulary, its steps filled in as they are met."""
+
+    def __init__(self, ids: dict[bytes, int]):
+        self.step = Steps(self)
+        self.tree: dict[int, int] = {}  # node << 8 | byte -> child in the trie
+        own: list[tuple[int, int] | None] = [None]
+        for word, token in ids.items():
+            node = 0
+            for byte in word:
+                child = self.tree.get(node << 8 | byte)
+                if child is None:
+                    child = self.tree[node << 8 | byte] = len(own)
+                    own.append(None)
+                node = child
+            own[node] = (token, len(word))
+        self.link = [0] * len(own)  # the node of the longest proper suffix
+        self.tokens: list[tuple[tuple[int, int], ...]] = [()] * len(own)  # longest first
+        level = [(0, byte, child) for byte in range(256) if (child := self.tree.get(byte)) is not None]
+        below: dict[int, list[tuple[int, int]]] = {}
+        for at, child in self.tree.items():
+            below.setdefault(at >> 8, []).append((at & 255, child))
+        while level:
+            deeper = []
+            for parent, byte, node in level:
+                self.link[node] = self.step[self.link[parent] << 8 | byte] if parent else 0
+                self.tokens[node] = ((own[node],) if own[node] else ()) + self.tokens[self.link[node]]
+                deeper += [(node, b, child) for b, child in below.get(node, ())]
+            level = deeper
+        self.step.clear()
+
+
+class Steps(dict):
+    """node << 8 | byte -> next node."""
+
+    def __init__(self, automaton: SuffixAutomaton):
+        self.automaton = automaton
+
+    def __missing__(self, at: int) -> int:
+        node, byte = at >> 8, at & 255
+        tree, link = self.automaton.tree, self.automaton.link
+        while (found := tree.get(node << 8 | byte)) is None and node:
+            node = link[node]
+        self[at] = found or 0
+        return found or 0
 
 
 class ByteBpe:
     """A byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -77,25 +112,23 @@ class ByteBpe:
         self.parts: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         self.rank = {i: -1 for i in self.bytes_of}
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         for rank, pair in enumerate(model["merges"]):
             left, right = (raw(s) for s in (pair if isinstance(pair, list) else pair.split(" ")))
             a, b, made = self.ids[left], self.ids[right], self.ids[left + right]
             self.merge[a, b] = (rank, made)
             if made not in self.parts:
                 self.parts[made], self.rank[made] = (a, b), rank
-        self.automaton = ahocorasick.Automaton()
-        for b, i in self.ids.items():
-            self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
-        self.automaton.make_automaton()
+        self.suffixes = SuffixAutomaton(self.ids)
         self.added = added
         self.split_added = re.compile("(" + "|".join(re.escape(s) for s in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.latin = re.compile(PRE_TOKEN.format(**LATIN))
         self.any = regex.compile(PRE_TOKEN.format(**UNICODE))
         self.beyond = re.compile("[^\x00-\xff]")
-        self.packed = PieceCache(self.piece_ids)
-        self.stays = lru_cache(1 << 18)(self._stays)
+        self.packed: dict[str, bytes] = {}  # pre-token -> its ids as little-endian int32
+        self.pairs: dict[int, bool] = {}
 
-    def _stays(self, a: int, b: int) -> bool:
+    def stays(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a + b leaves exactly the tokens a, b.
 
         Undo the merges of both tokens from the latest one on (of equal ranks
@@ -117,36 +150,57 @@ class ByteBpe:
             else:
                 limit, b = (rb, 1), self.parts[b][0]
 
-    def last_tokens(self, piece: str) -> list[tuple[int, int]]:
-        """For every prefix of ``piece`` (bytes as Latin-1), its last token and that token's length."""
-        last: list[tuple[int, int]] = [(-1, 0)] * (len(piece) + 1)
-        for at, (token, size) in self.automaton.iter(piece):
-            end = at + 1
-            if last[end][1]:
-                continue
-            start = end - size
-            if start == 0 or (last[start][1] and self.stays(last[start][0], token)):
-                last[end] = (token, size)
-        return last
-
-    def piece_ids(self, piece: str) -> list[int]:
-        last, end, out = self.last_tokens(piece), len(piece), []
-        while end:
-            token, size = last[end]
-            out.append(token)
-            end -= size
-        return out[::-1]
-
-    def encode(self, text: str) -> bytes:
-        """All ids of a text as little-endian int32."""
+    def learn(self, pre_tokens: Iterable[str]) -> None:
+        """Put the encodings of new pre-tokens into the cache."""
+        step, tokens, pairs, size_of = self.suffixes.step, self.suffixes.tokens, self.pairs, self.size_of
+        if len(self.packed) >= CACHE_ENTRIES:
+            self.packed.clear()
+        before, last, nodes = b"", [-1], [0]
+        for piece, name in sorted((name.encode(), name) for name in pre_tokens):
+            shared = 0
+            for x, y in zip(before, piece):
+                if x != y:
+                    break
+                shared += 1
+            # last: for every prefix of the piece the last token of its encoding
+            del last[shared + 1:], nodes[shared + 1:]
+            node = nodes[shared]
+            for end in range(shared + 1, len(piece) + 1):
+                node = step[node << 8 | piece[end - 1]]
+                for token, size in tokens[node]:
+                    if size == end:
+                        break
+                    pair = last[end - size] << 32 | token
+                    stays = pairs.get(pair)
+                    if stays is None:
+                        if len(pairs) >= PAIR_ENTRIES:
+                            pairs.clear()
+                        stays = pairs[pair] = self.stays(pair >> 32, token)
+                    if stays:
+                        break
+                last.append(token)
+                nodes.append(node)
+            before, end, ids = piece, len(piece), []
+            while end:
+                ids.append(last[end])
+                end -= size_of[last[end]]
+            ids.reverse()
+            self.packed[name] = struct.pack(f"<{len(ids)}i", *ids)
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text, added tokens as they are."""
         if self.split_added and any(s in text for s in self.added):
-            return b"".join(struct.pack("<i", self.added[part]) if part in self.added else self._plain(part)
-                            for part in self.split_added.split(text) if part)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        pieces = (self.any if self.beyond.search(text) else self.latin).findall(text)
-        return b"".join(map(self.packed.__getitem__, pieces))
+            return [p for part in self.split_added.split(text) for p in ([part] if part in self.added else self.pieces(part))]
+        return (self.any if self.beyond.search(text) else self.latin).findall(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian int32."""
+        split = [self.pieces(t) for t in texts]
+        new = set().union(*split).difference(self.packed)
+        if new:
+            self.learn(set().union(*split) if len(self.packed) + len(new) > CACHE_ENTRIES else new)
+            self.packed.update({s: struct.pack("<i", i) for s, i in self.added.items()})
+        return [b"".join(map(self.packed.__getitem__, p)) for p in split]
 
     def decode(self, ids: list[int]) -> str:
         """Ids back to text, malformed bytes as U+FFFD; unknown ids are left out, as the library does."""
@@ -158,37 +212,77 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _pieces_of_work(batch, text_col: str) -> Iterator[tuple[int, list[str]]]:
+    """Slices of a batch's texts of about ``SLICE_CHARS``: (first row, texts)."""
+    start, texts, chars = 0, [], 0
+    for i, t in enumerate(batch.column(text_col)):
+        texts.append(t.as_py() or "")
+        chars += len(texts[-1])
+        if chars >= SLICE_CHARS:
+            yield start, texts
+            start, texts, chars = i + 1, [], 0
+    if texts:
+        yield start, texts
+
+
+def _arrow_ids(packed: list[bytes]):
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+def _with(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name not in kinds] + [T.StructField(n, k, False) for n, k in kinds.items()])
+
+
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text_col`` as array<int> in ``out``."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    keep = [n for n in docs.columns if n != out]
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        bpe = tokenizer(path)
         for batch in batches:
-            packed = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype("i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            keep = [n for n in batch.schema.names if n != out]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [ids], names=[*keep, out])
+            for start, texts in _pieces_of_work(batch, text_col):
+                part = batch.slice(start, len(texts))
+                ids = _arrow_ids(tokenizer(path).encode(texts))
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [ids], names=[*keep, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _with(docs.schema, **{out: IDS}))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of the token ids in ``ids_col`` (null: empty) in ``out``."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.StringType(), False)])
+    keep = [n for n in docs.columns if n != out]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = pa.array([tokenizer(path).decode(row.as_py() or []) for row in batch.column(ids_col)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [texts], names=[*keep, out])
+
+    return docs.mapInArrow(run, _with(docs.schema, **{out: T.StringType()}))
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of the resulting ids in one pass over the rows."""
+    keep = [n for n in docs.columns if n not in (ids, out, text_col)]
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         bpe = tokenizer(path)
         for batch in batches:
-            ids = batch.column(ids_col)
-            texts = [bpe.decode(row or []) for row in ids.to_pylist()]
-            keep = [n for n in batch.schema.names if n != out]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [pa.array(texts, pa.string())], names=[*keep, out])
+            for start, texts in _pieces_of_work(batch, text_col):
+                part, packed = batch.slice(start, len(texts)), bpe.encode(texts)
+                decoded = pa.array([bpe.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [_arrow_ids(packed), decoded], names=[*keep, ids, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _with(docs.drop(text_col).schema, **{ids: IDS, out: T.StringType()}))
