@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,17 @@ def keyed_rows(docs: DataFrame, name: str = "__row") -> DataFrame:
 def text_of(col: str | Column = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def slices(batch, text_col: str, chars: int = 2_000_000) -> Iterator:
+    """An Arrow batch in parts of about ``chars`` bytes of text, so that a task's memory follows the longest text only."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    start = 0
+    while start < batch.num_rows:
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + chars, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup
+from . import bpe, decontaminate, exact_dedup, jaccard
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -75,8 +75,35 @@ FROM d LEFT JOIN cover USING (r) LEFT JOIN found USING (r)
 """
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("group_id").alias("class_id"), "n_links")
+
+
+SQL["op10_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)])) END AS grams
+  FROM d),
+k AS (SELECT sha256(array_to_string(grams, '|')) AS c, any_value(grams) AS grams, min(doc_id) AS id FROM s WHERE len(grams) > 0 GROUP BY c),
+g AS (SELECT c, len(grams) AS n, unnest(grams) AS gram FROM k),
+p AS (SELECT x.c AS a, y.c AS b FROM g x JOIN g y ON x.gram = y.gram AND x.c <> y.c GROUP BY x.c, y.c, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*))),
+reach AS (SELECT a, a AS b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+home AS (SELECT a AS c, min(k.id) AS class_id FROM reach JOIN k ON k.c = reach.b GROUP BY a),
+n AS (SELECT a AS c, count(*) AS n_links FROM p GROUP BY a)
+SELECT doc_id, coalesce(home.class_id, k.id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM s LEFT JOIN k ON len(s.grams) > 0 AND k.c = sha256(array_to_string(s.grams, '|'))
+LEFT JOIN home ON home.c = k.c LEFT JOIN n ON n.c = k.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op9_bpe": op9_bpe,
+    "op10_jaccard_join": op10_jaccard_join,
 }
