@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard
+from . import bpe, decontaminate, exact_dedup, jaccard, language_id
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -31,6 +31,17 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(language_id.of_documents(docs, "doc_id"), language_id.fit(docs))
+
+
+def op8_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages, which carry all four kinds of evidence."""
+    pages = table(spark, sf_dir, "pages")
+    return language_id.identify(language_id.of_pages(pages, "page_id"), language_id.fit(table(spark, sf_dir, "documents")))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -104,6 +115,8 @@ LEFT JOIN home ON home.c = k.c LEFT JOIN n ON n.c = k.c
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op8_language_id": op8_language_id,
+    "op8_language_id_pages": op8_language_id_pages,
     "op9_bpe": op9_bpe,
     "op10_jaccard_join": op10_jaccard_join,
 }
