@@ -11,12 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, language_id
+from . import bpe, decontaminate, exact_dedup, jaccard, language_id, pii
 from .common import table
 
 SQL: dict[str, str] = {}
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: str) -> Callable:
+    return lambda s: s["kind"] == kind
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -113,6 +128,7 @@ LEFT JOIN home ON home.c = k.c LEFT JOIN n ON n.c = k.c
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op8_language_id": op8_language_id,
