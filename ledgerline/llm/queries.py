@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, language_id, pii
+from . import bpe, decontaminate, exact_dedup, jaccard, language_id, pii, quality
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -46,6 +46,11 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(language_id.of_documents(docs, "doc_id"), language_id.fit(docs))
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
     "op8_language_id_pages": op8_language_id_pages,
     "op9_bpe": op9_bpe,
