@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, language_id, pii, quality
+from . import bpe, decontaminate, exact_dedup, jaccard, language_id, pii, quality, toxicity
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -46,6 +46,13 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables label one category besides quality, so the chain is: low quality, then toxic."""
+    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    rows = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), categories)
+    return rows.select(F.col("id").alias("doc_id"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -135,6 +142,7 @@ LEFT JOIN home ON home.c = k.c LEFT JOIN n ON n.c = k.c
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
