@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, language_id, pii, quality, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard, language_id, line_dedup, pii, quality, toxicity
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -46,6 +46,28 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    run_starts = F.filter("gone", lambda p, i: (i == 0) | (F.get("gone", i - 1) != p - 1))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"),
+        F.size(run_starts).cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["op3_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+w AS (SELECT *, lead(line) OVER (PARTITION BY r ORDER BY pos) AS line2 FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id NULLS LAST, r, pos) AS nth FROM w WHERE line2 IS NOT NULL),
+gone AS (SELECT DISTINCT r, unnest([pos, pos + 1]) AS pos FROM f WHERE nth > 1 AND length(line) + length(line2) >= 30),
+k AS (SELECT l.*, gone.pos IS NOT NULL AS cut, lag(gone.pos IS NOT NULL, 1, false) OVER (PARTITION BY l.r ORDER BY l.pos) AS before
+      FROM l LEFT JOIN gone ON gone.r = l.r AND gone.pos = l.pos)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE cut AND NOT before) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT cut), '')) AS kept_sha256
+FROM k GROUP BY r
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables label one category besides quality, so the chain is: low quality, then toxic."""
     categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
@@ -142,6 +164,7 @@ LEFT JOIN home ON home.c = k.c LEFT JOIN n ON n.c = k.c
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
