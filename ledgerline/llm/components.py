@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -16,18 +16,20 @@ def components(edges: DataFrame) -> DataFrame:
     execution splits). Rounds are stored; they end when the edges stay the same,
     after a number that grows with the logarithm of the longest path.
     """
-    edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
+        seen = Observation()
+        edges = stored(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        now = seen.get
+        if now == before or not now["n"]:
             break
         before = now
-        both = stored(edges.union(edges.select("b", "a")), "both")
-        least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least")
-        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "large")
-        least = stored(large.groupBy("a").agg(F.min("b").alias("least")), "least")
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        edges = stored(small.union(least).where("a != b").distinct(), "edges")
-    roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return stored(roots.union(roots.select("root", "root").distinct()), "roots")
+        edges = small.union(least).where("a != b").distinct()
+    # now every node has one edge, to its root
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

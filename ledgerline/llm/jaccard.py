@@ -45,7 +45,8 @@ from .common import keyed_rows, slices, stored
 from .components import components
 
 MINHASHES, DEPTH, MAX_DEPTH = 128, 3, 6
-BUCKET, BLOCK, MARGIN = 1024, 256, 4.0
+BUCKET, MARGIN = 4096, 4.0
+BLOCK, BLOCK_BYTES = 1024, 16 << 20  # sets, and bytes of their hashes, in a block of exact comparisons
 BROADCAST_ROWS = 1_000_000
 
 
@@ -70,7 +71,7 @@ def minhashes(found):
     at[at == len(first)] = 0
     full = stripe[first][at]
     away = ((full - np.arange(MINHASHES)) % MINHASHES).astype("u8")
-    return (mix(found[first][at] + away) & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return (mix(found[first][at] + away) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def describe(rows: DataFrame, shingle: int) -> DataFrame:
@@ -111,7 +112,7 @@ def split(sets: DataFrame, threshold: float, levels: int, runs: int = 0) -> Data
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, MINHASHES).astype("u8")
+                values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, MINHASHES).astype("u8")
                 row = np.arange(batch.num_rows)
                 path = batch.column("path").to_numpy().view("u8") if not runs else mix(np.repeat(np.arange(1, runs + 1, dtype="u8"), len(row)))
                 row = row if not runs else np.tile(row, runs)
@@ -129,15 +130,13 @@ def split(sets: DataFrame, threshold: float, levels: int, runs: int = 0) -> Data
     return sets.mapInArrow(run, "node long, path long")
 
 
-def blocks(members: DataFrame, group: str, block: int) -> DataFrame:
-    """Members of groups (``m``: the group's size) dealt to units in which every pair of a group meets.
+def blocks(members: DataFrame, group: str) -> DataFrame:
+    """Members of groups dealt to units in which every pair of a group meets.
 
-    A group of more than ``block`` members is cut in blocks by a hash of the
-    member; a unit is a pair of blocks (i <= j). Adds ``unit`` and ``side``:
+    A group is cut in ``cuts`` blocks by a hash of the member; a unit is a pair of blocks (i <= j). Adds ``unit`` and ``side``:
     0 or 1 for the two blocks of a pair, 2 where a unit is one block with itself.
     """
-    dealt = members.withColumn("cuts", F.ceil(F.col("m") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
     return dealt.select(
         *members.columns, F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
@@ -199,7 +198,7 @@ def bucket_edges(dealt: DataFrame, threshold: float) -> DataFrame:
 
         for unit in _units(batches):
             node, n, side = (unit.column(c).to_numpy() for c in ("node", "n", "side"))
-            sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), "<u4").reshape(-1, MINHASHES)
+            sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), "<u2").reshape(-1, MINHASHES)
             columns, forest = np.ascontiguousarray(sig.T), Forest(len(node))
             for at in range(0, len(node), 128):
                 stop = min(at + 128, len(node))
@@ -217,11 +216,11 @@ def bucket_edges(dealt: DataFrame, threshold: float) -> DataFrame:
                 a, b = np.array(forest.edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+    return dealt.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
 
 
 def with_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, root, m, text) -> (node, root, m, n, set): the shingle hashes as bytes."""
+    """(node, root, cuts, text) -> (node, root, cuts, n, set): the shingle hashes as bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -232,10 +231,10 @@ def with_sets(rows: DataFrame, shingle: int) -> DataFrame:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("root"), part.column("m"), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "m", "n", "set"])
+                    [part.column("node"), part.column("root"), part.column("cuts"), pa.array([len(s) for s in sets], pa.int32()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "cuts", "n", "set"])
 
-    return rows.select("node", "root", "m", "text").mapInArrow(run, "node long, root long, m long, n int, set binary")
+    return rows.select("node", "root", "cuts", "text").mapInArrow(run, "node long, root long, cuts int, n int, set binary")
 
 
 def common_counts(sets: list):
@@ -283,7 +282,7 @@ def exact_links(dealt: DataFrame, threshold: float) -> DataFrame:
                 [pa.array(np.concatenate([node[own], node[a]])), pa.array(np.concatenate([np.zeros(len(own), "i8"), node[b]]), mask=np.arange(len(own) + len(a)) < len(own)),
                  pa.array(np.concatenate([links[own], np.zeros(len(a), "i8")]))], names=["a", "b", "links"])
 
-    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long, links long")
+    return dealt.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long, links long")
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -305,7 +304,8 @@ def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> Dat
             break
         further = paths.join(large.select("path"), "path").join(classes.select("node", "sig"), "node")
         paths = stored(split(further.select("node", "sig", "path"), threshold, 1), "paths")
-    dealt = blocks(leaves, "path", BUCKET).join(classes.select("node", "n", "sig"), "node")
+    leaves = leaves.select("path", "node", F.ceil(F.col("m") / BUCKET).cast("int").alias("cuts"))
+    dealt = blocks(leaves, "path").join(classes.select("node", "n", "sig"), "node")
     return components(bucket_edges(dealt, threshold))
 
 
@@ -321,10 +321,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["n", "d1", "d2"]
     classes = stored(every.where("n > 0").groupBy(*key).agg(F.min("__row").alias("node"), F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     candidates = candidate_groups(classes, threshold, recall)
-    sizes = stored(candidates.groupBy("root").agg(F.count("*").alias("m")), "sizes")
-    candidates = stored(candidates.join(sizes, "root"), "candidates")
+    candidates = stored(candidates.join(classes.select("node", "n"), "node"), "candidates")
+    cuts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(8.0 * F.col("n")) / BLOCK_BYTES)).cast("int").alias("cuts")
+    candidates = stored(candidates.join(stored(candidates.groupBy("root").agg(cuts), "sizes"), "root").select("node", "root", "cuts"), "candidates")
     texts = keyed.join(bounded(candidates.withColumnRenamed("node", "__row")), "__row").withColumnRenamed("__row", "node")
-    found = stored(exact_links(blocks(with_sets(texts, shingle), "root", BLOCK), threshold), "links")
+    found = stored(exact_links(blocks(with_sets(texts, shingle), "root"), threshold), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     roots = components(found.where("b is not null").select("a", "b"))
     placed = classes.drop("sig").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
