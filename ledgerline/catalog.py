@@ -756,15 +756,15 @@ def raw_upload(spark, sf) -> DataFrame:
 
 
 def city_map(spark, sf) -> DataFrame:
-    """A city -> state map derived from the nation/region tables (even nation keys)."""
+    """A city -> state map derived from the nation/region tables."""
     n = T.table(spark, sf, "nation").alias("n")
     r = T.table(spark, sf, "region").alias("r")
-    return (n.join(r, F.col("n.n_regionkey") == F.col("r.r_regionkey")).where(F.col("n.n_nationkey") % 2 == 0)
+    return (n.join(r, F.col("n.n_regionkey") == F.col("r.r_regionkey"))
              .select(F.upper(F.col("n.n_name")).alias("CITY_KEY"), F.col("r.r_name").alias("MAPPED_STATE")))
 
 
 CITY_MAP_SQL = """city_map AS (SELECT upper(n.n_name) AS CITY_KEY, r.r_name AS MAPPED_STATE
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey % 2 = 0)"""
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
 
 @query("c1_c2_standardize_headers", O.with_dirty(
@@ -1003,23 +1003,22 @@ def m1_inr_format(spark, sf):
 @query("g20_insights", O.with_sales(f"""
 SELECT kind, value, text FROM (
   SELECT 'concentration' AS kind, pct AS value,
-         CASE WHEN pct > 60.0 THEN printf('HIGH CONCENTRATION: Top 3 customers account for %.1f%% of revenue.', pct)
-              ELSE printf('HEALTHY MIX: Top 3 customers account for %.1f%% of revenue.', pct) END AS text
+         printf('The 3 largest customers bring %.1f%% of revenue (%s).', pct, CASE WHEN pct > 60.0 THEN 'concentrated' ELSE 'spread' END) AS text
   FROM (SELECT ROUND(CAST(top AS DOUBLE) / CAST(total AS DOUBLE) * 100, 1) AS pct, total FROM
           (SELECT SUM(v) AS top FROM (SELECT v FROM ({_rev_by('CUSTOMER_NAME')}) ORDER BY v DESC, CUSTOMER_NAME LIMIT 3)),
           (SELECT SUM(v) AS total FROM ({_rev_by('CUSTOMER_NAME')}))) WHERE total > 0
   UNION ALL
-  SELECT 'portfolio', share, printf('PORTFOLIO: %d material groups active. ''%s'' leads with %.1f%% share.', active, substr(value, 1, 30), share)
+  SELECT 'portfolio', share, printf('%d product groups sold; largest: %s with %.1f%% of revenue.', active, value, share)
   FROM (SELECT arg_min(ITEM_NAME_GROUP, (-v, ITEM_NAME_GROUP)) AS value, count(*) AS active,
                CASE WHEN SUM(v) > 0 THEN ROUND(CAST(max(v) AS DOUBLE) / CAST(SUM(v) AS DOUBLE) * 100, 1) ELSE 0.0 END AS share
         FROM ({_rev_by('ITEM_NAME_GROUP')}))
   UNION ALL
-  SELECT 'order_size', aov, 'ORDER SIZE: Average order value is ' || {inr_sql('aov')} ||
-         CASE WHEN aov < 50000.0 THEN ' - consider bundling strategies to increase order size.' ELSE ' - strong per-order commitment.' END
+  SELECT 'order_size', aov, 'Mean order value ' || {inr_sql('aov')} ||
+         CASE WHEN aov < 50000.0 THEN ' (below the threshold).' ELSE ' (at or above the threshold).' END
   FROM (SELECT CASE WHEN COUNT(DISTINCT INVOICE_NO) > 0 THEN CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) / COUNT(DISTINCT INVOICE_NO) ELSE 0.0 END AS aov
         FROM sales) WHERE aov > 0
   UNION ALL
-  SELECT 'geography', CAST(count(*) AS DOUBLE), printf('GEOGRAPHY: Active across %d states. Top state: %s.', count(*), arg_min(STATE, (-v, STATE)))
+  SELECT 'geography', CAST(count(*) AS DOUBLE), printf('Sales in %d states; largest: %s.', count(*), arg_min(STATE, (-v, STATE)))
   FROM ({_rev_by('STATE')}))"""))
 def g20_insights(spark, sf):
     return G.insights(T.sales(spark, sf))
@@ -1063,17 +1062,17 @@ def i4_lowess_trend(spark, sf):
 
 # ------------------------------------------------------------------ J: geography
 def region_coords(spark, sf) -> DataFrame:
-    """State coordinates derived from the region table (regions 0..2; others fall back)."""
+    """State coordinates derived from the region table."""
     r = T.table(spark, sf, "region")
-    return r.where(F.col("r_regionkey") < 3).select(
+    return r.select(
         F.initcap(F.col("r_name")).alias("name"), (F.col("r_regionkey") * 10.5 + 5.25).alias("lat"),
         (F.col("r_regionkey") * -20.25 + 70.5).alias("lon"))
 
 
 def nation_coords(spark, sf) -> DataFrame:
-    """City coordinates derived from the nation table (even keys; others unmatched)."""
+    """City coordinates derived from the nation table."""
     n = T.table(spark, sf, "nation")
-    return n.where(F.col("n_nationkey") % 2 == 0).select(
+    return n.select(
         F.col("n_name").alias("name"), (F.col("n_nationkey") * 1.5).alias("lat"), (F.col("n_regionkey") * 12.0).alias("lon"))
 
 
@@ -1081,7 +1080,7 @@ def nation_coords(spark, sf) -> DataFrame:
 SELECT s.STATE, s.Revenue, COALESCE(c.lat, 20.5937) AS lat, COALESCE(c.lon, 78.9629) AS lon
 FROM (SELECT STATE, CAST(SUM(AMOUNT) AS DOUBLE) AS Revenue FROM sales WHERE STATE IS NOT NULL GROUP BY STATE) s
 LEFT JOIN (SELECT upper(r_name) AS k, r_regionkey * 10.5 + 5.25 AS lat, r_regionkey * -20.25 + 70.5 AS lon
-           FROM region WHERE r_regionkey < 3) c ON upper(trim(s.STATE)) = c.k"""))
+           FROM region) c ON upper(trim(s.STATE)) = c.k"""))
 def j1_state_coords(spark, sf):
     g = T.sales(spark, sf).groupBy(M.STATE).agg(F.sum(M.AMOUNT).cast("double").alias("Revenue"))
     return J.add_state_coords(g, region_coords(spark, sf))
@@ -1090,7 +1089,7 @@ def j1_state_coords(spark, sf):
 @query("j2_city_coords", O.with_sales("""
 SELECT s.CITY, s.Revenue, c.lat, c.lon
 FROM (SELECT CITY, CAST(SUM(AMOUNT) AS DOUBLE) AS Revenue FROM sales WHERE CITY IS NOT NULL GROUP BY CITY) s
-JOIN (SELECT upper(n_name) AS k, n_nationkey * 1.5 AS lat, n_regionkey * 12.0 AS lon FROM nation WHERE n_nationkey % 2 = 0) c
+JOIN (SELECT upper(n_name) AS k, n_nationkey * 1.5 AS lat, n_regionkey * 12.0 AS lon FROM nation) c
   ON upper(s.CITY) = c.k"""))
 def j2_city_coords(spark, sf):
     g = T.sales(spark, sf).groupBy(M.CITY).agg(F.sum(M.AMOUNT).cast("double").alias("Revenue"))
@@ -1186,7 +1185,7 @@ def n1_n4_stream_ingest(spark, sf):
     q = start_ingest(spark, src, dst, ck, T.customer_master(spark, sf), city_map=city_map(spark, sf),
                      trigger={"availableNow": True}, files_per_trigger=1)
     q.awaitTermination()
-    out = spark.read.parquet(dst).drop("batch_id", M.FY_START, M.MONTH_START)
+    out = B.read_table(spark, dst).drop("batch_id", M.FY_START, M.MONTH_START).withColumnRenamed(M.TENANT, M.TENANT.upper())
     return _out(out)
 
 
@@ -1212,7 +1211,12 @@ def questions(spark, sf) -> DataFrame:
                   F.concat(F.lit("total revenue for "), F.lower(F.col("p_type")), F.lit(" items in 2001")).alias("text"))
     q5 = r.select(F.concat(F.lit("s"), F.col("r_regionkey")).alias("q_id"),
                   F.concat(F.lit("Which state is best by invoices?")).alias("text"))
-    return q1.unionByName(q2).unionByName(q3).unionByName(q4).unionByName(q5)
+    # more than there are of the dimension, and a number beyond 64 bits
+    q6 = r.select(F.concat(F.lit("k"), F.col("r_regionkey")).alias("q_id"),
+                  F.concat(F.lit("Top 99999999999 products in "), F.col("r_name"), F.lit("!")).alias("text"))
+    q7 = r.select(F.concat(F.lit("x"), F.col("r_regionkey")).alias("q_id"),
+                  F.concat(F.lit("top 999999999999999999999999 states in 2001 by volume")).alias("text"))
+    return q1.unionByName(q2).unionByName(q3).unionByName(q4).unionByName(q5).unionByName(q6).unionByName(q7)
 
 
 
@@ -1229,7 +1233,11 @@ L_CTES = [r"""questions AS (
   UNION ALL
   SELECT 't-' || p_type, 'total revenue for ' || lower(p_type) || ' items in 2001' FROM (SELECT DISTINCT p_type FROM part)
   UNION ALL
-  SELECT 's' || r_regionkey, 'Which state is best by invoices?' FROM region)""",
+  SELECT 's' || r_regionkey, 'Which state is best by invoices?' FROM region
+  UNION ALL
+  SELECT 'k' || r_regionkey, 'Top 99999999999 products in ' || r_name || '!' FROM region
+  UNION ALL
+  SELECT 'x' || r_regionkey, 'top 999999999999999999999999 states in 2001 by volume' FROM region)""",
 r"""dict_all AS (
   SELECT DISTINCT lower(STATE) AS key, 'STATE' AS col, STATE AS value, 0 AS prio FROM sales WHERE STATE IS NOT NULL
   UNION ALL SELECT DISTINCT lower(CUSTOMER_NAME), 'CUSTOMER_NAME', CUSTOMER_NAME, 1 FROM sales WHERE CUSTOMER_NAME IS NOT NULL
@@ -1251,7 +1259,7 @@ r"""intents AS (SELECT q_id, metric, shape, CASE WHEN shape = 'top' THEN k END A
     CASE WHEN contains(t, 'quantity') OR contains(t, 'qty') OR contains(t, 'volume') OR contains(t, 'units') THEN 'QTY'
          WHEN contains(t, 'count') OR contains(t, 'orders') OR contains(t, 'invoices') THEN 'INVOICE_NO' ELSE 'AMOUNT' END AS metric,
     CASE WHEN contains(t, 'top') OR contains(t, 'best') THEN 'top' ELSE 'total' END AS shape,
-    CASE WHEN regexp_extract(t, 'top (\d+)', 1) <> '' THEN CAST(regexp_extract(t, 'top (\d+)', 1) AS INTEGER) ELSE 5 END AS k,
+    CASE WHEN regexp_extract(t, 'top (\d+)', 1) <> '' THEN coalesce(TRY_CAST(regexp_extract(t, 'top (\d+)', 1) AS BIGINT), 9223372036854775807) ELSE 5 END AS k,
     CASE WHEN contains(t, 'customer') THEN 'CUSTOMER_NAME' WHEN contains(t, 'product') OR contains(t, 'item') THEN 'MATERIALGROUP'
          WHEN contains(t, 'state') OR contains(t, 'region') THEN 'STATE' ELSE 'CUSTOMER_NAME' END AS dim
   FROM (SELECT q_id, lower(trim(text)) AS t FROM questions)))""",
@@ -1360,3 +1368,6 @@ SELECT ITEM_NAME_GROUP, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Ord
   FROM sales WHERE CITY = 'NATION_3' AND ITEM_NAME_GROUP IS NOT NULL GROUP BY 1)"""))
 def g24_city_report_groups(spark, sf):
     return G.report(T.sales(spark, sf), "city", "NATION_3")["groups"]
+
+
+from . import catalog_io  # noqa: E402, F401  (registers the read-back queries)

@@ -59,10 +59,7 @@ HEADER_SYNONYMS = [
 REGION_COLUMNS = ["REGION", "PROVINCE", "TERRITORY"]
 
 # FIXED VALUES: preferred column order for the snapshot table.
-PREFERRED_ORDER = [
-    "DATE", "INVOICE_NO", "CUSTOMER_NAME", "CITY", "STATE", "ITEMNAME",
-    "ITEM_NAME_GROUP", "MATERIALGROUP", "QTY", "RATE", "AMOUNT",
-]
+PREFERRED_ORDER = ["DATE", "MONTH", "FINANCIAL_YEAR", "INVOICE_NO", "CUSTOMER_NAME", "ITEMNAME", "QTY", "RATE", "AMOUNT"]
 
 # FIXED VALUES: city -> state fallback map (one key appears twice in the source
 # with the same value; listed once here).

@@ -47,43 +47,36 @@ def month_start(date) -> Column:
     return F.trunc(F.to_date(_c(date)), "month")
 
 
-def money(c) -> Column:
-    """Exact money -> double at the output edge."""
-    return _c(c).cast("double")
-
-
-def pct(num, den, dp: int = 1) -> Column:
-    """``num/den*100`` rounded half-up, NULL when den is 0 or NULL."""
-    n, d = _c(num).cast("double"), _c(den).cast("double")
-    return F.round(F.when(d != 0, n / d * 100), dp)
-
-
-def pct_or_zero(num, den, dp: int = 1) -> Column:
-    """Change-style percentage that is 0 when the base is not positive."""
-    n, d = _c(num).cast("double"), _c(den).cast("double")
-    return F.round(F.when(d > 0, (n - d) / d * 100).otherwise(F.lit(0.0)), dp)
-
-
-def inr(c, prefix: str = "₹", dp: int = 2) -> Column:
-    """M1: Indian currency text — Cr / L / K with ``dp`` decimals at or above
-    1 000, a grouped whole number below (negatives fall below, as in the
-    reference). Scaling multiplies exact decimals (money fits decimal(20,4),
-    the factor decimal(9,8)), so the rounding is half-up on the exact value."""
+def inr(c, prefix: str = "₹", dp: int = 2, thousand_dp: int | None = None, by_magnitude: bool = False) -> Column:
+    """M1: Indian currency text — Cr / L / K with ``dp`` decimals (``thousand_dp`` for K)
+    at or above 1 000, a grouped whole number below. ``by_magnitude`` scales negative
+    amounts too; else they are written out. Scaling multiplies exact decimals, so
+    rounding is half-up on the exact value."""
     v = _c(c).cast("decimal(20,4)")
+    size = F.abs(v) if by_magnitude else v
     sym = f"{prefix} " if prefix else ""
 
-    def unit(scale: int, suffix: str) -> Column:
+    def unit(scale: int, suffix: str, places: int) -> Column:
         factor = F.lit(Decimal(1) / Decimal(scale)).cast("decimal(9,8)")
-        scaled = F.round(v * factor, dp)
-        return F.concat(F.lit(sym), scaled.cast(f"decimal(38,{dp})").cast("string"), F.lit(f" {suffix}"))
+        return F.concat(F.lit(sym), F.round(v * factor, places).cast(f"decimal(38,{places})").cast("string"), F.lit(f" {suffix}"))
 
     small = F.concat(F.lit(sym), F.format_number(F.round(v, 0), 0))
-    return (F.when(v >= CRORE, unit(CRORE, "Cr"))
-            .when(v >= LAKH, unit(LAKH, "L"))
-            .when(v >= THOUSAND, unit(THOUSAND, "K"))
+    return (F.when(size >= CRORE, unit(CRORE, "Cr", dp))
+            .when(size >= LAKH, unit(LAKH, "L", dp))
+            .when(size >= THOUSAND, unit(THOUSAND, "K", dp if thousand_dp is None else thousand_dp))
             .otherwise(small))
 
 
+def inr_signed(c) -> Column:
+    """M1 for documents: "Rs.", scaled by magnitude with the sign kept, one decimal for K."""
+    return inr(c, "Rs.", thousand_dp=1, by_magnitude=True)
+
+
+def inr_compact(c) -> Column:
+    """M1 for chart axes: the magnitude without currency, one decimal for Cr and L, none for K."""
+    return inr(F.abs(_c(c)), "", dp=1, thousand_dp=0)
+
+
 def regex_literal(word: str) -> str:
     """Escape regex metacharacters only (spaces stay plain, valid in Java and RE2)."""
     import re

@@ -64,8 +64,7 @@ def rank_edges(df: DataFrame, col: str, key: str, name: str) -> DataFrame:
     2 per quantile), so the edge computation never gathers the column.
     """
     n = df.agg(F.count(F.lit(1)).alias("__n"))
-    r = with_total(running_sum(df.where(F.col(col).isNotNull()), col, key, None, "__r", descending=False,
-                               materialized=True), n)
+    r = with_total(running_sum(df.where(F.col(col).isNotNull()), col, key, None, "__r", descending=False), n)
     pos = [(F.col("__n") - 1) * F.lit(q) for q in QUARTILES]
     idx = F.col("__r") - 1
     keep = None
@@ -90,8 +89,8 @@ def below(v: Column, edges: str) -> Column:
 
 
 def _with_edges(base: DataFrame) -> DataFrame:
-    r = percentile_edges(base, "Recency", "__er")
-    f = percentile_edges(base, "Frequency", "__ef")
+    r = percentile_edges(base, "Recency", "__er")  # whole days: bounded by the calendar
+    f = rank_edges(base, "Frequency", M.CUSTOMER, "__ef")
     m = rank_edges(base, "__money", M.CUSTOMER, "__em")
     return with_total(with_total(with_total(base, r), f), m)
 
@@ -131,7 +130,7 @@ def rfm_labels(df: DataFrame, min_customers: int = 4) -> DataFrame:
     rules override earlier ones. Empty below ``min_customers`` customers."""
     base = materialize(rfm_base(df))
     b = _with_edges(base)
-    b = running_sum(b, "Frequency", M.CUSTOMER, None, "__rank", descending=False, materialized=True)
+    b = running_sum(b, "Frequency", M.CUSTOMER, None, "__rank", descending=False)
     n = base.agg(F.count(F.lit(1)).alias("__n"))
     b = with_total(b, n).where(F.col("__n") >= min_customers)
     rb = below(F.col("Recency"), "__er")
@@ -182,6 +181,9 @@ def churn_scores(features: DataFrame, min_customers: int = 10, churn_days: int =
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    from ..plans.common import materialize
+
+    features = materialize(features)  # one row per customer: statistics, scaler, forest and scores read it, not the fact
     stats = features.agg(F.count(F.lit(1)).alias("n"), F.min("Is_Churned").alias("lo"),
                          F.max("Is_Churned").alias("hi")).first()  # 1-row scalar, decides the plan
     out_cols = [M.CUSTOMER, *FEATURES, "Is_Churned"]

@@ -137,15 +137,16 @@ def month_label_start(label) -> Column:
 def filter_options(df: DataFrame) -> DataFrame:
     """Sorted distinct values per dimension as rows (dim, value, ord).
 
-    One scan: the dimension columns are unpivoted and de-duplicated with a
-    partial (map-side) distinct, so a large customer list never lands in one
-    task. MONTH's ``ord`` is yyyymm of the label; others 0 (sort by value).
+    One scan: rows are first reduced to the distinct combinations of the
+    dimensions (map-side partial distinct), and only these are unpivoted; a large
+    customer list never lands in one task. MONTH's ``ord`` is yyyymm of the
+    label; others 0 (sort by value).
     """
     grp = M.material_group_col(df)
     dims = [(M.STATE, "states"), (M.CITY, "cities"), (M.CUSTOMER, "customers"),
             (grp, "material_groups"), (M.FY, "fiscal_years"), (M.MONTH, "months")]
     dims = [(c, n) for c, n in dims if c is not None and c in df.columns]
-    stacked = df.select(F.explode(F.array(*[
+    stacked = df.select(*[F.col(c) for c, _ in dims]).distinct().select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("dim"), F.col(c).cast("string").alias("value")) for c, n in dims
     ])).alias("s")).select("s.dim", "s.value")
     up = F.upper(F.col("value"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,15 +180,31 @@ def fill_state_from_city(df: DataFrame, city_map: DataFrame | None = None,
 
 
 # ---------------------------------------------------------------- C7–C10
-# FIXED VALUES: accepted date formats for text dates, tried in order.
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy",
-                "dd-MMM-yyyy", "dd-MMM-yy"]
+# FIXED VALUES: accepted date formats for text dates, tried in order; between them the ones with
+# figures only, whose order of day and month is a parameter (month first by default).
+ISO_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd"]
+MONTH_FIRST = ["M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy", "M-d-yyyy HH:mm:ss", "M-d-yyyy", "M.d.yyyy", "M/d/yy"]
+DAY_FIRST = ["d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy", "d-M-yyyy HH:mm:ss", "d-M-yyyy", "d.M.yyyy", "d/M/yy"]
+NAMED_FORMATS = ["d-MMM-yyyy", "d MMM yyyy", "d-MMM-yy", "d MMM yy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy"]
 
 
-def parse_date(c, formats=DATE_FORMATS) -> Column:
-    """Text -> timestamp, unparsable -> NULL (never raises)."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats])
+def date_formats(day_first: bool = False) -> list[str]:
+    """All formats; figures read in the preferred order, and in the other one where that gives no date."""
+    first, second = (DAY_FIRST, MONTH_FIRST) if day_first else (MONTH_FIRST, DAY_FIRST)
+    return [*ISO_FORMATS, *first, *second, *NAMED_FORMATS]
+
+
+def parse_date(c, formats: list[str] | None = None, day_first: bool = False) -> Column:
+    """Text -> timestamp, unparsable -> NULL (never raises; ``unparsed_dates`` counts them)."""
+    col = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats or date_formats(day_first)])
+
+
+def unparsed_dates(df: DataFrame, date_col: str = M.DATE, day_first: bool = False) -> DataFrame:
+    """One row: non-blank text dates, and how many of them no format reads."""
+    text = F.trim(F.col(date_col)) != ""
+    bad = text & parse_date(date_col, day_first=day_first).isNull()
+    return df.agg(F.count(F.when(text, 1)).alias("dates"), F.count(F.when(bad, 1)).alias("unparsed"))
 
 
 def add_calendar(df: DataFrame, date_col: str = M.DATE) -> DataFrame:
@@ -274,11 +290,26 @@ def add_taxes(df: DataFrame, home_state: str = HOME_STATE, rate: str = TAX_RATE)
 
 # ---------------------------------------------------------------- C15–C17
 def surrogate_invoice(df: DataFrame) -> DataFrame:
-    """INVOICE_NO from a 64-bit hash of the row when the column is absent
-    (a global row number would need one task to number every row)."""
+    """When the column is absent, each line is an invoice of its own.
+
+    The number is the hash of the row and its number among equal rows, so
+    identical lines stay apart and a re-read upload gets the same numbers. The
+    window is per (row hash, part of the input), counted up by the parts before:
+    equal rows that make up a third of the upload are numbered part by part.
+    """
     if M.INVOICE_NO in df.columns:
         return df
-    return df.withColumn(M.INVOICE_NO, F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    from ..plans.common import materialize
+
+    rows = materialize(df.select(*cols, F.xxhash64(*cols).alias("__hash"), F.monotonically_increasing_id().alias("__at")))
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy("__hash", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__hash").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("__hash", "__part", before.alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__hash", "__part").orderBy("__at")) + F.col("__before")
+    out = rows.join(offsets, ["__hash", "__part"]).withColumn(M.INVOICE_NO, F.concat_ws("-", F.col("__hash").cast("string"), nth.cast("string")))
+    return out.select(*cols, M.INVOICE_NO)
 
 
 def tag_tenant(df: DataFrame, tenant_id: str) -> DataFrame:
@@ -304,11 +335,13 @@ class IngestConfig:
 
 
 def ingest(raw: DataFrame, master: DataFrame | None = None, cfg: IngestConfig = IngestConfig(),
-           city_map: DataFrame | None = None, coerce=None) -> DataFrame:
+           city_map: DataFrame | None = None, coerce=None, tenant_id: str | None = None) -> DataFrame:
     """C18, API order: headers -> (type coercion for text uploads) -> state
     coalesce -> master -> city fallback -> calendar -> defaults -> map ->
-    exclude -> taxes. One lazy plan."""
+    exclude -> taxes. One lazy plan. ``tenant_id`` (C16) replaces a tenant column of the upload."""
     df = standardize_headers(raw)
+    if tenant_id is not None:
+        df = tag_tenant(df.drop(*[c for c in df.columns if c.upper() == M.TENANT.upper()]), tenant_id)
     if coerce is not None:
         df = coerce(df)
     if cfg.normalise_values:

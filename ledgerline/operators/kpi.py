@@ -44,17 +44,22 @@ def kpi_summary(df: DataFrame) -> DataFrame:
 
 
 def kpi_extended(df: DataFrame) -> DataFrame:
-    """E1 plus quantity, distinct items and distinct groups."""
+    """E1 plus quantity, distinct items and distinct groups.
+
+    Lines are reduced per (invoice, customer), and to the distinct (item,
+    group) pairs, before anything distinct is counted."""
     q = M.qty_col(df)
-    grp = M.dashboard_group_col(df)
-    agg = df.agg(
+    grp, item = M.dashboard_group_col(df), M.item_col(df)
+    quantity = (F.sum(q) if q else F.lit(0.0)).alias("__q")
+    per_invoice = df.groupBy(M.INVOICE_NO, M.CUSTOMER).agg(F.sum(M.AMOUNT).alias(M.AMOUNT), quantity)
+    agg = per_invoice.agg(
         revenue().alias("revenue"),
         F.count_distinct(M.INVOICE_NO).alias("orders"),
         F.count_distinct(M.CUSTOMER).alias("customers"),
-        (F.coalesce(F.sum(q), F.lit(0.0)) if q else F.lit(0.0)).cast("double").alias("quantity"),
-        F.count_distinct(M.item_col(df)).alias("items"),
-        F.count_distinct(grp).alias("groups"),
+        F.coalesce(F.sum("__q"), F.lit(0.0)).cast("double").alias("quantity"),
     )
+    pairs = df.select(F.col(item).alias("__i"), F.col(grp).alias("__g")).distinct()
+    agg = with_total(agg, pairs.agg(F.count_distinct("__i").alias("items"), F.count_distinct("__g").alias("groups")))
     return agg.withColumn("average_order_value", _aov(F.col("revenue"), F.col("orders")))
 
 
@@ -134,20 +139,18 @@ def goals(kpi: DataFrame, revenue_target: float | None = None, orders_target: in
 def mtd_growth(df: DataFrame) -> DataFrame:
     """E5: month-to-date up to the latest date vs the same day span last month.
 
-    The latest date is a 1-row aggregate joined back (broadcast); the previous
+    The latest date is a scalar subquery; the fact is then filtered to the two
+    months before anything is summed (the filter reaches the scan). The previous
     span ends one month earlier, clamped to that month's end (timestamp minus a
     month interval clamps, as the reference's fallback does).
     """
     d = F.col(M.DATE)
-    # one row per distinct timestamp (map-side partial sums): the max and both
-    # windows are then read from that small table instead of scanning the fact twice
-    per_ts = df.where(d.isNotNull()).groupBy(M.DATE).agg(F.sum(M.AMOUNT).alias(M.AMOUNT))
-    mx = per_ts.agg(F.max(M.DATE).alias("__mx"))
-    b = with_total(per_ts, mx)
-    mxc = F.col("__mx")
+    mxc = df.agg(F.max(M.DATE).alias("__mx")).scalar()
     cur_start = F.date_trunc("month", mxc)
     prev_end = mxc - F.expr("INTERVAL 1 MONTH")
     prev_start = F.date_trunc("month", prev_end)
+    kind = df.schema[M.DATE].dataType
+    b = df.where(d >= prev_start.cast(kind))
     a = b.agg(
         F.coalesce(F.sum(F.when((d >= cur_start) & (d <= mxc), F.col(M.AMOUNT))), F.lit(0)).cast("double").alias("current_mtd"),
         F.coalesce(F.sum(F.when((d >= prev_start) & (d <= prev_end), F.col(M.AMOUNT))), F.lit(0)).cast("double").alias("previous_mtd"),

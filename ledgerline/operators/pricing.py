@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..plans.common import keyed
+from ..plans.common import keyed, top_k
 
 
 def product_col(df: DataFrame) -> str:
@@ -33,12 +33,14 @@ def unit_prices(df: DataFrame) -> DataFrame:
 
 
 def _top_products(pe: DataFrame, material: str | None, product: str, top: int) -> DataFrame:
-    """The ``top`` products by revenue inside each material group (a window
-    per material group over one row per product)."""
+    """The ``top`` products by revenue inside each material group (a window per
+    material group over one row per product; without one, an ordered limit)."""
     keys = [material, product] if material else [product]
     g = keyed(pe, *keys).groupBy(*keys).agg(F.sum(M.AMOUNT).alias("__rev"))
-    w = (Window.partitionBy(material) if material else Window.partitionBy(F.lit(0))).orderBy(
-        F.col("__rev").desc(), F.col(product).asc())
+    order = [F.col("__rev").desc(), F.col(product).asc()]
+    if not material:
+        return top_k(g, top, *order).select(*keys)
+    w = Window.partitionBy(material).orderBy(*order)
     return g.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top).select(*keys)
 
 
@@ -70,11 +72,16 @@ def price_stats(df: DataFrame, top: int = 50, dp: int = 6) -> DataFrame:
                    F.round(F.stddev_samp("UNIT_PRICE"), dp).alias("price_stddev")))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, frac: float = 2.0 / 3.0, it: int = 3, chunk: int = 512) -> np.ndarray:
+def lowess(x: np.ndarray, y: np.ndarray, frac: float = 2.0 / 3.0, it: int = 3, grid: int = 400) -> np.ndarray:
     """Locally weighted linear regression (tricube weights over the nearest
     ``frac`` of points, ``it`` robustifying passes with bisquare weights),
-    evaluated at each ``x``. Vectorised over rows in chunks of ``chunk``
-    (memory chunk x n)."""
+    evaluated at each ``x``.
+
+    Up to ``grid`` points the fit is made at every point. Beyond, it is made at
+    ``grid`` points spread evenly over the order of the distinct x (first and last
+    included) and interpolated between them, as smoothers do for long curves: time
+    grows as grid x n and memory as n.
+    """
     n = len(x)
     if n == 0:
         return np.array([], dtype=float)
@@ -83,30 +90,41 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float = 2.0 / 3.0, it: int = 3, c
     order = np.argsort(x, kind="stable")
     xs, ys = np.asarray(x, float)[order], np.asarray(y, float)[order]
     r = min(max(int(np.ceil(frac * n)), 2), n)
-    # the neighbourhood radius does not change across robustness passes
-    radius = np.concatenate([
-        np.partition(np.abs(xs[None, :] - xs[lo:lo + chunk, None]), r - 1, axis=1)[:, r - 1]
-        for lo in range(0, n, chunk)])
+    values = np.unique(xs)
+    at = values if len(values) <= grid else values[np.unique(np.round(np.linspace(0, len(values) - 1, grid)).astype(int))]
+
+    def window(x0: float) -> tuple[slice, float]:
+        """The ``r`` nearest points, a slice of the sorted x found by bisection on its left end."""
+        lo, hi = 0, n - r
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if x0 - xs[mid] > xs[mid + r] - x0:
+                lo = mid + 1
+            else:
+                hi = mid
+        radius = max(x0 - xs[lo], xs[lo + r - 1] - x0)
+        return slice(np.searchsorted(xs, x0 - radius), np.searchsorted(xs, x0 + radius, "right")), radius
+
+    near = [window(x0) for x0 in at]
     robust = np.ones(n)
-    fit = np.empty(n)
+    fit = ys.copy()
     for _ in range(it + 1):
-        for lo in range(0, n, chunk):
-            xi = xs[lo:lo + chunk]
-            d = np.abs(xs[None, :] - xi[:, None])
-            h = radius[lo:lo + chunk]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                u = np.where(h[:, None] > 0, d / h[:, None], np.where(d == 0, 0.0, 2.0))
+        made = np.empty(len(at))
+        for i, (x0, (own, radius)) in enumerate(zip(at, near)):
+            px, py = xs[own], ys[own]
+            u = np.abs(px - x0) / radius if radius > 0 else np.where(px == x0, 0.0, 2.0)
             t = np.maximum(1.0 - u * u * u, 0.0)
-            w = t * t * t * robust[None, :]
-            sw = w.sum(axis=1)
-            safe = np.where(sw > 0, sw, 1.0)
-            mx = (w * xs).sum(axis=1) / safe
-            my = (w * ys).sum(axis=1) / safe
-            dx = xs[None, :] - mx[:, None]
-            vx = (w * dx * dx).sum(axis=1)
-            cov = (w * dx * (ys[None, :] - my[:, None])).sum(axis=1)
-            slope = np.where(vx > 1e-12 * np.maximum(1.0, mx * mx), cov / np.where(vx > 0, vx, 1.0), 0.0)
-            fit[lo:lo + chunk] = np.where(sw > 0, my + slope * (xi - mx), ys[lo:lo + chunk])
+            w = t * t * t * robust[own]
+            total = w.sum()
+            if total <= 0:
+                made[i] = py[np.abs(px - x0).argmin()]
+                continue
+            mx, my = w @ px / total, w @ py / total
+            dx = px - mx
+            vx = w @ (dx * dx)
+            slope = w @ (dx * (py - my)) / vx if vx > 1e-12 * max(1.0, mx * mx) else 0.0
+            made[i] = my + slope * (x0 - mx)
+        fit = np.interp(xs, at, made)
         resid = ys - fit
         s = np.median(np.abs(resid))
         if s <= 0:

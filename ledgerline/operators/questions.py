@@ -4,12 +4,12 @@ L1 links entities: every question is cut into lower-case 1–4-word n-grams
 (edge punctuation stripped), equi-joined to a dictionary of dimension values
 built from the fact, and the longest, earliest n-gram wins per column.
 L2 reads intent (metric, top-k or total, group dimension) from keywords.
-L3 answers all questions together: questions are grouped by *signature*
-(which filter columns they set, metric, shape, dimension) — a bounded set —
-and each signature is one aggregation of the fact grouped by its filter
-columns (and dimension), joined to its questions on the filter values. Top-k
-lists are cut per filter-value tuple before the join (a group limit Spark
-applies before the shuffle), so no question ever gathers a whole dimension.
+L3 answers all questions together. What they need are sums of the fact over a
+bounded set of column sets (the filters a question sets, plus the dimension it
+ranks): all of them are made by one aggregation with GROUPING SETS, partial
+sums first, so lines are never shuffled by a filter value. Ranks are computed
+per filter value once, for all questions that share it, and joined to the
+questions by rank: no list is collected, and k may be any number.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
+from ..plans.common import materialize, running_sum, with_total
 
 # FIXED VALUES: n-gram lengths, edge punctuation, year pattern, intent keywords.
 MAX_NGRAM = 4
@@ -25,6 +26,9 @@ EDGE_PUNCT = "?,.!:"
 YEAR_PATTERN = r"\b(20\d{2})\b"
 TOP_PATTERN = r"top (\d+)"
 DEFAULT_K = 5
+MAX_K = (1 << 63) - 1
+# Lists deeper than this are ranked by range partitions instead of a window per filter value.
+WINDOW_K = 10_000
 QTY_WORDS = ["quantity", "qty", "volume", "units"]
 ORDER_WORDS = ["count", "orders", "invoices"]
 TOP_WORDS = ["top", "best"]
@@ -99,7 +103,8 @@ def parse_intent(questions: DataFrame, product_column: str = M.MATERIAL) -> Data
                .otherwise(M.AMOUNT))
     shape = F.when(_has_any(t, TOP_WORDS), "top").otherwise("total")
     kx = F.regexp_extract(t, TOP_PATTERN, 1)
-    k = F.when(kx != "", kx.cast("int")).otherwise(F.lit(DEFAULT_K))
+    # a number beyond 64 bits asks for everything there is
+    k = F.when(kx != "", F.coalesce(kx.try_cast("bigint"), F.lit(MAX_K))).otherwise(F.lit(DEFAULT_K))
     dim = (F.when(_has_any(t, CUSTOMER_WORDS), M.CUSTOMER).when(_has_any(t, PRODUCT_WORDS), product_column)
             .when(_has_any(t, STATE_WORDS), M.STATE).otherwise(M.CUSTOMER))
     return questions.select("q_id", metric.alias("metric"), shape.alias("shape"),
@@ -114,10 +119,33 @@ def specs(questions: DataFrame, fact: DataFrame) -> DataFrame:
     return parse_intent(questions, prod).join(piv, "q_id", "left")
 
 
-def _metric(metric: str) -> Column:
-    if metric == M.INVOICE_NO:
-        return F.count_distinct(M.INVOICE_NO).cast("double")
-    return F.coalesce(F.sum(metric), F.lit(0)).cast("double")
+SHARED = ["__state", "__customer", "__product", "__year"]
+
+
+def _sums(fact: DataFrame, sets: list[tuple[str, ...]], invoices: bool) -> DataFrame:
+    """Sums of the fact over each set of ``SHARED`` columns, one aggregation; ``gid`` tells the sets apart."""
+    prod = product_dim(fact)
+    f = fact.select(F.col(M.STATE).cast("string").alias("__state"), F.col(M.CUSTOMER).cast("string").alias("__customer"),
+                    F.col(prod).cast("string").alias("__product"), F.year(M.DATE).cast("string").alias("__year"), M.AMOUNT, M.QTY, M.INVOICE_NO)
+    aggs = ([F.count_distinct(M.INVOICE_NO).cast("double").alias(M.INVOICE_NO)] if invoices else
+            [F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in (M.AMOUNT, M.QTY)])
+    rows = F.count(F.lit(1)).alias("__n")  # the set of no columns has a row even over no lines
+    return f.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in SHARED]).agg(*aggs, rows, F.grouping_id().alias("gid")).where("__n > 0")
+
+
+def _gid(columns: tuple[str, ...]) -> int:
+    return sum(1 << (len(SHARED) - 1 - i) for i, c in enumerate(SHARED) if c not in columns)
+
+
+def _ranked(g: DataFrame, keys: list[str], deepest: int) -> DataFrame:
+    """``g`` (keys, name, value) with ``rank`` per keys (value desc, name asc), down to ``deepest``."""
+    if deepest > WINDOW_K:
+        return running_sum(g, "value", "name", None, "rank", partition_cols=tuple(keys)).where(F.col("rank") <= deepest)
+    order = [F.col("value").desc(), F.col("name").asc()]
+    if not keys:
+        top = g.orderBy(*order).limit(deepest)  # at most WINDOW_K rows
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= deepest)
 
 
 def answer(questions: DataFrame, fact: DataFrame) -> DataFrame:
@@ -125,69 +153,52 @@ def answer(questions: DataFrame, fact: DataFrame) -> DataFrame:
     give one row ranked 1 named 'Total'; a question whose filters match no
     fact row gives one row ranked 0 named 'NO DATA' with a NULL value.
 
-    The distinct signatures are collected to plan one aggregation each (at
-    most 2^4 filter sets x 3 metrics x 2 shapes x 3 dimensions; a handful in
-    practice)."""
-    from ..plans.common import materialize
-
+    The distinct signatures (filters set, metric, shape, dimension) are
+    collected to plan the sets: at most 2^4 x 3 x 2 x 3, a handful in practice."""
     prod = product_dim(fact)
-    # the linked specs feed the signature pass and every branch: written once
-    sp = materialize(specs(questions, fact))
-    fcol = {M.STATE: M.STATE, M.CUSTOMER: M.CUSTOMER, "PRODUCT": prod, "YEAR": "__year"}
-    sig_cols = [F.col(c).isNotNull().alias(f"has_{c}") for c in fcol] + [F.col("metric"), F.col("shape"), F.col("dim")]
-    # bounded (see docstring): one row per signature with the deepest list it asks for
-    sigs = [r.asDict() for r in sp.groupBy(*sig_cols).agg(F.max("k").alias("kmax")).collect()]
-    f = fact.withColumn("__year", F.year(M.DATE).cast("string"))
-    outs = []
-    for s in sigs:
-        keys = [c for c in fcol if s[f"has_{c}"]]
-        q = sp.where(F.col("metric") == s["metric"]).where(F.col("shape") == s["shape"])
-        q = q.where(F.col("dim") == s["dim"]) if s["dim"] is not None else q.where(F.col("dim").isNull())
-        for c in fcol:
-            q = q.where(F.col(c).isNotNull() if s[f"has_{c}"] else F.col(c).isNull())
-        q = q.select("q_id", "k", *[F.col(c).alias(f"__f_{c}") for c in keys])
-        fk = [F.col(fcol[c]).cast("string").alias(f"__f_{c}") for c in keys]
-        # restrict the fact to filter values some question asks for (semi join)
-        wanted = q.select(*[f"__f_{c}" for c in keys]).distinct()
-        base = f.select(*fk, *(F.col(x) for x in {M.AMOUNT, M.QTY, M.INVOICE_NO, s["dim"] or M.AMOUNT}))
-        if keys:
-            base = base.join(wanted, [f"__f_{c}" for c in keys], "left_semi")
-        kcols = [f"__f_{c}" for c in keys]
-        if s["shape"] == "top":
-            dim = s["dim"]
-            kmax = s["kmax"] or DEFAULT_K
-            g = base.where(F.col(dim).isNotNull()).groupBy(*kcols, dim).agg(_metric(s["metric"]).alias("value"))
-            w = Window.partitionBy(*kcols).orderBy(F.col("value").desc(), F.col(dim).asc()) if kcols else \
-                Window.orderBy(F.col("value").desc(), F.col(dim).asc())
-            if kcols:
-                g = g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kmax)
-                g = g.select(*kcols, "rank", F.col(dim).cast("string").alias("name"), "value")
-                j = q.join(g, kcols, "left")
-            else:
-                # one global list of at most kmax rows, attached to every question of the
-                # signature as a scalar (no join): each question keeps its first k entries
-                top = g.orderBy(F.col("value").desc(), F.col(dim).asc()).limit(int(kmax))
-                top = top.withColumn("rank", F.row_number().over(w))  # kmax rows
-                lst = top.agg(F.sort_array(F.collect_list(F.struct(
-                    "rank", F.col(dim).cast("string").alias("name"), "value")))).scalar()
-                j = q.select("q_id", "k", F.explode_outer(lst).alias("__t")).select("q_id", "k", "__t.*")
-            j = j.where(F.col("rank").isNull() | (F.col("rank") <= F.col("k")))
-        else:
-            g = base.groupBy(*kcols).agg(_metric(s["metric"]).alias("value"), F.count(F.lit(1)).alias("__n"))
-            g = g.select(*kcols, F.lit(1).alias("rank"), F.lit("Total").alias("name"), "value")
-            if kcols:
-                j = q.join(g, kcols, "left")
-            else:  # a global total: one row, attached as a scalar
-                j = q.select("q_id", "k", F.lit(1).alias("rank"), F.lit("Total").alias("name"),
-                             g.select("value").scalar().alias("value"))
-        nodata = F.col("rank").isNull()
-        outs.append(j.select("q_id", F.when(nodata, 0).otherwise(F.col("rank")).cast("int").alias("rank"),
-                             F.when(nodata, "NO DATA").otherwise(F.col("name")).alias("name"),
-                             F.when(~nodata, F.col("value")).alias("value")))
-    if not outs:
+    filters = dict(zip([M.STATE, M.CUSTOMER, "PRODUCT", "YEAR"], SHARED))
+    of_dim = {M.STATE: "__state", M.CUSTOMER: "__customer", prod: "__product"}
+    sp = materialize(specs(questions, fact).withColumnsRenamed(filters))  # the linked specs feed every branch: written once
+    signature = [*[F.col(c).isNotNull().alias(f"has{c}") for c in SHARED], "metric", "shape", "dim"]
+    sigs = sp.groupBy(*signature).agg(F.max("k").alias("deepest")).collect()  # bounded (see docstring)
+    if not sigs:
         return questions.select("q_id", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("name"),
                                 F.lit(None).cast("double").alias("value")).where(F.lit(False))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+
+    def columns(s) -> tuple[str, ...]:
+        own = {c for c in SHARED if s[f"has{c}"]} | ({of_dim[s["dim"]]} if s["dim"] else set())
+        return tuple(c for c in SHARED if c in own)
+
+    made = {}
+    for invoices in (False, True):
+        sets = sorted({columns(s) for s in sigs if (s["metric"] == M.INVOICE_NO) == invoices})
+        if sets:
+            made[invoices] = materialize(_sums(fact, sets, invoices))
+    ranked = None
+    for i, s in enumerate(sigs):
+        keys = [c for c in SHARED if s[f"has{c}"]]
+        g = made[s["metric"] == M.INVOICE_NO].where(F.col("gid") == _gid(columns(s)))
+        for c in columns(s):
+            g = g.where(F.col(c).isNotNull())
+        name = F.col(of_dim[s["dim"]]) if s["dim"] else F.lit("Total")
+        g = g.select(*keys, name.alias("name"), F.col(s["metric"]).alias("value"))
+        g = _ranked(g, keys, s["deepest"]) if s["shape"] == "top" else g.withColumn("rank", F.lit(1))
+        g = g.select(F.lit(i).alias("sig"), *[(F.col(c) if c in keys else F.lit(None).cast("string")).alias(c) for c in SHARED],
+                     F.col("rank").cast("bigint").alias("rank"), "name", "value")
+        ranked = g if ranked is None else ranked.unionByName(g)
+    ranked = materialize(ranked)
+    longest = ranked.agg(F.coalesce(F.max("rank"), F.lit(1)).alias("__longest"))
+    number = None
+    for i, s in enumerate(sigs):
+        own = (F.col("metric") == s["metric"]) & (F.col("shape") == s["shape"]) & F.col("dim").eqNullSafe(F.lit(s["dim"]))
+        for c in SHARED:
+            own &= F.col(c).isNotNull() if s[f"has{c}"] else F.col(c).isNull()
+        number = F.when(own, i) if number is None else number.when(own, i)
+    asked = with_total(sp.withColumn("sig", number), longest)
+    last = F.greatest(F.least(F.coalesce("k", F.lit(1)), F.col("__longest")), F.lit(1))
+    asked = asked.select("q_id", "sig", *SHARED, F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("rank"))
+    on = [asked["sig"] == ranked["sig"], asked["rank"] == ranked["rank"], *[asked[c].eqNullSafe(ranked[c]) for c in SHARED]]
+    found = asked.join(ranked, on, "left").select("q_id", asked["rank"], "name", "value")
+    nodata = F.col("name").isNull()
+    return found.where(~nodata | (F.col("rank") == 1)).select(
+        "q_id", F.when(nodata, 0).otherwise(F.col("rank")).cast("int").alias("rank"), F.when(nodata, "NO DATA").otherwise(F.col("name")).alias("name"), "value")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..fixed_values import CRORE
-from ..plans.common import keyed, revenue, running_sum, top_k, with_total
+from ..plans.common import keyed, materialize, revenue, running_sum, top_k, with_total
 
 
 def _by(df: DataFrame, dim: str, *aggs: Column) -> DataFrame:
@@ -78,6 +78,7 @@ def state_scorecard(df: DataFrame) -> DataFrame:
     d = df.where(~F.coalesce(F.upper(F.col(M.STATE)).contains("NOT FOUND"), F.lit(False)))
     g = _by(d, M.STATE, F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__rev"),
             F.count_distinct(M.INVOICE_NO).alias("Orders"), F.count_distinct(M.CUSTOMER).alias("Customers"))
+    g = materialize(g)  # one row per state: read by the shares and by their total
     t = with_total(g, _total(g, "__rev"))
     share = F.when(F.col("__total") > 0, _share("__rev")).otherwise(F.lit(0.0))
     crore = F.round(F.col("__rev") / F.lit(Decimal(CRORE)), 2).cast("double")
@@ -96,6 +97,7 @@ def city_scorecard(df: DataFrame, n: int = 20) -> DataFrame:
 def _cum_rounded_share(g: DataFrame, key: str, value: str, share_name: str, cum_name: str) -> DataFrame:
     """Share rounded to 1 dp, then the running sum of the *rounded* shares
     (exact in decimal(.,1); the last value need not be 100)."""
+    g = materialize(g)  # one row per group: the total reads it too
     t = with_total(g, _total(g, value))
     t = t.withColumn(share_name, _share(value)).withColumn("__sd", F.col(share_name).cast("decimal(9,1)"))
     r = running_sum(t, value, key, "__sd", "__cum")
@@ -164,6 +166,7 @@ def top_share(df: DataFrame, dim: str = M.CUSTOMER, frac: float = 0.2) -> DataFr
 def _value_classes(df: DataFrame, grp: str) -> DataFrame:
     g = _by(df, grp, F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__rev"),
             F.count_distinct(M.INVOICE_NO).alias("Orders"))
+    g = materialize(g)  # one row per group: the total reads it too
     t = with_total(g, _total(g, "__rev"))
     r = running_sum(t, "__rev", grp, "__rev", "__cum")
     share = _ratio(F.col("__rev"), F.col("__total")) * 100
@@ -180,7 +183,7 @@ def classify_categories(df: DataFrame, grp: str = M.ITEM_GROUP) -> DataFrame:
 
 def consolidation_candidates(df: DataFrame, grp: str = M.ITEM_GROUP) -> DataFrame:
     """Low/Medium value groups with more orders than the mean, with AOV."""
-    c = _value_classes(df, grp)
+    c = materialize(_value_classes(df, grp))
     avg = c.agg((F.sum("Orders").cast("double") / F.count(F.lit(1))).alias("__avg_orders"))
     t = with_total(c, avg)
     return (t.where(F.col("Classification").isin("Low Value", "Medium Value") & (F.col("Orders") > F.col("__avg_orders")))
@@ -201,12 +204,13 @@ def consolidation_zone(df: DataFrame, grp: str = M.ITEM_GROUP, n: int = 10) -> D
 def core_tail(df: DataFrame, entity: str = M.CUSTOMER, item: str | None = None) -> DataFrame:
     """Per entity (dealer), items split at cumulative share 90 into core
     and tail; micro-tail = items with 0 < share < 2 %; opportunity = 12 % of
-    micro spend. All entities at once: the running sum restarts per entity."""
+    micro spend. All entities at once: an entity's items are bounded by the
+    catalogue, so one window per entity gives its running sum and total."""
     item = item or M.item_col(df)
     g = keyed(df, entity, item).groupBy(entity, item).agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__s"))
-    tot = g.groupBy(entity).agg(F.sum("__s").alias("__et"))
-    r = running_sum(g, "__s", item, "__s", "__cum", partition_cols=(entity,))
-    r = r.join(tot, entity)
+    whole = Window.partitionBy(entity)
+    running = whole.orderBy(F.col("__s").desc(), F.col(item).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    r = g.withColumn("__cum", F.sum("__s").over(running)).withColumn("__et", F.sum("__s").over(whole))
     share = _ratio(F.col("__s"), F.col("__et")) * 100
     cum = _ratio(F.col("__cum"), F.col("__et")) * 100
     core, micro = cum <= 90, (share < 2.0) & (share > 0)
@@ -256,28 +260,24 @@ def group_deep_dive(df: DataFrame, n: int = 8) -> DataFrame:
     """Top groups with revenue, share of total, order count and the modal
     line item (most lines; ties -> smallest name; "N/A" when all NULL).
 
-    The mode is two aggregations — (group, item) line counts, then an arg-max
-    per group — so no group's item set is gathered into one buffer.
+    Two fact passes: the groups (kept, NULL included, for the total), and the
+    (group, item) line counts of the top groups only, whose arg-max is the mode
+    (no group's item set is gathered into one buffer).
     """
     grp, item = M.dashboard_group_col(df), M.item_col(df)
-    d = keyed(df, grp)
-    g = d.groupBy(grp).agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__v"),
-                           F.count_distinct(M.INVOICE_NO).alias("Order_Count"))
-    counts = d.where(F.col(item).isNotNull()).groupBy(grp, item).agg(F.count(F.lit(1)).alias("__c"))
-    mode = counts.groupBy(grp).agg(F.min_by(item, F.struct(-F.col("__c"), F.col(item))).alias("modal_item"))
+    every = materialize(df.groupBy(grp).agg(F.sum(M.AMOUNT).alias("__v"), F.count_distinct(M.INVOICE_NO).alias("Order_Count")))
+    g = keyed(every, grp).withColumn("__v", F.coalesce("__v", F.lit(0)))
     top = top_k(g, n, *_desc("__v", grp))
-    total = df.agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__total"))
-    t = with_total(top.join(mode, grp, "left"), total)
+    lines = df.join(F.broadcast(top.select(grp)), grp, "left_semi").where(F.col(item).isNotNull())  # n rows
+    counts = lines.groupBy(grp, item).agg(F.count(F.lit(1)).alias("__c"))
+    mode = counts.groupBy(grp).agg(F.min_by(item, F.struct(-F.col("__c"), F.col(item))).alias("modal_item"))
+    t = with_total(top.join(mode, grp, "left"), _total(every, "__v"))
     return t.select(grp, F.col("__v").cast("double").alias("Total_Revenue"),
                     F.when(F.col("__total") > 0, _share("__v")).otherwise(F.lit(0.0)).alias("share_pct"),
                     F.coalesce(F.col("modal_item"), F.lit("N/A")).alias("modal_item"), "Order_Count")
 
 
 # ---------------------------------------------------------------- G18
-def _top_values(df: DataFrame, dim: str, n: int) -> DataFrame:
-    return top_k(_by(df, dim, F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__v")), n, *_desc("__v", dim)).select(dim)
-
-
 def pivot_top_long(df: DataFrame, primary: str, secondary: str, n_primary: int = 8, n_secondary: int = 6) -> DataFrame:
     """G18 in long form: revenue of every (top primary, top secondary) cell, missing -> 0.
 
@@ -296,12 +296,16 @@ def pivot_top_long(df: DataFrame, primary: str, secondary: str, n_primary: int =
 def pivot_top(df: DataFrame, primary: str, secondary: str, n_primary: int = 8, n_secondary: int = 6) -> DataFrame:
     """Top primaries x top secondaries revenue matrix, one column per
     secondary value (at most ``n_secondary``), missing -> 0."""
-    tp = _top_values(df, primary, n_primary)
-    ts = _top_values(df, secondary, n_secondary)
-    sec_values = [r[0] for r in ts.collect()]  # bounded: n_secondary values
-    d = df.join(F.broadcast(tp), primary, "left_semi").join(F.broadcast(ts), secondary, "left_semi")
+    cells = materialize(df.groupBy(primary, secondary).agg(F.sum(M.AMOUNT).alias("__v")))  # the one fact pass
+
+    def top(dim: str, n: int) -> DataFrame:
+        return top_k(_by(cells, dim, F.coalesce(F.sum("__v"), F.lit(0)).alias("__t")), n, *_desc("__t", dim)).select(dim)
+
+    tp = top(primary, n_primary)
+    sec_values = [r[0] for r in top(secondary, n_secondary).collect()]  # bounded: n_secondary values
+    d = cells.where(F.col(secondary).isin(sec_values)).join(F.broadcast(tp), primary, "left_semi")  # n_primary rows
     p = (d.groupBy(primary).pivot(secondary, sec_values)
-          .agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).cast("double")))
+          .agg(F.coalesce(F.sum("__v"), F.lit(0)).cast("double")))
     out = tp.join(p, primary, "left")
     return out.na.fill(0.0, [str(v) for v in sec_values])
 
@@ -330,25 +334,19 @@ def insights(df: DataFrame, aov_threshold: float = 50000.0, concentration_k: int
     pct = F.round(F.col("__top").cast("double") / F.col("__total").cast("double") * 100, 1)
     conc = with_total(top, _total(g, "__v")).where(F.col("__total") > 0).select(
         F.lit("concentration").alias("kind"), pct.alias("value"),
-        F.when(pct > concentration_pct,
-               F.format_string(f"HIGH CONCENTRATION: Top {concentration_k} customers account for %.1f%% of revenue.", pct))
-         .otherwise(F.format_string(f"HEALTHY MIX: Top {concentration_k} customers account for %.1f%% of revenue.", pct))
-         .alias("text"))
+        F.format_string(f"The {concentration_k} largest customers bring %.1f%% of revenue (%s).", pct,
+                        F.when(pct > concentration_pct, "concentrated").otherwise("spread")).alias("text"))
     lg = leader(df, grp).select(
         F.lit("portfolio").alias("kind"), F.col("share").alias("value"),
-        F.format_string("PORTFOLIO: %d material groups active. '%s' leads with %.1f%% share.",
-                        F.col("active"), F.substring("value", 1, 30), F.col("share")).alias("text"))
+        F.format_string("%d product groups sold; largest: %s with %.1f%% of revenue.", F.col("active"), F.col("value"), F.col("share")).alias("text"))
     k = kpi_summary(df).select(
         F.lit("order_size").alias("kind"), F.col("average_order_value").alias("value"),
-        F.when(F.col("average_order_value") < aov_threshold,
-               F.concat(F.lit("ORDER SIZE: Average order value is "), inr(F.col("average_order_value"), "Rs."),
-                        F.lit(" - consider bundling strategies to increase order size.")))
-         .otherwise(F.concat(F.lit("ORDER SIZE: Average order value is "), inr(F.col("average_order_value"), "Rs."),
-                             F.lit(" - strong per-order commitment."))).alias("text")
-    ).where(F.col("value") > 0)
+        F.concat(F.lit("Mean order value "), inr(F.col("average_order_value"), "Rs."),
+                 F.when(F.col("average_order_value") < aov_threshold, " (below the threshold).").otherwise(" (at or above the threshold)."))
+         .alias("text")).where(F.col("value") > 0)
     geo = leader(df, M.STATE).select(
         F.lit("geography").alias("kind"), F.col("active").cast("double").alias("value"),
-        F.format_string("GEOGRAPHY: Active across %d states. Top state: %s.", F.col("active"), F.col("value")).alias("text"))
+        F.format_string("Sales in %d states; largest: %s.", F.col("active"), F.col("value")).alias("text"))
     return conc.unionByName(lg).unionByName(k).unionByName(geo)
 
 

@@ -68,7 +68,6 @@ def running_sum(
     descending: bool = True,
     partition_cols: tuple[str, ...] = (),
     ranges: int | None = None,
-    materialized: bool = False,
 ) -> DataFrame:
     """Cumulative sum of ``sum_col`` (a running count if None) in the order
     (``order_col`` desc/asc, ``key_col`` asc), optionally restarting per

@@ -11,6 +11,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import model as M
 from ..fixed_values import PREFERRED_ORDER
@@ -45,19 +46,55 @@ def append_new(new: DataFrame, existing: DataFrame | None, key: str = M.INVOICE_
     return new.join(hits, null_safe(new, hits), "left_anti")
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything lies at ``path``; a failure to look is an error, not an absent table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_table(spark: SparkSession, path: str, text_partitions: tuple[str, ...] = (M.TENANT,)) -> DataFrame:
+    """A stored table with the columns of all its files; tenants stay text.
+
+    Spark infers partition values (``007`` would become 7), so the schema is
+    taken from the file footers and the tenant column declared a string.
+    """
+    schema = spark.read.option("mergeSchema", True).parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in text_partitions else f for f in schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def aligned(df: DataFrame, schema: T.StructType = M.SALES_SCHEMA) -> DataFrame:
+    """Columns of the declared sales schema cast to its types; others as they are."""
+    declared = {f.name: f.dataType for f in schema.fields}
+    return df.select(*[F.col(c).cast(declared[c]).alias(c) if c in declared else F.col(c) for c in df.columns])
+
+
+def with_tenant(df: DataFrame, tenant_id: str | None = None) -> DataFrame:
+    """The tenant column under its canonical name: ``tenant_id`` if given, else the column of that name in any case.
+
+    Raises when there is neither: without a tenant, equal invoice numbers of
+    two tenants could not be told apart.
+    """
+    found = M.col_ci(df, M.TENANT)
+    if tenant_id is not None:
+        return (df.drop(found) if found else df).withColumn(M.TENANT, F.lit(tenant_id))
+    if found is None:
+        raise ValueError(f"rows to load need the column {M.TENANT!r} or a tenant id")
+    return df.withColumnRenamed(found, M.TENANT)
+
+
 def load(new: DataFrame, path: str, key: str = M.INVOICE_NO, partition_by: str = M.TENANT) -> int:
     """B1 + write: append the new invoices under ``path`` (partitioned by tenant)
     and return the number of rows added (counted while writing)."""
     spark = new.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet: first load
-        existing = None
-    rows = append_new(new, existing, key)
+    new = aligned(with_tenant(new) if partition_by == M.TENANT else new)
+    if partition_by not in new.columns:
+        raise ValueError(f"rows to load need the column {partition_by!r}")
+    existing = read_table(spark, path, (partition_by,)) if table_exists(spark, path) else None
+    rows = append_new(new, existing, key, partition_by)
     obs = Observation("appended")
     rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
-    (rows.write.mode("append").partitionBy(partition_by).parquet(path) if partition_by in rows.columns
-     else rows.write.mode("append").parquet(path))
+    rows.write.mode("append").partitionBy(partition_by).parquet(path)
     return int(obs.get.get("n", 0))
 
 
@@ -70,25 +107,36 @@ def replace_all(df: DataFrame, path: str, partition_by: str = M.TENANT) -> None:
 def clear_tenant(spark: SparkSession, path: str, tenant: str, partition_by: str = M.TENANT) -> int:
     """Delete one tenant's partition, others untouched; returns rows deleted.
 
-    Counts the partition (pruned read), then removes its directory through the
-    Hadoop FileSystem API (a dynamic overwrite with no rows would delete
-    nothing)."""
-    try:
-        n = spark.read.parquet(path).where(F.col(partition_by) == tenant).count()
-    except Exception:  # noqa: BLE001 - no table
+    The folder is taken from the files of the pruned read, not built from the
+    tenant's text, so escaped names are found and no other path can be reached.
+    """
+    if not table_exists(spark, path):
         return 0
+    own = read_table(spark, path, (partition_by,)).where(F.col(partition_by) == tenant)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), f"^(.*/{partition_by}=[^/]*)/", 1)
+    found = own.groupBy(folder.alias("folder")).agg(F.count("*").alias("n")).collect()  # one folder per tenant
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition_by}={tenant}")
-    fs = p.getFileSystem(conf)
-    if fs.exists(p):
-        fs.delete(p, True)
-    return n
+    deleted = 0
+    for row in found:
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row.folder))
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True):
+            raise OSError(f"could not delete {row.folder}")
+        deleted += row.n
+    return deleted
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with header, written by the executors (one file per partition)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """CSV with header, written by the executors (one file per partition).
+
+    Quotes are doubled, as the reader and spreadsheets expect; with ``bom`` the
+    header starts with the UTF-8 mark. No rows give one file with the header.
+    """
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    if df.isEmpty():
+        df = df.coalesce(1)
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # the writer trims by default
+    df.write.mode("overwrite").options(header=True, escape='"', **blanks).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -102,7 +150,7 @@ def merge_snapshot(old: DataFrame, new: DataFrame, key: str = M.INVOICE_NO,
                    preferred=PREFERRED_ORDER) -> DataFrame:
     """Old ∪ new, one row per invoice, the first kept (old before new; within
     a side, the smallest row by its columns — a deterministic stand-in for file
-    order), preferred columns first. Ordering by DATE desc is the writer's job.
+    order), preferred columns first; ``write_snapshot`` sorts by DATE.
 
     Struct ordering puts NULL fields first, matching ``NULLS FIRST``.
     """
@@ -117,6 +165,11 @@ def merge_snapshot(old: DataFrame, new: DataFrame, key: str = M.INVOICE_NO,
     return one.select(*first, *[c for c in one.columns if c not in first])
 
 
+def write_snapshot(df: DataFrame, path: str) -> None:
+    """The snapshot sorted by DATE, latest first, across its files (a range sort)."""
+    df.orderBy(F.col(M.DATE).desc_nulls_last()).write.mode("overwrite").parquet(path)
+
+
 def audit_row(spark: SparkSession, rows_added: int, total_rows: int, run_ts: _dt.datetime | None = None) -> DataFrame:
     """One audit record (RUN_TIMESTAMP, NEW_RECORDS_ADDED, TOTAL_RECORDS_AFTER_RUN)."""
     ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)

@@ -24,8 +24,11 @@ log = logging.getLogger(__name__)
 
 # FIXED VALUES: temporary-file prefix ignored by the folder reader.
 TEMP_PREFIX = "~$"
-CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "mode": "PERMISSIVE",
+# Quotes are doubled inside quoted values, which may hold line breaks (so a file is one split).
+CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "mode": "PERMISSIVE", "escape": '"', "multiLine": "true",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CORRUPT = "_corrupt_record"
+HEADER_BLOCK = 1 << 16
 
 
 def _fs(spark: SparkSession, path: str):
@@ -48,23 +51,32 @@ def list_files(spark: SparkSession, folder: str, suffixes=(".csv",)) -> list[str
     return sorted(out)
 
 
-def first_line(spark: SparkSession, path: str, limit: int = 1 << 16) -> str | None:
-    """The header line of one file (None for an empty file)."""
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The header line of one file, however long (None for an empty file); read in blocks up to its end."""
     p, fs = _fs(spark, path)
     stream = fs.open(p)
     try:
-        buf = bytearray()
-        while len(buf) < limit:
-            b = stream.read()
-            if b < 0 or b == 10:
+        buf = b""
+        while True:
+            block = bytes(stream.readNBytes(HEADER_BLOCK))
+            end = block.find(b"\n")
+            buf += block if end < 0 else block[:end]
+            if end >= 0 or not block:
                 break
-            buf.append(b)
     finally:
         stream.close()
     line = buf.decode("utf-8-sig", errors="replace").rstrip("\r")
     return line if line.strip() else None
 
 
+def first_lines(spark: SparkSession, files: list[str], at_once: int = 16) -> list[str | None]:
+    """``first_line`` of each file, several at a time; a file that cannot be read raises."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda f: first_line(spark, f), files))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema=None) -> DataFrame:
     """A1: CSV with a header, every column a string (``schema`` only for
     folders with a contract header; matching is then by name, checked)."""
@@ -81,33 +93,63 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path)
 
 
-def read_folder(spark: SparkSession, paths: str | list[str], standardize: bool = True) -> DataFrame | None:
+def _header_names(line: str) -> list[str]:
+    import csv
+
+    return next(csv.reader([line]))
+
+
+def _checked(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
+    """Files of one header as strings, with ``_corrupt_record`` for lines of too many or too few fields."""
+    from pyspark.sql import types as T
+
+    names = _header_names(header)
+    if len(set(names)) < len(names) or not all(names):  # Spark numbers such columns itself
+        names = spark.read.options(**CSV_OPTIONS).csv(files[0]).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    # the header was compared by its text already; pruning would hide surplus fields
+    options = CSV_OPTIONS | {"enforceSchema": "true", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
+    return spark.read.schema(schema).options(**options).csv(files)
+
+
+def read_folder_with_rejects(spark: SparkSession, paths: str | list[str], standardize: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """A2: read many CSV files whose headers may differ; one scan per distinct
-    header, headers normalised (C1/C2), outer union by name. Empty and
-    unreadable files are logged and skipped; ``~$`` temp files ignored."""
+    header, headers normalised (C1/C2), outer union by name; ``~$`` temp files ignored.
+
+    Also returns the rejects (path, reason, record): lines whose number of
+    fields differs from their header's, and files without a header line. A file
+    that cannot be read raises: skipping it would lose its rows unseen.
+    """
     from ..operators.ingest import standardize_headers
 
     files = list_files(spark, paths) if isinstance(paths, str) else list(paths)
+    files = [f for f in files if not f.rsplit("/", 1)[-1].startswith(TEMP_PREFIX)]
     groups: dict[str, list[str]] = {}
-    for f in files:
-        if f.rsplit("/", 1)[-1].startswith(TEMP_PREFIX):
-            continue
-        try:
-            h = first_line(spark, f)
-        except Exception as e:  # noqa: BLE001 - a bad file is skipped, as the reference does
-            log.warning("skipping unreadable file %s: %s", f, e)
-            continue
+    empty: list[tuple[str, str, None]] = []
+    for f, h in zip(files, first_lines(spark, files)):
         if h is None:
-            log.warning("skipping empty file %s", f)
-            continue
-        groups.setdefault(h, []).append(f)
-    out = None
-    for _, group in sorted(groups.items()):
-        df = read_csv(spark, group)
+            log.warning("empty file %s", f)
+            empty.append((f, "empty file", None))
+        else:
+            groups.setdefault(h, []).append(f)
+    out, rejects = None, spark.createDataFrame(empty, "path string, reason string, record string")
+    for header, group in sorted(groups.items()):
+        rows = _checked(spark, header, group)
+        # Spark refuses to read the corrupt column alone, so the filter names another one too (it holds for every row)
+        other = F.length(F.coalesce(F.col(f"`{rows.columns[0]}`"), F.lit(""))) >= 0
+        bad = rows.where(F.col(CORRUPT).isNotNull() & other).select(
+            F.col("_metadata.file_path").alias("path"), F.lit("number of fields").alias("reason"), F.col(CORRUPT).alias("record"))
+        rejects = rejects.unionByName(bad)
+        df = rows.where(F.col(CORRUPT).isNull() & other).drop(CORRUPT)
         if standardize:
             df = standardize_headers(df)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    return out, rejects
+
+
+def read_folder(spark: SparkSession, paths: str | list[str], standardize: bool = True) -> DataFrame | None:
+    """The well-formed rows of ``read_folder_with_rejects``."""
+    return read_folder_with_rejects(spark, paths, standardize)[0]
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -163,7 +205,9 @@ def scan(spark: SparkSession, path: str, tenant_id: str | None = None, start: st
          end: str | None = None, max_years: int = 0, asof: str | None = None) -> DataFrame:
     """The stored fact for one tenant (partition filter), optionally a
     rolling N-year window and a date range; all filters reach the Parquet scan."""
-    df = spark.read.parquet(path)
+    from ..sinks.writers import read_table
+
+    df = read_table(spark, path)
     df = tenant(df, tenant_id)
     if max_years and asof:
         df = rolling_years(df, max_years, asof)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..operators.ingest import IngestConfig, ingest
-from ..sinks.writers import append_new, audit_row
-from ..sources.files import coerce_types, read_folder
+from ..sinks.writers import append_new, audit_row, read_table, table_exists, with_tenant
+from ..sources.files import coerce_types, read_folder_with_rejects
 
 BATCH = "batch_id"
 # the binaryFile source's fixed schema (a stream must declare it)
@@ -29,25 +29,34 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 
 
 def process_batch(spark: SparkSession, paths: list[str], batch_id: int, dst: str, master: DataFrame | None,
-                  cfg: IngestConfig, city_map: DataFrame | None, audit_path: str | None) -> int:
-    """N2 + N4 for one micro-batch; returns rows added."""
-    raw = read_folder(spark, paths)  # headers normalised per file group, then unioned by name
-    if raw is None:
-        return 0
-    ing = ingest(raw, master, cfg, city_map, coerce=coerce_types)
-    try:
-        stored = spark.read.parquet(dst).where(F.col(BATCH) < batch_id)
-    except Exception:  # noqa: BLE001 - first batch: nothing stored
-        stored = None
-    new = append_new(ing, stored).withColumn(BATCH, F.lit(batch_id).cast("long"))
-    obs = Observation(f"batch_{batch_id}")
-    new = new.observe(obs, F.count(F.lit(1)).alias("added"))
-    parts = [c for c in (M.TENANT, BATCH) if c in new.columns]
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(dst))
-    added = int(obs.get.get("added", 0))
+                  cfg: IngestConfig, city_map: DataFrame | None, audit_path: str | None,
+                  tenant_id: str | None = None, rejects_path: str | None = None) -> int:
+    """N2 + N4 for one micro-batch; returns rows added.
+
+    A file that cannot be read fails the batch, so that it is tried again;
+    malformed lines and empty files go to ``rejects_path`` and are counted in the audit row.
+    """
+    raw, rejects = read_folder_with_rejects(spark, paths)  # headers normalised per file group, then unioned by name
+    rejected = 0
+    if rejects_path:
+        seen = Observation(f"rejects_{batch_id}")
+        (rejects.observe(seen, F.count(F.lit(1)).alias("n")).withColumn(BATCH, F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(rejects_path))
+        rejected = int(seen.get.get("n", 0))
+    elif not rejects.isEmpty():
+        raise ValueError(f"batch {batch_id} holds malformed lines or empty files; name a rejects_path to set them aside")
+    added = 0
+    if raw is not None:
+        ing = with_tenant(ingest(raw, master, cfg, city_map, coerce=coerce_types), tenant_id)
+        stored = read_table(spark, dst).where(F.col(BATCH) < batch_id) if table_exists(spark, dst) else None
+        new = append_new(ing, stored).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        obs = Observation(f"batch_{batch_id}")
+        new = new.observe(obs, F.count(F.lit(1)).alias("added"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(M.TENANT, BATCH).parquet(dst)
+        added = int(obs.get.get("added", 0))
     if audit_path:
-        total = spark.read.parquet(dst).count()
-        audit_row(spark, added, total).withColumn(BATCH, F.lit(batch_id).cast("long")) \
+        total = read_table(spark, dst).count() if table_exists(spark, dst) else 0
+        audit_row(spark, added, total).withColumns({"REJECTED_RECORDS": F.lit(rejected).cast("long"), BATCH: F.lit(batch_id).cast("long")}) \
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(audit_path)
     return added
 
@@ -55,12 +64,14 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, dst: str
 def start_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str, master: DataFrame | None = None,
                  cfg: IngestConfig = IngestConfig(), city_map: DataFrame | None = None,
                  trigger: dict | None = None, files_per_trigger: int | None = None,
-                 archive_dir: str | None = None, audit_path: str | None = None, glob: str = "*.csv"):
+                 archive_dir: str | None = None, audit_path: str | None = None, glob: str = "*.csv",
+                 tenant_id: str | None = None, rejects_path: str | None = None):
     """Start the folder stream; returns the ``StreamingQuery``.
 
     ``trigger`` is a ``DataStreamWriter.trigger`` keyword dict, e.g.
     ``{"availableNow": True}`` or ``{"processingTime": "1 minute"}``.
     ``files_per_trigger=1`` reproduces the one-upload-per-run path.
+    ``tenant_id`` tags every row; without it the files must have that column.
     """
     r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
     if files_per_trigger:
@@ -72,7 +83,7 @@ def start_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str, maste
     def run(batch: DataFrame, batch_id: int) -> None:
         paths = [row.path for row in batch.collect()]  # this batch's file list (bounded by files per trigger)
         if paths:
-            process_batch(spark, sorted(paths), batch_id, dst, master, cfg, city_map, audit_path)
+            process_batch(spark, sorted(paths), batch_id, dst, master, cfg, city_map, audit_path, tenant_id, rejects_path)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))

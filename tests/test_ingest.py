@@ -103,8 +103,11 @@ def test_fiscal_year_and_month(spark):
 
 
 def test_text_dates_parse_or_null(spark):
-    df = spark.createDataFrame([("2024-04-01",), ("01/04/2024",), ("not a date",)], "DATE string")
+    df = spark.createDataFrame([("2024-04-01",), ("04/01/2024",), ("not a date",)], "DATE string")
     out = [r[0] for r in C.add_calendar(df).select("DATE").collect()]
+    day_first = df.select(C.parse_date("DATE", day_first=True).alias("d")).collect()
+    assert day_first[1].d.day == 4 and day_first[1].d.month == 1
+    assert C.unparsed_dates(df).collect()[0].asDict() == {"dates": 3, "unparsed": 1}
     assert out[0] == out[1] and out[0] is not None and out[2] is None
 
 

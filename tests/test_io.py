@@ -87,7 +87,7 @@ def _stream_once(spark, base, files):
     for name, text in files:
         _write(f"{src}/{name}", text)
     q = start_ingest(spark, src, f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, files_per_trigger=1,
-                     archive_dir=f"{base}/archive", audit_path=f"{base}/audit")
+                     archive_dir=f"{base}/archive", audit_path=f"{base}/audit", tenant_id="t", rejects_path=f"{base}/rejects")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/table")
 
@@ -100,7 +100,7 @@ def test_stream_split_invariance_and_replay(spark, tmpdir_path):
     one = _stream_once(spark, f"{tmpdir_path}/one", [("f1.csv", HEAD + "".join(LINES))])
     two = _stream_once(spark, f"{tmpdir_path}/two", [("f1.csv", HEAD + "".join(LINES[:2])), ("f2.csv", HEAD + "".join(LINES[2:]))])
     five = _stream_once(spark, f"{tmpdir_path}/five", [(f"f{i}.csv", HEAD + line) for i, line in enumerate(
-        [LINES[0] + LINES[1], LINES[2], LINES[3], "", "\n"])])  # invoices never span files; empty files skipped
+        [LINES[0] + LINES[1], LINES[2], LINES[3], "", "\n"])])  # invoices never span files
     key = ["INVOICE_NO", "AMOUNT"]
     assert sorted(rows(one, *key)) == sorted(rows(two, *key)) == sorted(rows(five, *key))
     # a new file repeating a known invoice adds only its new invoice; the audit logs each batch
@@ -121,3 +121,88 @@ def test_empty_upload_rejected(spark, tmpdir_path):
         A.read_upload(spark, f"{tmpdir_path}/e.csv")
     _write(f"{tmpdir_path}/ok.csv", "Amount,City\n1,X\n")
     assert A.read_upload(spark, f"{tmpdir_path}/ok.csv").count() == 1
+
+
+def test_malformed_lines_are_set_aside(spark, tmpdir_path):
+    """Rows in = stored + known + rejected; quotes and line breaks inside values are no faults."""
+    _write(f"{tmpdir_path}/a.csv", 'Invoice No.,Item,Amount\n1,"12"" PIPE, BLACK",5\n2,"two\nlines",6\n3,short\n4,x,7,surplus\n')
+    _write(f"{tmpdir_path}/empty.csv", "")
+    df, rejects = A.read_folder_with_rejects(spark, tmpdir_path)
+    assert sorted(rows(df, "INVOICE_NO", "ITEMNAME", "AMOUNT")) == [("1", '12" PIPE, BLACK', "5"), ("2", "two\nlines", "6")]
+    assert sorted(r.reason for r in rejects.collect()) == ["empty file", "number of fields", "number of fields"]
+
+
+def test_long_header_and_unreadable_file(spark, tmpdir_path):
+    import pytest
+
+    names = [f"COLUMN_{i:05d}" for i in range(9000)]  # a header of more than one block
+    _write(f"{tmpdir_path}/wide.csv", ",".join(names) + "\n")
+    assert A.first_line(spark, f"{tmpdir_path}/wide.csv") == ",".join(names)
+    with pytest.raises(Exception):
+        A.read_folder(spark, [f"{tmpdir_path}/missing.csv"])
+
+
+def test_tenants_stay_apart(spark, tmpdir_path):
+    import pytest
+
+    path = f"{tmpdir_path}/t"
+    assert B.load(_sales(spark, [("1", Decimal(1), "007")]), path) == 1
+    assert B.load(_sales(spark, [("1", Decimal(1), "7"), ("1", Decimal(2), "ACME:IN"), ("1", Decimal(9), "007")]), path) == 2
+    assert B.load(spark.createDataFrame([("2", 3.0, "7")], "INVOICE_NO string, RATE double, TENANT_ID string"), path) == 1
+    back = B.read_table(spark, path)
+    assert "RATE" in back.columns and sorted(rows(back, "tenant_id")) == [("007",), ("7",), ("7",), ("ACME:IN",)]
+    assert A.scan(spark, path, "007").count() == 1
+    with pytest.raises(ValueError):
+        B.load(_sales(spark, [("1", Decimal(1), "x")]).drop("tenant_id"), path)
+    assert B.clear_tenant(spark, path, "ACME:IN") == 1 and B.clear_tenant(spark, path, "../t") == 0
+    assert B.read_table(spark, path).count() == 3
+
+
+def test_stream_keeps_tenants_apart(spark, tmpdir_path):
+    from ledgerline.streaming.ingest_stream import process_batch
+    from ledgerline.operators.ingest import IngestConfig
+
+    head = "Date,Invoice No.,Party Name,State,Amount,Tenant Id\n"
+    for i, t in enumerate(("A", "B")):
+        _write(f"{tmpdir_path}/f{i}.csv", head + f"2024-04-01,1,X,GOA,10,{t}\n")
+        assert process_batch(spark, [f"{tmpdir_path}/f{i}.csv"], i, f"{tmpdir_path}/table", None, IngestConfig(), None, None) == 1
+    assert B.read_table(spark, f"{tmpdir_path}/table").count() == 2
+
+
+def test_snapshot_order(spark, tmpdir_path):
+    df = spark.createDataFrame([("1", "2024-01-01", 1.0, "m"), ("2", "2024-03-01", 2.0, "m"), ("3", "2024-02-01", 3.0, "m")],
+                               "INVOICE_NO string, DATE string, AMOUNT double, MONTH string")
+    out = B.merge_snapshot(df, df.limit(0))
+    assert out.columns == ["DATE", "MONTH", "INVOICE_NO", "AMOUNT"]
+    B.write_snapshot(out, f"{tmpdir_path}/s")
+    files = sorted(f for f in os.listdir(f"{tmpdir_path}/s") if f.endswith(".parquet"))
+    assert [r.DATE for f in files for r in spark.read.parquet(f"{tmpdir_path}/s/{f}").collect()] == ["2024-03-01", "2024-02-01", "2024-01-01"]
+
+
+def test_checkpoint_folder_is_asked_for_off_local_mode(monkeypatch):
+    import pytest
+
+    from ledgerline import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "yarn"})()
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Fake())
+
+
+def test_unfinished_fact_is_built_anew(spark, tmpdir_path, monkeypatch):
+    from ledgerline.sources import tables as T
+    from tests.conftest import SF_SMALL
+
+    monkeypatch.setattr(T, "LAYOUT", f"test-{os.path.basename(tmpdir_path)}")
+    good = T.sales(spark, SF_SMALL).count()
+    target = next(iter(k for k in T._STORED_SCHEMAS if T.LAYOUT in k))
+    os.remove(f"{target}/_SUCCESS".replace("file://", ""))
+    T._STORED_SCHEMAS.pop(target)
+    assert T.sales(spark, SF_SMALL).count() == good and os.path.exists(f"{target}/_SUCCESS".replace("file://", ""))
