@@ -20,6 +20,7 @@ constant (positives + 1) / (rows + 2). An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -28,6 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .common import stored, text_of
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,7 +65,10 @@ def _fit(train: DataFrame, category: str, before: list[str], iterations: int, st
     put = VectorAssembler(inputCols=["words", *before], outputCol="__x").transform(known)
     model = LogisticRegression(featuresCol="__x", labelCol=category, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y",
                                maxIter=iterations, regParam=strength, standardization=False).fit(put)
-    return Link(category, model, 0.0)
+    # written and read back: the model as fitted holds a training summary, and with it the session
+    path = f"{shared_dir(train.sparkSession, 'llm')}/model-{category}-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return Link(category, LogisticRegressionModel.load(path), 0.0)
 
 
 def probability(category: str) -> str:
