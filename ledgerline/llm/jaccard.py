@@ -1,7 +1,7 @@
 """N-gram Jaccard join (10): chosen-path join on five-word shingle sets.
 
-1. Documents with equal shingle sets form one class; the class with the
-   smallest row stands for them, so copies cost one member and no pair.
+1. Documents with equal shingle sets form one class, for which the row with the
+   smallest id stands, so copies cost one member and no pair.
 2. A set is embedded as ``MINHASHES`` one-permutation minhash values: tokens
    (coordinate, value) of which two sets share about their Jaccard similarity.
 3. Each of ``runs_for(recall)`` repeated runs splits all sets recursively: at a
@@ -314,12 +314,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: (__row, id, group_id, n_links, kept).
 
     ``n_links``: the different shingle sets of other documents that this row's
-    set is similar to; ``kept``: the first row of each group.
+    set is similar to; ``kept``: the row with the smallest id of each group (of equal ids the first).
     """
     keyed = keyed_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     every = stored(describe(keyed, shingle), "described")
     key = ["n", "d1", "d2"]
-    classes = stored(every.where("n > 0").groupBy(*key).agg(F.min("__row").alias("node"), F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("__row"))).alias("best")
+    classes = every.where("n > 0").groupBy(*key).agg(best, F.first("sig").alias("sig"))
+    classes = stored(classes.select(*key, "best", F.col("best.__row").alias("node"), "sig"), "classes")
     candidates = candidate_groups(classes, threshold, recall)
     candidates = stored(candidates.join(classes.select("node", "n"), "node"), "candidates")
     cuts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(8.0 * F.col("n")) / BLOCK_BYTES)).cast("int").alias("cuts")
@@ -330,11 +332,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(found.where("b is not null").select("a", "b"))
     placed = classes.drop("sig").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed, "placed")
-    names = stored(placed.groupBy("root").agg(F.min("id").alias("group_id")), "names")
-    verdict = stored(placed.join(names, "root").select(*key, "root", "group_id", "n_links"), "verdict")
+    names = stored(placed.groupBy("root").agg(F.min("best").alias("first")), "names")
+    verdict = stored(placed.join(names, "root").select(*key, "first", "n_links"), "verdict")
     return every.select("__row", "id", *key).join(verdict, key, "left").select(
-        "__row", "id", F.when(F.col("n") > 0, F.col("group_id")).otherwise(F.col("id")).alias("group_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.coalesce("root", "__row") == F.col("__row")).alias("kept"))
+        "__row", "id", F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("group_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.coalesce("first.__row", "__row") == F.col("__row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
