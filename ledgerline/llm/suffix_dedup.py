@@ -40,7 +40,8 @@ from .common import keyed_rows, slices, stored
 
 GRAM, SPACING, STEP = 16, 64, 96
 SORT_BYTES = 800_000
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_ENTRIES = 200_000, 500_000  # rows, and entries of their arrays
+STRINGS_PER_TASK = 4000
 
 
 def buckets(rows: DataFrame, size: int) -> DataFrame:
@@ -104,8 +105,10 @@ def buckets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("__row", "text").mapInArrow(run, "core long, outer long, __row long, start int, span int")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, entries: str) -> DataFrame:
+    """``df`` (stored) with a broadcast hint if its rows and the entries of its array are counted to be few."""
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_ENTRIES else df
 
 
 def outer_strings(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -125,7 +128,7 @@ def outer_strings(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                         data.append(text[p["start"]:p["start"] + p["span"] + size])
                 yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(outer, pa.int64()), pa.array(data, pa.binary())], names=["core", "outer", "data"])
 
-    return rows.join(_bounded(places), "__row").select("text", "places").mapInArrow(run, "core long, outer long, data binary")
+    return rows.join(_bounded(places, "places"), "__row").select("text", "places").mapInArrow(run, "core long, outer long, data binary")
 
 
 def sorted_ranges(strings: DataFrame, size: int) -> DataFrame:
@@ -170,7 +173,8 @@ def sorted_ranges(strings: DataFrame, size: int) -> DataFrame:
         if core:
             yield out(len(core))
 
-    return strings.repartition("core").sortWithinPartitions("core").mapInArrow(run, "core long, outer long, low int, high int")
+    tasks = max(1, -(-strings.count() // STRINGS_PER_TASK))
+    return strings.repartition(tasks, "core").sortWithinPartitions("core").mapInArrow(run, "core long, outer long, low int, high int")
 
 
 def hashed_ranges(strings: DataFrame, size: int) -> DataFrame:
@@ -211,15 +215,40 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "core", "outer", F.when(whole, 0).otherwise(F.col("low")).alias("low"), F.when(whole, F.col("span")).otherwise(F.col("high")).alias("high"))
     found = held.join(stored(verdict, "verdict"), ["core", "outer"])
     found = found.select("__row", F.struct((F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + size).alias("b")).alias("r"))
-    spans = found.groupBy("__row").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return spans.select("__row", F.col("r").alias("ranges"))
+    return merged(found.groupBy("__row").agg(F.array_sort(F.collect_list("r")).alias("ranges")))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(__row, ranges) with the sorted ranges of each row joined where they touch or overlap."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column("ranges")
+            flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            a, b = flat.field("a").to_numpy(), flat.field("b").to_numpy()
+            out, lengths = [], []
+            for low, high in zip(ends[:-1], ends[1:]):
+                far = np.maximum.accumulate(b[low:high])
+                first = np.concatenate([[True], a[low + 1:high] > far[:-1]])
+                at = np.flatnonzero(first)
+                out.append((a[low:high][at], far[np.concatenate([at[1:] - 1, [high - low - 1]])]))
+                lengths.append(len(at))
+            x, y = (np.concatenate([o[i] for o in out]) if out else np.empty(0, "i4") for i in (0, 1))
+            made = pa.StructArray.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32())], names=["a", "b"])
+            runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("i4")), made)
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), runs], names=["__row", "ranges"])
+
+    return spans.mapInArrow(run, "__row long, ranges array<struct<a int, b int>>")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
     """One row per input row: (__row, id, n_bytes, kept, removed): remaining bytes as binary, removed runs as (a, b)."""
     ranges = stored(repeated_ranges(docs, id_col, text_col, size), "ranges")
     rows = keyed_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    rows = rows.join(_bounded(ranges), "__row", "left").select("__row", "id", "text", "ranges")
+    rows = rows.join(_bounded(ranges, "ranges"), "__row", "left").select("__row", "id", "text", "ranges")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -229,12 +258,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             for part in slices(batch, "text"):
                 sizes, kept, removed = [], [], []
                 for text, found in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("ranges").to_pylist()):
-                    text, runs = text or b"", []
-                    for r in found or []:
-                        if runs and r["a"] <= runs[-1]["b"]:
-                            runs[-1]["b"] = max(runs[-1]["b"], r["b"])
-                        else:
-                            runs.append({"a": r["a"], "b": r["b"]})
+                    text, runs = text or b"", found or []
                     edges = [0, *(x for r in runs for x in (r["a"], r["b"])), len(text)]
                     sizes.append(len(text))
                     kept.append(b"".join([text[a:b] for a, b in zip(edges[0::2], edges[1::2])]))
