@@ -656,7 +656,7 @@ def h3_rfm_labels(spark, sf):
 
 
 @query("h4_segment_rollup", O.with_sales(
-    f"SELECT Segment, count(*) AS Count, COALESCE(SUM(Monetary), 0.0) AS Revenue FROM ({H3_SQL[H3_SQL.index('SELECT CUSTOMER_NAME, Recency'):]}) GROUP BY Segment",
+    f"SELECT Segment, count(*) AS Count, COALESCE(CAST(SUM(CAST(Monetary AS DECIMAL(26,4))) AS DOUBLE), 0.0) AS Revenue FROM ({H3_SQL[H3_SQL.index('SELECT CUSTOMER_NAME, Recency'):]}) GROUP BY Segment",
     RFM_BASE_SQL))
 def h4_segment_rollup(spark, sf):
     return H.segment_rollup(H.rfm_labels(T.sales(spark, sf)))

@@ -55,18 +55,16 @@ def percentile_edges(df: DataFrame, col: str, name: str) -> DataFrame:
     return df.agg(F.percentile(F.col(col).cast("double"), F.array(*[F.lit(q) for q in QUARTILES])).alias(name))
 
 
-def rank_edges(df: DataFrame, col: str, key: str, name: str) -> DataFrame:
-    """Exact linear-interpolation quartile edges from order statistics
-    (``df`` is expected to be materialized by the caller).
+def rank_edges(ranked: DataFrame, col: str, rank: str, name: str) -> DataFrame:
+    """Exact linear-interpolation quartile edges from order statistics.
 
-    A bucketed running count ranks the rows (value asc, key asc); only the
-    rows at the interpolation positions floor/ceil((n-1)q) are kept (at most
-    2 per quantile), so the edge computation never gathers the column.
+    ``rank`` numbers the rows by (``col``, key); only the rows at the
+    interpolation positions floor/ceil((n-1)q) are kept (at most 2 per
+    quantile), so the column is never gathered.
     """
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
-    r = with_total(running_sum(df.where(F.col(col).isNotNull()), col, key, None, "__r", descending=False), n)
+    r = with_total(ranked, ranked.agg(F.count(F.lit(1)).alias("__n")))
     pos = [(F.col("__n") - 1) * F.lit(q) for q in QUARTILES]
-    idx = F.col("__r") - 1
+    idx = F.col(rank) - 1
     keep = None
     for p in pos:
         c = (idx == F.floor(p)) | (idx == F.ceil(p))
@@ -89,10 +87,17 @@ def below(v: Column, edges: str) -> Column:
 
 
 def _with_edges(base: DataFrame) -> DataFrame:
-    r = percentile_edges(base, "Recency", "__er")  # whole days: bounded by the calendar
-    f = rank_edges(base, "Frequency", M.CUSTOMER, "__ef")
-    m = rank_edges(base, "__money", M.CUSTOMER, "__em")
-    return with_total(with_total(with_total(base, r), f), m)
+    """``base`` with the quartile edges of R, F and M and the rank of each customer by Frequency.
+
+    Two written tables: the customers in ranges of Frequency (the one fact
+    pass) and, from these, in ranges of Monetary; edges are read off the ranks.
+    """
+    b = running_sum(base, "Frequency", M.CUSTOMER, None, "__rank", descending=False)
+    b = running_sum(b, "__money", M.CUSTOMER, None, "__rank_m", descending=False)
+    r = percentile_edges(b, "Recency", "__er")  # whole days: bounded by the calendar
+    f = rank_edges(b, "Frequency", "__rank", "__ef")
+    m = rank_edges(b, "__money", "__rank_m", "__em")
+    return with_total(with_total(with_total(b, r), f), m)
 
 
 def segment_of(score: Column, segments=RFM_SEGMENTS, lowest: str = RFM_LOWEST) -> Column:
@@ -105,7 +110,7 @@ def segment_of(score: Column, segments=RFM_SEGMENTS, lowest: str = RFM_LOWEST) -
 def rfm_segments(df: DataFrame) -> DataFrame:
     """H2 (flagship): quartile scores R (reversed), F, M summed to 3..12 ->
     Champions >= 10, Loyal >= 8, Potential >= 6, At Risk >= 4, else Lost."""
-    b = _with_edges(materialize(rfm_base(df)))
+    b = _with_edges(rfm_base(df))
     r = F.lit(4) - below(F.col("Recency"), "__er")
     f = F.lit(1) + below(F.col("Frequency"), "__ef")
     m = F.lit(1) + below(F.col("__money").cast("double"), "__em")
@@ -128,10 +133,8 @@ def rfm_labels(df: DataFrame, min_customers: int = 4) -> DataFrame:
     """H3: R (Recency quartile: Active..Lost), F (quartile of the rank-first
     of Frequency, ties by name), M (Low..VIP) and the 5 label segments; later
     rules override earlier ones. Empty below ``min_customers`` customers."""
-    base = materialize(rfm_base(df))
-    b = _with_edges(base)
-    b = running_sum(b, "Frequency", M.CUSTOMER, None, "__rank", descending=False)
-    n = base.agg(F.count(F.lit(1)).alias("__n"))
+    b = _with_edges(rfm_base(df))
+    n = b.agg(F.count(F.lit(1)).alias("__n"))
     b = with_total(b, n).where(F.col("__n") >= min_customers)
     rb = below(F.col("Recency"), "__er")
     # rank-first bin: #k in {1,2,3} with 4(r-1) > k(n-1), exact in integers
@@ -149,9 +152,9 @@ def rfm_labels(df: DataFrame, min_customers: int = 4) -> DataFrame:
 
 
 def segment_rollup(rfm: DataFrame) -> DataFrame:
-    """H4: customers and revenue per segment."""
+    """H4: customers and revenue per segment (money summed exactly, in any order)."""
     return rfm.groupBy("Segment").agg(F.count(F.lit(1)).alias("Count"),
-                                      F.coalesce(F.sum("Monetary"), F.lit(0.0)).alias("Revenue"))
+                                      F.coalesce(F.sum(F.col("Monetary").cast(M.MONEY)).cast("double"), F.lit(0.0)).alias("Revenue"))
 
 
 CHURN_DAYS = 90
@@ -181,8 +184,6 @@ def churn_scores(features: DataFrame, min_customers: int = 10, churn_days: int =
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from ..plans.common import materialize
-
     features = materialize(features)  # one row per customer: statistics, scaler, forest and scores read it, not the fact
     stats = features.agg(F.count(F.lit(1)).alias("n"), F.min("Is_Churned").alias("lo"),
                          F.max("Is_Churned").alias("hi")).first()  # 1-row scalar, decides the plan

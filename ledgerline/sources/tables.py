@@ -165,6 +165,11 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
+def write_fact(plan: DataFrame, path: str) -> None:
+    (plan.repartitionByRange(M.TENANT, M.DATE).sortWithinPartitions(M.TENANT, M.DATE)
+         .write.mode("overwrite").partitionBy(M.TENANT).parquet(path))
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A table derived from the inputs, built once per input fingerprint and
     written under the shared checkpoint folder.
@@ -193,8 +198,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path
     if not fs.exists(path(f"{target}/_SUCCESS")):
         tmp = f"{target}-tmp-{uuid.uuid4().hex}"
-        (plan.repartitionByRange(M.TENANT, M.DATE).sortWithinPartitions(M.TENANT, M.DATE)
-             .write.mode("overwrite").partitionBy(M.TENANT).parquet(tmp))
+        write_fact(plan, tmp)
         if fs.exists(path(f"{target}/_SUCCESS")):  # another builder won the race
             fs.delete(path(tmp), True)
         else:
