@@ -75,6 +75,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("__row").alias("k"))
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("__row").alias("k"))
     rows = keyed_rows(docs.select(F.struct("*").alias("row")), "k")
-    return rows.join(kept, "k", "left_semi").select("row.*")
+    return rows.join(gone, "k", "left_anti").select("row.*")

@@ -341,6 +341,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with the columns of ``docs``."""
-    kept = near_duplicates(docs).where("kept").select(F.col("__row").alias("k"))
+    gone = near_duplicates(docs).where("not kept").select(F.col("__row").alias("k"))
     rows = keyed_rows(docs.select(F.struct("*").alias("row")), "k")
-    return rows.join(kept, "k", "left_semi").select("row.*")
+    return rows.join(gone, "k", "left_anti").select("row.*")
