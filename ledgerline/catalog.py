@@ -675,6 +675,16 @@ def h6_churn_scores(spark, sf):
     return H.churn_scores(H.churn_features(T.sales(spark, sf)))
 
 
+@query("h6_churn_invariants", O.with_sales("""
+SELECT count(*) AS customers, count(*) AS in_range, count(*) FILTER (WHERE Recency > 90) = 0 AS only_active
+FROM rfm_base WHERE Recency <= 90""", RFM_BASE_SQL))
+def h6_churn_invariants(spark, sf):
+    """What SQL can say of the scores: the active customers, each with a probability in per cent."""
+    p = h6_churn_scores(spark, sf)
+    return p.agg(F.count_distinct(M.CUSTOMER).alias("customers"), F.count(F.when(F.col("Churn_Probability").between(0, 100), 1)).alias("in_range"),
+                 (F.count(F.when(F.col("Recency") > 90, 1)) == 0).alias("only_active"))
+
+
 @query("h7_customer_risk", O.with_sales("""
 SELECT CUSTOMER_NAME, COUNT(DISTINCT INVOICE_NO) AS Orders, strftime(max(DATE), '%Y-%m-%d') AS LastOrder,
        COUNT(DISTINCT INVOICE_NO) <= 1 AS single_order,
@@ -1060,6 +1070,17 @@ def i4_lowess_trend(spark, sf):
     return I.smooth(I.demand_curve(T.sales(spark, sf), 50))
 
 
+@query("i4_lowess_invariants", O.with_sales(f"""
+SELECT MATERIALGROUP, ITEM_NAME_GROUP, count(*) AS points, CAST(SUM(TOTAL_QTY) AS DOUBLE) AS qty, true AS fitted FROM (
+  SELECT u.MATERIALGROUP, u.ITEM_NAME_GROUP, ROUND(UNIT_PRICE, 0) AS PRICE_BIN, CAST(SUM(QTY) AS DOUBLE) AS TOTAL_QTY
+  FROM ({UNIT_SQL}) u SEMI JOIN top_products t ON u.MATERIALGROUP = t.MATERIALGROUP AND u.ITEM_NAME_GROUP = t.ITEM_NAME_GROUP
+  GROUP BY 1, 2, 3) GROUP BY 1, 2""", TOP_PRODUCTS_SQL))
+def i4_lowess_invariants(spark, sf):
+    """What SQL can say of the trend: every point of every curve kept, and fitted."""
+    return i4_lowess_trend(spark, sf).groupBy(M.MATERIAL, M.ITEM_GROUP).agg(
+        F.count("*").alias("points"), F.sum("TOTAL_QTY").alias("qty"), (F.count("trend") == F.count("*")).alias("fitted"))
+
+
 # ------------------------------------------------------------------ J: geography
 def region_coords(spark, sf) -> DataFrame:
     """State coordinates derived from the region table."""
