@@ -34,9 +34,9 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?
 # The classes inside Latin-1, for the faster standard matcher.
 LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": "\t-\r \x85\xa0"}
 UNICODE = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\p{White_Space}"}
-CACHE_ENTRIES = 800_000
-PAIR_ENTRIES = 300_000
-SLICE_CHARS = 2_000_000
+CACHE_ENTRIES = 200_000
+PAIR_ENTRIES = 150_000
+SLICE_CHARS = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:

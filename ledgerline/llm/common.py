@@ -41,7 +41,7 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def slices(batch, text_col: str, chars: int = 2_000_000) -> Iterator:
+def slices(batch, text_col: str, chars: int = 1_000_000) -> Iterator:
     """An Arrow batch in parts of about ``chars`` bytes of text, so that a task's memory follows the longest text only."""
     import numpy as np
     import pyarrow.compute as pc

@@ -121,9 +121,11 @@ def text_scores(rows: DataFrame, model: Model, temper: float) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 bucket, first = trigrams(part.column("text"))
-                sums = np.stack([np.concatenate([[0.0], np.cumsum(row[bucket])]) for row in log_p], 1) if len(log_p) else np.zeros((len(bucket) + 1, 0))
-                score = sums[first[1:]] - sums[first[:-1]]
                 n = np.diff(first)
+                score = np.zeros((len(n), len(log_p)))
+                for i, row in enumerate(log_p):
+                    sums = np.concatenate([[0.0], np.cumsum(row[bucket])])
+                    score[:, i] = sums[first[1:]] - sums[first[:-1]]
                 lift = (score.max(1) / np.maximum(n, 1) + np.log(BUCKETS)) if len(log_p) else np.zeros(len(n))
                 score = score * temper
                 p = np.exp(score - score.max(1, keepdims=True)) if len(log_p) else score
