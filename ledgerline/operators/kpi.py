@@ -145,12 +145,13 @@ def mtd_growth(df: DataFrame) -> DataFrame:
     month interval clamps, as the reference's fallback does).
     """
     d = F.col(M.DATE)
-    mxc = df.agg(F.max(M.DATE).alias("__mx")).scalar()
+    mx = df.agg(F.max(M.DATE).alias("__mx"))
+    first_day = F.date_trunc("month", mx.scalar() - F.expr("INTERVAL 1 MONTH"))
+    b = with_total(df.where(d >= first_day.cast(df.schema[M.DATE].dataType)).select(M.DATE, M.AMOUNT), mx)
+    mxc = F.col("__mx")
     cur_start = F.date_trunc("month", mxc)
     prev_end = mxc - F.expr("INTERVAL 1 MONTH")
     prev_start = F.date_trunc("month", prev_end)
-    kind = df.schema[M.DATE].dataType
-    b = df.where(d >= prev_start.cast(kind))
     a = b.agg(
         F.coalesce(F.sum(F.when((d >= cur_start) & (d <= mxc), F.col(M.AMOUNT))), F.lit(0)).cast("double").alias("current_mtd"),
         F.coalesce(F.sum(F.when((d >= prev_start) & (d <= prev_end), F.col(M.AMOUNT))), F.lit(0)).cast("double").alias("previous_mtd"),

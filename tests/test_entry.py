@@ -75,9 +75,11 @@ def _unbounded_global_windows(plan: str):
     found = []
     for at, line in enumerate(lines):
         m = re.search(r"\bWindow (\[.*)$", line)
-        if not m or len(_bracket_groups(m.group(1))) != 2:  # [functions], [order]: no partition spec
+        groups = _bracket_groups(m.group(1)) if m else []  # [functions], [partition columns], [order]; empty ones are left out
+        if not groups or len(groups) > 2 or len(groups) == 2 and not re.search("(ASC|DESC) NULLS", groups[1]):
             continue
-        key = re.search(r"windowspecdefinition\((\w+)#", line).group(1)
+        key = re.search(r"windowspecdefinition\((\w+)#", line)
+        key = key.group(1) if key else ""
         depth = len(re.match(r"[\s:+-]*", line).group())
         below = []
         for x in lines[at + 1:]:
