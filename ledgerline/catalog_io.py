@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import model as M
 from . import oracle as O
 from .catalog import TS_SQL, _out, query
-from .functions.scalars import inr_compact, inr_signed
+from .functions.scalars import inr_compact, inr_signed, json_text
 from .operators import ingest as C
 from .session import shared_dir
 from .sinks import writers as B
@@ -227,3 +227,22 @@ FROM (SELECT CUSTOMER_NAME, CAST(SUM(AMOUNT * CASE WHEN QTY > 20 THEN -1 ELSE 1
 def m1_inr_signed(spark, sf):
     s = T.sales(spark, sf).groupBy(M.CUSTOMER).agg(F.sum(F.when(F.col(M.QTY) > 20, -F.col(M.AMOUNT)).otherwise(F.col(M.AMOUNT))).alias("v"))
     return s.select(M.CUSTOMER, F.col("v").cast("double").alias(M.AMOUNT), inr_signed("v").alias("signed"), inr_compact("v").alias("compact"))
+
+
+@query("b8_daily_archive", O.with_sales("""
+SELECT CUSTOMER_NAME, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Orders ELSE 0.0 END AS AOV, '2024-04-01' AS run_date FROM (
+  SELECT CUSTOMER_NAME, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders
+  FROM sales WHERE CUSTOMER_NAME IS NOT NULL GROUP BY 1)"""))
+def b8_daily_archive(spark, sf):
+    base = _folder(spark, "archive")
+    B.archive(B.daily_reports(T.sales(spark, sf)), base, "2024-04-01")
+    out = spark.read.parquet(f"{base}/customer_overview")
+    return out.withColumn("run_date", F.date_format("run_date", "yyyy-MM-dd"))
+
+
+@query("m5_json_text", O.with_sales("""
+SELECT to_json({'CUSTOMER_NAME': CUSTOMER_NAME, 'Orders': Orders, 'LastOrder': LastOrder, 'Note': NULL}) AS record FROM (
+  SELECT CUSTOMER_NAME, COUNT(DISTINCT INVOICE_NO) AS Orders, strftime(max(DATE), '%Y-%m-%dT%H:%M:%S') AS LastOrder FROM sales GROUP BY 1)"""))
+def m5_json_text(spark, sf):
+    s = T.sales(spark, sf).groupBy(M.CUSTOMER).agg(F.count_distinct(M.INVOICE_NO).alias("Orders"), F.max(M.DATE).alias("LastOrder"))
+    return s.withColumn("Note", F.lit(None).cast("string")).select(json_text(M.CUSTOMER, "Orders", "LastOrder", "Note").cast("string").alias("record"))

@@ -87,3 +87,9 @@ def regex_literal(word: str) -> str:
 def regex_any(words: list[str]) -> str:
     """One alternation regex over literal words."""
     return "|".join(regex_literal(w) for w in words)
+
+
+def json_text(*columns: str) -> Column:
+    """M5: the columns as one JSON object, NULLs kept, timestamps as ISO text."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampFormat": iso, "timestampNTZFormat": iso})

@@ -189,3 +189,16 @@ def archive(reports: dict[str, DataFrame], path: str, run_date: str) -> list[str
         df.write.mode("overwrite").parquet(p)
         out.append(p)
     return out
+
+
+def daily_reports(df: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the two daily reports — the executive summary (KPIs and all
+    product groups) and the customer overview (each customer's revenue and orders)."""
+    from ..operators.kpi import kpi_extended
+    from ..operators.ranking import category_table
+
+    return {
+        "executive_summary_kpis": kpi_extended(df),
+        "executive_summary_groups": category_table(df, None),
+        "customer_overview": category_table(df, None, M.CUSTOMER),
+    }
