@@ -8,9 +8,9 @@ vocabulary (its links list the tokens that end at a byte), the pair test picks
 the right one, and following the stored last tokens back from the end gives the
 ids, equal to those of the merge procedure.
 
-Pre-tokens are independent: those new to a Python worker are taken in sorted
+Pre-tokens are independent: those new to a task are taken in sorted
 order, so that a prefix shared with the one before keeps its stored tokens, and
-their encodings go to a bounded cache. Added tokens (such as an end-of-text marker) found in a text are
+their encodings go to a bounded cache that lasts as long as the task. Added tokens (such as an end-of-text marker) found in a text are
 split off first, as the tokenizers library does by default.
 
 Rows: null text counts as empty (no tokens); an empty table gives an empty
@@ -29,6 +29,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import released
+
 # The pre-token pattern of byte-level vocabularies; {L} letters, {N} numbers, {S} white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 # The classes inside Latin-1, for the faster standard matcher.
@@ -252,8 +254,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
                 part = batch.slice(start, len(texts))
                 ids = _arrow_ids(tokenizer(path).encode(texts))
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [ids], names=[*keep, out])
+        tokenizer(path).packed.clear()  # idle workers hold no cache
 
-    return docs.mapInArrow(run, _with(docs.schema, **{out: IDS}))
+    return docs.mapInArrow(released(run), _with(docs.schema, **{out: IDS}))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -267,7 +270,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
             texts = pa.array([tokenizer(path).decode(row.as_py() or []) for row in batch.column(ids_col)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [texts], names=[*keep, out])
 
-    return docs.mapInArrow(run, _with(docs.schema, **{out: T.StringType()}))
+    return docs.mapInArrow(released(run), _with(docs.schema, **{out: T.StringType()}))
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -284,5 +287,6 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids: str = "i
                 part, packed = batch.slice(start, len(texts)), bpe.encode(texts)
                 decoded = pa.array([bpe.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [_arrow_ids(packed), decoded], names=[*keep, ids, out])
+        bpe.packed.clear()  # idle workers hold no cache
 
-    return docs.mapInArrow(run, _with(docs.drop(text_col).schema, **{ids: IDS, out: T.StringType()}))
+    return docs.mapInArrow(released(run), _with(docs.drop(text_col).schema, **{ids: IDS, out: T.StringType()}))

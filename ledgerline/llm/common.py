@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +53,24 @@ def slices(batch, text_col: str, chars: int = 1_000_000) -> Iterator:
         stop = max(start + 1, int(np.searchsorted(ends, done + chars, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def released(run: Callable) -> Callable:
+    """``run`` over a partition's batches, giving freed memory back to the system at its end.
+
+    Python workers stay for later tasks; without this, an idle worker keeps the
+    largest task's memory from the executor.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return wrapped

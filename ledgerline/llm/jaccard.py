@@ -41,7 +41,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_rows, slices, stored
+from .common import keyed_rows, released, slices, stored
 from .components import components
 
 MINHASHES, DEPTH, MAX_DEPTH = 128, 3, 6
@@ -95,7 +95,7 @@ def describe(rows: DataFrame, shingle: int) -> DataFrame:
                      pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], names=["__row", "id", "n", "d1", "d2", "sig"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__row long, id {kind}, n int, d1 long, d2 long, sig binary")
+    return rows.mapInArrow(released(run), f"__row long, id {kind}, n int, d1 long, d2 long, sig binary")
 
 
 def split(sets: DataFrame, threshold: float, levels: int, runs: int = 0) -> DataFrame:
@@ -127,7 +127,7 @@ def split(sets: DataFrame, threshold: float, levels: int, runs: int = 0) -> Data
                     row, path = (np.concatenate(who), np.concatenate(where)) if who else (row, path)
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), pa.array(path.view("i8"))], names=["node", "path"])
 
-    return sets.mapInArrow(run, "node long, path long")
+    return sets.mapInArrow(released(run), "node long, path long")
 
 
 def blocks(members: DataFrame, group: str) -> DataFrame:
@@ -216,7 +216,7 @@ def bucket_edges(dealt: DataFrame, threshold: float) -> DataFrame:
                 a, b = np.array(forest.edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return dealt.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
+    return dealt.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(released(run), "a long, b long")
 
 
 def with_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -234,7 +234,7 @@ def with_sets(rows: DataFrame, shingle: int) -> DataFrame:
                     [part.column("node"), part.column("root"), part.column("cuts"), pa.array([len(s) for s in sets], pa.int32()),
                      pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "cuts", "n", "set"])
 
-    return rows.select("node", "root", "cuts", "text").mapInArrow(run, "node long, root long, cuts int, n int, set binary")
+    return rows.select("node", "root", "cuts", "text").mapInArrow(released(run), "node long, root long, cuts int, n int, set binary")
 
 
 def common_counts(sets: list):
@@ -282,7 +282,7 @@ def exact_links(dealt: DataFrame, threshold: float) -> DataFrame:
                 [pa.array(np.concatenate([node[own], node[a]])), pa.array(np.concatenate([np.zeros(len(own), "i8"), node[b]]), mask=np.arange(len(own) + len(a)) < len(own)),
                  pa.array(np.concatenate([links[own], np.zeros(len(a), "i8")]))], names=["a", "b", "links"])
 
-    return dealt.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long, links long")
+    return dealt.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(released(run), "a long, b long, links long")
 
 
 def bounded(df: DataFrame) -> DataFrame:

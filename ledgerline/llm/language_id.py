@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_rows, slices, stored, text_of
+from .common import keyed_rows, released, slices, stored, text_of
 
 BUCKETS = 8192
 MAX_LANGUAGES = 500
@@ -97,7 +97,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // BUCKETS).astype("i4")), pa.array((at % BUCKETS).astype("i4")), pa.array(total.ravel()[at])], names=["l", "b", "n"])
 
-    sums = chosen.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
+    sums = chosen.mapInArrow(released(count), "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), BUCKETS))
     found = sums.toPandas()  # at most MAX_LANGUAGES * BUCKETS rows
     counts[found["l"], found["b"]] = found["n"]
@@ -137,7 +137,7 @@ def text_scores(rows: DataFrame, model: Model, temper: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in keep] + [arrays(score), arrays(p), pa.array(lift, mask=n == 0)], names=[*keep, "score", "p", "lift"])
 
-    return rows.select(*keep, "text").mapInArrow(run, f"{kinds}, score array<double>, p array<double>, lift double")
+    return rows.select(*keep, "text").mapInArrow(released(run), f"{kinds}, score array<double>, p array<double>, lift double")
 
 
 def _summed(rows: DataFrame, k: int, *by: str) -> DataFrame:

@@ -29,7 +29,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import released, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -226,4 +226,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     found.append([{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in every])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, shape)], names=["id", "spans"])
 
-    return rows.mapInArrow(run, f"id {kind}, spans array<struct<kind string, start long, end long, base boolean>>")
+    return rows.mapInArrow(released(run), f"id {kind}, spans array<struct<kind string, start long, end long, base boolean>>")

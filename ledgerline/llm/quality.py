@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_rows, slices, stored
+from .common import keyed_rows, released, slices, stored
 
 FEATURES = ("log_bytes", "upper", "digit", "symbol", "bang", "stop", "blank", "line_break", "beyond_ascii", "word_length", "short_words",
             "distinct_words", "repeated_runs", "repeated_lines", "line_length", "symbol_words")
@@ -113,7 +113,7 @@ def with_statistics(rows: DataFrame) -> DataFrame:
                 ends = pa.array(np.arange(len(x) + 1, dtype="i4") * len(FEATURES))
                 yield pa.RecordBatch.from_arrays([part.column("__row"), part.column("id"), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["__row", "id", "x"])
 
-    return rows.mapInArrow(run, f"__row long, id {rows.schema['id'].dataType.simpleString()}, x array<double>")
+    return rows.mapInArrow(released(run), f"__row long, id {rows.schema['id'].dataType.simpleString()}, x array<double>")
 
 
 def _matrix(column):
@@ -142,7 +142,7 @@ def moments(train: DataFrame):
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total.ravel()[at])], names=["at", "v"])
 
-    sums = train.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # at most 10 * size rows
+    sums = train.mapInArrow(released(run), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # at most 10 * size rows
     out = np.zeros(10 * size)
     out[sums["at"]] = sums["v"]
     return out.reshape(5, 2, size)
@@ -247,7 +247,7 @@ def fit(train: DataFrame) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total.ravel()[at])], names=["at", "v"])
 
-    sums = train.mapInArrow(run, "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # at most len(GRID) * 2 * BINS rows
+    sums = train.mapInArrow(released(run), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # at most len(GRID) * 2 * BINS rows
     counts = np.zeros(len(GRID) * 2 * BINS)
     counts[sums["at"]] = sums["v"]
     mid = ((np.arange(BINS) + 0.5) / BINS * 2 - 1) * np.arcsinh(REACH)
@@ -277,5 +277,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("id"), pa.array(model.score(_matrix(batch.column("x"))))], names=["__row", "id", "score"])
 
-    out = scored.mapInArrow(run, f"__row long, id {scored.schema['id'].dataType.simpleString()}, score double")
+    out = scored.mapInArrow(released(run), f"__row long, id {scored.schema['id'].dataType.simpleString()}, score double")
     return out.select("__row", "id", F.coalesce(fold_of("id") == 0, F.lit(False)).alias("held_out"), "score")

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_rows, slices, stored
+from .common import keyed_rows, released, slices, stored
 
 GRAM, SPACING, STEP = 16, 64, 96
 SORT_BYTES = 800_000
@@ -102,7 +102,7 @@ def buckets(rows: DataFrame, size: int) -> DataFrame:
                     [pa.array(core.view("i8")), pa.array(outer.view("i8")), pa.array(row[own]), pa.array((low - begin[own]).astype("i4")), pa.array((high - low).astype("i4"))],
                     names=["core", "outer", "__row", "start", "span"])
 
-    return rows.select("__row", "text").mapInArrow(run, "core long, outer long, __row long, start int, span int")
+    return rows.select("__row", "text").mapInArrow(released(run), "core long, outer long, __row long, start int, span int")
 
 
 def _bounded(df: DataFrame, entries: str) -> DataFrame:
@@ -128,7 +128,7 @@ def outer_strings(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                         data.append(text[p["start"]:p["start"] + p["span"] + size])
                 yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(outer, pa.int64()), pa.array(data, pa.binary())], names=["core", "outer", "data"])
 
-    return rows.join(_bounded(places, "places"), "__row").select("text", "places").mapInArrow(run, "core long, outer long, data binary")
+    return rows.join(_bounded(places, "places"), "__row").select("text", "places").mapInArrow(released(run), "core long, outer long, data binary")
 
 
 def sorted_ranges(strings: DataFrame, size: int) -> DataFrame:
@@ -174,7 +174,7 @@ def sorted_ranges(strings: DataFrame, size: int) -> DataFrame:
             yield out(len(core))
 
     tasks = max(1, -(-strings.count() // STRINGS_PER_TASK))
-    return strings.repartition(tasks, "core").sortWithinPartitions("core").mapInArrow(run, "core long, outer long, low int, high int")
+    return strings.repartition(tasks, "core").sortWithinPartitions("core").mapInArrow(released(run), "core long, outer long, low int, high int")
 
 
 def hashed_ranges(strings: DataFrame, size: int) -> DataFrame:
@@ -192,7 +192,7 @@ def hashed_ranges(strings: DataFrame, size: int) -> DataFrame:
                 h = span_hashes(np.frombuffer(d, "u1").astype("u8") + np.uint64(1), at, at + size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c)), pa.array(np.full(len(at), o)), pa.array(at.astype("i4")), pa.array(h.view("i8"))], names=["core", "outer", "at", "h"])
 
-    windows = stored(strings.mapInArrow(run, "core long, outer long, at int, h long"), "windows")
+    windows = stored(strings.mapInArrow(released(run), "core long, outer long, at int, h long"), "windows")
     often = stored(windows.groupBy("core", "h").agg(F.count("*").alias("n")).where("n > 1").select("core", "h"), "often")
     return windows.join(often, ["core", "h"]).groupBy("core", "outer").agg(F.min("at").alias("low"), F.max("at").alias("high"))
 
@@ -241,7 +241,7 @@ def merged(spans: DataFrame) -> DataFrame:
             runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("i4")), made)
             yield pa.RecordBatch.from_arrays([batch.column("__row"), runs], names=["__row", "ranges"])
 
-    return spans.mapInArrow(run, "__row long, ranges array<struct<a int, b int>>")
+    return spans.mapInArrow(released(run), "__row long, ranges array<struct<a int, b int>>")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
@@ -267,4 +267,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                                                  names=["__row", "id", "n_bytes", "kept", "removed"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"__row long, id {kind}, n_bytes long, kept binary, removed array<struct<a int, b int>>")
+    return rows.mapInArrow(released(run), f"__row long, id {kind}, n_bytes long, kept binary, removed array<struct<a int, b int>>")

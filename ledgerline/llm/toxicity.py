@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_of
+from .common import released, slices, stored, text_of
 
 FOLDS = 3
 
@@ -180,7 +180,7 @@ def _out_of_fold(train: DataFrame, models: dict, before: list[str], out: str) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in train.schema.fields)
-    return train.mapInArrow(run, f"{kinds}, `{out}` double")
+    return train.mapInArrow(released(run), f"{kinds}, `{out}` double")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str, text_col: str, sample_rows: int, buckets: int) -> DataFrame:
@@ -202,7 +202,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
                 words = pa.ListArray.from_arrays(pa.array(first.astype("i4")), pa.array(bucket))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], words], names=[*keep, "words"])
 
-    return stored(rows.select(fold, *categories, "text").mapInArrow(run, ", ".join(f"`{c}` int" for c in keep) + ", words array<int>"), "train")
+    return stored(rows.select(fold, *categories, "text").mapInArrow(released(run), ", ".join(f"`{c}` int" for c in keep) + ", words array<int>"), "train")
 
 
 def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
@@ -227,4 +227,4 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
                     made = np.concatenate([made, apply(model, bucket, first, made)[:, None]], 1)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(made[:, i]) for i in range(made.shape[1])]], names=["id", *names])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names))
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names))
