@@ -160,6 +160,36 @@ def test_line_dedup_matches_brute_force(spark, put, m):
     assert sorted((r.id is None, r.id or 0, r.text) for r in rows) == brute_lines(docs, m, m)
 
 
+def brute_runs(docs, m, least):
+    """Lines left of each text: every span of enough lines and characters that an earlier place holds too goes."""
+    seen, left = set(), []
+    for i, text in docs:
+        lines, gone = text.split("\n"), set()
+        for p in range(len(lines)):
+            for e in range(p + m, len(lines) + 1):
+                if sum(map(len, lines[p:e])) >= least:
+                    if tuple(lines[p:e]) in seen:
+                        gone |= set(range(p, e))
+                    seen.add(tuple(lines[p:e]))
+        left.append((i, "\n".join(x for p, x in enumerate(lines) if p not in gone)))
+    return left
+
+
+@pytest.mark.parametrize("m, least", [(1, 1), (1, 6), (2, 9), (3, 4), (2, 0)])
+def test_line_dedup_judges_whole_runs(spark, put, m, least):
+    rng = random.Random(10 * m + least)
+    docs = [(n, "\n".join(rng.choice(["", "", "a", "b", "cc", "dddddddd"]) for _ in range(rng.randrange(30)))) for n in range(50)]
+    docs += [(90 + n, "\n".join([docs[n][1], "x", docs[n + 5][1]])) for n in range(5)]
+    rows = line_dedup.dedup_lines(put([doc(*d) for d in docs]).coalesce(1), min_lines=m, min_chars=least).collect()
+    assert sorted((r.id, r.text) for r in rows) == brute_runs(docs, m, least)
+
+
+def test_line_dedup_takes_long_runs_of_short_lines(spark, put):
+    run = "\n".join(f"line {k:05}" for k in range(40))
+    rows = line_dedup.dedup_lines(put([doc(1, f"one\n{run}\ntwo"), doc(2, f"three\n{run}\nfour")])).collect()
+    assert sorted((r.id, r.text) for r in rows) == [(1, f"one\n{run}\ntwo"), (2, "three\nfour")]
+
+
 def test_line_dedup_odd_tables(spark, put):
     assert line_dedup.dedup_lines(put([])).count() == 0
     assert line_dedup.dedup_lines(put(ODD)).count() == len(ODD)
