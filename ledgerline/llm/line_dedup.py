@@ -92,7 +92,7 @@ def _lines(keyed: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
         "till": F.when(till <= F.col("size"), till), "since": F.when(since >= 0, since), "inner": F.col("last") + F.col("chars")}), "lines")
 
 
-def copied_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 30) -> DataFrame:
+def copied_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 30) -> DataFrame:
     """(row, gone): for each row with later copies of repeated runs, the numbers of the lines to delete, sorted."""
     keyed = keyed_rows(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), "row")
     lines = _lines(keyed, min_lines, min_chars)
@@ -116,7 +116,7 @@ def copied_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cover.groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 30) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 30) -> DataFrame:
     """One row per input row: (row, id, text, n_lines, gone), ``text`` without the deleted lines, ``gone`` their numbers."""
     gone = stored(copied_lines(docs, id_col, text_col, min_lines, min_chars), "gone")
     keyed = keyed_rows(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), "row")

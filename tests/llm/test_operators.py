@@ -190,6 +190,13 @@ def test_line_dedup_takes_long_runs_of_short_lines(spark, put):
     assert sorted((r.id, r.text) for r in rows) == [(1, f"one\n{run}\ntwo"), (2, "three\nfour")]
 
 
+def test_line_dedup_takes_passages_of_one_line(spark, put):
+    line = " ".join(f"word{k}" for k in range(60))
+    docs = [(1, f"a\n{line}\nb"), (2, f"c\n{line}\nd"), (3, line), (4, f"a\n{line[1:]}\nb")]
+    rows = line_dedup.dedup_lines(put([doc(*d) for d in docs])).collect()
+    assert sorted((r.id, r.text) for r in rows) == [docs[0], (2, "c\nd"), (3, ""), docs[3]]
+
+
 def test_line_dedup_odd_tables(spark, put):
     assert line_dedup.dedup_lines(put([])).count() == 0
     assert line_dedup.dedup_lines(put(ODD)).count() == len(ODD)
