@@ -145,7 +145,8 @@ SPELLED_MAIL = re.compile(rf"(?<![\w.%+-]){_word}(?:\s++(?:{DOT})\s++{_word}){{0
                           rf"|(?<![\w.%+-])[A-Za-z0-9._%+-]+@{_label}(?:\s++(?:{DOT})\s++{_label})+(?!\w)", re.I)
 INNER = re.compile(rf"\s++(?:({AT}|@)|({DOT}|\.))\s++", re.I)
 #: Without any of these no transducer changes a text (Latin letters with accents are not homoglyphs).
-HINT = re.compile(rf"[^\x00-ɏ]|\xad|{_mark}|\s(?:{DOT}|\.)\s|@|\s(?:{AT})\s++{_label}\.[A-Za-z0-9]|{_run}", re.I)
+HINT = re.compile(rf"[^\x00-ɏ]|\xad|{_mark}|\s(?:{DOT}|\.)\s|@|\s(?:{AT})\s++{_label}\.[A-Za-z0-9-]|{_run}"
+                  rf"|(?<!\w)(?:{PLUS})\s++[0-9]|(?<=[0-9])(?!\x20[0-9])[\s,-]++[0-9]", re.I)
 
 
 class Traced:

@@ -110,6 +110,23 @@ def test_pii_disguises_map_back_to_the_source(text, kind, found):
     assert (kind, found) in [(pii.KINDS[k], text[a:b]) for a, k, b in added]
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("call plus 49 151 23456789 now", "phone", "plus 49 151 23456789"),
+    ("pay 4111, 1111, 1111, 1111", "card", "4111, 1111, 1111, 1111"),
+    ("4111\t1111  1111 1111", "card", "4111\t1111  1111 1111"),
+])
+def test_pii_plus_and_gaps_need_no_other_disguise(text, kind, found):
+    _, added = pii.find(text)
+    assert (kind, found) in [(pii.KINDS[k], text[a:b]) for a, k, b in added]
+
+
+def test_pii_hint_misses_no_rewritten_text():
+    rng = random.Random(8)
+    parts = ["a", "b.c", "at", "@", "dot", ".", ".-", "plus", "one", "six", "7", "42", ",", "-", " ", " ", "  ", "\t", "[", "]", "é", "е", "\u200b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(30_000)]
+    assert [t for t in texts if not pii.HINT.search(t) and pii.normalise(t).text != t] == []
+
+
 def test_pii_takes_linear_time_on_long_texts():
     for unit in ("1", "a@", "1.", "+1 ", " ", "a dot ", "( ", "one ", "a at b.com "):
         pii.find(unit * (200_000 // len(unit)))
