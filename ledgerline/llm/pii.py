@@ -4,8 +4,9 @@ Plain identifiers (e-mail, IP and card numbers, phone numbers) are found in the
 text as it is: the base spans. Then a chain of transducers rewrites a copy of
 the text and keeps, for every character it writes, the source characters it
 stands for: look-alike letters and digits of other scripts become ASCII ones,
-invisible characters vanish, bracketed or spelled "at" and "dot" become @ and
-., runs of spelled digits become digits, a spelled "plus" before digits
+invisible characters vanish, bracketed "at" and "dot" become @ and ., spelled
+ones do in addresses and between four or more numbers, whose spelled digits are
+joined; runs of spelled digits become digits, a spelled "plus" before digits
 becomes +. The same detectors run on the copy, and each span found there that
 holds rewritten characters is mapped back to the source and added unless it
 lies inside a base span of its kind.
@@ -139,14 +140,23 @@ SPELLED_DIGIT = re.compile(rf"(?<!\w)(?:{_digit})(?!\w)", re.I)
 SPELLED_PLUS = re.compile(rf"(?<!\w)(?:{PLUS})\s++(?=[0-9])", re.I)
 GAP = re.compile(r"(?<=[0-9])[\s,-]++(?=[0-9])")
 BRACKETED = re.compile(rf"(?<!\s)\s*+{_mark}\s*+", re.I)
-# A local part of up to five words, so that a search does not run through a long row of dots from each of its words.
-SPELLED_MAIL = re.compile(rf"(?<![\w.%+-]){_word}(?:\s++(?:{DOT})\s++{_word}){{0,4}}\s++(?:{AT}|@)\s++{_label}(?:\s++(?:{DOT}|\.)\s++{_label})+(?!\w)"
+# From the last word of the local part, so that a search does not run through a long row of dots from each of its
+# words; mail_spans adds the words before it.
+SPELLED_MAIL = re.compile(rf"(?<![\w.%+-]){_word}\s++(?:{AT}|@)\s++{_label}(?:\s++(?:{DOT}|\.)\s++{_label})+(?!\w)"
                           rf"|(?<![\w.%+-]){_word}\s++(?:{AT})\s++{_label}(?:\.{_label})+(?!\w)"
                           rf"|(?<![\w.%+-])[A-Za-z0-9._%+-]+@{_label}(?:\s++(?:{DOT})\s++{_label})+(?!\w)", re.I)
+EARLIER = re.compile(rf"(?:\s++(?:{'|'.join(w[::-1] for w in DOT.split('|'))})\s++{_word}(?!\w))++", re.I)  # over the reversed text
+_number = rf"(?:(?:{_digit})(?!\w)|[0-9]++)"
+_between = rf"(?:\s++(?:{DOT}|\.)\s++|\.)"
+# A whole row of numbers at once, each search going on behind it.
+NUMBER_ROW = re.compile(rf"(?<!\w){_number}(?:(?:{_between}|[\s,-]++){_number})*+", re.I)
+BETWEEN = re.compile(_between, re.I)
+OCTET = re.compile(rf"(?<!\w)(?:{_digit})(?:[\s,-]++(?:{_digit})(?!\w))*+(?!\w)", re.I)
 INNER = re.compile(rf"\s++(?:({AT}|@)|({DOT}|\.))\s++", re.I)
 #: Without any of these no transducer changes a text (Latin letters with accents are not homoglyphs).
 HINT = re.compile(rf"[^\x00-ɏ]|\xad|{_mark}|\s(?:{DOT}|\.)\s|@|\s(?:{AT})\s++{_label}\.[A-Za-z0-9-]|{_run}"
-                  rf"|(?<!\w)(?:{PLUS})\s++[0-9]|(?<=[0-9])(?!\x20[0-9])[\s,-]++[0-9]", re.I)
+                  rf"|(?<!\w)(?:{PLUS})\s++[0-9]|(?<=[0-9])(?!\x20[0-9])[\s,-]++[0-9]"
+                  rf"|(?<!\w)(?:{_digit})\.[0-9]|\.(?:{_digit})(?!\w)", re.I)
 
 
 class Traced:
@@ -159,9 +169,9 @@ class Traced:
         self.start, self.end = seen, [i + 1 for i in seen]
         self.new = [text[i] != plain[i] or (k > 0 and seen[k - 1] != i - 1) for k, i in enumerate(seen)]
 
-    def rewrite(self, pattern: re.Pattern, made: Callable[[re.Match], str], within: re.Pattern | None = None) -> None:
-        """Replace each match (inside the matches of ``within``) by ``made(match)``; what is written stands for the whole match."""
-        places = [m.span() for m in within.finditer(self.text)] if within else [(0, len(self.text))]
+    def rewrite(self, pattern: re.Pattern, made: Callable[[re.Match], str], within: list[Span] | None = None) -> None:
+        """Replace each match (inside the spans of ``within``) by ``made(match)``; what is written stands for the whole match."""
+        places = [(0, len(self.text))] if within is None else within
         text, start, end, new, at = [], [], [], [], 0
         for m in chain.from_iterable(pattern.finditer(self.text, *place) for place in places):
             a, b = m.span()
@@ -178,6 +188,22 @@ class Traced:
             self.start, self.end, self.new = start + self.start[at:], end + self.end[at:], new + self.new[at:]
 
 
+def mail_spans(text: str) -> list[Span]:
+    """Spelled e-mails with their whole local parts, each walked left from its match up to the one before."""
+    out, low, back = [], 0, None
+    for m in SPELLED_MAIL.finditer(text):
+        back = text[::-1] if back is None else back
+        more = EARLIER.match(back, len(text) - m.start(), len(text) - low)
+        out.append((len(text) - more.end() if more else m.start(), m.end()))
+        low = m.end()
+    return out
+
+
+def address_spans(text: str) -> list[Span]:
+    """Rows of numbers with three or more dots, plain or spelled."""
+    return [m.span() for m in NUMBER_ROW.finditer(text) if len(BETWEEN.findall(m.group())) >= 3]
+
+
 def normalise(text: str) -> Traced:
     """The transducers in turn."""
     out = Traced(text)
@@ -185,9 +211,17 @@ def normalise(text: str) -> Traced:
     def mark(m: re.Match) -> str:
         return "@" if m.group(1) else "."
 
+    def digit(m: re.Match) -> str:
+        return DIGIT_OF.get(m.group().casefold(), m.group())  # ignoring case also takes letters such as the long s
+
+    def joined(m: re.Match) -> str:
+        return "".join(map(digit, SPELLED_DIGIT.finditer(m.group())))
+
     out.rewrite(BRACKETED, mark)
-    out.rewrite(INNER, mark, SPELLED_MAIL)
-    out.rewrite(SPELLED_DIGIT, lambda m: DIGIT_OF[m.group().lower()], SPELLED_RUN)
+    out.rewrite(INNER, mark, mail_spans(out.text))
+    out.rewrite(OCTET, joined, address_spans(out.text))
+    out.rewrite(INNER, mark, address_spans(out.text))
+    out.rewrite(SPELLED_DIGIT, digit, [m.span() for m in SPELLED_RUN.finditer(out.text)])
     out.rewrite(SPELLED_PLUS, lambda m: "+")
     out.rewrite(GAP, lambda m: " ")
     return out

@@ -120,6 +120,23 @@ def test_pii_plus_and_gaps_need_no_other_disguise(text, kind, found):
     assert (kind, found) in [(pii.KINDS[k], text[a:b]) for a, k, b in added]
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("host 192 dot 168 dot 0 dot 1", "ip", "192 dot 168 dot 0 dot 1"),
+    ("at one nine two dot one six eight dot zero dot one now", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("eins neun zwei punkt 168.zero punkt 7", "ip", "eins neun zwei punkt 168.zero punkt 7"),
+    ("to a dot b dot c dot d dot e dot f dot g at example dot com", "email", "a dot b dot c dot d dot e dot f dot g at example dot com"),
+    ("to a dot b dot c dot d dot e dot f dot g at example.com", "email", "a dot b dot c dot d dot e dot f dot g at example.com"),
+])
+def test_pii_spelled_dots(text, kind, found):
+    _, added = pii.find(text)
+    assert (kind, found) in [(pii.KINDS[k], text[a:b]) for a, k, b in added]
+
+
+def test_pii_spelled_dots_take_linear_time():
+    for unit in ("1 dot ", "one dot ", "one two ", "1 . ", "a dot b dot c at d dot e ", "a dot a.", "one.", "1  ", "a dot b at c.d "):
+        pii.find(unit * (200_000 // len(unit)))
+
+
 def test_pii_hint_misses_no_rewritten_text():
     rng = random.Random(8)
     parts = ["a", "b.c", "at", "@", "dot", ".", ".-", "plus", "one", "six", "7", "42", ",", "-", " ", " ", "  ", "\t", "[", "]", "é", "е", "\u200b"]
