@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 
+BROADCAST_FILES = 200_000
+ADDRESS = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,13 +32,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _plain_path(path: str) -> str:
+    """A file address with one slash after its scheme (Spark writes both ``file:/x`` and ``file:///x``)."""
+    return re.sub(ADDRESS, r"\1:/", path)
+
+
 def keyed_rows(docs: DataFrame, name: str = "__row") -> DataFrame:
     """Add a row key that tells apart rows with equal, repeated or null ids.
 
-    ``docs`` must be read from files (or be a ``stored`` table): the number of a
-    file split and the position in it are then the same in every scan of it.
+    The key is the row's place in the input: the number of its file in the order
+    of paths, and its position in that file. It rests on the files alone, so
+    every scan gives a row the same key, however the files are split and
+    however many executors there are. ``docs`` must be read from Parquet files
+    (or be a ``stored`` table), with no more than projections and filters after.
+
+    The file numbers are broadcast up to ``BROADCAST_FILES`` files.
     """
-    return docs.select("*", F.monotonically_increasing_id().alias(name))
+    paths = sorted({_plain_path(f) for f in docs.inputFiles()})
+    if not paths:  # no files, no rows
+        return docs.select("*", F.lit(None).cast("long").alias(name))
+    place = docs.metadataColumn("_metadata")
+    files = docs.sparkSession.range(0, 1, 1, 1).select(F.posexplode(F.split(F.lit("\n".join(paths)), "\n")).alias("__file", "__path"))
+    rows = docs.select("*", F.regexp_replace(place["file_path"], ADDRESS, "$1:/").alias("__path"), place["row_index"].alias("__at"))
+    rows = rows.join(F.broadcast(files) if len(paths) <= BROADCAST_FILES else files, "__path", "left")
+    number = F.coalesce(F.col("__file"), F.raise_error(F.concat(F.lit("no such input file: "), F.col("__path"))).cast("int"))
+    return rows.withColumn(name, F.shiftleft(number.cast("long"), 33) + F.col("__at")).drop("__path", "__file", "__at")
 
 
 def text_of(col: str | Column = "text") -> Column:

@@ -41,7 +41,7 @@ def leaf_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = keyed_rows(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")))
     text = text.select("id", "__row", normalised(F.col("t")).alias("t"))
     return text.select(
-        F.shiftright("__row", 33).alias("run"), "__row", "id",
+        F.spark_partition_id().alias("run"), "__row", "id",  # stored with the digests, so a run keeps its number
         F.sha2("t", 256).alias("text_sha256"), F.octet_length("t").alias("n_bytes"), F.xxhash64("t").alias("check"))
 
 

@@ -11,9 +11,10 @@
    child on every level with the probability a critical branching process
    survives; unlike sets part. After ``DEPTH`` levels a bucket of at most
    ``BUCKET`` sets is compared by brute force; a larger one is split on, up to
-   ``MAX_DEPTH``. What then is still larger is a group of sets that hardly
-   differ: its pairs are compared in blocks, a block pair per task unit, so no
-   bucket is cut and none has to fit in one task.
+   ``MAX_DEPTH``, and its sets take part in more runs, as many as the recall
+   asks for at that depth. What then is still larger is a group of sets that
+   hardly differ: its pairs are compared in blocks, a block pair per task unit,
+   so no bucket is cut and none has to fit in one task.
 4. Buckets compare minhash values, with a margin of ``MARGIN`` standard errors
    below the threshold, and emit a spanning forest of their candidate pairs
    (fewer edges than members). Components of these edges are candidate groups.
@@ -55,7 +56,8 @@ def runs_for(recall: float, depth: int = DEPTH) -> int:
     meet = 1.0
     for _ in range(depth):  # a node has a Poisson number, of mean 1, of children that both sets go to
         meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    # short sets share a number of coordinates that varies; below DEPTH that costs up to a fifth of the runs
+    return math.ceil((1 if depth <= DEPTH else 1.25) * math.log(1 - recall) / math.log(1 - meet))
 
 
 def minhashes(found):
@@ -98,7 +100,7 @@ def describe(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(released(run), f"__row long, id {kind}, n int, d1 long, d2 long, sig binary")
 
 
-def split(sets: DataFrame, threshold: float, levels: int, runs: int = 0) -> DataFrame:
+def split(sets: DataFrame, threshold: float, levels: int, runs: range = range(0)) -> DataFrame:
     """(node, sig[, path]) -> (node, path): the buckets of each set ``levels`` further down (from the root of each run if ``runs``)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -114,8 +116,8 @@ def split(sets: DataFrame, threshold: float, levels: int, runs: int = 0) -> Data
                 batch = whole.slice(at, 2000)
                 values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, MINHASHES).astype("u8")
                 row = np.arange(batch.num_rows)
-                path = batch.column("path").to_numpy().view("u8") if not runs else mix(np.repeat(np.arange(1, runs + 1, dtype="u8"), len(row)))
-                row = row if not runs else np.tile(row, runs)
+                path = batch.column("path").to_numpy().view("u8") if not runs else mix(np.repeat(np.arange(runs.start + 1, runs.stop + 1, dtype="u8"), len(row)))
+                row = row if not runs else np.tile(row, len(runs))
                 for _ in range(levels):
                     who, where = [], []
                     for part in range(0, len(row), 50_000):
@@ -290,20 +292,38 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(node, root): components of the candidate pairs that the runs bring together."""
-    paths = stored(split(classes.select("node", "sig"), threshold, DEPTH, runs_for(recall)), "paths")
-    leaves = None
+def _buckets(sets: DataFrame, threshold: float, first: int, stop: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of runs ``first`` to ``stop`` - 1: (path, node, m), the buckets to compare, and the nodes of those that were split on (null: none)."""
+    if stop <= first:
+        return None, None
+    paths = stored(split(sets.select("node", "sig"), threshold, DEPTH, range(first, stop)), "paths")
+    leaves, deeper = None, None
     for depth in range(DEPTH, MAX_DEPTH + 1):
         sizes = stored(paths.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
         whole = sizes if depth == MAX_DEPTH else sizes.where(F.col("m") <= BUCKET)
-        leaf = paths.join(whole, "path")
+        leaf = paths.join(whole, "path").select("path", "node", "m")
         leaves = leaf if leaves is None else leaves.union(leaf)
         large = sizes.where(F.col("m") > BUCKET)
         if depth == MAX_DEPTH or large.isEmpty():
             break
-        further = paths.join(large.select("path"), "path").join(classes.select("node", "sig"), "node")
-        paths = stored(split(further.select("node", "sig", "path"), threshold, 1), "paths")
+        further = paths.join(large.select("path"), "path")
+        if deeper is None:
+            deeper = stored(further.select("node").distinct(), "deeper")
+        paths = stored(split(further.join(sets.select("node", "sig"), "node").select("node", "sig", "path"), threshold, 1), "paths")
+    return leaves, deeper
+
+
+def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(node, root): components of the candidate pairs that the runs bring together.
+
+    Sets of large buckets, which are split on below ``DEPTH``, meet there less often: they take further runs, as many
+    as ``recall`` asks for at ``MAX_DEPTH``.
+    """
+    sets, runs = classes.select("node", "sig"), runs_for(recall)
+    leaves, deeper = _buckets(sets, threshold, 0, runs)
+    if deeper is not None:
+        again, _ = _buckets(stored(sets.join(deeper, "node", "left_semi"), "large"), threshold, runs, runs_for(recall, MAX_DEPTH))
+        leaves = leaves if again is None else leaves.union(again)
     leaves = leaves.select("path", "node", F.ceil(F.col("m") / BUCKET).cast("int").alias("cuts"))
     dealt = blocks(leaves, "path").join(classes.select("node", "n", "sig"), "node")
     return components(bucket_edges(dealt, threshold))

@@ -4,7 +4,7 @@ log posterior(l) = temper * log P(text | l) + log P(declared | l) + log P(suffix
 
 * P(text | l): a smoothed model of hashed byte trigrams per language, fitted on
   about ``sample_rows`` labelled rows per language (chosen by a hash of the
-  text; the only bounded sample here), used on whole texts. ``temper`` allows
+  row's place; the only bounded sample here), used on whole texts. ``temper`` allows
   for trigrams not being independent.
 * P(declared | l), P(suffix | l): how often rows of language l declare a markup
   language or lie under an address suffix, by grouped sums of the text-only
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import keyed_rows, released, slices, stored, text_of
 
 BUCKETS = 8192
-MAX_LANGUAGES = 500
 BROADCAST_ROWS = 200_000
 
 
@@ -72,17 +71,26 @@ def trigrams(column):
     return bucket, np.searchsorted(at, starts)
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = 20_000) -> Model:
-    """Fit the text model on rows whose label is not null."""
+def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = 20_000, max_languages: int = 500) -> Model:
+    """Fit the text model on rows whose label is not null: all rows of a label up to ``sample_rows``, of larger
+    ones about that many, chosen by a hash of the row's place (so that copies do not stand or fall together).
+
+    The model holds a number per language and bucket on the driver and in every task; more than ``max_languages``
+    labels raise ValueError rather than lose some of them.
+    """
     import numpy as np
 
-    rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null and text is not null")
-    many = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()}
+    rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    counts = rows.where("label is not null and text is not null").groupBy("label").agg(F.count("*").alias("n"))
+    many = {r["label"]: r["n"] for r in counts.limit(max_languages + 1).collect()}
+    if len(many) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; give a larger max_languages")
+    rows = keyed_rows(rows, "k").where("label is not null and text is not null")
     if not many:
         return Model((), np.zeros((0, BUCKETS)))
     languages = tuple(sorted(many))
     share = F.element_at(F.create_map(*[x for k, n in many.items() for x in (F.lit(k), F.lit(min(1.0, sample_rows / n)))]), F.col("label"))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "label")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -99,7 +107,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample
 
     sums = chosen.mapInArrow(released(count), "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), BUCKETS))
-    found = sums.toPandas()  # at most MAX_LANGUAGES * BUCKETS rows
+    found = sums.toPandas()  # at most max_languages * BUCKETS rows
     counts[found["l"], found["b"]] = found["n"]
     counts += 0.5
     return Model(languages, np.log(counts / counts.sum(1, keepdims=True)))
@@ -226,6 +234,6 @@ def of_pages(pages: DataFrame, *others: str | Column) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
-    gone = identify(of_documents(docs, F.monotonically_increasing_id().alias("k")), fit(docs)).where("rejected").select("k")
+    gone = identify(of_documents(keyed_rows(docs.select("text", "lang", "source"), "k"), "k"), fit(docs)).where("rejected").select("k")
     rows = keyed_rows(docs.select(F.struct("*").alias("row")), "k")
     return rows.join(gone, "k", "left_anti").select("row.*")

@@ -227,12 +227,12 @@ def fit(train: DataFrame) -> Model:
 
     by_fold = moments(train)
     n = by_fold.sum(0)[:, 0]
-    if n.min() < 2 * len(FEATURES):
+    if n.min() < 1:
         return Model(None, 0.0, float(np.log((n[1] + 1) / (n[0] + 1))))
     models = {}
     for f in range(1, 5):
         rest = by_fold.sum(0) - by_fold[f]
-        models[f] = [Discriminant.of(rest if rest[:, 0].min() > len(FEATURES) else by_fold.sum(0), *g) for g in GRID]
+        models[f] = [Discriminant.of(rest if rest[:, 0].min() >= 1 else by_fold.sum(0), *g) for g in GRID]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

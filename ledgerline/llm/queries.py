@@ -57,9 +57,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op3_line_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
-w AS (SELECT *, lead(line) OVER (PARTITION BY r ORDER BY pos) AS line2 FROM l),
-f AS (SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id NULLS LAST, r, pos) AS nth FROM w WHERE line2 IS NOT NULL),
-gone AS (SELECT DISTINCT r, unnest([pos, pos + 1]) AS pos FROM f WHERE nth > 1 AND length(line) + length(line2) >= 30),
+ends AS (SELECT r, doc_id, line, pos FROM l UNION ALL SELECT r, doc_id, NULL, len(lines) FROM d),
+p AS (SELECT r, doc_id, pos, coalesce(sum(length(line)) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars FROM ends),
+e AS (SELECT r, doc_id, pos, min(pos) OVER (PARTITION BY r ORDER BY chars DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 30 PRECEDING) AS till,
+             max(pos) OVER (PARTITION BY r ORDER BY chars RANGE BETWEEN UNBOUNDED PRECEDING AND 30 PRECEDING) AS since FROM p),
+s AS (SELECT r, doc_id, pos AS a, till AS b FROM e WHERE till IS NOT NULL UNION SELECT r, doc_id, since, pos FROM e WHERE since IS NOT NULL),
+f AS (SELECT s.r, a, b, row_number() OVER (PARTITION BY b - a, array_to_string(lines[a + 1 : b], chr(10)) ORDER BY s.doc_id NULLS LAST, s.r, a) AS nth
+      FROM s JOIN d USING (r)),
+gone AS (SELECT DISTINCT r, unnest(range(a, b)) AS pos FROM f WHERE nth > 1),
 k AS (SELECT l.*, gone.pos IS NOT NULL AS cut, lag(gone.pos IS NOT NULL, 1, false) OVER (PARTITION BY l.r ORDER BY l.pos) AS before
       FROM l LEFT JOIN gone ON gone.r = l.r AND gone.pos = l.pos)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE cut AND NOT before) AS n_runs,
