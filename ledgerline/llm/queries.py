@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard, language_id, line_dedup, pii, quality, suffix_dedup, toxicity
+from . import bpe, collocations, decontaminate, exact_dedup, jaccard, language_id, line_dedup, pii, quality, suffix_dedup, toxicity
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -172,6 +172,37 @@ LEFT JOIN home ON home.c = k.c LEFT JOIN n ON n.c = k.c
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] AS ws FROM p),
+f1 AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY lang, x),
+f2 AS (SELECT lang, g[1] AS x, g[2] AS y, count(*) AS n FROM (SELECT lang, unnest([[ws[i], ws[i + 1]] for i in range(1, len(ws))]) AS g FROM w) GROUP BY ALL),
+f3 AS (SELECT lang, g[1] AS x, g[2] AS y, g[3] AS z, count(*) AS n
+       FROM (SELECT lang, unnest([[ws[i], ws[i + 1], ws[i + 2]] for i in range(1, len(ws) - 1)]) AS g FROM w) GROUP BY ALL HAVING count(*) >= 10),
+inside AS (SELECT lang, x, y, max(n) AS longer FROM (SELECT lang, x, y, n FROM f3 UNION ALL SELECT lang, y, z, n FROM f3) GROUP BY ALL),
+two AS (SELECT f.lang, f.x || ' ' || f.y AS phrase, f.n AS a, p.n AS l, q.n AS r, 1000000::HUGEINT * f.n * f.n // (p.n::HUGEINT * q.n) AS score
+        FROM f2 f JOIN f1 p ON p.lang = f.lang AND p.x = f.x JOIN f1 q ON q.lang = f.lang AND q.x = f.y
+        LEFT JOIN inside i ON i.lang = f.lang AND i.x = f.x AND i.y = f.y
+        WHERE f.n >= 10 AND (i.longer IS NULL OR 100 * i.longer < 50 * f.n)),
+cuts AS (SELECT f.lang, f.x || ' ' || f.y || ' ' || f.z AS phrase, f.n AS a, p.n AS l1, q2.n AS r1, p2.n AS l2, q.n AS r2,
+                1000000::HUGEINT * f.n * f.n // (p.n::HUGEINT * q2.n) AS s1, 1000000::HUGEINT * f.n * f.n // (p2.n::HUGEINT * q.n) AS s2
+         FROM f3 f JOIN f1 p ON p.lang = f.lang AND p.x = f.x JOIN f1 q ON q.lang = f.lang AND q.x = f.z
+         JOIN f2 p2 ON p2.lang = f.lang AND p2.x = f.x AND p2.y = f.y JOIN f2 q2 ON q2.lang = f.lang AND q2.x = f.y AND q2.y = f.z),
+every AS (SELECT * FROM two UNION ALL
+          SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, CAST(total AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN (SELECT lang, sum(n) AS total FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
@@ -184,4 +215,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id_pages": op8_language_id_pages,
     "op9_bpe": op9_bpe,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_collocations": op13_collocations,
 }
