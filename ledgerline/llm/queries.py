@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, exact_dedup, jaccard, language_id, line_dedup, pii, quality, suffix_dedup, toxicity
+from . import bpe, collocations, decontaminate, embedding_join, exact_dedup, jaccard, language_id, line_dedup, pii, quality, suffix_dedup, toxicity, whitening
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -172,6 +172,29 @@ LEFT JOIN home ON home.c = k.c LEFT JOIN n ON n.c = k.c
 """
 
 
+def op11_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+
+
+SQL["op11_embedding_join"] = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+p AS (SELECT x.r AS a, y.r AS b FROM ok x JOIN ok y ON x.label = y.label AND len(x.e) = len(y.e) AND x.r <> y.r
+      WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (SELECT a, a AS b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+home AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+n AS (SELECT a AS r, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(vec_id = coalesce(component_id, vec_id), false) AS kept
+FROM v LEFT JOIN home USING (r) LEFT JOIN n USING (r)
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -215,5 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id_pages": op8_language_id_pages,
     "op9_bpe": op9_bpe,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_embedding_join": op11_embedding_join,
+    "op12_whitening": op12_whitening,
     "op13_collocations": op13_collocations,
 }
