@@ -8,6 +8,8 @@ caller-given and, on a cluster, shared storage.
 from __future__ import annotations
 
 import datetime as _dt
+import json
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -52,13 +54,58 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+SCHEMA_FILE = "_schema.json"  # readers pass over names with an underscore
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def kept_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema kept beside the table's files, null if there is none."""
+    p, fs = _path(spark, f"{path.rstrip('/')}/{SCHEMA_FILE}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return T.StructType.fromJson(json.loads(bytes(stream.readAllBytes()).decode()))
+    finally:
+        stream.close()
+
+
+def keep_schema(spark: SparkSession, path: str, new: T.StructType) -> None:
+    """Keep the columns of ``new`` beside the table: those known already, then the others.
+
+    A load whose write then fails has announced columns that no file holds; they read as NULL.
+    """
+    have = kept_schema(spark, path)
+    if have is None and table_exists(spark, path):
+        have = _merged_schema(spark, path)
+    names = {f.name for f in have.fields} if have else set()
+    fields = [*(have.fields if have else []), *(T.StructField(f.name, f.dataType) for f in new.fields if f.name not in names)]
+    if have is not None and len(fields) == len(names) and kept_schema(spark, path) is not None:
+        return
+    p, fs = _path(spark, f"{path.rstrip('/')}/{SCHEMA_FILE}")
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(T.StructType(fields).json().encode()))
+    finally:
+        stream.close()
+
+
+def _merged_schema(spark: SparkSession, path: str) -> T.StructType:
+    return spark.read.option("mergeSchema", True).parquet(path).schema
+
+
 def read_table(spark: SparkSession, path: str, text_partitions: tuple[str, ...] = (M.TENANT,)) -> DataFrame:
     """A stored table with the columns of all its files; tenants stay text.
 
-    Spark infers partition values (``007`` would become 7), so the schema is
-    taken from the file footers and the tenant column declared a string.
+    The schema is the one kept beside the files by the writers here; only a
+    table without it has its file footers merged. Spark infers partition values
+    (``007`` would become 7), so the tenant column is declared a string.
     """
-    schema = spark.read.option("mergeSchema", True).parquet(path).schema
+    schema = kept_schema(spark, path) or _merged_schema(spark, path)
     fields = [T.StructField(f.name, T.StringType()) if f.name in text_partitions else f for f in schema.fields]
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
@@ -94,14 +141,33 @@ def load(new: DataFrame, path: str, key: str = M.INVOICE_NO, partition_by: str =
     rows = append_new(new, existing, key, partition_by)
     obs = Observation("appended")
     rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
+    keep_schema(spark, path, rows.schema)
     rows.write.mode("append").partitionBy(partition_by).parquet(path)
     return int(obs.get.get("n", 0))
 
 
 def replace_all(df: DataFrame, path: str, partition_by: str = M.TENANT) -> None:
-    """B2: first load / full replace."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(partition_by) if partition_by in df.columns else w).parquet(path)
+    """B2: first load / full replace.
+
+    The new table is written beside the old one, which is moved away only when
+    the write has ended: a failed write leaves the old table as it was.
+    """
+    spark = df.sparkSession
+    place, mark = path.rstrip("/"), uuid.uuid4().hex
+    fresh, old = f"{place}-new-{mark}", f"{place}-old-{mark}"
+    w = df.write
+    (w.partitionBy(partition_by) if partition_by in df.columns else w).parquet(fresh)
+    keep_schema(spark, fresh, df.schema)
+    target, fs = _path(spark, place)
+    moved = fs.exists(target)
+    if moved and not fs.rename(target, _path(spark, old)[0]):
+        raise OSError(f"could not move the old table away: {place}")
+    if not fs.rename(_path(spark, fresh)[0], target):
+        if moved:
+            fs.rename(_path(spark, old)[0], target)
+        raise OSError(f"could not put the new table in place: {place}")
+    if moved:
+        fs.delete(_path(spark, old)[0], True)
 
 
 def clear_tenant(spark: SparkSession, path: str, tenant: str, partition_by: str = M.TENANT) -> int:

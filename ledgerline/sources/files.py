@@ -3,16 +3,14 @@ per-file headers, the tenant/date scan and read-time coercion.
 
 Multi-file CSV (A2): a plain ``read.csv(dir, header=True)`` matches columns by
 *position* and silently mixes columns when files order them differently. So
-the first line of every file is read through the Hadoop FileSystem API
-(metadata-sized work, like Spark's own file listing), files are grouped by
-header, each group is one distributed scan, and the groups are unioned by
-name. Values stay strings until ``coerce_types``.
+all files are cut in records at once, any number of tasks to a file
+(``records``), which also finds the header of each; records of one header are
+parsed together and the headers unioned by name. Values stay strings until
+``coerce_types``.
 """
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +18,12 @@ from .. import model as M
 from ..functions.scalars import fy_label, month_label
 from ..operators.filters import date_range, rolling_years, tenant
 
-log = logging.getLogger(__name__)
-
 # FIXED VALUES: temporary-file prefix ignored by the folder reader.
 TEMP_PREFIX = "~$"
-# Quotes are doubled inside quoted values, which may hold line breaks (so a file is one split).
+# Quotes are doubled inside quoted values, which may hold line breaks (Spark's own reader then makes a file one split).
 CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "mode": "PERMISSIVE", "escape": '"', "multiLine": "true",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 CORRUPT = "_corrupt_record"
-HEADER_BLOCK = 1 << 16
 
 
 def _fs(spark: SparkSession, path: str):
@@ -51,32 +46,6 @@ def list_files(spark: SparkSession, folder: str, suffixes=(".csv",)) -> list[str
     return sorted(out)
 
 
-def first_line(spark: SparkSession, path: str) -> str | None:
-    """The header line of one file, however long (None for an empty file); read in blocks up to its end."""
-    p, fs = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        buf = b""
-        while True:
-            block = bytes(stream.readNBytes(HEADER_BLOCK))
-            end = block.find(b"\n")
-            buf += block if end < 0 else block[:end]
-            if end >= 0 or not block:
-                break
-    finally:
-        stream.close()
-    line = buf.decode("utf-8-sig", errors="replace").rstrip("\r")
-    return line if line.strip() else None
-
-
-def first_lines(spark: SparkSession, files: list[str], at_once: int = 16) -> list[str | None]:
-    """``first_line`` of each file, several at a time; a file that cannot be read raises."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(lambda f: first_line(spark, f), files))
-
-
 def read_csv(spark: SparkSession, path: str | list[str], schema=None) -> DataFrame:
     """A1: CSV with a header, every column a string (``schema`` only for
     folders with a contract header; matching is then by name, checked)."""
@@ -86,11 +55,22 @@ def read_csv(spark: SparkSession, path: str | list[str], schema=None) -> DataFra
     return r.csv(path)
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """A1 for one uploaded file: an empty file (no header) is rejected."""
-    if first_line(spark, path) is None:
+def read_upload_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A1 for one uploaded file, however large: every column a string, and the rejects (path, reason, record),
+    lines whose number of fields differs from the header's. A file without a header line raises."""
+    rows, rejects, empty = _read_uploads(spark, [path], standardize=False)
+    if empty:
         raise ValueError(f"uploaded file is empty: {path}")
-    return read_csv(spark, path)
+    return rows, rejects
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """A1 for one uploaded file whose lines must all be well formed: a line of too many or too few fields raises."""
+    rows, rejects = read_upload_with_rejects(spark, path)
+    bad = rejects.limit(3).collect()
+    if bad:
+        raise ValueError(f"{path} holds lines whose number of fields differs from the header's (read_upload_with_rejects sets them aside): {[r.record for r in bad]}")
+    return rows
 
 
 def _header_names(line: str) -> list[str]:
@@ -99,51 +79,53 @@ def _header_names(line: str) -> list[str]:
     return next(csv.reader([line]))
 
 
-def _checked(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
-    """Files of one header as strings, with ``_corrupt_record`` for lines of too many or too few fields."""
+def _parsed(records: DataFrame, header: str, sample: str) -> DataFrame:
+    """Records of one header as strings, with ``path``, ``record`` and ``_corrupt_record`` (set for those of too many or too few fields)."""
     from pyspark.sql import types as T
 
     names = _header_names(header)
     if len(set(names)) < len(names) or not all(names):  # Spark numbers such columns itself
-        names = spark.read.options(**CSV_OPTIONS).csv(files[0]).columns
+        names = records.sparkSession.read.options(**CSV_OPTIONS).csv(sample).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    # the header was compared by its text already; pruning would hide surplus fields
-    options = CSV_OPTIONS | {"enforceSchema": "true", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
-    return spark.read.schema(schema).options(**options).csv(files)
+    options = {k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "enforceSchema", "multiLine")} | {"columnNameOfCorruptRecord": CORRUPT}
+    return records.where(F.col("header") == header).select("path", "record", F.from_csv("record", schema.toDDL(), options).alias("__r"))
+
+
+def _read_uploads(spark: SparkSession, files: list[str], standardize: bool) -> tuple[DataFrame | None, DataFrame, bool]:
+    """(well-formed rows, null without any header; rejects; whether some file has no header)."""
+    from ..operators.ingest import standardize_headers
+    from .records import read_records
+
+    rejects = spark.createDataFrame([], "path string, reason string, record string")
+    if not files:
+        return None, rejects, False
+    records, named = read_records(spark, files)
+    layouts = named.groupBy("header").agg(F.min("path").alias("sample")).collect()  # a row per distinct header
+    empty = any(r["header"] is None for r in layouts)
+    rejects = rejects.unionByName(named.where("header IS NULL").select("path", F.lit("empty file").alias("reason"), F.lit(None).cast("string").alias("record")))
+    out = None
+    for layout in sorted((r for r in layouts if r["header"] is not None), key=lambda r: r["header"]):
+        rows = _parsed(records, layout["header"], layout["sample"])
+        bad = F.col("__r")[CORRUPT].isNotNull()
+        rejects = rejects.unionByName(rows.where(bad).select("path", F.lit("number of fields").alias("reason"), "record"))
+        df = rows.where(~bad).select("__r.*").drop(CORRUPT)
+        if standardize:
+            df = standardize_headers(df)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out, rejects, empty
 
 
 def read_folder_with_rejects(spark: SparkSession, paths: str | list[str], standardize: bool = True) -> tuple[DataFrame | None, DataFrame]:
-    """A2: read many CSV files whose headers may differ; one scan per distinct
-    header, headers normalised (C1/C2), outer union by name; ``~$`` temp files ignored.
+    """A2: read many CSV files whose headers may differ; files are split in records together and in parallel
+    (``records``), headers normalised (C1/C2), outer union by name; ``~$`` temp files ignored.
 
     Also returns the rejects (path, reason, record): lines whose number of
     fields differs from their header's, and files without a header line. A file
     that cannot be read raises: skipping it would lose its rows unseen.
     """
-    from ..operators.ingest import standardize_headers
-
     files = list_files(spark, paths) if isinstance(paths, str) else list(paths)
     files = [f for f in files if not f.rsplit("/", 1)[-1].startswith(TEMP_PREFIX)]
-    groups: dict[str, list[str]] = {}
-    empty: list[tuple[str, str, None]] = []
-    for f, h in zip(files, first_lines(spark, files)):
-        if h is None:
-            log.warning("empty file %s", f)
-            empty.append((f, "empty file", None))
-        else:
-            groups.setdefault(h, []).append(f)
-    out, rejects = None, spark.createDataFrame(empty, "path string, reason string, record string")
-    for header, group in sorted(groups.items()):
-        rows = _checked(spark, header, group)
-        # Spark refuses to read the corrupt column alone, so the filter names another one too (it holds for every row)
-        other = F.length(F.coalesce(F.col(f"`{rows.columns[0]}`"), F.lit(""))) >= 0
-        bad = rows.where(F.col(CORRUPT).isNotNull() & other).select(
-            F.col("_metadata.file_path").alias("path"), F.lit("number of fields").alias("reason"), F.col(CORRUPT).alias("record"))
-        rejects = rejects.unionByName(bad)
-        df = rows.where(F.col(CORRUPT).isNull() & other).drop(CORRUPT)
-        if standardize:
-            df = standardize_headers(df)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    out, rejects, _ = _read_uploads(spark, files, standardize)
     return out, rejects
 
 

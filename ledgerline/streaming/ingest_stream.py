@@ -3,61 +3,115 @@
 N1  ``readStream.format("binaryFile")`` lists new files (only ``path`` is
     selected, so file contents are not read by the stream itself);
     ``pathGlobFilter`` keeps data files, temp ``~$`` files never match.
-N2  ``foreachBatch``: the batch's files are read by header group (A2), run
-    through the ingest pipeline (C18), de-duplicated against invoices stored
-    by *earlier* batches (first batch wins), and written to the
-    ``batch_id=`` partition with dynamic overwrite — a replayed batch rewrites
-    the same partition with the same rows, so replays are idempotent.
+N2  ``foreachBatch``: the batch's files are cut in records in parallel (A2), run
+    through the ingest pipeline (C18) and staged under the batch's number, once.
+    Which invoices are new is decided by keyed state: a second stream over the
+    staged (tenant, invoice) pairs drops every pair that an earlier batch had
+    (``dropDuplicates``, kept in RocksDB), so the history is never read. The
+    staged rows of the pairs that are left go to the ``batch_id=`` partition by
+    dynamic overwrite. All steps of a replayed batch give the same rows again.
 N3  ``cleanSource=archive`` moves processed files to an archive folder.
-N4  Each batch appends an audit row with counts taken by ``Observation``
-    while writing (no extra pass).
+N4  Each batch writes an audit row: rows added and rejected as counted while
+    writing, and a running total, the last audit row's plus the rows added.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..operators.ingest import IngestConfig, ingest
-from ..sinks.writers import append_new, audit_row, read_table, table_exists, with_tenant
+from ..sinks.writers import audit_row, keep_schema, table_exists, with_tenant
 from ..sources.files import coerce_types, read_folder_with_rejects
 
 BATCH = "batch_id"
 # the binaryFile source's fixed schema (a stream must declare it)
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# what the state remembers: the tenant and the number; rows of an upload without numbers count as new
+KEY = [M.TENANT, "__numbered", "__number"]
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target).getParent())
+    if not fs.rename(path(source), path(target)):
+        raise OSError(f"could not put the staged batch in place: {target}")
+
+
+def _dynamic(df: DataFrame, *parts: str):
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
+
+
+def stage(spark: SparkSession, rows: DataFrame, batch_id: int, state: str) -> None:
+    """The batch's rows with their key under ``state``/staged, put in place whole; a batch that lies there already is left."""
+    target = f"{state}/staged/{BATCH}={batch_id}"
+    if table_exists(spark, target):
+        return
+    numbered = M.INVOICE_NO in rows.columns
+    number = F.col(M.INVOICE_NO).cast("string") if numbered else F.lit(str(batch_id))
+    beside = f"{state}/staging/{uuid.uuid4().hex}"
+    rows.withColumns({"__numbered": F.lit(numbered), "__number": number}).write.parquet(beside)
+    _renamed(spark, beside, target)
+
+
+def new_keys(spark: SparkSession, state: str) -> DataFrame:
+    """(key, batch_id) of every key's first batch, brought up to the staged batches by a stream with keyed state.
+
+    The stream reads the key columns of newly staged files only; its sink lists each micro-batch exactly once.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = f"`{M.TENANT}` string, __numbered boolean, __number string, {BATCH} long"
+    keys = session.readStream.schema(schema).parquet(f"{state}/staged").select(*KEY, BATCH).dropDuplicates(KEY)
+    sink = keys.writeStream.format("parquet").option("checkpointLocation", f"{state}/checkpoint").option("path", f"{state}/keys")
+    sink.partitionBy(BATCH).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{state}/keys")
 
 
 def process_batch(spark: SparkSession, paths: list[str], batch_id: int, dst: str, master: DataFrame | None,
                   cfg: IngestConfig, city_map: DataFrame | None, audit_path: str | None,
-                  tenant_id: str | None = None, rejects_path: str | None = None) -> int:
+                  tenant_id: str | None = None, rejects_path: str | None = None, state: str | None = None) -> int:
     """N2 + N4 for one micro-batch; returns rows added.
 
     A file that cannot be read fails the batch, so that it is tried again;
     malformed lines and empty files go to ``rejects_path`` and are counted in the audit row.
+    Staged rows and known invoices lie under ``state`` (beside ``dst`` unless given).
     """
+    state = state or f"{dst.rstrip('/')}-state"
     raw, rejects = read_folder_with_rejects(spark, paths)  # headers normalised per file group, then unioned by name
     rejected = 0
     if rejects_path:
         seen = Observation(f"rejects_{batch_id}")
-        (rejects.observe(seen, F.count(F.lit(1)).alias("n")).withColumn(BATCH, F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(rejects_path))
+        rejects = rejects.observe(seen, F.count(F.lit(1)).alias("n")).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        _dynamic(rejects, BATCH).parquet(rejects_path)
         rejected = int(seen.get.get("n", 0))
     elif not rejects.isEmpty():
         raise ValueError(f"batch {batch_id} holds malformed lines or empty files; name a rejects_path to set them aside")
     added = 0
     if raw is not None:
-        ing = with_tenant(ingest(raw, master, cfg, city_map, coerce=coerce_types), tenant_id)
-        stored = read_table(spark, dst).where(F.col(BATCH) < batch_id) if table_exists(spark, dst) else None
-        new = append_new(ing, stored).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        rows = with_tenant(ingest(raw, master, cfg, city_map, coerce=coerce_types), tenant_id)
+        stage(spark, rows, batch_id, state)
+        first = new_keys(spark, state).where(F.col(BATCH) == batch_id).select(*[F.col(k).alias(f"{k}_") for k in KEY])
+        staged = spark.read.schema(rows.schema.add("__numbered", "boolean").add("__number", "string")).parquet(f"{state}/staged/{BATCH}={batch_id}")
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in KEY]
+        new = staged.join(first, same[0] & same[1] & same[2], "left_semi").drop(*KEY[1:]).withColumn(BATCH, F.lit(batch_id).cast("long"))
         obs = Observation(f"batch_{batch_id}")
-        new = new.observe(obs, F.count(F.lit(1)).alias("added"))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(M.TENANT, BATCH).parquet(dst)
+        keep_schema(spark, dst, new.schema)
+        _dynamic(new.observe(obs, F.count(F.lit(1)).alias("added")), M.TENANT, BATCH).parquet(dst)
         added = int(obs.get.get("added", 0))
     if audit_path:
-        total = read_table(spark, dst).count() if table_exists(spark, dst) else 0
-        audit_row(spark, added, total).withColumns({"REJECTED_RECORDS": F.lit(rejected).cast("long"), BATCH: F.lit(batch_id).cast("long")}) \
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(audit_path)
+        before = 0
+        if table_exists(spark, audit_path):
+            earlier = spark.read.parquet(audit_path).where(F.col(BATCH) < batch_id)
+            before = earlier.agg(F.max_by("TOTAL_RECORDS_AFTER_RUN", BATCH)).first()[0] or 0
+        audit = audit_row(spark, added, before + added).withColumns({"REJECTED_RECORDS": F.lit(rejected).cast("long"), BATCH: F.lit(batch_id).cast("long")})
+        _dynamic(audit, BATCH).parquet(audit_path)
     return added
 
 
@@ -72,6 +126,7 @@ def start_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str, maste
     ``{"availableNow": True}`` or ``{"processingTime": "1 minute"}``.
     ``files_per_trigger=1`` reproduces the one-upload-per-run path.
     ``tenant_id`` tags every row; without it the files must have that column.
+    Known invoices are kept under ``checkpoint``/invoices.
     """
     r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
     if files_per_trigger:
@@ -83,7 +138,7 @@ def start_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str, maste
     def run(batch: DataFrame, batch_id: int) -> None:
         paths = [row.path for row in batch.collect()]  # this batch's file list (bounded by files per trigger)
         if paths:
-            process_batch(spark, sorted(paths), batch_id, dst, master, cfg, city_map, audit_path, tenant_id, rejects_path)
+            process_batch(spark, sorted(paths), batch_id, dst, master, cfg, city_map, audit_path, tenant_id, rejects_path, f"{checkpoint}/invoices")
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
