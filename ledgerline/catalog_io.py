@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import model as M
@@ -22,7 +22,7 @@ from .sources import files as A
 from .sources import tables as T
 
 COLS = [M.DATE, M.INVOICE_NO, M.CUSTOMER, M.ITEM, M.QTY, M.AMOUNT]
-FIRST, SECOND = "1998-07-01", "1999-01-01"
+FIRST = "1998-07-01"  # parts the two batches: lines before it, and all lines
 ROWS_SQL = f"{TS_SQL}, INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, CAST(AMOUNT AS DOUBLE) AS AMOUNT"
 LINES_CTE = "x AS (SELECT DATE, CASE WHEN QTY = 1 THEN NULL ELSE INVOICE_NO END AS INVOICE_NO, CUSTOMER_NAME, ITEMNAME, QTY, AMOUNT FROM sales)"
 
@@ -31,27 +31,29 @@ def _folder(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def _lines(spark, sf, before: str, tenant: str) -> DataFrame:
-    """Sales lines before a date as one tenant's; lines of quantity 1 have no invoice number."""
-    s = T.sales(spark, sf).select(*COLS).where(F.col(M.DATE) < F.lit(before).cast("timestamp"))
+def _lines(spark, sf, tenant: str, before: str | None = None) -> DataFrame:
+    """All sales lines (or those before a date) as one tenant's; lines of quantity 1 have no invoice number."""
+    s = T.sales(spark, sf).select(*COLS)
+    if before:
+        s = s.where(F.col(M.DATE) < F.lit(before).cast("timestamp"))
     number = F.when(F.col(M.QTY) != 1, F.col(M.INVOICE_NO))
     return s.withColumn(M.INVOICE_NO, number).withColumn(M.TENANT, F.lit(tenant))
 
 
 def _three_tenants(spark, sf) -> str:
-    """Tenants 007, 7 and ACME:IN with the same invoice numbers, loaded in two batches; returns the table's path."""
+    """Tenants 007, 7 and ACME:IN with the same invoice numbers: some lines of 007 first, then all lines of all three; returns the table's path."""
     path = _folder(spark, "tenants")
-    B.load(_lines(spark, sf, FIRST, "007"), path)
-    B.load(_lines(spark, sf, SECOND, "007").unionByName(_lines(spark, sf, FIRST, "7")).unionByName(_lines(spark, sf, FIRST, "ACME:IN")), path)
+    B.load(_lines(spark, sf, "007", FIRST), path)
+    B.load(_lines(spark, sf, "007").unionByName(_lines(spark, sf, "7")).unionByName(_lines(spark, sf, "ACME:IN")), path)
     return path
 
 
 # 007: the first batch, then the new invoices of the second (a stored NULL number makes later NULL numbers known)
 TENANTS_SQL = f"""
 SELECT {ROWS_SQL}, '007' AS tenant_id FROM x WHERE DATE < TIMESTAMP '{FIRST}'
-UNION ALL SELECT {ROWS_SQL}, '007' FROM x WHERE DATE >= TIMESTAMP '{FIRST}' AND DATE < TIMESTAMP '{SECOND}'
+UNION ALL SELECT {ROWS_SQL}, '007' FROM x WHERE DATE >= TIMESTAMP '{FIRST}'
   AND (INVOICE_NO IS NOT NULL OR NOT EXISTS (SELECT 1 FROM x WHERE INVOICE_NO IS NULL AND DATE < TIMESTAMP '{FIRST}'))
-UNION ALL SELECT {ROWS_SQL}, t FROM x, (VALUES ('7'), ('ACME:IN')) v(t) WHERE DATE < TIMESTAMP '{FIRST}'"""
+UNION ALL SELECT {ROWS_SQL}, t FROM x, (VALUES ('7'), ('ACME:IN')) v(t)"""
 
 
 @query("b1_load_two_tenants", O.with_sales(TENANTS_SQL, LINES_CTE))
@@ -66,15 +68,15 @@ def b3_clear_tenant(spark, sf):
     return _out(B.read_table(spark, path))
 
 
-@query("b2_replace_all", O.with_sales(f"SELECT {ROWS_SQL}, '7' AS tenant_id FROM x WHERE DATE < TIMESTAMP '{FIRST}'", LINES_CTE))
+@query("b2_replace_all", O.with_sales(f"SELECT {ROWS_SQL}, '7' AS tenant_id FROM x", LINES_CTE))
 def b2_replace_all(spark, sf):
     path = _folder(spark, "replaced")
-    B.replace_all(_lines(spark, sf, FIRST, "007"), path)
-    B.replace_all(_lines(spark, sf, FIRST, "7"), path)
+    B.replace_all(_lines(spark, sf, "007"), path)
+    B.replace_all(_lines(spark, sf, "7"), path)
     return _out(B.read_table(spark, path))
 
 
-def _write_uploads(frames: list[DataFrame], folder: str) -> None:
+def _write_uploads(frames: list[DataFrame], folder: str, prefix: str = "") -> None:
     """Each frame as CSV files of its own layout, put side by side in ``folder``."""
     spark = frames[0].sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -82,11 +84,11 @@ def _write_uploads(frames: list[DataFrame], folder: str) -> None:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
     for i, df in enumerate(frames):
-        B.export_csv(df, f"{folder}-{i}")
-        for st in fs.listStatus(path(f"{folder}-{i}")):
+        B.export_csv(df, f"{folder}-{prefix}{i}")
+        for st in fs.listStatus(path(f"{folder}-{prefix}{i}")):
             name = st.getPath().getName()
             if name.endswith(".csv"):
-                fs.rename(st.getPath(), path(f"{folder}/{i}-{name}"))
+                fs.rename(st.getPath(), path(f"{folder}/{prefix}{i}-{name}"))
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -110,39 +112,84 @@ def a2_read_folder(spark, sf):
     return _out(A.coerce_types(rows).select(*COLS, "REMARK", F.lit(rejects.count()).cast("int").alias("rejected")))
 
 
-@query("a2_rejects", O.with_sales("""
+ODD_HEADER = "INVOICE_NO,QTY,AMOUNT"
+
+
+def _odd_lines(spark, sf) -> DataFrame:
+    """A column of text lines under a header of three fields: lines of two, three and four fields, the fields of three with a quoted comma and line break."""
+    q = F.col(M.QTY)
+    number = F.when(q <= 30, F.concat(F.lit('"no, \n""'), F.col(M.INVOICE_NO), F.lit('"""'))).otherwise(F.col(M.INVOICE_NO))
+    return T.sales(spark, sf).select(F.concat_ws(",", number, q.cast("string"), F.when(q > 10, F.lit("5")), F.when(q > 40, F.lit("surplus"))).alias(ODD_HEADER))
+
+
+def _kinds(rows: DataFrame, rejects: DataFrame) -> DataFrame:
+    fields = F.size(F.split(F.regexp_replace("record", r'(?s)^"no, \n""\d+"""', "no"), ","))
+    bad = rejects.select(F.when(fields == 2, "short").otherwise("long").alias("kind"))
+    kept = rows.where(F.col(M.INVOICE_NO).rlike(r'^(no, \n"\d+"|\d+)$') & (F.col(M.AMOUNT) == "5")).select(F.lit("kept").alias("kind"))
+    return kept.unionByName(bad).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+KINDS_SQL = """
 SELECT 'short' AS kind, count(*) AS n FROM sales WHERE QTY <= 10
-UNION ALL SELECT 'long', count(*) FROM sales WHERE QTY > 40 UNION ALL SELECT 'kept', count(*) FROM sales WHERE QTY > 10 AND QTY <= 40"""))
+UNION ALL SELECT 'long', count(*) FROM sales WHERE QTY > 40 UNION ALL SELECT 'kept', count(*) FROM sales WHERE QTY > 10 AND QTY <= 40"""
+
+
+@query("a2_rejects", O.with_sales(KINDS_SQL))
 def a2_rejects(spark, sf):
-    """Lines of two, three and four fields under a header of three: the odd ones are rejects, none is lost."""
-    q = F.col(M.QTY)
-    s = T.sales(spark, sf).select(
-        F.concat_ws(",", M.INVOICE_NO, q.cast("string"), F.when(q > 10, F.lit("5")), F.when(q > 40, F.lit("surplus"))).alias("INVOICE_NO,QTY,AMOUNT"))
-    folder = _folder(spark, "odd")
-    header = spark.range(1, numPartitions=1).select(F.lit("INVOICE_NO,QTY,AMOUNT").alias("value"))
-    header.unionByName(s.toDF("value")).coalesce(1).write.text(folder)  # one upload: the header comes first
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = [st.getPath().toString() for st in fs.listStatus(path(folder)) if st.getPath().getName().startswith("part-")]
-    rows, rejects = A.read_folder_with_rejects(spark, files)
-    bad = rejects.select(F.when(F.size(F.split("record", ",")) == 2, "short").otherwise("long").alias("kind"))
-    return rows.select(F.lit("kept").alias("kind")).unionByName(bad).groupBy("kind").agg(F.count("*").alias("n"))
+    """Uploads with lines of two, three and four fields under a header of three: the odd ones are rejects, none is lost."""
+    folder, files = _folder(spark, "odd"), 8
+    heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("at"), F.lit(ODD_HEADER).alias("value"))
+    lines = _odd_lines(spark, sf).select(F.pmod(F.xxhash64(ODD_HEADER), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("at"), F.col(ODD_HEADER).alias("value"))
+    whole = heads.unionByName(lines).repartition(files, "file").sortWithinPartitions("file", "at").drop("at")
+    whole.write.partitionBy("file").text(folder)
+    return _kinds(*A.read_folder_with_rejects(spark, A.list_files(spark, folder, (".txt",), deep=True)))
 
 
-@query("n2_stream_two_tenants", O.with_sales(f"""
-SELECT {ROWS_SQL}, t AS tenant_id FROM sales, (VALUES ('007'), ('7'), ('ACME:IN')) v(t) WHERE DATE < TIMESTAMP '{FIRST}'"""))
-def n2_stream_two_tenants(spark, sf):
-    """One upload per tenant with the same invoice numbers, one file per micro-batch, with archive, audit and rejects."""
+@query("a1_read_upload", O.with_sales(KINDS_SQL))
+def a1_read_upload(spark, sf):
+    """The same lines as one uploaded file, read by as many tasks as its size asks for (only writing one file takes one task)."""
+    folder = _folder(spark, "upload")
+    head = spark.range(1, numPartitions=1).select(F.lit(ODD_HEADER).alias("value"))
+    head.unionByName(_odd_lines(spark, sf).toDF("value")).coalesce(1).write.text(folder)
+    return _kinds(*A.read_upload_with_rejects(spark, A.list_files(spark, folder, (".txt",))[0]))
+
+
+def _tenant_stream(spark, sf) -> str:
+    """Uploads of three tenants with the same invoice numbers through the stream, with archive, audit and rejects; returns the folder.
+
+    Each tenant's lines lie in some files, an invoice whole in one of them; then one tenant's files come again under other names.
+    """
     from .streaming.ingest_stream import start_ingest
 
     base = _folder(spark, "tenant-stream")
-    s = T.sales(spark, sf).select(*COLS).where(F.col(M.DATE) < F.lit(FIRST).cast("timestamp"))
-    frames = [_texts(s.withColumn("Tenant_Id", F.lit(t))).coalesce(1) for t in ("007", "7", "ACME:IN")]
-    _write_uploads(frames, f"{base}/src")
-    q = start_ingest(spark, f"{base}/src", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, files_per_trigger=1,
-                     archive_dir=f"{base}/archive", audit_path=f"{base}/audit", rejects_path=f"{base}/rejects")
-    q.awaitTermination()
-    return _out(B.read_table(spark, f"{base}/table").select(*COLS, M.TENANT))
+    s = T.sales(spark, sf).select(*COLS)
+    frames = [_texts(s.withColumn("Tenant_Id", F.lit(t))).repartition(4, M.INVOICE_NO) for t in ("007", "7", "ACME:IN")]
+    for i, own in enumerate((frames, frames[:1])):
+        _write_uploads(own, f"{base}/src", f"{i}-")
+        q = start_ingest(spark, f"{base}/src", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, files_per_trigger=6,
+                         archive_dir=f"{base}/archive", audit_path=f"{base}/audit", rejects_path=f"{base}/rejects")
+        q.awaitTermination()
+    return base
+
+
+@query("n2_stream_two_tenants", O.with_sales(f"SELECT {ROWS_SQL}, t AS tenant_id FROM sales, (VALUES ('007'), ('7'), ('ACME:IN')) v(t)"))
+def n2_stream_two_tenants(spark, sf):
+    """Invoices sent again are known, those of other tenants are not: every line of each tenant once."""
+    return _out(B.read_table(spark, f"{_tenant_stream(spark, sf)}/table").select(*COLS, M.TENANT))
+
+
+@query("n3_n4_stream_audit", O.with_sales("""
+SELECT 3 * count(*) AS added, 3 * count(*) AS total, CAST(0 AS BIGINT) AS rejected, true AS running, 4 * count(*) AS archived_or_waiting FROM sales"""))
+def n3_n4_stream_audit(spark, sf):
+    """The audit rows of that stream, and the lines of all uploads, which lie in the archive or still in the watched folder (the clean-up runs beside the stream)."""
+    base = _tenant_stream(spark, sf)
+    audit = spark.read.parquet(f"{base}/audit")
+    so_far = F.sum("NEW_RECORDS_ADDED").over(Window.orderBy("batch_id"))  # a row per batch
+    audit = audit.withColumn("running", F.col("TOTAL_RECORDS_AFTER_RUN") == so_far)
+    sums = audit.agg(F.sum("NEW_RECORDS_ADDED").alias("added"), F.max("TOTAL_RECORDS_AFTER_RUN").alias("total"), F.sum("REJECTED_RECORDS").alias("rejected"), F.every("running").alias("running"))
+    left = [f for folder in (f"{base}/src", f"{base}/archive") for f in A.list_files(spark, folder, deep=True)]
+    lines = A.read_folder(spark, left).agg(F.count("*").alias("archived_or_waiting"))
+    return sums.select("*", lines.scalar().alias("archived_or_waiting"))
 
 
 @query("b4_export_csv", O.with_sales(f"SELECT {ROWS_SQL} FROM sales"))
@@ -155,20 +202,19 @@ def b4_export_csv(spark, sf):
 @query("b5_a7_json", O.with_sales(f"SELECT {ROWS_SQL} FROM x", LINES_CTE))
 def b5_a7_json(spark, sf):
     path = _folder(spark, "json")
-    B.export_json(_lines(spark, sf, "2999-01-01", "t").drop(M.TENANT), path)
+    B.export_json(_lines(spark, sf, "t").drop(M.TENANT), path)
     s = "DATE timestamp_ntz, INVOICE_NO string, CUSTOMER_NAME string, ITEMNAME string, QTY double, AMOUNT decimal(26,4)"
     return _out(A.read_json(spark, path, s))
 
 
 @query("b7_audit", O.with_sales(f"""
 SELECT 1 AS run, count(*) FILTER (WHERE DATE < TIMESTAMP '{FIRST}') AS added, count(*) FILTER (WHERE DATE < TIMESTAMP '{FIRST}') AS total FROM sales
-UNION ALL SELECT 2, count(*) FILTER (WHERE DATE >= TIMESTAMP '{FIRST}' AND DATE < TIMESTAMP '{SECOND}'), count(*) FILTER (WHERE DATE < TIMESTAMP '{SECOND}') FROM sales"""))
+UNION ALL SELECT 2, count(*) FILTER (WHERE DATE >= TIMESTAMP '{FIRST}'), count(*) FROM sales"""))
 def b7_audit(spark, sf):
     path, audit = _folder(spark, "audited"), _folder(spark, "audit")
-    for before in (FIRST, SECOND):
-        s = T.sales(spark, sf).select(*COLS, M.TENANT).where(F.col(M.DATE) < F.lit(before).cast("timestamp"))
-        added = B.load(s, path)
-        B.append_audit(spark, audit, added, B.read_table(spark, path).count())
+    s = T.sales(spark, sf).select(*COLS, M.TENANT)
+    for batch in (s.where(F.col(M.DATE) < F.lit(FIRST).cast("timestamp")), s):
+        B.append_audit(spark, audit, B.load(batch, path))
     a = spark.read.parquet(audit)
     return a.select(F.when(F.col("TOTAL_RECORDS_AFTER_RUN") == F.col("NEW_RECORDS_ADDED"), 1).otherwise(2).alias("run"),
                     F.col("NEW_RECORDS_ADDED").alias("added"), F.col("TOTAL_RECORDS_AFTER_RUN").alias("total"))

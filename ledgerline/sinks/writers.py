@@ -243,7 +243,11 @@ def audit_row(spark: SparkSession, rows_added: int, total_rows: int, run_ts: _dt
                                  "RUN_TIMESTAMP timestamp_ntz, NEW_RECORDS_ADDED long, TOTAL_RECORDS_AFTER_RUN long")
 
 
-def append_audit(spark: SparkSession, path: str, rows_added: int, total_rows: int) -> None:
+def append_audit(spark: SparkSession, path: str, rows_added: int, total_rows: int | None = None) -> None:
+    """Append a record; the total is the last record's plus the rows added unless given, so the table is not counted."""
+    if total_rows is None:
+        last = spark.read.parquet(path).agg(F.max_by("TOTAL_RECORDS_AFTER_RUN", "RUN_TIMESTAMP")).first()[0] if table_exists(spark, path) else 0
+        total_rows = (last or 0) + rows_added
     audit_row(spark, rows_added, total_rows).write.mode("append").parquet(path)
 
 

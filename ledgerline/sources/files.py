@@ -32,14 +32,16 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def list_files(spark: SparkSession, folder: str, suffixes=(".csv",)) -> list[str]:
-    """Data files directly under ``folder`` (temp ``~$`` files skipped)."""
+def list_files(spark: SparkSession, folder: str, suffixes=(".csv",), deep: bool = False) -> list[str]:
+    """Data files directly under ``folder``, or with ``deep`` in folders below it too (temp ``~$`` files skipped)."""
     p, fs = _fs(spark, folder)
     if not fs.exists(p):
         return []
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
+        if deep and st.isDirectory():
+            out += list_files(spark, st.getPath().toString(), suffixes, deep)
         if st.isFile() and not name.startswith(TEMP_PREFIX) and not name.startswith((".", "_")) \
                 and name.lower().endswith(tuple(suffixes)):
             out.append(st.getPath().toString())

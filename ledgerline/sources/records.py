@@ -18,6 +18,8 @@ any number of tasks reads a file:
 The header is the first record of a file; it is found by the same pass, so no
 file is opened by the driver. The result is a stored table.
 
+Joins are left to Spark, which broadcasts a stored table by its size.
+
 Line breaks are ``\\n`` or, where a file's first line ends so, ``\\r\\n`` (also
 inside values, where they become ``\\n``). Empty records are skipped. As in Spark's own reader a quote
 opens a value only at its start, quotes inside are doubled, and what follows a
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-BROADCAST_ROWS = 500_000
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+'  # an opened value up to its end or the end of the line
 CLOSED = QUOTED + r'"[^,]*+'
 FIELD = rf'(?:{CLOSED}|(?!")[^,]*+)'
@@ -52,11 +53,6 @@ def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` (stored) with a broadcast hint if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _after(known: Column, parity: Column, start: Column) -> Column:
     """The state (inside quotes?) after lines whose last constant function gave ``known`` (null: none), and that swapped states ``parity`` times since."""
     return F.coalesce(known, start).cast("int").bitwiseXOR(parity) == 1
@@ -72,6 +68,36 @@ def _composed(rows: DataFrame, window) -> DataFrame:
     return rows.withColumns({"known": F.col("__last.v"), "parity": parity.cast("int")}).drop("__swaps", "__last")
 
 
+def _joined_lines(lines: DataFrame, folder: str) -> DataFrame:
+    """(path, block, at, lines): the lines of each record, whose place is that of its first line."""
+    inside = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    slim = _composed(lines.select("path", "block", "run", "at", "from_out", "from_in"), inside)
+    slim = _stored(slim.select("run", "block", "path", "at", "known", "parity"), folder, "functions")
+    runs = slim.groupBy("path", "block", "run").agg(F.max_by(F.struct("known", "parity"), "at").alias("f"))
+    # a run is the function of its last line: constant, identity or swap
+    constant = F.col("f.known").cast("int").bitwiseXOR(F.col("f.parity")) == 1
+    runs = runs.select("path", "block", "run", F.coalesce(constant, F.col("f.parity") == 1).alias("from_out"), F.coalesce(constant, F.col("f.parity") == 0).alias("from_in"))
+    along = Window.partitionBy("path").orderBy("block")  # a row per block of a file
+    runs = _composed(runs, along.rowsBetween(Window.unboundedPreceding, 0))
+    runs = runs.withColumn("starts_in", F.coalesce(F.lag(_after(F.col("known"), F.col("parity"), F.lit(False))).over(along), F.lit(False)))
+    runs = _stored(runs.select("run", "path", "block", "starts_in"), folder, "runs")
+
+    ends = slim.drop("path", "block").join(runs.select("run", "starts_in"), "run")
+    ends = ends.withColumn("ends_in", _after(F.col("known"), F.col("parity"), F.col("starts_in")))
+    ends = ends.withColumn("starts_in", F.coalesce(F.lag("ends_in").over(Window.partitionBy("run").orderBy("at")), F.col("starts_in")))
+    ends = ends.withColumn("head", F.last(F.when(~F.col("starts_in"), F.col("at")), ignorenulls=True).over(inside))
+    parts = _stored(ends.where("starts_in OR ends_in").select("run", "at", "head"), folder, "parts")
+    # a record that began in an earlier block: the last head there
+    carried = runs.join(parts.groupBy("run").agg(F.max("head").alias("last_head")), "run", "left")
+    carried = carried.select("run", F.last("last_head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    parts = _stored(parts.join(carried, "run").select("at", F.coalesce("head", "carried").alias("head")), folder, "heads")
+
+    joined = lines.select("path", "block", "at", "line").join(parts, "at", "left")
+    many = joined.where("head IS NOT NULL").groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
+    many = many.select("path", F.get("l", 0)["block"].alias("block"), F.col("head").alias("at"), F.transform("l", lambda x: x["line"]).alias("lines"))
+    return joined.where("head IS NULL").select("path", "block", "at", F.array("line").alias("lines")).unionByName(many)
+
+
 def _address(spark: SparkSession, path: str) -> str:
     """The path as Spark lists it."""
     if re.match("[A-Za-z][A-Za-z0-9+.-]*:/(?!/)", path):
@@ -98,51 +124,24 @@ def read_records(spark: SparkSession, files: list[str]) -> tuple[DataFrame, Data
         "from_out": quoted & F.regexp_like("line", F.lit(_whole(OPENS))), "from_in": ~quoted | F.regexp_like("line", F.lit(_whole(STAYS)))})
     lines = _stored(lines, folder, "lines")
 
-    inside = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    slim = _composed(lines.select("path", "block", "run", "at", "from_out", "from_in"), inside)
-    slim = _stored(slim.select("run", "block", "path", "at", "known", "parity"), folder, "functions")
-    runs = slim.groupBy("path", "block", "run").agg(F.max_by(F.struct("known", "parity"), "at").alias("f"), F.min("at").alias("first"))
-    # a run is the function of its last line: constant, identity or swap
-    runs = runs.select("path", "block", "run", "first", F.coalesce(F.col("f.known").cast("int").bitwiseXOR(F.col("f.parity")) == 1, F.col("f.parity") == 1).alias("from_out"),
-                       F.coalesce(F.col("f.known").cast("int").bitwiseXOR(F.col("f.parity")) == 1, F.col("f.parity") == 0).alias("from_in"))
-    along = Window.partitionBy("path").orderBy("block")  # a row per block of a file
-    runs = _composed(runs, along.rowsBetween(Window.unboundedPreceding, 0))
-    runs = runs.withColumn("starts_in", F.coalesce(F.lag(_after(F.col("known"), F.col("parity"), F.lit(False))).over(along), F.lit(False)))
-    runs = _stored(runs.select("run", "path", "block", "first", "starts_in"), folder, "runs")
-
-    ends = slim.join(_bounded(runs.select("run", "starts_in")), "run")
-    ends = ends.withColumn("ends_in", _after(F.col("known"), F.col("parity"), F.col("starts_in")))
-    before = Window.partitionBy("run").orderBy("at")
-    ends = ends.withColumn("starts_in", F.coalesce(F.lag("ends_in").over(before), F.col("starts_in")))
-    ends = ends.withColumn("head", F.last(F.when(~F.col("starts_in"), F.col("at")), ignorenulls=True).over(inside))
-    parts = ends.where("starts_in OR ends_in").select("run", "at", "head")
-    parts = _stored(parts, folder, "parts")
-    # a record that began in an earlier block: the last head there
-    carried = runs.join(parts.groupBy("run").agg(F.max("head").alias("last_head")), "run", "left")
-    carried = carried.withColumn("carried", F.last("last_head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    parts = parts.join(_bounded(_stored(carried.select("run", "carried"), folder, "carried")), "run")
-    parts = _stored(parts.select("at", F.coalesce("head", "carried").alias("head")), folder, "heads")
-
-    joined = lines.select("path", "block", "at", "line").join(_bounded(parts), "at", "left")
-    firsts = runs.groupBy("path").agg(F.min_by("first", "block").alias("first"))  # a row per file
-    many = joined.where("head IS NOT NULL").groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
-    many = many.select("path", F.col("head").alias("at"), F.transform("l", lambda x: x["line"]).alias("lines"))
-    one = joined.where("head IS NULL").select("path", "at", F.array("line").alias("lines"))
-    every = one.unionByName(many).join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "path")
-    every = _stored(every.select("path", "lines", (F.col("at") == F.col("first")).alias("is_head")), folder, "records")
-
-    heads = every.where("is_head").select("path", "lines")
+    if lines.where("from_out").isEmpty():  # no value goes on in the next line: every line starts outside quotes
+        every = lines.select("path", "block", "at", F.array("line").alias("lines"))
+    else:
+        every = _stored(_joined_lines(lines, folder), folder, "records")
+    first = F.min_by(F.struct("block", "at", "lines"), F.struct("block", "at")).alias("first")
+    heads = every.groupBy("path").agg(first).select("path", "first.*")  # a row per file
     returns = F.element_at("lines", -1).endswith("\r")
 
     def text_of(crlf: Column) -> Column:
         bare = F.transform("lines", lambda x: F.when(crlf & x.endswith("\r"), x.substr(F.lit(1), F.length(x) - 1)).otherwise(x))
         return F.array_join(bare, "\n")
 
-    heads = _stored(heads.select("path", returns.alias("crlf"), F.regexp_replace(text_of(returns), "^﻿", "").alias("header")), folder, "headers")
-    rows = every.where("NOT is_head").drop("is_head").join(_bounded(heads), "path").select("path", "header", text_of(F.col("crlf")).alias("record"))
+    heads = heads.select("path", F.col("at").alias("head"), returns.alias("crlf"), F.regexp_replace(text_of(returns), "^\ufeff", "").alias("header"))
+    heads = _stored(heads, folder, "headers")
+    rows = every.join(heads, "path").where("at <> head").select("path", "header", text_of(F.col("crlf")).alias("record"))
     listed = spark.read.format("binaryFile").load(files)  # names only: contents are not selected
     listed = listed.select(F.col("path").alias("file"), listed.metadataColumn("_metadata")["file_path"].alias("path"))
     named = listed.join(heads, "path", "left").select("file", F.when(F.trim("header") != "", F.col("header")).alias("header"))
     # Spark lists no file of length 0
     named = spark.createDataFrame([(_address(spark, f),) for f in files], "file string").join(named, "file", "left").withColumnRenamed("file", "path")
-    return rows.where("record <> '' AND trim(header) <> ''"), _stored(named, folder, "files")
+    return rows.where("record <> '' AND trim(header) <> ''"), named
