@@ -2,22 +2,22 @@
 features and classifier, risk flags, revenue-drop alerts.
 
 Everything starts from one ``groupBy(CUSTOMER_NAME)`` (partial aggregation
-before the shuffle). Global quantities (latest date, quartile edges, entity
-count) are 1-row aggregates joined back by broadcast. Quartile edges are
-exact: ``percentile`` for metrics whose distinct values are bounded by the
-calendar or by invoice counts (Recency, Frequency), and a rank-based exact
-quantile (bucketed running count, no single-task sort) for Monetary, whose
-distinct values grow with the customer count.
+before the shuffle). Global quantities (latest date, entity count) are 1-row
+aggregates. Quartile edges are exact order statistics found by counting over
+the written customer table: histograms of a fixed number of bins narrow the
+value range of each edge until it is one value, without a sort.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..fixed_values import RFM_LOWEST, RFM_SEGMENTS
-from ..plans.common import iso_date, keyed, materialize, running_sum, with_total
+from ..plans.common import iso_date, keyed, materialize, order_statistics, text_statistics, with_total
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -39,44 +39,32 @@ def customer_rollup(df: DataFrame) -> DataFrame:
 
 def rfm_base(df: DataFrame) -> DataFrame:
     """Per customer: Recency (whole days from the global latest date),
-    Frequency (distinct invoices), Monetary (sum), plus first/last dates."""
-    mx = df.agg(F.max(M.DATE).alias("__mx"))
-    g = keyed(df, M.CUSTOMER).groupBy(M.CUSTOMER).agg(
+    Frequency (distinct invoices), Monetary (sum), plus first/last dates.
+
+    One pass over the fact: lines without a customer are one more group of the
+    written table, which the latest date is taken from, and then left out."""
+    g = df.groupBy(M.CUSTOMER).agg(
         F.max(M.DATE).alias("__last"), F.min(M.DATE).alias("__first"),
         F.count_distinct(M.INVOICE_NO).alias("Frequency"),
         F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__money"),
         F.sum(M.AMOUNT).alias("__sum"), F.count(M.AMOUNT).alias("__lines"))
-    g = with_total(g, mx)
+    g = materialize(g)
+    g = with_total(keyed(g, M.CUSTOMER), g.agg(F.max("__last").alias("__mx")))
     return g.withColumn("Recency", elapsed_days(F.col("__mx"), F.col("__last")))
 
 
-def percentile_edges(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Exact linear-interpolation quartile edges as a 1-row frame (array column)."""
-    return df.agg(F.percentile(F.col(col).cast("double"), F.array(*[F.lit(q) for q in QUARTILES])).alias(name))
-
+def quartile_edges(n: int, at: dict[int, tuple]) -> list[float | None]:
+    """Quartile edges, linearly interpolated between the order statistics ``at`` the positions around them."""
+    edges = []
+    for q in QUARTILES:
+        p = (n - 1) * q
+        low, high = (float(at[i][0]) if i in at else None for i in (math.floor(p), math.ceil(p)))
+        edges.append(None if low is None or high is None else low + (high - low) * (p - math.floor(p)))
+    return edges
 
-def rank_edges(ranked: DataFrame, col: str, rank: str, name: str) -> DataFrame:
-    """Exact linear-interpolation quartile edges from order statistics.
 
-    ``rank`` numbers the rows by (``col``, key); only the rows at the
-    interpolation positions floor/ceil((n-1)q) are kept (at most 2 per
-    quantile), so the column is never gathered.
-    """
-    r = with_total(ranked, ranked.agg(F.count(F.lit(1)).alias("__n")))
-    pos = [(F.col("__n") - 1) * F.lit(q) for q in QUARTILES]
-    idx = F.col(rank) - 1
-    keep = None
-    for p in pos:
-        c = (idx == F.floor(p)) | (idx == F.ceil(p))
-        keep = c if keep is None else keep | c
-    pts = r.where(keep).select(idx.alias("__i"), F.col(col).cast("double").alias("__v"), "__n")
-    edges = []
-    for q, p in zip(QUARTILES, pos):
-        lo_v = F.max(F.when(F.col("__i") == F.floor(p), F.col("__v")))
-        hi_v = F.max(F.when(F.col("__i") == F.ceil(p), F.col("__v")))
-        frac = F.first(p - F.floor(p))
-        edges.append(lo_v + (hi_v - lo_v) * frac)
-    return pts.agg(F.array(*edges).alias(name))
+def _positions(n: int) -> list[int]:
+    return sorted({f((n - 1) * q) for q in QUARTILES for f in (math.floor, math.ceil)}) if n else []
 
 
 def below(v: Column, edges: str) -> Column:
@@ -86,18 +74,29 @@ def below(v: Column, edges: str) -> Column:
     return sum((F.when(v > e[i], 1).otherwise(0) for i in range(len(QUARTILES))), F.lit(0))
 
 
-def _with_edges(base: DataFrame) -> DataFrame:
-    """``base`` with the quartile edges of R, F and M and the rank of each customer by Frequency.
+def _with_edges(base: DataFrame, rank_names: bool = False) -> DataFrame:
+    """``base`` with the quartile edges of R, F and M as arrays and the number of customers, all found by counting.
 
-    Two written tables: the customers in ranges of Frequency (the one fact
-    pass) and, from these, in ranges of Monetary; edges are read off the ranks.
+    With ``rank_names`` also ``__fb``, the quartile bin of each customer's rank
+    by Frequency, ties by name: a rank lies behind a quartile's position if
+    (Frequency, name) lies behind that of the customer there, so three
+    customers are looked up and none is ranked.
     """
-    b = running_sum(base, "Frequency", M.CUSTOMER, None, "__rank", descending=False)
-    b = running_sum(b, "__money", M.CUSTOMER, None, "__rank_m", descending=False)
-    r = percentile_edges(b, "Recency", "__er")  # whole days: bounded by the calendar
-    f = rank_edges(b, "Frequency", "__rank", "__ef")
-    m = rank_edges(b, "__money", "__rank_m", "__em")
-    return with_total(with_total(with_total(b, r), f), m)
+    counts = base.agg(F.count("Recency").alias("r"), F.count("*").alias("n")).first()
+    n = counts["n"]
+    # k quarters of the ranks: 4 (rank - 1) > k (n - 1), exact in integers
+    thirds = {k: k * (n - 1) // 4 for k in (1, 2, 3)} if n else {}
+    at = order_statistics(base, {"Recency": _positions(counts["r"]), "Frequency": sorted({*_positions(n), *thirds.values()}), "__money": _positions(n)})
+    out = base
+    for name, col, size in (("__er", "Recency", counts["r"]), ("__ef", "Frequency", n), ("__em", "__money", n)):
+        out = out.withColumn(name, F.array(*[F.lit(e).cast("double") for e in quartile_edges(size, at[col])]))
+    out = out.withColumn("__n", F.lit(n))
+    if rank_names:
+        freq = {k: at["Frequency"][p] for k, p in thirds.items()}
+        names = text_statistics(base, M.CUSTOMER, {k: (F.col("Frequency") == int(v), thirds[k] - smaller) for k, (v, smaller) in freq.items()})
+        behind = [(F.col("Frequency") > int(freq[k][0])) | ((F.col("Frequency") == int(freq[k][0])) & (F.col(M.CUSTOMER) > F.lit(names[k]))) for k in thirds]
+        out = out.withColumn("__fb", sum((F.when(b, 1).otherwise(0) for b in behind), F.lit(0)))
+    return out
 
 
 def segment_of(score: Column, segments=RFM_SEGMENTS, lowest: str = RFM_LOWEST) -> Column:
@@ -133,13 +132,9 @@ def rfm_labels(df: DataFrame, min_customers: int = 4) -> DataFrame:
     """H3: R (Recency quartile: Active..Lost), F (quartile of the rank-first
     of Frequency, ties by name), M (Low..VIP) and the 5 label segments; later
     rules override earlier ones. Empty below ``min_customers`` customers."""
-    b = _with_edges(rfm_base(df))
-    n = b.agg(F.count(F.lit(1)).alias("__n"))
-    b = with_total(b, n).where(F.col("__n") >= min_customers)
+    b = _with_edges(rfm_base(df), rank_names=True).where(F.col("__n") >= min_customers)
     rb = below(F.col("Recency"), "__er")
-    # rank-first bin: #k in {1,2,3} with 4(r-1) > k(n-1), exact in integers
-    fb = sum((F.when(F.lit(4) * (F.col("__rank") - 1) > F.lit(k) * (F.col("__n") - 1), 1).otherwise(0) for k in (1, 2, 3)),
-             F.lit(0))
+    fb = F.col("__fb")
     mb = below(F.col("__money").cast("double"), "__em")
     R, Fq, Mo = _label(rb, R_LABELS), _label(fb, F_LABELS), _label(mb, M_LABELS)
     seg = (F.when(R == "Lost", "Inactive")

@@ -156,9 +156,13 @@ def replace_all(df: DataFrame, path: str, partition_by: str = M.TENANT) -> None:
     place, mark = path.rstrip("/"), uuid.uuid4().hex
     fresh, old = f"{place}-new-{mark}", f"{place}-old-{mark}"
     w = df.write
-    (w.partitionBy(partition_by) if partition_by in df.columns else w).parquet(fresh)
-    keep_schema(spark, fresh, df.schema)
     target, fs = _path(spark, place)
+    try:
+        (w.partitionBy(partition_by) if partition_by in df.columns else w).parquet(fresh)
+        keep_schema(spark, fresh, df.schema)
+    except BaseException:
+        fs.delete(_path(spark, fresh)[0], True)
+        raise
     moved = fs.exists(target)
     if moved and not fs.rename(target, _path(spark, old)[0]):
         raise OSError(f"could not move the old table away: {place}")

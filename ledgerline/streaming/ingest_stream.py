@@ -3,13 +3,13 @@
 N1  ``readStream.format("binaryFile")`` lists new files (only ``path`` is
     selected, so file contents are not read by the stream itself);
     ``pathGlobFilter`` keeps data files, temp ``~$`` files never match.
-N2  ``foreachBatch``: the batch's files are cut in records in parallel (A2), run
-    through the ingest pipeline (C18) and staged under the batch's number, once.
-    Which invoices are new is decided by keyed state: a second stream over the
-    staged (tenant, invoice) pairs drops every pair that an earlier batch had
-    (``dropDuplicates``, kept in RocksDB), so the history is never read. The
-    staged rows of the pairs that are left go to the ``batch_id=`` partition by
-    dynamic overwrite. All steps of a replayed batch give the same rows again.
+N2  ``foreachBatch``: the batch's files are cut in records in parallel (A2) and
+    run through the ingest pipeline (C18). Which invoices are new is decided by
+    keyed state: the batch's distinct (tenant, invoice) pairs are staged, and a
+    second stream over staged pairs drops every pair that an earlier batch had
+    (``dropDuplicates``, kept in RocksDB), so the history is never read. Rows of
+    the pairs that are left go to the ``batch_id=`` partition by dynamic
+    overwrite. All steps of a replayed batch give the same rows again.
 N3  ``cleanSource=archive`` moves processed files to an archive folder.
 N4  Each batch writes an audit row: rows added and rejected as counted while
     writing, and a running total, the last audit row's plus the rows added.
@@ -47,15 +47,20 @@ def _dynamic(df: DataFrame, *parts: str):
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
 
 
-def stage(spark: SparkSession, rows: DataFrame, batch_id: int, state: str) -> None:
-    """The batch's rows with their key under ``state``/staged, put in place whole; a batch that lies there already is left."""
+def with_key(rows: DataFrame, batch_id: int) -> DataFrame:
+    """``rows`` with the key that the state remembers."""
+    numbered = M.INVOICE_NO in rows.columns
+    number = F.col(M.INVOICE_NO).cast("string") if numbered else F.lit(str(batch_id))
+    return rows.withColumns({"__numbered": F.lit(numbered), "__number": number})
+
+
+def stage_keys(spark: SparkSession, rows: DataFrame, batch_id: int, state: str) -> None:
+    """The batch's distinct keys under ``state``/staged, put in place whole; a batch that lies there already is left."""
     target = f"{state}/staged/{BATCH}={batch_id}"
     if table_exists(spark, target):
         return
-    numbered = M.INVOICE_NO in rows.columns
-    number = F.col(M.INVOICE_NO).cast("string") if numbered else F.lit(str(batch_id))
     beside = f"{state}/staging/{uuid.uuid4().hex}"
-    rows.withColumns({"__numbered": F.lit(numbered), "__number": number}).write.parquet(beside)
+    rows.select(*KEY).distinct().write.parquet(beside)
     _renamed(spark, beside, target)
 
 
@@ -81,7 +86,7 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, dst: str
 
     A file that cannot be read fails the batch, so that it is tried again;
     malformed lines and empty files go to ``rejects_path`` and are counted in the audit row.
-    Staged rows and known invoices lie under ``state`` (beside ``dst`` unless given).
+    Staged pairs and known invoices lie under ``state`` (beside ``dst`` unless given).
     """
     state = state or f"{dst.rstrip('/')}-state"
     raw, rejects = read_folder_with_rejects(spark, paths)  # headers normalised per file group, then unioned by name
@@ -95,12 +100,11 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, dst: str
         raise ValueError(f"batch {batch_id} holds malformed lines or empty files; name a rejects_path to set them aside")
     added = 0
     if raw is not None:
-        rows = with_tenant(ingest(raw, master, cfg, city_map, coerce=coerce_types), tenant_id)
-        stage(spark, rows, batch_id, state)
+        rows = with_key(with_tenant(ingest(raw, master, cfg, city_map, coerce=coerce_types), tenant_id), batch_id)
+        stage_keys(spark, rows, batch_id, state)
         first = new_keys(spark, state).where(F.col(BATCH) == batch_id).select(*[F.col(k).alias(f"{k}_") for k in KEY])
-        staged = spark.read.schema(rows.schema.add("__numbered", "boolean").add("__number", "string")).parquet(f"{state}/staged/{BATCH}={batch_id}")
         same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in KEY]
-        new = staged.join(first, same[0] & same[1] & same[2], "left_semi").drop(*KEY[1:]).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        new = rows.join(first, same[0] & same[1] & same[2], "left_semi").drop(*KEY[1:]).withColumn(BATCH, F.lit(batch_id).cast("long"))
         obs = Observation(f"batch_{batch_id}")
         keep_schema(spark, dst, new.schema)
         _dynamic(new.observe(obs, F.count(F.lit(1)).alias("added")), M.TENANT, BATCH).parquet(dst)

@@ -206,3 +206,57 @@ def test_unfinished_fact_is_built_anew(spark, tmpdir_path, monkeypatch):
     os.remove(f"{target}/_SUCCESS".replace("file://", ""))
     T._STORED_SCHEMAS.pop(target)
     assert T.sales(spark, SF_SMALL).count() == good and os.path.exists(f"{target}/_SUCCESS".replace("file://", ""))
+
+
+def test_replayed_batches_change_nothing(spark, tmpdir_path):
+    """Also when the batch before the replay was cut off between its steps; the history is not part of any batch's plan."""
+    from ledgerline.operators.ingest import IngestConfig
+    from ledgerline.streaming import ingest_stream as S
+
+    base = tmpdir_path
+    head = "Date,Invoice No.,Party Name,State,Amount\n"
+    _write(f"{base}/f0.csv", head + "2024-04-01,1,A,GOA,10\n2024-04-01,2,A,GOA,5\n2024-04-01,,A,GOA,6\n")
+    _write(f"{base}/f1.csv", head + "2024-04-02,2,B,GOA,7\n2024-04-03,3,C,GOA,1\n2024-04-01,,A,GOA,8\n2024-04-03,3,C,GOA,2\n")
+    _write(f"{base}/f2.csv", "Date,Party Name,State,Amount\n2024-04-02,X,GOA,70\n")
+    _write(f"{base}/f3.csv", "Date,Party Name,State,Amount\n2024-04-02,X,GOA,71\n")
+
+    def batch(i):
+        return S.process_batch(spark, [f"{base}/f{i}.csv"], i, f"{base}/t", None, IngestConfig(), None, f"{base}/audit", "t")
+
+    def stored():
+        return sorted(repr(r) for r in rows(B.read_table(spark, f"{base}/t"), "INVOICE_NO", "AMOUNT", "batch_id"))
+
+    assert [batch(0), batch(1), batch(2)] == [3, 2, 1]
+    want = stored()
+    for i in (2, 1, 2, 0):
+        batch(i)
+        assert stored() == want
+    # batch 3 was staged, then the process died; it is run again
+    raw, _ = A.read_folder_with_rejects(spark, [f"{base}/f3.csv"])
+    S.stage_keys(spark, S.with_key(B.with_tenant(raw, "t"), 3), 3, f"{base}/t-state")
+    assert batch(3) == 1 and len(stored()) == 7
+    audit = spark.read.parquet(f"{base}/audit").orderBy("batch_id")
+    assert rows(audit, "NEW_RECORDS_ADDED", "TOTAL_RECORDS_AFTER_RUN") == [(3, 3), (2, 5), (1, 6), (1, 7)]
+
+
+def test_schema_is_kept_beside_the_table(spark, tmpdir_path):
+    path = f"{tmpdir_path}/t"
+    B.load(_sales(spark, [("1", Decimal(1), "a")]), path)
+    B.load(spark.createDataFrame([("2", 3.0, "b")], "INVOICE_NO string, RATE double, tenant_id string"), path)
+    assert B.kept_schema(spark, path).names == ["INVOICE_NO", "AMOUNT", "tenant_id", "RATE"]
+    assert sorted(rows(B.read_table(spark, path), "INVOICE_NO", "AMOUNT", "RATE")) == [("1", Decimal(1), None), ("2", None, 3.0)]
+    os.remove(f"{path}/{B.SCHEMA_FILE}")  # a table of another writer: footers are merged, and kept with the next load
+    assert B.load(_sales(spark, [("2", Decimal(1), "a")]), path) == 1
+    assert set(B.kept_schema(spark, path).names) == {"INVOICE_NO", "AMOUNT", "tenant_id", "RATE"}
+
+
+def test_replace_leaves_the_old_table_when_the_write_fails(spark, tmpdir_path):
+    import pytest
+
+    path = f"{tmpdir_path}/t"
+    B.replace_all(_sales(spark, [("1", Decimal(1), "a"), ("2", Decimal(1), "b")]), path)
+    with pytest.raises(Exception):
+        B.replace_all(_sales(spark, [("3", Decimal(1), "a")]).withColumn("AMOUNT", F.raise_error(F.lit("stop"))), path)
+    assert B.read_table(spark, path).count() == 2
+    B.replace_all(B.read_table(spark, path).where("tenant_id = 'b'"), path)  # from the table itself
+    assert rows(B.read_table(spark, path), "INVOICE_NO") == [("2",)] and len(os.listdir(tmpdir_path)) == 1
