@@ -7,21 +7,26 @@
   QTY=l_quantity, AMOUNT=extendedprice*(1-discount) as exact decimal,
   tenant_id=c_mktsegment.
 
-Scale notes: lineitem ⋈ orders is the one big-big join (shuffle on the order
-key, or co-located when both tables are bucketed on it). customer and part are
-joined by key and left to AQE, which turns them into broadcast joins only when
-their measured size is under the threshold; nation and region are fixed
-25/5-row tables and are broadcast explicitly. Every scan selects only the
-columns it needs, so Parquet reads are pruned.
+Scale notes: lineitem ⋈ orders is the one big-big join. Both tables are kept
+once per input as tables bucketed on the order key (``bucketed``), orders with
+their customer's columns, so every join of them, for this fact and the dirty
+one, is co-located and shuffles nothing. customer and part are joined by key and
+left to AQE, which turns them into broadcast joins only when their measured size
+is under the threshold; nation and region are fixed 25/5-row tables and are
+broadcast explicitly. Every scan selects only the columns it needs, so Parquet
+reads are pruned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions.scalars import fy_label, fy_start, month_label, month_start
+from ..plans.common import materialize, with_total
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -36,18 +41,72 @@ def amount_expr(price: str = "l_extendedprice", discount: str = "l_discount"):
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber")
+    li = bucketed(spark, sf_dir, "lineitem", "l_orderkey", lambda: table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber"))
+    od = bucketed(spark, sf_dir, "orders", "o_orderkey", lambda: _orders(spark, sf_dir))
+    pa = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return li.join(od, li.l_orderkey == od.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer and place: joined here, where there is a row per order and not one per line."""
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     na = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
     rg = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
-    pa = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     geo = na.join(rg, na.n_regionkey == rg.r_regionkey).drop("n_regionkey", "r_regionkey")
     cust = cu.join(F.broadcast(geo), cu.c_nationkey == geo.n_nationkey).drop("n_nationkey")
-    return (li.join(od, li.l_orderkey == od.o_orderkey)
-              .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-              .join(pa, li.l_partkey == pa.p_partkey))
+    return od.join(cust, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+
+
+BUCKET_BYTES = 128 << 20  # stored bytes a bucket aims at
+BROADCAST_DAYS = 500_000
+
+
+def buckets_for(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets of both sides, from the size of the larger one: a power of two, at least 8."""
+    n = 8
+    while n * BUCKET_BYTES < _length(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet"):
+        n *= 2
+    return n
+
+
+def _length(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def bucketed(spark: SparkSession, sf_dir: str, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``build`` bucketed and sorted on their order key, made once per input under the shared folder.
+
+    The one shuffle of the rows happens here, at ingestion; a file is a bucket. The files are found again by other
+    sessions, which declare the table over them.
+    """
+    import uuid
+
+    from ..session import shared_dir
+
+    n = buckets_for(spark, sf_dir)
+    mark = _fingerprint(spark, sf_dir)
+    target = shared_dir(spark, f"fact/{name}-by-{key}-{LAYOUT}-{n}-{mark}")
+    declared = f"ledgerline_{name}_{LAYOUT.replace('-', '_')}_{n}_{mark}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    columns = build()
+    if not fs.exists(path(f"{target}/_SUCCESS")):
+        beside, made = f"{target}-tmp-{uuid.uuid4().hex}", f"ledgerline_making_{uuid.uuid4().hex}"
+        columns.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", beside).format("parquet").saveAsTable(made)
+        spark.sql(f"DROP TABLE {made}")  # the files stay: their folder was named
+        if not fs.exists(path(f"{target}/_SUCCESS")):
+            if fs.exists(path(target)):
+                fs.delete(path(target), True)
+            if not fs.rename(path(beside), path(target)):
+                raise OSError(f"could not put the bucketed table in place: {target}")
+        else:  # another builder won the race
+            fs.delete(path(beside), True)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {declared} ({kinds}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{target}'")
+    return spark.table(declared)
 
 
 def with_calendar(df: DataFrame) -> DataFrame:
@@ -145,7 +204,7 @@ def customer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SALES_INPUTS = ["lineitem", "orders", "customer", "nation", "region", "part"]
-LAYOUT = "r2"  # bump when the stored layout changes
+LAYOUT = "r3"  # bump when the stored layout changes
 _STORED_SCHEMAS: dict[str, tuple] = {}  # target path -> (schema, columns): skips re-analysing the build plan
 
 
@@ -165,17 +224,44 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def write_fact(plan: DataFrame, path: str) -> None:
-    (plan.repartitionByRange(M.TENANT, M.DATE).sortWithinPartitions(M.TENANT, M.DATE)
-         .write.mode("overwrite").partitionBy(M.TENANT).parquet(path))
+def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(tenant, day, range) and the number of ranges: contiguous days of about equal numbers of orders, from orders and customers alone."""
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    od = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("__day"))
+    cu = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("__tenant"))
+    days = od.join(cu, od.o_custkey == cu.c_custkey).groupBy("__tenant", "__day").agg(F.count("*").alias("__orders"))
+    order = Window.orderBy("__tenant", "__day")  # a row per tenant and day, however many lines
+    days = days.withColumn("__upto", F.sum("__orders").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    total = days.agg(F.sum("__orders").alias("__all"))
+    return with_total(days, total).select("__tenant", "__day", F.least(F.floor((F.col("__upto") - F.col("__orders")) * n / F.col("__all")), F.lit(n - 1)).cast("int").alias("__range")), n
+
+
+def write_fact(plan: DataFrame, path: str, sf_dir: str | None = None) -> None:
+    """The plan's rows by contiguous ranges of (tenant, DATE), one range a task, sorted, partitioned by tenant.
+
+    With ``sf_dir`` the ranges are taken from the orders' days, so the plan runs once; without, Spark samples the plan
+    for them, which runs it twice. Lines without a date, or of a day that no order has, are dealt by invoice.
+    """
+    spark = plan.sparkSession
+    if sf_dir is None:
+        dealt = plan.repartitionByRange(M.TENANT, M.DATE)
+    else:
+        days, n = _days(spark, sf_dir)
+        days = materialize(days)
+        days = F.broadcast(days) if days.count() <= BROADCAST_DAYS else days
+        day = F.to_date(F.col(M.DATE))
+        dealt = plan.join(days, (F.col(M.TENANT) == F.col("__tenant")) & (day == F.col("__day")), "left")
+        at = F.coalesce(F.col("__range"), F.pmod(F.xxhash64(M.INVOICE_NO), F.lit(n)).cast("int"))
+        dealt = dealt.withColumn("__at", at).repartitionById(n, F.col("__at")).select(*plan.columns)
+    dealt.sortWithinPartitions(M.TENANT, M.DATE).write.mode("overwrite").partitionBy(M.TENANT).parquet(path)
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A table derived from the inputs, built once per input fingerprint and
     written under the shared checkpoint folder.
 
-    The write is range-partitioned on (tenant, DATE): tasks get balanced
-    contiguous ranges — a tenant holding a third of all rows is split by date
+    The write is range-partitioned on (tenant, DATE), by bounds from the orders
+    alone: tasks get balanced contiguous ranges — a tenant holding a third of all rows is split by date
     across many tasks, not written by one — each file holds one date range, and
     the output is partitioned by tenant, so reports get partition pruning on
     tenant and row-group skipping on DATE. It goes to a temporary path first
@@ -198,7 +284,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path
     if not fs.exists(path(f"{target}/_SUCCESS")):
         tmp = f"{target}-tmp-{uuid.uuid4().hex}"
-        write_fact(plan, tmp)
+        write_fact(plan, tmp, sf_dir)
         if fs.exists(path(f"{target}/_SUCCESS")):  # another builder won the race
             fs.delete(path(tmp), True)
         else:
@@ -212,7 +298,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored sales fact (the reference's one wide ``sales_master`` table):
-    ``build_sales`` — the one big join, lineitem x orders, shuffles on the order
-    key; dimensions are broadcast — written once by ``stored`` and scanned by
+    ``build_sales`` — the one big join, lineitem x orders, of two tables bucketed
+    on the order key; dimensions are broadcast — written once by ``stored`` and scanned by
     every report with partition pruning, pushed filters and column pruning."""
     return stored(spark, sf_dir, "sales", build_sales)

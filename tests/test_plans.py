@@ -54,3 +54,38 @@ def test_per_group_top_k_limits_before_shuffle(spark):
         df = entry.queries()[name](spark, SF_SMALL)
         df.write.format("noop").mode("overwrite").save()
         assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2, name
+
+
+def test_fact_is_built_without_shuffling_lines_for_the_join(spark, monkeypatch):
+    """lineitem and orders meet by buckets: with broadcasts off the plan has no exchange below their join."""
+    from ledgerline.sources import tables as T
+    from tests.conftest import SF_SMALL
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    T.build_sales(spark, SF_SMALL)  # makes the bucketed tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = T.build_sales(spark, SF_SMALL)
+        plan = fact._jdf.queryExecution().sparkPlan().toString() + fact._jdf.queryExecution().executedPlan().toString()
+        join = plan[plan.rindex("SortMergeJoin [l_orderkey"):]
+        below = join[: join.index("part.parquet")] if "part.parquet" in join else join
+        lines = [x for x in below.splitlines() if "l_orderkey" in x or "o_orderkey" in x]
+        assert "Bucketed: true" in below and not any("Exchange" in x for x in lines)
+        assert fact.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_fact_files_hold_ranges_of_days(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from ledgerline.sources import tables as T
+    from tests.conftest import SF_SMALL
+
+    plan = T.build_sales(spark, SF_SMALL)
+    odd = plan.limit(5).withColumn("DATE", F.lit(None).cast(plan.schema["DATE"].dataType))  # lines without a date are kept
+    T.write_fact(plan.unionByName(odd), f"{tmpdir_path}/fact", SF_SMALL)
+    back = spark.read.schema(plan.schema).parquet(f"{tmpdir_path}/fact")
+    assert back.count() == plan.count() + 5 and back.where("DATE IS NULL").count() == 5
+    spans = back.where("DATE IS NOT NULL").groupBy("tenant_id", F.input_file_name().alias("f")).agg(F.min("DATE").alias("a"), F.max("DATE").alias("b")).orderBy("tenant_id", "a").collect()
+    assert all(x.tenant_id != y.tenant_id or x.b.date() < y.a.date() for x, y in zip(spans, spans[1:])) and len(spans) >= 8
