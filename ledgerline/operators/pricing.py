@@ -1,16 +1,18 @@
 """Pricing I1–I4: unit prices, demand curves, price statistics, LOWESS trend.
 
 I1–I3 are native aggregations over every (material group, product) at once.
-I4 is the one place Python runs on executors: a grouped ``applyInPandas``
-smoother over one product's binned curve (a few hundred points at most, since
-bins are whole currency units of that product's price range).
+I4 is the one place Python runs on executors: a smoother over blocks of points
+of each product's binned curve (bins are whole currency units of its prices).
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -72,82 +74,134 @@ def price_stats(df: DataFrame, top: int = 50, dp: int = 6) -> DataFrame:
                    F.round(F.stddev_samp("UNIT_PRICE"), dp).alias("price_stddev")))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, frac: float = 2.0 / 3.0, it: int = 3, grid: int = 400) -> np.ndarray:
-    """Locally weighted linear regression (tricube weights over the nearest
-    ``frac`` of points, ``it`` robustifying passes with bisquare weights),
-    evaluated at each ``x``.
+BLOCK_POINTS = 256  # points of a curve fitted in one step; a task's unit of work
+NEAR_POINTS = 64  # neighbouring points that share running sums
+ROBUST_PASSES = 3
+
+
+def lowess_pass(x: np.ndarray, y: np.ndarray, fit: np.ndarray | None, first: int, stop: int, frac: float) -> np.ndarray:
+    """One pass of LOWESS over a curve sorted by ``x``, at its points ``first`` to ``stop`` - 1.
 
-    Up to ``grid`` points the fit is made at every point. Beyond, it is made at
-    ``grid`` points spread evenly over the order of the distinct x (first and last
-    included) and interpolated between them, as smoothers do for long curves: time
-    grows as grid x n and memory as n.
+    Local lines with tricube weights over the nearest ``frac`` of points; with the ``fit`` of the pass before at all
+    points, points far off it get bisquare weights. A perfect fit is kept.
     """
     n = len(x)
-    if n == 0:
-        return np.array([], dtype=float)
     if n < 3:
-        return np.asarray(y, dtype=float).copy()
-    order = np.argsort(x, kind="stable")
-    xs, ys = np.asarray(x, float)[order], np.asarray(y, float)[order]
-    r = min(max(int(np.ceil(frac * n)), 2), n)
-    values = np.unique(xs)
-    at = values if len(values) <= grid else values[np.unique(np.round(np.linspace(0, len(values) - 1, grid)).astype(int))]
-
-    def window(x0: float) -> tuple[slice, float]:
-        """The ``r`` nearest points, a slice of the sorted x found by bisection on its left end."""
-        lo, hi = 0, n - r
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if x0 - xs[mid] > xs[mid + r] - x0:
-                lo = mid + 1
-            else:
-                hi = mid
-        radius = max(x0 - xs[lo], xs[lo + r - 1] - x0)
-        return slice(np.searchsorted(xs, x0 - radius), np.searchsorted(xs, x0 + radius, "right")), radius
-
-    near = [window(x0) for x0 in at]
+        return y[first:stop]
     robust = np.ones(n)
-    fit = ys.copy()
-    for _ in range(it + 1):
-        made = np.empty(len(at))
-        for i, (x0, (own, radius)) in enumerate(zip(at, near)):
-            px, py = xs[own], ys[own]
-            u = np.abs(px - x0) / radius if radius > 0 else np.where(px == x0, 0.0, 2.0)
-            t = np.maximum(1.0 - u * u * u, 0.0)
-            w = t * t * t * robust[own]
-            total = w.sum()
-            if total <= 0:
-                made[i] = py[np.abs(px - x0).argmin()]
-                continue
-            mx, my = w @ px / total, w @ py / total
-            dx = px - mx
-            vx = w @ (dx * dx)
-            slope = w @ (dx * (py - my)) / vx if vx > 1e-12 * max(1.0, mx * mx) else 0.0
-            made[i] = my + slope * (x0 - mx)
-        fit = np.interp(xs, at, made)
-        resid = ys - fit
-        s = np.median(np.abs(resid))
+    if fit is not None:
+        s = np.median(np.abs(y - fit))
         if s <= 0:
-            break
-        q = resid / (6.0 * s)
-        b = 1.0 - q * q
-        robust = np.where(np.abs(q) < 1, b * b, 0.0)
-    out = np.empty(n)
-    out[order] = fit
-    return out
+            return fit[first:stop]
+        q = (y - fit) / (6.0 * s)
+        robust = np.where(np.abs(q) < 1, (1.0 - q * q) ** 2, 0.0)
+    return np.concatenate([_by_moments(x, y, robust, x[a:min(a + NEAR_POINTS, stop)], frac) for a in range(first, stop, NEAR_POINTS)])
 
 
-def smooth(curve: DataFrame, x: str = "PRICE_BIN", y: str = "TOTAL_QTY", frac: float = 2.0 / 3.0) -> DataFrame:
-    """I4: LOWESS trend per product curve via ``groupBy(product).applyInPandas``."""
-    keys = [c for c in curve.columns if c not in (x, y, "TXN_COUNT")]
+def _radii(x: np.ndarray, at: np.ndarray, frac: float) -> np.ndarray:
+    """The distance of the farthest of the nearest ``frac`` of points from each of ``at``: bisection on the left end of the window."""
+    n = len(x)
+    r = min(max(int(np.ceil(frac * n)), 2), n)
+    low, high = np.zeros(len(at), int), np.full(len(at), n - r)
+    while (low < high).any():
+        mid = (low + high) // 2
+        right = at - x[mid] > x[np.minimum(mid + r, n - 1)] - at
+        open_ = low < high
+        low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
+    return np.maximum(at - x[low], x[low + r - 1] - at)
+
+
+def _by_moments(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, frac: float) -> np.ndarray:
+    """Local lines at neighbouring points from moments of the curve.
+
+    The tricube weight is a polynomial of degree 9 in the distance on either side of a point, so every sum of a local
+    line is a combination of running sums of powers, taken about the middle of the points and in units of their
+    radius (where they are well conditioned): work grows as points + window, not as points x window. Points whose
+    radii or places differ too much for that, and those that nearly all weight has left, are fitted one by one.
+    """
+    radius = _radii(x, at, frac)
+    unit, middle = radius.max(), (at[0] + at[-1]) / 2
+    if unit <= 0 or radius.min() < 0.7 * unit or at[-1] - at[0] > 0.4 * unit:
+        return _local_lines(x, y, robust, at, frac)
+    low, high = np.searchsorted(x, (at - radius).min(), "left"), np.searchsorted(x, (at + radius).max(), "right")
+    xs, ys, rs = x[low:high], y[low:high], robust[low:high]
+    z, t, g = (xs - middle) / unit, (at - middle) / unit, radius / unit
+    powers = z ** np.arange(12)[:, None] * rs
+    base = ys.mean()
+    sums = [np.concatenate([np.zeros((12, 1)), np.cumsum(p, axis=1)], axis=1) for p in (powers, powers * (ys - base))]
+    cuts = [np.searchsorted(xs, at - radius, "left"), np.searchsorted(xs, at, "left"), np.searchsorted(xs, at + radius, "right")]
+
+    def moment(s: np.ndarray, j: int) -> np.ndarray:
+        """sum of weight * (z - t) ** j over the window."""
+        out = np.zeros(len(at))
+        for p, share in enumerate((1, -3, 3, -1)):
+            q = 3 * p + j
+            left, right = (sum(math.comb(q, k) * (-t) ** (q - k) * (s[k, b] - s[k, a]) for k in range(q + 1)) for a, b in (cuts[:2], cuts[1:]))
+            out += share / g ** (3 * p) * (right + (-1) ** (3 * p) * left)
+        return out
+
+    s0, s1, s2, t0, t1 = (moment(s, j) for s, j in ((sums[0], 0), (sums[0], 1), (sums[0], 2), (sums[1], 0), (sums[1], 1)))
+    thin = s0 <= 1e-3 * (cuts[2] - cuts[0])
+    some = np.where(thin, 1.0, s0)
+    spread, lean = s2 - s1 * s1 / some, t1 - s1 * t0 / some
+    thin |= spread <= 1e-6 * some
+    made = base + t0 / some - np.where(thin, 0.0, lean / np.where(thin, 1.0, spread)) * s1 / some
+    if thin.any():
+        made[thin] = _local_lines(x, y, robust, at[thin], frac)
+    return made
+
+
+def _local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, frac: float) -> np.ndarray:
+    """Weighted lines at the points ``at``, each from its distances to the whole curve."""
+    away = np.abs(x - at[:, None])
+    radius = _radii(x, at, frac)[:, None]
+    u = np.where(radius > 0, away / np.where(radius > 0, radius, 1.0), np.where(away > 0, 2.0, 0.0))
+    w = np.maximum(1.0 - u * u * u, 0.0) ** 3 * robust
+    total = w.sum(1)
+    some = np.where(total > 0, total, 1.0)
+    mx, my = np.einsum("ij,j->i", w, x) / some, np.einsum("ij,j->i", w, y) / some  # not by BLAS, whose threads would fight over a worker's core
+    dx = x - mx[:, None]
+    vx = (w * dx * dx).sum(1)
+    lean = (w * dx * (y - my[:, None])).sum(1)
+    slope = np.where(vx > 1e-12 * np.maximum(1.0, mx * mx), lean / np.where(vx > 0, vx, 1.0), 0.0)
+    return np.where(total > 0, my + slope * (at - mx), y[away.argmin(1)])
+
+
+def smooth(curve: DataFrame, x: str = "PRICE_BIN", y: str = "TOTAL_QTY", frac: float = 2.0 / 3.0, passes: int = ROBUST_PASSES) -> DataFrame:
+    """I4: LOWESS trend per product curve, fitted at every point.
+
+    Each pass packs a curve (one point per distinct price) in one row, deals its points in blocks of ``BLOCK_POINTS``
+    to tasks, and fits the blocks apart; robustness weights come from the pass before. So one long curve is fitted by
+    as many tasks as it has blocks, and a task holds one curve and a block's distances to it.
+    """
     from pyspark.sql import types as T
 
+    keys = [c for c in curve.columns if c not in (x, y, "TXN_COUNT")]
+    own = [x, y, *[c for c in curve.columns if c not in (*keys, x, y)]]
     # a new StructType: ``schema.add`` would mutate the frame's cached schema
-    schema = T.StructType([*curve.schema.fields, T.StructField("trend", T.DoubleType())])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.copy()
-        pdf["trend"] = lowess(pdf[x].to_numpy(float), pdf[y].to_numpy(float), frac)
-        return pdf
-
-    return curve.groupBy(*keys).applyInPandas(fn, schema=schema)
+    schema = T.StructType([*[curve.schema[c] for c in (*keys, *own)], T.StructField("trend", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                first, stop = row["__block"] * BLOCK_POINTS, min((row["__block"] + 1) * BLOCK_POINTS, len(row[x]))
+                fit = np.asarray(row["trend"], float) if "trend" in row else None
+                out = pd.DataFrame({c: row[c][first:stop] for c in own})
+                out["trend"] = lowess_pass(np.asarray(row[x], float), np.asarray(row[y], float), fit, first, stop, frac)
+                for c in keys:
+                    out[c] = row[c]
+                yield out[[*keys, *own, "trend"]]
+
+    rows = curve.select(*keys, *own)
+    for _ in range(passes + 1):
+        held = rows.columns[len(keys):]
+        packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("__c"))
+        packed = packed.select(*keys, *[F.transform("__c", _field(c)).alias(c) for c in held])
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK_POINTS).cast("int"))
+        dealt = packed.withColumn("__block", F.explode(blocks)).repartition(*keys, "__block")
+        rows = dealt.mapInPandas(run, schema)
+    return rows.select(*curve.columns, "trend")
+
+
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda s: s[name]

@@ -163,17 +163,57 @@ def test_churn_scores_invariants(spark):
     assert rows1 == rows2  # seeded forest: deterministic
 
 
-def test_lowess_trend(spark):
+def plain_lowess(x, y, frac=2 / 3, passes=3):
+    """Point by point: the nearest points by sorting distances, a weighted line by least squares."""
     import numpy as np
 
-    from ledgerline.operators.pricing import lowess
+    n, robust, fit = len(x), np.ones(len(x)), None
+    for _ in range(passes + 1):
+        if fit is not None:
+            s = np.median(np.abs(y - fit))
+            if s <= 0:
+                break
+            q = np.abs(y - fit) / (6 * s)
+            robust = np.where(q < 1, (1 - q**2) ** 2, 0)
+        made = []
+        for x0 in x:
+            far = np.abs(x - x0)
+            radius = np.sort(far)[min(max(int(np.ceil(frac * n)), 2), n) - 1]
+            w = np.clip(1 - (far / radius) ** 3, 0, None) ** 3 * robust
+            root = np.sqrt(w)
+            line = np.linalg.lstsq(np.stack([root, root * (x - x0)], 1), root * y, rcond=None)[0]
+            made.append(line[0])
+        fit = np.array(made)
+    return fit
+
+
+def test_lowess_trend(spark, monkeypatch):
+    """Against a point-by-point fit: curves of one to 3,300 prices, in blocks of different tasks."""
+    import numpy as np
 
-    x = np.arange(20, dtype=float)
-    assert np.allclose(lowess(x, 3 * x + 1), 3 * x + 1)  # a line is reproduced exactly
-    long = np.arange(50_000, dtype=float)  # beyond the grid: interpolated, memory linear in the points
-    assert np.allclose(lowess(long, 2 * long - 7), 2 * long - 7)
-    wave = np.sin(long / 8000)
-    assert np.abs(lowess(long, wave, frac=0.05) - wave).max() < 0.02
+    from ledgerline.operators import pricing
+
+    rng = np.random.default_rng(3)
+    curves, rows = {}, []
+    for name, n in (("one", 1), ("two", 2), ("line", 30), ("short", 45), ("long", 3300)):
+        x = np.sort(rng.choice(np.arange(4 * n, dtype=float), n, replace=False))
+        y = 3 * x + 1 if name == "line" else np.sin(x / n) * 50 + rng.standard_normal(n) * 5 + (rng.random(n) < 0.02) * 400
+        curves[name] = (x, y)
+        rows += [(name, float(a), float(b), i) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "product string, PRICE_BIN double, TOTAL_QTY double, TXN_COUNT int")
+    out = pricing.smooth(df)
+    assert out.columns == [*df.columns, "trend"]
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["product"], []).append((r.PRICE_BIN, r.TOTAL_QTY, r.TXN_COUNT, r.trend))
+    for name, (x, y) in curves.items():
+        found = sorted(got[name])
+        assert [(a, b, i) for a, b, i, _ in found] == list(zip(x, y, range(len(x))))
+        want = y if len(x) < 3 else plain_lowess(x, y)
+        assert np.allclose([t for *_, t in found], want, rtol=1e-6, atol=1e-6)
+
+
+def test_lowess_of_the_table(spark):
     out = QUERIES["i4_lowess_trend"](spark, SF_SMALL)
     assert out.where("trend IS NULL").count() == 0
     assert out.count() == QUERIES["i2_demand_curve"](spark, SF_SMALL).count()
