@@ -47,6 +47,7 @@ from .components import components
 
 MINHASHES, DEPTH, MAX_DEPTH = 128, 3, 6
 BUCKET, MARGIN = 4096, 4.0
+SPLIT_ROWS = 8000  # rows whose coordinates are drawn at a time (a few arrays of MINHASHES numbers a row)
 BLOCK, BLOCK_BYTES = 1024, 16 << 20  # sets, and bytes of their hashes, in a block of exact comparisons
 BROADCAST_ROWS = 1_000_000
 
@@ -120,10 +121,10 @@ def split(sets: DataFrame, threshold: float, levels: int, runs: range = range(0)
                 row = row if not runs else np.tile(row, len(runs))
                 for _ in range(levels):
                     who, where = [], []
-                    for part in range(0, len(row), 50_000):
-                        p = path[part:part + 50_000]
+                    for part in range(0, len(row), SPLIT_ROWS):
+                        p = path[part:part + SPLIT_ROWS]
                         x, i = np.nonzero(mix(p[:, None] ^ coordinate) < chosen)
-                        r = row[part:part + 50_000][x]
+                        r = row[part:part + SPLIT_ROWS][x]
                         who.append(r)
                         where.append(mix(mix(p[x] + coordinate[i]) ^ values[r, i]))
                     row, path = (np.concatenate(who), np.concatenate(where)) if who else (row, path)
