@@ -1351,6 +1351,61 @@ def e8_dashboard_comparison(spark, sf):
     return E.dashboard(cur, "1998-01-01", "1998-01-31", full=full)["comparison"]
 
 
+DASHBOARD_SQL = ("f AS (SELECT * FROM sales WHERE DATE >= TIMESTAMP '1997-04-01' AND DATE < TIMESTAMP '2000-04-01' AND STATE IN ('ASIA', 'EUROPE'))")
+
+
+def _dashboard(spark, sf) -> dict[str, DataFrame]:
+    f = Filters(states=["ASIA", "EUROPE"], start_date="1997-04-01", end_date="2000-03-31")
+    full = D.apply_filters(T.sales(spark, sf), Filters(states=f.states))
+    return E.dashboard(D.apply_filters(T.sales(spark, sf), f), f.start_date, f.end_date, goal_revenue=250000000.0, goal_orders=5000, full=full)
+
+
+@query("e8_dashboard_summary", O.with_sales(f"SELECT {KPI_SQL} FROM f", DASHBOARD_SQL))
+def e8_dashboard_summary(spark, sf):
+    return _dashboard(spark, sf)["summary"]
+
+
+@query("e8_dashboard_goals", O.with_sales("""
+SELECT 'revenue' AS metric, 250000000.0 AS target, ROUND(CAST(SUM(AMOUNT) AS DOUBLE) / 250000000.0 * 100, 1) AS achievement_pct FROM f
+UNION ALL SELECT 'orders', 5000.0, ROUND(COUNT(DISTINCT INVOICE_NO) / 5000.0 * 100, 1) FROM f""", DASHBOARD_SQL))
+def e8_dashboard_goals(spark, sf):
+    return _dashboard(spark, sf)["goals"]
+
+
+@query("e8_dashboard_groups", O.with_sales(
+    "SELECT ITEM_NAME_GROUP, CAST(v AS DOUBLE) AS AMOUNT FROM (" + _rev_by("ITEM_NAME_GROUP").replace("FROM sales", "FROM f")
+    + ") ORDER BY v DESC, ITEM_NAME_GROUP LIMIT 10", DASHBOARD_SQL))
+def e8_dashboard_groups(spark, sf):
+    return _dashboard(spark, sf)["material_groups"]
+
+
+@query("e8_dashboard_customers", O.with_sales(
+    "SELECT CUSTOMER_NAME, CAST(v AS DOUBLE) AS AMOUNT FROM (" + _rev_by("CUSTOMER_NAME").replace("FROM sales", "FROM f")
+    + ") ORDER BY v DESC, CUSTOMER_NAME LIMIT 10", DASHBOARD_SQL))
+def e8_dashboard_customers(spark, sf):
+    return _dashboard(spark, sf)["top_customers"]
+
+
+@query("g23_dynamic_report_kpis", O.with_sales(f"""
+SELECT {KPI_SQL}, CAST(COALESCE(SUM(QTY), 0) AS DOUBLE) AS quantity,
+       COUNT(DISTINCT ITEMNAME) AS items, COUNT(DISTINCT ITEM_NAME_GROUP) AS groups FROM f""", DASHBOARD_SQL))
+def g23_dynamic_report_kpis(spark, sf):
+    df = D.apply_filters(T.sales(spark, sf), Filters(states=["ASIA", "EUROPE"], start_date="1997-04-01", end_date="2000-03-31"))
+    return G.dynamic_report(df, "state", "customer")["kpis"]
+
+
+@query("g23_dynamic_report_trend", O.with_sales("""
+SELECT strftime(m, '%Y-%m') AS DATE, COALESCE(a, 0.0) AS AMOUNT FROM (
+  SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS m
+  FROM (SELECT min(month_start) AS lo, max(month_start) AS hi FROM f WHERE DATE IS NOT NULL)) cal
+LEFT JOIN (SELECT month_start, CAST(SUM(AMOUNT) AS DOUBLE) AS a FROM f WHERE DATE IS NOT NULL GROUP BY month_start) x
+  ON cal.m = x.month_start
+ORDER BY m DESC LIMIT 24""", DASHBOARD_SQL))
+def g23_dynamic_report_trend(spark, sf):
+    df = D.apply_filters(T.sales(spark, sf), Filters(states=["ASIA", "EUROPE"], start_date="1997-04-01", end_date="2000-03-31"))
+    return G.dynamic_report(df, "state", "customer")["trend"]
+
+
 @query("f7_fy_month_pivot", O.with_sales(
     "SELECT FINANCIAL_YEAR, " + ", ".join(
         f"CAST(COALESCE(SUM(CASE WHEN month(DATE) = {m} THEN AMOUNT END), 0) AS DOUBLE) AS \"{m}\"" for m in range(1, 13))

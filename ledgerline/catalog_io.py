@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model as M
 from . import oracle as O
-from .catalog import TS_SQL, _out, query
+from .catalog import KPI_SQL, TS_SQL, _out, query
 from .functions.scalars import inr_compact, inr_signed, json_text
 from .operators import ingest as C
 from .session import shared_dir
@@ -184,9 +184,10 @@ def n3_n4_stream_audit(spark, sf):
     """The audit rows of that stream, and the lines of all uploads, which lie in the archive or still in the watched folder (the clean-up runs beside the stream)."""
     base = _tenant_stream(spark, sf)
     audit = spark.read.parquet(f"{base}/audit")
-    so_far = F.sum("NEW_RECORDS_ADDED").over(Window.orderBy("batch_id"))  # a row per batch
-    audit = audit.withColumn("running", F.col("TOTAL_RECORDS_AFTER_RUN") == so_far)
-    sums = audit.agg(F.sum("NEW_RECORDS_ADDED").alias("added"), F.max("TOTAL_RECORDS_AFTER_RUN").alias("total"), F.sum("REJECTED_RECORDS").alias("rejected"), F.every("running").alias("running"))
+    steps = F.array_sort(F.collect_list(F.struct(F.col("batch_id"), F.col("NEW_RECORDS_ADDED").alias("n"), F.col("TOTAL_RECORDS_AFTER_RUN").alias("t"))))  # a row per batch
+    running = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(True).alias("ok")),
+                          lambda a, r: F.struct((a["sum"] + r["n"]).alias("sum"), (a["ok"] & (r["t"] == a["sum"] + r["n"])).alias("ok")), lambda a: a["ok"])
+    sums = audit.agg(F.sum("NEW_RECORDS_ADDED").alias("added"), F.max("TOTAL_RECORDS_AFTER_RUN").alias("total"), F.sum("REJECTED_RECORDS").alias("rejected"), running.alias("running"))
     left = [f for folder in (f"{base}/src", f"{base}/archive") for f in A.list_files(spark, folder, deep=True)]
     lines = A.read_folder(spark, left).agg(F.count("*").alias("archived_or_waiting"))
     return sums.select("*", lines.scalar().alias("archived_or_waiting"))
@@ -286,6 +287,25 @@ def b8_daily_archive(spark, sf):
     return out.withColumn("run_date", F.date_format("run_date", "yyyy-MM-dd"))
 
 
+@query("b8_daily_summary_kpis", O.with_sales(f"""
+SELECT {KPI_SQL}, CAST(COALESCE(SUM(QTY), 0) AS DOUBLE) AS quantity, COUNT(DISTINCT ITEMNAME) AS items, COUNT(DISTINCT ITEM_NAME_GROUP) AS groups,
+       '2024-04-01' AS run_date FROM sales"""))
+def b8_daily_summary_kpis(spark, sf):
+    base = _folder(spark, "archive")
+    B.archive(B.daily_reports(T.sales(spark, sf)), base, "2024-04-01")
+    return spark.read.parquet(f"{base}/executive_summary_kpis").withColumn("run_date", F.date_format("run_date", "yyyy-MM-dd"))
+
+
+@query("b8_daily_summary_groups", O.with_sales("""
+SELECT ITEM_NAME_GROUP, Revenue, Orders, CASE WHEN Orders > 0 THEN Revenue / Orders ELSE 0.0 END AS AOV, '2024-04-01' AS run_date FROM (
+  SELECT ITEM_NAME_GROUP, CAST(COALESCE(SUM(AMOUNT), 0) AS DOUBLE) AS Revenue, COUNT(DISTINCT INVOICE_NO) AS Orders
+  FROM sales WHERE ITEM_NAME_GROUP IS NOT NULL GROUP BY 1)"""))
+def b8_daily_summary_groups(spark, sf):
+    base = _folder(spark, "archive")
+    B.archive(B.daily_reports(T.sales(spark, sf)), base, "2024-04-01")
+    return spark.read.parquet(f"{base}/executive_summary_groups").withColumn("run_date", F.date_format("run_date", "yyyy-MM-dd"))
+
+
 @query("m5_json_text", O.with_sales("""
 SELECT to_json({'CUSTOMER_NAME': CUSTOMER_NAME, 'Orders': Orders, 'LastOrder': LastOrder, 'Note': NULL}) AS record FROM (
   SELECT CUSTOMER_NAME, COUNT(DISTINCT INVOICE_NO) AS Orders, strftime(max(DATE), '%Y-%m-%dT%H:%M:%S') AS LastOrder FROM sales GROUP BY 1)"""))
