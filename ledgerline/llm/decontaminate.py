@@ -13,7 +13,7 @@ Fingerprints of documents and items are joined; each hit is then extended: the
 windows around it are compared word by word with the windows of the items, so a
 hash collision never counts. Hits are stored once; the texts read again are
 those of documents with a hit. The benchmark side and the hit list are
-broadcast only up to ``BROADCAST_ROWS`` counted rows, else the joins shuffle.
+broadcast only up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes, counted; else joins shuffle.
 
 Rows: null text has no words, an item without words no window; repeated
 document rows each get their result (rows are told apart by position, ids may
@@ -32,7 +32,7 @@ from .common import keyed_rows, stored, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -76,9 +76,10 @@ def winnowed(grams: Column, run: int) -> Column:
     return F.array_distinct(_each(0, F.size(grams) - run, lambda i: F.least(*[F.get(grams, i + j) for j in range(run)])))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` (stored) with a broadcast hint if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, held: Column) -> DataFrame:
+    """``df`` (stored) with a broadcast hint if its rows and the bytes ``held`` in each are counted to be few."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 # explode_outer: for explode Spark adds a filter on the array and pushes it below the projections that build the
@@ -113,10 +114,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     keyed = keyed_rows(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")))
     found = _with_grams(keyed.select("__row", words_of(F.col("text")).alias("words")), sizes)
     found = found.select("__row", F.array_distinct(F.concat(*[winnowed(F.col(f"__g{k}"), run) for _, k, run in sizes])).alias("p"))
-    hits = found.select("__row", F.explode_outer("p").alias("print")).join(bounded(prints), "print", "left_semi")
+    hits = found.select("__row", F.explode_outer("p").alias("print")).join(bounded(prints, F.lit(8)), "print", "left_semi")
     hits = stored(hits.groupBy("__row").agg(F.collect_set("print").alias("prints")), "hits")
 
-    near = keyed.join(bounded(hits), "__row").select("__row", "prints", folded_words(F.col("text")).alias("words"))
+    near = keyed.join(bounded(hits, 8 + 8 * F.size("prints")), "__row").select("__row", "prints", folded_words(F.col("text")).alias("words"))
     near = _with_grams(near, sizes)
 
     def around(n: int, k: int) -> Column:
@@ -126,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), span(s, n).alias("window")))
 
     spans = near.select("__row", F.explode_outer(F.concat(*[around(n, k) for n, k, _ in sizes])).alias("w")).select("__row", "w.*")
-    spans = spans.join(bounded(wins), "window")
+    spans = spans.join(bounded(wins, F.octet_length("window")), "window")
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("s", "n"))), F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
         lambda a, w: F.struct(F.greatest(a["end"], w["s"] + w["n"]).alias("end"),

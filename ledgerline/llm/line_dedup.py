@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed_rows, stored, text_of
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_LINES = 200_000, 2_000_000  # rows, and numbers of lines in all of them
 
 
 def _firsts(rows: DataFrame, *key: str) -> DataFrame:
@@ -120,7 +120,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: (row, id, text, n_lines, gone), ``text`` without the deleted lines, ``gone`` their numbers."""
     gone = stored(copied_lines(docs, id_col, text_col, min_lines, min_chars), "gone")
     keyed = keyed_rows(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), "row")
-    out = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "row", "left")
+    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    few = rows <= BROADCAST_ROWS and numbers <= BROADCAST_LINES
+    out = keyed.join(F.broadcast(gone) if few else gone, "row", "left")
     out = out.select("row", "id", "gone", "text", F.split("text", "\n").alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
