@@ -1338,26 +1338,21 @@ LEFT JOIN (SELECT month_start, CAST(SUM(AMOUNT) AS DOUBLE) AS a FROM f WHERE DAT
 ORDER BY m DESC LIMIT 36""", "f AS (SELECT * FROM sales WHERE DATE >= TIMESTAMP '1997-04-01' AND DATE < TIMESTAMP '2000-04-01' "
                            "AND STATE IN ('ASIA', 'EUROPE'))"))
 def e8_dashboard_trend(spark, sf):
-    f = Filters(states=["ASIA", "EUROPE"], start_date="1997-04-01", end_date="2000-03-31")
-    full = D.apply_filters(T.sales(spark, sf), Filters(states=f.states))
-    return E.dashboard(D.apply_filters(T.sales(spark, sf), f), f.start_date, f.end_date, full=full)["trend"]
+    return E.dashboard(D.apply_filters(T.sales(spark, sf), Filters(states=["ASIA", "EUROPE"])), "1997-04-01", "2000-03-31")["trend"]
 
 
 @query("e8_dashboard_comparison", _compare_sql("1997-11-30", "1998-01-01", "1998-02-01").replace(
     "FROM sales\n          WHERE DATE", "FROM sales\n          WHERE STATE IN ('ASIA', 'EUROPE') AND DATE"))
 def e8_dashboard_comparison(spark, sf):
-    full = D.apply_filters(T.sales(spark, sf), Filters(states=["ASIA", "EUROPE"]))
-    cur = D.date_range(full, "1998-01-01", "1998-01-31")
-    return E.dashboard(cur, "1998-01-01", "1998-01-31", full=full)["comparison"]
+    return E.dashboard(D.apply_filters(T.sales(spark, sf), Filters(states=["ASIA", "EUROPE"])), "1998-01-01", "1998-01-31")["comparison"]
 
 
 DASHBOARD_SQL = ("f AS (SELECT * FROM sales WHERE DATE >= TIMESTAMP '1997-04-01' AND DATE < TIMESTAMP '2000-04-01' AND STATE IN ('ASIA', 'EUROPE'))")
 
 
 def _dashboard(spark, sf) -> dict[str, DataFrame]:
-    f = Filters(states=["ASIA", "EUROPE"], start_date="1997-04-01", end_date="2000-03-31")
-    full = D.apply_filters(T.sales(spark, sf), Filters(states=f.states))
-    return E.dashboard(D.apply_filters(T.sales(spark, sf), f), f.start_date, f.end_date, goal_revenue=250000000.0, goal_orders=5000, full=full)
+    df = D.apply_filters(T.sales(spark, sf), Filters(states=["ASIA", "EUROPE"]))
+    return E.dashboard(df, "1997-04-01", "2000-03-31", goal_revenue=250000000.0, goal_orders=5000)
 
 
 @query("e8_dashboard_summary", O.with_sales(f"SELECT {KPI_SQL} FROM f", DASHBOARD_SQL))

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..plans.common import revenue, with_total
-from .filters import date_only, end_exclusive
+from ..plans.common import materialize, revenue, top_k, with_total
+from .filters import date_only, date_range, end_exclusive
 
 
 def _aov(rev, orders):
@@ -106,6 +106,11 @@ def compare_previous(df: DataFrame, start: str, end: str, aligned: bool = False)
         F.count_distinct(F.when(prv, F.col(M.CUSTOMER))).alias("pc"),
         F.coalesce(F.sum(F.when(prv, F.col("__lines"))), F.lit(0)).alias("prows"),
     )
+    return _comparison(a)
+
+
+def _comparison(a: DataFrame) -> DataFrame:
+    """Rows of E3 from one row of sums: revenue, orders, customers of the current (``c.``) and previous (``p.``) window."""
     a = a.withColumn("ca", _aov(F.col("cr"), F.col("co"))).withColumn("pa", _aov(F.col("pr"), F.col("po")))
     rows = a.select(F.col("prows"), F.explode(F.array(*[
         F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("current"),
@@ -189,24 +194,70 @@ def monthly_vs_target(df: DataFrame, targets: DataFrame) -> DataFrame:
                     M.MONTH, M.AMOUNT, "TARGET_AMOUNT")
 
 
+def _dashboard_sums(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """One row per month, group and customer, and one for all invoices, with sums and counts of the current and the
+    previous window: one scan and one shuffle (``GROUPING SETS``), written.
+
+    ``set`` tells what a row stands for. Lines are reduced per set before the shuffle; invoices are folded into one row
+    right after it, so that what is written has a row per month, group and customer.
+    """
+    d = F.col(M.DATE)
+    if start and end:
+        prev_start, s, e, incl = previous_window(start, end)
+        df = df.where((d >= F.lit(prev_start)) & ((d <= F.lit(e)) if incl else (d < F.lit(e))))
+        cur = d >= F.lit(s)
+    else:
+        df, cur = date_range(df, start, end), F.lit(True)
+    month = F.col(M.MONTH_START) if M.MONTH_START in df.columns else F.trunc(F.to_date(d), "month")
+    keys = {"month": F.when(d.isNotNull(), month), "group": F.col(M.dashboard_group_col(df)),
+            "customer": F.col(M.CUSTOMER), "invoice": F.col(M.INVOICE_NO)}
+    lines = df.select(*[c.alias(k) for k, c in keys.items()], cur.alias("cur"), F.col(M.AMOUNT).alias("a"))
+    now, before = F.col("cur"), ~F.col("cur")
+    sets = lines.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(
+        F.sum(F.when(now, F.col("a"))).alias("cr"), F.count(F.when(now, 1)).alias("cn"),
+        F.sum(F.when(before, F.col("a"))).alias("pr"), F.count(F.when(before, 1)).alias("pn"), F.grouping_id().alias("gid"))
+    alone = {(1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)): k for i, k in enumerate(keys)}
+    name = F.coalesce(*[F.when(F.col("gid") == gid, F.lit(k)) for gid, k in alone.items()])
+    known = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
+    return materialize(sets.select(name.alias("set"), "*", known.alias("known")).groupBy("set", "month", "group", "customer").agg(
+        *[F.sum(c).alias(c) for c in ("cr", "cn", "pr", "pn")],
+        F.count_if(F.col("known") & (F.col("cn") > 0)).alias("cd"), F.count_if(F.col("known") & (F.col("pn") > 0)).alias("pd")))
+
+
 def dashboard(df: DataFrame, start: str | None = None, end: str | None = None, trend_limit: int = 36,
               material_limit: int = 10, top_customers_limit: int = 10, goal_revenue: float | None = None,
-              goal_orders: int | None = None, full: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The dashboard's result frames over one filtered fact.
+              goal_orders: int | None = None) -> dict[str, DataFrame]:
+    """The dashboard's result frames, all from one pass over the fact.
 
-    ``df`` is the filtered fact (cached by the caller when several results
-    are collected); ``full`` is the unfiltered-by-date fact used for the
-    previous-period comparison (defaults to ``df``).
+    ``df`` is the fact under all filters but dates; ``start`` and ``end`` are read as A6 reads them, and with both the
+    comparison takes the previous window from the same pass. The pass runs when this is called (``_dashboard_sums``);
+    the frames read its rows, one per month, group and customer.
     """
-    from .ranking import top_n
-    from .timeseries import trend
-
-    out = {"summary": kpi_summary(df)}
+    from .timeseries import trend_of
+
+    sums = _dashboard_sums(df, start, end)
+    part = F.col("set")
+    over_all = part == "month"  # every line has one row of this set, also without a date
+    a = sums.agg(
+        *[F.coalesce(F.sum(F.when(over_all, F.col(c))), F.lit(0)).cast("double").alias(c) for c in ("cr", "pr")],
+        F.coalesce(F.sum(F.when(over_all, F.col("pn"))), F.lit(0)).alias("prows"),
+        *[F.coalesce(F.sum(F.when(part == k, F.col(c))), F.lit(0)).alias(to)
+          for k, c, to in (("invoice", "cd", "co"), ("customer", "cd", "cc"), ("invoice", "pd", "po"), ("customer", "pd", "pc"))])
+
+    def listed(k: str, to: str) -> DataFrame:
+        return (sums.where((part == k) & F.col(k).isNotNull() & (F.col("cn") > 0))
+                    .select(F.col(k).alias(to), F.coalesce(F.col("cr"), F.lit(0)).cast("double").alias(M.AMOUNT)))
+
+    def top(k: str, to: str, n: int) -> DataFrame:
+        return top_k(listed(k, to), n, F.col(M.AMOUNT).desc(), F.col(to).asc())
+
+    out = {"summary": a.select(F.col("cr").alias("revenue"), F.col("co").alias("orders"), F.col("cc").alias("customers"),
+                               _aov(F.col("cr"), F.col("co")).alias("average_order_value"))}
     if start and end:
-        out["comparison"] = compare_previous(full if full is not None else df, start, end)
+        out["comparison"] = _comparison(a)
     if goal_revenue or goal_orders:
         out["goals"] = goals(out["summary"], goal_revenue, goal_orders)
-    out["trend"] = trend(df, trend_limit)
-    out["material_groups"] = top_n(df, M.dashboard_group_col(df), material_limit)
-    out["top_customers"] = top_n(df, M.CUSTOMER, top_customers_limit)
+    out["trend"] = trend_of(listed("month", M.MONTH_START), trend_limit)
+    out["material_groups"] = top("group", M.dashboard_group_col(df), material_limit)
+    out["top_customers"] = top("customer", M.CUSTOMER, top_customers_limit)
     return out

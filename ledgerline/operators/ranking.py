@@ -201,16 +201,32 @@ def consolidation_zone(df: DataFrame, grp: str = M.ITEM_GROUP, n: int = 10) -> D
     return top_k(t.select(grp, "Revenue", "Orders", "AOV"), n, *_desc("Orders", grp))
 
 
-def core_tail(df: DataFrame, entity: str = M.CUSTOMER, item: str | None = None) -> DataFrame:
+def _running_by_entity(g: DataFrame, entity: str, item: str) -> DataFrame:
+    """Running sum and total of ``__s`` per entity by a window per entity."""
+    whole = Window.partitionBy(entity)
+    running = whole.orderBy(F.col("__s").desc(), F.col(item).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    return g.withColumn("__cum", F.sum("__s").over(running)).withColumn("__et", F.sum("__s").over(whole))
+
+
+SPLIT_ITEMS = 100_000  # items of one entity above which its running sum is dealt to several tasks
+
+
+def core_tail(df: DataFrame, entity: str = M.CUSTOMER, item: str | None = None, split: int = SPLIT_ITEMS) -> DataFrame:
     """Per entity (dealer), items split at cumulative share 90 into core
     and tail; micro-tail = items with 0 < share < 2 %; opportunity = 12 % of
-    micro spend. All entities at once: an entity's items are bounded by the
-    catalogue, so one window per entity gives its running sum and total."""
+    micro spend. All entities at once: one window per entity gives its running
+    sum and total. Entities of more than ``split`` items, if the counted items
+    show any, take the running sum by ranges instead (``running_sum``), so no
+    task holds more than one range of them; the result is the same."""
     item = item or M.item_col(df)
     g = keyed(df, entity, item).groupBy(entity, item).agg(F.coalesce(F.sum(M.AMOUNT), F.lit(0)).alias("__s"))
-    whole = Window.partitionBy(entity)
-    running = whole.orderBy(F.col("__s").desc(), F.col(item).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    r = g.withColumn("__cum", F.sum("__s").over(running)).withColumn("__et", F.sum("__s").over(whole))
+    g = materialize(g)  # one row per entity and item: counted, then summed
+    large = g.groupBy(entity).agg(F.sum("__s").alias("__et"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > split).drop("__n")
+    r = _running_by_entity(g, entity, item)
+    if not large.isEmpty():
+        large = materialize(large)  # at most pairs / split rows
+        rest = _running_by_entity(g.join(large, entity, "left_anti"), entity, item)
+        r = rest.unionByName(running_sum(g.join(large, entity), "__s", item, "__s", "__cum", partition_cols=(entity,)).select(*rest.columns))
     share = _ratio(F.col("__s"), F.col("__et")) * 100
     cum = _ratio(F.col("__cum"), F.col("__et")) * 100
     core, micro = cum <= 90, (share < 2.0) & (share > 0)

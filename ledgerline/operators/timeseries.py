@@ -34,7 +34,11 @@ def trend(df: DataFrame, limit: int | None = 36, fill_gaps: bool = True) -> Data
     """monthly revenue with empty months between the first and last month
     emitted as 0; NULL dates dropped; label ``YYYY-MM``; the last ``limit`` months."""
     m = _month(df).where(F.col(M.DATE).isNotNull())
-    monthly = m.groupBy(M.MONTH_START).agg(revenue().alias(M.AMOUNT))
+    return trend_of(m.groupBy(M.MONTH_START).agg(revenue().alias(M.AMOUNT)), limit, fill_gaps)
+
+
+def trend_of(monthly: DataFrame, limit: int | None = 36, fill_gaps: bool = True) -> DataFrame:
+    """F1 from monthly sums (``month_start``, AMOUNT)."""
     if fill_gaps:
         bounds = monthly.agg(F.min(M.MONTH_START).alias("lo"), F.max(M.MONTH_START).alias("hi"))
         cal = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias(M.MONTH_START))

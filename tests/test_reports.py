@@ -11,8 +11,9 @@ from ledgerline.operators import kpi as E
 from ledgerline.operators import quality as K
 from ledgerline.operators import ranking as G
 from ledgerline.operators import timeseries as TS
-from ledgerline.operators.filters import fy_spellings, month_label_start, preset
+from ledgerline.operators.filters import date_range, fy_spellings, month_label_start, preset
 from ledgerline.operators.ingest import add_calendar
+from ledgerline.plans.common import running_sum
 from tests.conftest import rows
 
 SCHEMA = "DATE timestamp_ntz, INVOICE_NO string, CUSTOMER_NAME string, ITEMNAME string, ITEM_NAME_GROUP string, " \
@@ -212,3 +213,67 @@ def test_entity_linking_edges(spark):
                    ("q4", "PRODUCT", "GEAR"), ("q4", "STATE", "KERALA"), ("q4", "YEAR", "2031")]
     intents = {r.q_id: (r.metric, r.shape, r.k) for r in Q.parse_intent(qs).collect()}
     assert intents["q2"] == ("AMOUNT", "top", 3) and intents["q3"] == ("AMOUNT", "total", None)
+
+
+DASHBOARD_RECS = [
+    (d(2024, 1, 3), "1", "A", "i", "g", "S", "C", 1.0, 80), (d(2024, 1, 3), "1", "B", "j", None, "S", "C", 1.0, "0.1"),
+    (d(2024, 1, 31, 23), "2", "A", "i", "h", "S", "C", 1.0, None), (d(2024, 1, 9), None, None, "i", "g", "S", "C", 1.0, 7),
+    (d(2023, 12, 10), "2", "C", "i", "g", "S", "C", 1.0, 100), (d(2023, 12, 1), "3", "C", "i", "g", "S", "C", 1.0, -3),
+    (None, "4", "A", "i", "g", "S", "C", 1.0, 50), (d(2023, 10, 1), "5", "D", "i", "k", "S", "C", 1.0, 9)]
+
+
+def _frames_one_by_one(df, start, end):
+    cur = date_range(df, start, end)
+    out = {"summary": E.kpi_summary(cur), "goals": E.goals(E.kpi_summary(cur), 100.0, 4), "trend": TS.trend(cur),
+           "material_groups": G.top_n(cur, "ITEM_NAME_GROUP"), "top_customers": G.top_n(cur, "CUSTOMER_NAME")}
+    if start and end:
+        out["comparison"] = E.compare_previous(df, start, end)
+    return out
+
+
+def test_dashboard_frames_equal_their_own_reports(spark):
+    """NULL dates, invoices, customers, groups and amounts; date-only and exact ends; no bound; windows without rows."""
+    df = fact(spark, DASHBOARD_RECS)
+    for start, end in (("2024-01-01", "2024-01-31"), ("2024-01-01", "2024-01-31T23:00:00"), (None, None), ("2023-12-01", None),
+                       (None, "2024-01-09"), ("2030-01-01", "2030-01-31"), ("2023-10-01", "2023-10-02")):
+        got = E.dashboard(df, start, end, goal_revenue=100.0, goal_orders=4)
+        want = _frames_one_by_one(df, start, end)
+        assert got.keys() == want.keys()
+        for name, frame in want.items():
+            assert got[name].columns == frame.columns and rows(got[name]) == rows(frame), (name, start, end)
+
+
+def test_dashboard_reads_the_fact_once(spark):
+    """No frame reads the fact: the pass that feeds them has run when they are returned."""
+    from ledgerline.sources import tables as T
+    from tests.conftest import SF_SMALL
+
+    df = T.sales(spark, SF_SMALL)
+    got = E.dashboard(df, "1997-04-01", "1998-03-31", goal_revenue=1e6, goal_orders=10)
+    want = _frames_one_by_one(df, "1997-04-01", "1998-03-31")
+    for name, frame in got.items():
+        assert "FileScan" not in frame._jdf.queryExecution().executedPlan().toString(), name
+        if name != "goals":
+            assert rows(frame) == rows(want[name]), name
+
+
+def test_core_tail_splits_large_entities(spark, monkeypatch):
+    """A customer with a third of all pairs, many of one value, is dealt to several ranges with the same result."""
+    recs = [(d(2024, 1, 1), "1", "hot", f"i{i:03d}", "g", "S", "C", 1.0, 10 if i % 3 else i) for i in range(120)]
+    recs += [(d(2024, 1, 1), "2", f"c{i % 24}", f"i{i:03d}", "g", "S", "C", 1.0, i) for i in range(240)]
+    recs += [(d(2024, 1, 1), "3", "zero", "a", "g", "S", "C", 1.0, 5), (d(2024, 1, 1), "3", "zero", "b", "g", "S", "C", 1.0, -5)]
+    df = fact(spark, recs)
+    want = sorted(map(str, rows(G.core_tail(df))))
+    dealt = []
+
+    def spied(g, *args, **kw):
+        out = running_sum(g, *args, ranges=4, **kw)
+        parts = g.repartitionByRange(4, F.col("CUSTOMER_NAME"), F.col("__s").desc(), F.col("ITEMNAME"))
+        dealt.append((sorted({r[0] for r in g.select("CUSTOMER_NAME").collect()}), parts.select(F.spark_partition_id()).distinct().count()))
+        return out
+
+    monkeypatch.setattr(G, "running_sum", spied)
+    assert sorted(map(str, rows(G.core_tail(df, split=100)))) == want
+    assert dealt == [(["hot"], 4)]
+    assert sorted(map(str, rows(G.core_tail(df, split=1)))) == want  # every entity by ranges
+    assert G.core_tail(df.where(F.lit(False))).count() == 0
