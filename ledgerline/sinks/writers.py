@@ -10,8 +10,9 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,42 @@ def append_new(new: DataFrame, existing: DataFrame | None, key: str = M.INVOICE_
     return new.join(hits, null_safe(new, hits), "left_anti")
 
 
+FEW_KEYS = 10_000  # (tenant, key) pairs of a batch that are pushed to the scan as lists
+
+
+def may_hold_keys(existing: DataFrame, new: DataFrame, key: str = M.INVOICE_NO, tenant_col: str = M.TENANT) -> DataFrame:
+    """The stored rows whose row group can hold a key of the batch, by literal filters that reach the Parquet reader.
+
+    A batch of at most ``FEW_KEYS`` pairs gives lists of its tenants (partitions) and keys (statistics, dictionaries and
+    Bloom filters of row groups); a larger one gives the range of its keys (statistics). Rows that are left out have no
+    key of the batch; of those left in, ``append_new`` tells which do. Reads the keys of ``new`` once, or twice if many.
+    """
+    if any(c not in df.columns for df in (existing, new) for c in (key, tenant_col)) or existing.schema[key].dataType != new.schema[key].dataType:
+        return existing
+
+    def or_null(rows: Column | None, empty: bool) -> DataFrame:
+        # NULL keys by a scan of their own: in one condition they would keep Bloom filters from ruling anything out
+        parts = [existing.where(c) for c, wanted in ((rows, rows is not None), (F.col(key).isNull(), empty)) if wanted]
+        return reduce(DataFrame.unionByName, parts) if parts else existing.where(F.lit(False))
+
+    pairs = new.select(tenant_col, key).distinct().limit(FEW_KEYS + 1).collect()  # one more tells that there are more
+    if len(pairs) <= FEW_KEYS:
+        tenants, values = ({r[i] for r in pairs} for i in (0, 1))
+        own = F.col(tenant_col).isin(sorted(tenants - {None}))
+        existing = existing.where(own | F.col(tenant_col).isNull() if None in tenants else own)
+        return or_null(F.col(key).isin(sorted(values - {None})) if values - {None} else None, None in values)
+    low, high, empty = new.agg(F.min(key), F.max(key), F.count_if(F.col(key).isNull())).first()
+    return or_null(F.col(key).between(F.lit(low), F.lit(high)) if low is not None else None, empty > 0)
+
+
+def _writer(df: DataFrame, key: str = M.INVOICE_NO):
+    """A writer that gives each row group a Bloom filter of its invoices, as large as they need."""
+    w = df.write
+    if key in df.columns:
+        w = w.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{key}", "true")
+    return w
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether anything lies at ``path``; a failure to look is an error, not an absent table."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -138,11 +175,13 @@ def load(new: DataFrame, path: str, key: str = M.INVOICE_NO, partition_by: str =
     if partition_by not in new.columns:
         raise ValueError(f"rows to load need the column {partition_by!r}")
     existing = read_table(spark, path, (partition_by,)) if table_exists(spark, path) else None
+    if existing is not None:
+        existing = may_hold_keys(existing, new, key, partition_by)
     rows = append_new(new, existing, key, partition_by)
     obs = Observation("appended")
     rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
     keep_schema(spark, path, rows.schema)
-    rows.write.mode("append").partitionBy(partition_by).parquet(path)
+    _writer(rows, key).mode("append").partitionBy(partition_by).parquet(path)
     return int(obs.get.get("n", 0))
 
 
@@ -155,7 +194,7 @@ def replace_all(df: DataFrame, path: str, partition_by: str = M.TENANT) -> None:
     spark = df.sparkSession
     place, mark = path.rstrip("/"), uuid.uuid4().hex
     fresh, old = f"{place}-new-{mark}", f"{place}-old-{mark}"
-    w = df.write
+    w = _writer(df)
     target, fs = _path(spark, place)
     try:
         (w.partitionBy(partition_by) if partition_by in df.columns else w).parquet(fresh)

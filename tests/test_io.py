@@ -260,3 +260,49 @@ def test_replace_leaves_the_old_table_when_the_write_fails(spark, tmpdir_path):
     assert B.read_table(spark, path).count() == 2
     B.replace_all(B.read_table(spark, path).where("tenant_id = 'b'"), path)  # from the table itself
     assert rows(B.read_table(spark, path), "INVOICE_NO") == [("2",)] and len(os.listdir(tmpdir_path)) == 1
+
+
+def _scanned_rows(df):
+    """Rows that the one Parquet scan of a plan without shuffles has read."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while "Scan parquet" not in node.nodeName():
+        node = node.children().apply(0)
+    return node.metrics().apply("numOutputRows").value()
+
+
+def test_batches_skip_row_groups_of_the_history(spark, tmpdir_path):
+    """Few invoices: row groups whose Bloom filter has none of them are not read; many: those outside their range."""
+    from ledgerline.sinks import writers as W
+
+    path = f"{tmpdir_path}/history"
+    # keys in no order: least and greatest of every file are alike, and too many for a dictionary
+    stored = spark.range(240000).select(F.sha1(F.col("id").cast("string")).alias("INVOICE_NO"), F.lit("t").alias("tenant_id"), "id")
+    assert W.load(stored.repartition(4, "id"), path) == 240000
+    table = W.read_table(spark, path)
+    known = table.where("id = 7").select("INVOICE_NO", "tenant_id", "id")
+    batch = known.unionByName(spark.createDataFrame([("new", "t", -1), ("new", "u", -3)], known.schema))
+    near = W.may_hold_keys(table, batch)
+    assert 0 < _scanned_rows(near.select("INVOICE_NO")) < 240000 / 2
+    assert near.where("id = 7").count() == 1
+    batch = batch.unionByName(spark.createDataFrame([(None, "t", -2)], known.schema))
+    plan = W.may_hold_keys(table, batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[IsNull(INVOICE_NO)]") == 1 and plan.count("[In(INVOICE_NO") == 1  # two scans
+    assert W.load(batch, path) == 3 and W.load(batch, path) == 0  # NULL numbers too
+
+
+def test_pushed_keys_change_no_result(spark, tmpdir_path, monkeypatch):
+    """Lists, ranges and no pushed filter keep the same rows of a batch, NULL numbers and all-NULL batches included."""
+    from ledgerline.sinks import writers as W
+
+    schema = "INVOICE_NO string, tenant_id string, QTY double"
+    old = spark.createDataFrame([("1", "t", 1.0), ("2", "t", 1.0), (None, "u", 1.0), ("9", "u", 2.0)], schema)
+    batches = [[("1", "t", 3.0), ("1", "u", 3.0), ("5", "t", 3.0)], [(None, "u", 4.0), (None, "t", 4.0)], [], [("2", "t", 5.0), (None, "u", 5.0)]]
+    for few in (10_000, 0):
+        monkeypatch.setattr(W, "FEW_KEYS", few)
+        for i, recs in enumerate(batches):
+            new = spark.createDataFrame(recs, schema)
+            path = f"{tmpdir_path}/{few}-{i}"
+            W.load(old, path)
+            want = W.append_new(new, old).count()
+            assert W.load(new, path) == want and W.read_table(spark, path).count() == 4 + want
