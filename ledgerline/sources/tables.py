@@ -9,16 +9,17 @@
 
 Scale notes: lineitem ⋈ orders is the one big-big join. Both tables are kept
 once per input as tables bucketed on the order key (``bucketed``), orders with
-their customer's columns, so every join of them, for this fact and the dirty
-one, is co-located and shuffles nothing. customer and part are joined by key and
-left to AQE, which turns them into broadcast joins only when their measured size
-is under the threshold; nation and region are fixed 25/5-row tables and are
+their customer's columns and lines with their part's, so every join of them, for this fact and the dirty
+one, is co-located and shuffles nothing. customer and part are joined by key, before
+rows get wide: broadcast only if under the threshold; nation and region are fixed 25/5-row tables and are
 broadcast explicitly. Every scan selects only the columns it needs, so Parquet
-reads are pruned.
+reads are pruned. Buckets and ranges are numbered by the size of the lines, so
+what a task reads and sorts stays the same as the tables grow.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,11 +42,30 @@ def amount_expr(price: str = "l_extendedprice", discount: str = "l_discount"):
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = bucketed(spark, sf_dir, "lineitem", "l_orderkey", lambda: table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber"))
-    od = bucketed(spark, sf_dir, "orders", "o_orderkey", lambda: _orders(spark, sf_dir))
+    li = bucketed(spark, sf_dir, "lineitem", "l_orderkey", lambda: _lines(spark, sf_dir))
+    od = _bucketed_orders(spark, sf_dir)
+    return li.join(od, li.l_orderkey == od.o_orderkey)
+
+
+def _bucketed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bucketed(spark, sf_dir, "orders", "o_orderkey", lambda: _orders(spark, sf_dir))
+
+
+def _joined(spark: SparkSession, sf_dir: str, many: DataFrame, key: str, dim: str, columns: DataFrame, dim_key: str) -> DataFrame:
+    """``many`` with the columns of a dimension: broadcast if its files are under the threshold, else both dealt by the
+    key to as many tasks as the input asks for (the session's number of partitions knows nothing of its size)."""
+    if _length(spark, f"{sf_dir.rstrip('/')}/{dim}.parquet") > _broadcast_bytes(spark):
+        n = max(buckets_for(spark, sf_dir), _partitions(spark))
+        many, columns = many.repartition(n, key), columns.repartition(n, dim_key)
+    return many.join(columns, F.col(key) == F.col(dim_key))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their part: joined here, before the rows get wide, once for both facts."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return li.join(od, li.l_orderkey == od.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
+    return _joined(spark, sf_dir, li, "l_partkey", "part", pa, "p_partkey").drop("l_partkey")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,13 +76,24 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rg = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
     geo = na.join(rg, na.n_regionkey == rg.r_regionkey).drop("n_regionkey", "r_regionkey")
     cust = cu.join(F.broadcast(geo), cu.c_nationkey == geo.n_nationkey).drop("n_nationkey")
-    return od.join(cust, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    return _joined(spark, sf_dir, od, "o_custkey", "customer", cust, "c_custkey").drop("o_custkey", "c_custkey")
 
 
-BUCKET_BYTES = 128 << 20  # stored bytes a bucket aims at
+BUCKET_BYTES = 32 << 20  # stored bytes of lines a bucket aims at
+RANGE_BYTES = 12 << 20  # stored bytes of lines a range of the fact aims at: its rows are some 16 times as large while sorted
 BROADCAST_DAYS = 500_000
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
+def _broadcast_bytes(spark: SparkSession) -> int:
+    """The session's threshold of a broadcast join, in bytes; below 0: never."""
+    said = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m").strip().lower())
+    return int(said[1]) << 10 * " kmgt".index(said[2] or " ")
+
+
 def buckets_for(spark: SparkSession, sf_dir: str) -> int:
     """Buckets of both sides, from the size of the larger one: a power of two, at least 8."""
     n = 8
@@ -204,7 +235,7 @@ def customer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SALES_INPUTS = ["lineitem", "orders", "customer", "nation", "region", "part"]
-LAYOUT = "r3"  # bump when the stored layout changes
+LAYOUT = "r4"  # bump when the stored layout changes
 _STORED_SCHEMAS: dict[str, tuple] = {}  # target path -> (schema, columns): skips re-analysing the build plan
 
 
@@ -225,11 +256,10 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """(tenant, day, range) and the number of ranges: contiguous days of about equal numbers of orders, from orders and customers alone."""
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    od = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("__day"))
-    cu = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("__tenant"))
-    days = od.join(cu, od.o_custkey == cu.c_custkey).groupBy("__tenant", "__day").agg(F.count("*").alias("__orders"))
+    """(tenant, day, range) and the number of ranges: contiguous days of about equal numbers of orders, as many as the lines ask for."""
+    n = max(8, _partitions(spark), -(-_length(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet") // RANGE_BYTES))
+    od = _bucketed_orders(spark, sf_dir).select(F.col("o_orderdate").cast("date").alias("__day"), F.col("c_mktsegment").alias("__tenant"))
+    days = od.groupBy("__tenant", "__day").agg(F.count("*").alias("__orders"))
     order = Window.orderBy("__tenant", "__day")  # a row per tenant and day, however many lines
     days = days.withColumn("__upto", F.sum("__orders").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     total = days.agg(F.sum("__orders").alias("__all"))

@@ -89,3 +89,26 @@ def test_fact_files_hold_ranges_of_days(spark, tmpdir_path):
     assert back.count() == plan.count() + 5 and back.where("DATE IS NULL").count() == 5
     spans = back.where("DATE IS NOT NULL").groupBy("tenant_id", F.input_file_name().alias("f")).agg(F.min("DATE").alias("a"), F.max("DATE").alias("b")).orderBy("tenant_id", "a").collect()
     assert all(x.tenant_id != y.tenant_id or x.b.date() < y.a.date() for x, y in zip(spans, spans[1:])) and len(spans) >= 8
+
+
+def test_fact_build_deals_by_the_size_of_the_lines(spark, monkeypatch):
+    """Buckets, ranges and the tasks of the dimension joins grow with the lines, whatever the session's number of partitions."""
+    from ledgerline.sources import tables as T
+    from tests.conftest import SF_SMALL
+
+    size = T._length(spark, f"{SF_SMALL}/lineitem.parquet")
+    assert T._days(spark, SF_SMALL)[1] == max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    monkeypatch.setattr(T, "RANGE_BYTES", size // 40)
+    assert T._days(spark, SF_SMALL)[1] >= 40
+    monkeypatch.setattr(T, "BUCKET_BYTES", size // 40)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plain = [T._lines(spark, SF_SMALL), T._orders(spark, SF_SMALL)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        dealt = [T._lines(spark, SF_SMALL), T._orders(spark, SF_SMALL)]
+        for key, a, b in zip(("l_partkey", "o_custkey"), plain, dealt):
+            plan = b._jdf.queryExecution().optimizedPlan().toString()
+            assert f"RepartitionByExpression [{key}" in plan and ", 64" in plan
+            assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
