@@ -1173,9 +1173,9 @@ def b6_merge_snapshot(spark, sf):
 # ------------------------------------------------------------------ N: streaming folder ingest
 @query("n1_n4_stream_ingest", INGEST_SQL)
 def n1_n4_stream_ingest(spark, sf):
-    """The raw upload (messy headers) written as 4 CSV files in two column
-    orders (invoices never span files), ingested by the folder stream one file
-    per micro-batch, read back. Scratch folders live under the shared
+    """The raw upload (messy headers) written as CSV files in two column orders
+    (4 files, more for larger tables; invoices never span files), ingested by
+    the folder stream in 4 micro-batches, read back. Scratch folders live under the shared
     checkpoint directory."""
     import uuid
 
@@ -1188,10 +1188,11 @@ def n1_n4_stream_ingest(spark, sf):
     raw = raw_upload(spark, sf)
     key = RAW_HEADERS[M.INVOICE_NO]
     layouts = [raw.columns, list(reversed(raw.columns))]
+    files = max(2, T.buckets_for(spark, sf) // 4)  # of a layout; each is written by one task
     opts = {**CSV_OPTIONS, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
     for i, cols in enumerate(layouts):
         part = (raw.where(F.abs(F.hash(F.col(f"`{key}`"))) % 2 == i).select(*[F.col(f"`{c}`") for c in cols])
-                .repartition(2, F.col(f"`{key}`")))
+                .repartition(files, F.col(f"`{key}`")))
         part.write.mode("overwrite").options(**opts).csv(f"{stage}/{i}")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -1204,7 +1205,7 @@ def n1_n4_stream_ingest(spark, sf):
             if name.endswith(".csv"):
                 fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{src}/{i}-{name}"))
     q = start_ingest(spark, src, dst, ck, T.customer_master(spark, sf), city_map=city_map(spark, sf),
-                     trigger={"availableNow": True}, files_per_trigger=1)
+                     trigger={"availableNow": True}, files_per_trigger=files // 2)
     q.awaitTermination()
     out = B.read_table(spark, dst).drop("batch_id", M.FY_START, M.MONTH_START).withColumnRenamed(M.TENANT, M.TENANT.upper())
     return _out(out)

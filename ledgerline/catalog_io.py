@@ -137,7 +137,7 @@ UNION ALL SELECT 'long', count(*) FROM sales WHERE QTY > 40 UNION ALL SELECT 'ke
 @query("a2_rejects", O.with_sales(KINDS_SQL))
 def a2_rejects(spark, sf):
     """Uploads with lines of two, three and four fields under a header of three: the odd ones are rejects, none is lost."""
-    folder, files = _folder(spark, "odd"), 8
+    folder, files = _folder(spark, "odd"), T.buckets_for(spark, sf)  # each is written by one task
     heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("at"), F.lit(ODD_HEADER).alias("value"))
     lines = _odd_lines(spark, sf).select(F.pmod(F.xxhash64(ODD_HEADER), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("at"), F.col(ODD_HEADER).alias("value"))
     whole = heads.unionByName(lines).repartition(files, "file").sortWithinPartitions("file", "at").drop("at")
@@ -157,16 +157,18 @@ def a1_read_upload(spark, sf):
 def _tenant_stream(spark, sf) -> str:
     """Uploads of three tenants with the same invoice numbers through the stream, with archive, audit and rejects; returns the folder.
 
-    Each tenant's lines lie in some files, an invoice whole in one of them; then one tenant's files come again under other names.
+    Each tenant's lines lie in some files, more of them for larger tables, an invoice whole in one of them; then one tenant's
+    files come again under other names. A batch takes half of all files of the three tenants.
     """
     from .streaming.ingest_stream import start_ingest
 
     base = _folder(spark, "tenant-stream")
     s = T.sales(spark, sf).select(*COLS)
-    frames = [_texts(s.withColumn("Tenant_Id", F.lit(t))).repartition(4, M.INVOICE_NO) for t in ("007", "7", "ACME:IN")]
+    files = max(4, T.buckets_for(spark, sf) // 2)
+    frames = [_texts(s.withColumn("Tenant_Id", F.lit(t))).repartition(files, M.INVOICE_NO) for t in ("007", "7", "ACME:IN")]
     for i, own in enumerate((frames, frames[:1])):
         _write_uploads(own, f"{base}/src", f"{i}-")
-        q = start_ingest(spark, f"{base}/src", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, files_per_trigger=6,
+        q = start_ingest(spark, f"{base}/src", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, files_per_trigger=files * 3 // 2,
                          archive_dir=f"{base}/archive", audit_path=f"{base}/audit", rejects_path=f"{base}/rejects")
         q.awaitTermination()
     return base

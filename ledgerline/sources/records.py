@@ -128,8 +128,8 @@ def read_records(spark: SparkSession, files: list[str]) -> tuple[DataFrame, Data
         every = lines.select("path", "block", "at", F.array("line").alias("lines"))
     else:
         every = _stored(_joined_lines(lines, folder), folder, "records")
-    first = F.min_by(F.struct("block", "at", "lines"), F.struct("block", "at")).alias("first")
-    heads = every.groupBy("path").agg(first).select("path", "first.*")  # a row per file
+    begin = every.where("block = 0")  # a file's first record starts in its first block
+    heads = begin.join(F.broadcast(begin.groupBy("path").agg(F.min("at").alias("at"))), ["path", "at"])  # a row per file
     returns = F.element_at("lines", -1).endswith("\r")
 
     def text_of(crlf: Column) -> Column:

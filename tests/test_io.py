@@ -306,3 +306,14 @@ def test_pushed_keys_change_no_result(spark, tmpdir_path, monkeypatch):
             W.load(old, path)
             want = W.append_new(new, old).count()
             assert W.load(new, path) == want and W.read_table(spark, path).count() == 4 + want
+
+
+def test_uploads_of_larger_tables_are_dealt_to_more_files(spark, monkeypatch):
+    """Each upload file is written by one task: their number follows the size of the lines, the rows stay the same."""
+    from ledgerline import catalog_io as I
+    from tests.conftest import SF_SMALL
+
+    before, seen, read = {tuple(r) for r in I.a2_rejects(spark, SF_SMALL).collect()}, [], I.A.read_folder_with_rejects
+    monkeypatch.setattr(I.A, "read_folder_with_rejects", lambda s, paths: seen.append(len(paths)) or read(s, paths))
+    monkeypatch.setattr(I.T, "buckets_for", lambda *_: 24)
+    assert {tuple(r) for r in I.a2_rejects(spark, SF_SMALL).collect()} == before and seen[0] == 24
