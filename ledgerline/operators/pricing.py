@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..plans.common import keyed, top_k
+from ..plans.common import keyed, materialize, top_k
 
 
 def product_col(df: DataFrame) -> str:
@@ -74,16 +74,19 @@ def price_stats(df: DataFrame, top: int = 50, dp: int = 6) -> DataFrame:
                    F.round(F.stddev_samp("UNIT_PRICE"), dp).alias("price_stddev")))
 
 
-BLOCK_POINTS = 256  # points of a curve fitted in one step; a task's unit of work
-NEAR_POINTS = 64  # neighbouring points that share running sums
+BLOCK_POINTS = 256  # points of a long curve fitted in one step, at least; a task's unit of work
+NEAR_POINTS = 64  # neighbouring points that share running sums, at least
+SHARES = 16  # a long curve is fitted in at most about so many blocks, each with at most so many sets of running sums
+WHOLE_POINTS = 65_536  # curves up to this stay in one task for all passes
+TASK_POINTS = 10_000  # points a task aims at
 ROBUST_PASSES = 3
 
 
-def lowess_pass(x: np.ndarray, y: np.ndarray, fit: np.ndarray | None, first: int, stop: int, frac: float) -> np.ndarray:
+def lowess_pass(x: np.ndarray, y: np.ndarray, fit: np.ndarray | None, first: int, stop: int, frac: float, radius: np.ndarray | None = None) -> np.ndarray:
     """One pass of LOWESS over a curve sorted by ``x``, at its points ``first`` to ``stop`` - 1.
 
     Local lines with tricube weights over the nearest ``frac`` of points; with the ``fit`` of the pass before at all
-    points, points far off it get bisquare weights. A perfect fit is kept.
+    points, points far off it get bisquare weights. A perfect fit is kept. ``radius``: ``_radii`` of these points, if known.
     """
     n = len(x)
     if n < 3:
@@ -95,7 +98,17 @@ def lowess_pass(x: np.ndarray, y: np.ndarray, fit: np.ndarray | None, first: int
             return fit[first:stop]
         q = (y - fit) / (6.0 * s)
         robust = np.where(np.abs(q) < 1, (1.0 - q * q) ** 2, 0.0)
-    return np.concatenate([_by_moments(x, y, robust, x[a:min(a + NEAR_POINTS, stop)], frac) for a in range(first, stop, NEAR_POINTS)])
+    radius = _radii(x, x[first:stop], frac) if radius is None else radius
+    near = max(NEAR_POINTS, -(-n // SHARES))
+    return np.concatenate([_by_moments(x, y, robust, x[a:min(a + near, stop)], radius[a - first:min(a + near, stop) - first]) for a in range(first, stop, near)])
+
+
+def lowess(x: np.ndarray, y: np.ndarray, frac: float, passes: int) -> np.ndarray:
+    """All passes over a whole curve."""
+    fit, radius = None, _radii(x, x, frac)
+    for _ in range(passes + 1):
+        fit = lowess_pass(x, y, fit, 0, len(x), frac, radius)
+    return fit
 
 
 def _radii(x: np.ndarray, at: np.ndarray, frac: float) -> np.ndarray:
@@ -111,50 +124,69 @@ def _radii(x: np.ndarray, at: np.ndarray, frac: float) -> np.ndarray:
     return np.maximum(at - x[low], x[low + r - 1] - at)
 
 
-def _by_moments(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, frac: float) -> np.ndarray:
+DEGREES = 12
+_Q, _K = np.arange(DEGREES)[:, None], np.arange(DEGREES)
+BINOMIAL = np.array([[math.comb(q, k) for k in range(DEGREES)] for q in range(DEGREES)], float)[:, :, None]
+
+
+def _by_moments(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """Local lines at neighbouring points from moments of the curve.
 
     The tricube weight is a polynomial of degree 9 in the distance on either side of a point, so every sum of a local
     line is a combination of running sums of powers, taken about the middle of the points and in units of their
     radius (where they are well conditioned): work grows as points + window, not as points x window. Points whose
-    radii or places differ too much for that, and those that nearly all weight has left, are fitted one by one.
+    radii or places differ too much for that are halved down to ``NEAR_POINTS``; those, and points that nearly all
+    weight has left, are fitted one by one.
     """
-    radius = _radii(x, at, frac)
     unit, middle = radius.max(), (at[0] + at[-1]) / 2
     if unit <= 0 or radius.min() < 0.7 * unit or at[-1] - at[0] > 0.4 * unit:
-        return _local_lines(x, y, robust, at, frac)
+        if len(at) <= NEAR_POINTS:
+            return _local_lines(x, y, robust, at, radius)
+        half = len(at) // 2
+        return np.concatenate([_by_moments(x, y, robust, at[:half], radius[:half]), _by_moments(x, y, robust, at[half:], radius[half:])])
     low, high = np.searchsorted(x, (at - radius).min(), "left"), np.searchsorted(x, (at + radius).max(), "right")
     xs, ys, rs = x[low:high], y[low:high], robust[low:high]
     z, t, g = (xs - middle) / unit, (at - middle) / unit, radius / unit
-    powers = z ** np.arange(12)[:, None] * rs
+    powers = z ** np.arange(DEGREES)[:, None] * rs
     base = ys.mean()
-    sums = [np.concatenate([np.zeros((12, 1)), np.cumsum(p, axis=1)], axis=1) for p in (powers, powers * (ys - base))]
+    sums = [np.concatenate([np.zeros((DEGREES, 1)), np.cumsum(p, axis=1)], axis=1) for p in (powers, powers * (ys - base))]
     cuts = [np.searchsorted(xs, at - radius, "left"), np.searchsorted(xs, at, "left"), np.searchsorted(xs, at + radius, "right")]
+    # shift[q, k]: the factor of the sum of z ** k in that of (z - t) ** q
+    shift = BINOMIAL * np.stack([(-t) ** i for i in range(DEGREES)])[np.maximum(_Q - _K, 0)]
+
+    def centred(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums of (z - t) ** q between two cuts, for each q."""
+        held = s[:, b] - s[:, a]
+        out = shift[:, 0] * held[0]
+        for k in range(1, DEGREES):
+            out[k:] += shift[k:, k] * held[k]
+        return out
 
-    def moment(s: np.ndarray, j: int) -> np.ndarray:
+    sides = [(centred(s, cuts[0], cuts[1]), centred(s, cuts[1], cuts[2])) for s in sums]
+
+    def moment(of: int, j: int) -> np.ndarray:
         """sum of weight * (z - t) ** j over the window."""
+        left, right = sides[of]
         out = np.zeros(len(at))
         for p, share in enumerate((1, -3, 3, -1)):
-            q = 3 * p + j
-            left, right = (sum(math.comb(q, k) * (-t) ** (q - k) * (s[k, b] - s[k, a]) for k in range(q + 1)) for a, b in (cuts[:2], cuts[1:]))
-            out += share / g ** (3 * p) * (right + (-1) ** (3 * p) * left)
+            out += share / g ** (3 * p) * (right[3 * p + j] + (-1) ** (3 * p) * left[3 * p + j])
         return out
 
-    s0, s1, s2, t0, t1 = (moment(s, j) for s, j in ((sums[0], 0), (sums[0], 1), (sums[0], 2), (sums[1], 0), (sums[1], 1)))
+    s0, s1, s2, t0, t1 = (moment(of, j) for of, j in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 1)))
     thin = s0 <= 1e-3 * (cuts[2] - cuts[0])
     some = np.where(thin, 1.0, s0)
     spread, lean = s2 - s1 * s1 / some, t1 - s1 * t0 / some
     thin |= spread <= 1e-6 * some
     made = base + t0 / some - np.where(thin, 0.0, lean / np.where(thin, 1.0, spread)) * s1 / some
-    if thin.any():
-        made[thin] = _local_lines(x, y, robust, at[thin], frac)
+    for some in np.array_split(np.flatnonzero(thin), -(-thin.sum() // NEAR_POINTS)) if thin.any() else []:
+        made[some] = _local_lines(x, y, robust, at[some], radius[some])
     return made
 
 
-def _local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, frac: float) -> np.ndarray:
+def _local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """Weighted lines at the points ``at``, each from its distances to the whole curve."""
     away = np.abs(x - at[:, None])
-    radius = _radii(x, at, frac)[:, None]
+    radius = radius[:, None]
     u = np.where(radius > 0, away / np.where(radius > 0, radius, 1.0), np.where(away > 0, 2.0, 0.0))
     w = np.maximum(1.0 - u * u * u, 0.0) ** 3 * robust
     total = w.sum(1)
@@ -170,9 +202,10 @@ def _local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarra
 def smooth(curve: DataFrame, x: str = "PRICE_BIN", y: str = "TOTAL_QTY", frac: float = 2.0 / 3.0, passes: int = ROBUST_PASSES) -> DataFrame:
     """I4: LOWESS trend per product curve, fitted at every point.
 
-    Each pass packs a curve (one point per distinct price) in one row, deals its points in blocks of ``BLOCK_POINTS``
-    to tasks, and fits the blocks apart; robustness weights come from the pass before. So one long curve is fitted by
-    as many tasks as it has blocks, and a task holds one curve and a block's distances to it.
+    Curves (one point per distinct price) are packed in a row each, written once, and dealt to as many tasks as their
+    points ask for. One of up to ``WHOLE_POINTS`` points takes all passes in its task. A longer one is dealt in blocks,
+    fitted apart, in a round per pass: the robustness weights come from the pass before. Blocks grow with the curve, so
+    it is sent to about ``SHARES`` of them and no more; a task holds one curve and a block's distances to it.
     """
     from pyspark.sql import types as T
 
@@ -183,23 +216,44 @@ def smooth(curve: DataFrame, x: str = "PRICE_BIN", y: str = "TOTAL_QTY", frac: f
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts: dict[str, list] = {c: [] for c in (*own, "trend")}
             for row in batch.to_dict("records"):
-                first, stop = row["__block"] * BLOCK_POINTS, min((row["__block"] + 1) * BLOCK_POINTS, len(row[x]))
-                fit = np.asarray(row["trend"], float) if "trend" in row else None
-                out = pd.DataFrame({c: row[c][first:stop] for c in own})
-                out["trend"] = lowess_pass(np.asarray(row[x], float), np.asarray(row[y], float), fit, first, stop, frac)
-                for c in keys:
-                    out[c] = row[c]
-                yield out[[*keys, *own, "trend"]]
-
-    rows = curve.select(*keys, *own)
-    for _ in range(passes + 1):
+                xs, ys = np.asarray(row[x], float), np.asarray(row[y], float)
+                first, stop = 0, len(xs)
+                if "__block" in row:
+                    first, stop = row["__block"] * row["__points"], min((row["__block"] + 1) * row["__points"], len(xs))
+                    fit = np.asarray(row["trend"], float) if "trend" in row else None
+                    parts["trend"].append(lowess_pass(xs, ys, fit, first, stop, frac))
+                else:
+                    parts["trend"].append(lowess(xs, ys, frac, passes))
+                for c in own:
+                    parts[c].append(row[c][first:stop])
+            if parts["trend"]:
+                times = [len(p) for p in parts["trend"]]
+                out = {c: batch[c].repeat(times).to_numpy() for c in keys} | {c: np.concatenate(p) for c, p in parts.items()}
+                yield pd.DataFrame(out)[[*keys, *own, "trend"]]
+
+    def packed(rows: DataFrame) -> DataFrame:
         held = rows.columns[len(keys):]
-        packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("__c"))
-        packed = packed.select(*keys, *[F.transform("__c", _field(c)).alias(c) for c in held])
-        blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK_POINTS).cast("int"))
-        dealt = packed.withColumn("__block", F.explode(blocks)).repartition(*keys, "__block")
-        rows = dealt.mapInPandas(run, schema)
+        made = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("__c"))
+        return made.select(*keys, *[F.transform("__c", _field(c)).alias(c) for c in held])
+
+    def tasks(points: int | None) -> int:
+        return max(int(curve.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), -(-(points or 0) // TASK_POINTS))
+
+    curves = materialize(packed(curve.select(*keys, *own)))
+    whole = F.size(x) <= WHOLE_POINTS
+    short, long = curves.agg(F.sum(F.when(whole, F.size(x))), F.sum(F.when(~whole, F.size(x)))).first()
+    rows = curves.where(whole).repartition(tasks(short), *keys).mapInPandas(run, schema)
+    if long:
+        points = F.greatest(F.lit(BLOCK_POINTS), F.ceil(F.size(x) / SHARES)).cast("int")
+        held, fitted = curves.where(~whole), None
+        for _ in range(passes + 1):
+            held = held if fitted is None else packed(fitted)
+            blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / F.col("__points")).cast("int"))
+            dealt = held.withColumn("__points", points).withColumn("__block", F.explode(blocks)).repartition(tasks(long), *keys, "__block")
+            fitted = dealt.mapInPandas(run, schema)
+        rows = rows.unionByName(fitted)
     return rows.select(*curve.columns, "trend")
 
 

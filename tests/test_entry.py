@@ -213,6 +213,31 @@ def test_lowess_trend(spark, monkeypatch):
         assert np.allclose([t for *_, t in found], want, rtol=1e-6, atol=1e-6)
 
 
+def test_lowess_work_follows_the_points(spark, monkeypatch):
+    """Twice the points of a curve take no more sets of running sums, and blocks of a long curve give what the whole curve gives."""
+    import numpy as np
+
+    from ledgerline.operators import pricing
+
+    made, plain = [], pricing._by_moments
+    monkeypatch.setattr(pricing, "_by_moments", lambda *a: made.append(1) or plain(*a))
+    for n in (20_000, 40_000):
+        made.clear()
+        x = np.arange(n, dtype=float)
+        fit = pricing.lowess_pass(x, 3 * x + 1, None, 0, n, 2 / 3)
+        assert np.allclose(fit, 3 * x + 1) and len(made) <= 4 * pricing.SHARES
+    monkeypatch.undo()
+
+    rng = np.random.default_rng(5)
+    rows = [(p, float(a), float(rng.random() * 9 + np.sin(a / n)), 1) for p, n in (("a", 700), ("b", 40)) for a in rng.choice(np.arange(3 * n), n, replace=False)]
+    df = spark.createDataFrame(rows, "product string, PRICE_BIN double, TOTAL_QTY double, TXN_COUNT int")
+    whole = {(r["product"], r.PRICE_BIN): r.trend for r in pricing.smooth(df).collect()}
+    monkeypatch.setattr(pricing, "WHOLE_POINTS", 100)
+    parted = {(r["product"], r.PRICE_BIN): r.trend for r in pricing.smooth(df).collect()}
+    assert len(whole) == len(rows) and whole.keys() == parted.keys()
+    assert all(abs(whole[k] - parted[k]) < 1e-8 for k in whole)
+
+
 def test_lowess_of_the_table(spark):
     out = QUERIES["i4_lowess_trend"](spark, SF_SMALL)
     assert out.where("trend IS NULL").count() == 0
