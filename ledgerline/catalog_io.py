@@ -16,6 +16,7 @@ from . import oracle as O
 from .catalog import KPI_SQL, TS_SQL, _out, query
 from .functions.scalars import inr_compact, inr_signed, json_text
 from .operators import ingest as C
+from .plans.common import tasks_for
 from .session import shared_dir
 from .sinks import writers as B
 from .sources import files as A
@@ -247,7 +248,8 @@ def c7_text_dates(spark, sf):
 @query("c15_surrogate_invoice", O.with_sales(f"SELECT {ROWS_SQL.replace('INVOICE_NO, ', '')}, 1 AS lines FROM sales"))
 def c15_surrogate_invoice(spark, sf):
     """Every line gets its own number: grouping by it gives each line once, identical lines too."""
-    s = C.surrogate_invoice(T.sales(spark, sf).select(*[c for c in COLS if c != M.INVOICE_NO]))
+    sales = T.sales(spark, sf).select(*[c for c in COLS if c != M.INVOICE_NO])
+    s = C.surrogate_invoice(sales).repartition(tasks_for(spark, sales.count()), M.INVOICE_NO)
     cols = [c for c in s.columns if c != M.INVOICE_NO]
     return _out(s.groupBy(M.INVOICE_NO, *cols).agg(F.count("*").cast("int").alias("lines")).drop(M.INVOICE_NO))
 

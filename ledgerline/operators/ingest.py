@@ -296,15 +296,17 @@ def surrogate_invoice(df: DataFrame) -> DataFrame:
     identical lines stay apart and a re-read upload gets the same numbers. The
     window is per (row hash, part of the input), counted up by the parts before:
     equal rows that make up a third of the upload are numbered part by part.
+    Rows are dealt to as many tasks as they ask for.
     """
     if M.INVOICE_NO in df.columns:
         return df
     cols = [F.col(f"`{c}`") for c in df.columns]
-    from ..plans.common import materialize
+    from ..plans.common import materialize, tasks_for
 
     rows = materialize(df.select(*cols, F.xxhash64(*cols).alias("__hash"), F.monotonically_increasing_id().alias("__at")))
-    rows = rows.withColumn("__part", F.shiftright("__at", 33))
-    parts = rows.groupBy("__hash", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    n = tasks_for(df.sparkSession, rows.count())
+    rows = rows.withColumn("__part", F.shiftright("__at", 33)).repartition(n, "__hash", "__part")
+    parts = rows.groupBy("__hash", "__part").agg(F.count(F.lit(1)).alias("__n")).repartition(n, "__hash")
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__hash").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("__hash", "__part", before.alias("__before"))
     nth = F.row_number().over(Window.partitionBy("__hash", "__part").orderBy("__at")) + F.col("__before")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..plans.common import keyed, materialize, top_k
+from ..plans.common import keyed, materialize, tasks_for, top_k
 
 
 def product_col(df: DataFrame) -> str:
@@ -239,7 +239,7 @@ def smooth(curve: DataFrame, x: str = "PRICE_BIN", y: str = "TOTAL_QTY", frac: f
         return made.select(*keys, *[F.transform("__c", _field(c)).alias(c) for c in held])
 
     def tasks(points: int | None) -> int:
-        return max(int(curve.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), -(-(points or 0) // TASK_POINTS))
+        return tasks_for(curve.sparkSession, points or 0, TASK_POINTS)
 
     curves = materialize(packed(curve.select(*keys, *own)))
     whole = F.size(x) <= WHOLE_POINTS

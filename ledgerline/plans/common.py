@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+TASK_ROWS = 500_000  # rows a task aims at
+
+
+def tasks_for(spark: SparkSession, rows: int, per_task: int | None = None) -> int:
+    """Tasks that so many rows ask for: the session's number of partitions, or more (it knows nothing of the input's size)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), -(-rows // (per_task or TASK_ROWS)))
+
+
 def running_sum(
     df: DataFrame,
     order_col: str,

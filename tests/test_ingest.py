@@ -121,3 +121,16 @@ def test_surrogate_order_defaults(spark):
     o = C.order_columns(spark.createDataFrame([(1, 2, 3)], "X int, AMOUNT int, DATE int"))
     assert o.columns == ["DATE", "AMOUNT", "X"]
     assert C.tag_tenant(df, "t1").select("tenant_id").distinct().collect()[0][0] == "t1"
+
+
+def test_surrogate_invoices_are_dealt_by_the_rows(spark, monkeypatch):
+    """More rows, more tasks: none gets more than a few times its share, and equal rows keep numbers of their own."""
+    from ledgerline.plans import common
+
+    monkeypatch.setattr(common, "TASK_ROWS", 50)
+    df = spark.createDataFrame([(f"i{k % 400}", None if k % 7 else k % 400) for k in range(2000)], "ITEMNAME string, QTY int")
+    s = C.surrogate_invoice(df)
+    assert s.rdd.getNumPartitions() >= 2000 // 50
+    made = s.collect()
+    assert len(made) == 2000 == len({r.INVOICE_NO for r in made})
+    assert sorted((r.ITEMNAME, r.QTY or 0) for r in made) == sorted((r.ITEMNAME, r.QTY or 0) for r in df.collect())
