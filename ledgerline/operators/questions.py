@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..plans.common import materialize, running_sum, with_total
+from ..plans.common import materialize, running_sum, tasks_for, with_total
 
 # FIXED VALUES: n-gram lengths, edge punctuation, year pattern, intent keywords.
 MAX_NGRAM = 4
 EDGE_PUNCT = "?,.!:"
+QUESTION_GRAMS = 32  # n-grams of a question, about
+SALTS = 8  # places that the rows of one n-gram are dealt to
 YEAR_PATTERN = r"\b(20\d{2})\b"
 TOP_PATTERN = r"top (\d+)"
 DEFAULT_K = 5
@@ -79,8 +81,17 @@ def ngrams(questions: DataFrame) -> DataFrame:
 
 def link_entities(questions: DataFrame, dictionary_df: DataFrame) -> DataFrame:
     """L1: (q_id, column, value), one per (question, column): the longest n-gram
-    first, then the earliest; plus YEAR from the first ``20\\d\\d`` token."""
-    g = ngrams(questions).join(dictionary_df, F.col("chunk") == F.col("key"))
+    first, then the earliest; plus YEAR from the first ``20\\d\\d`` token.
+
+    N-grams and links are dealt to as many tasks as the questions ask for, and n-grams that most questions hold
+    ("top 3") to ``SALTS`` places, each with its copy of the dictionary."""
+    asked = questions.count()
+    n = tasks_for(questions.sparkSession, asked * QUESTION_GRAMS)
+    salt = F.pmod(F.xxhash64("q_id"), F.lit(SALTS)).cast("int")
+    grams = ngrams(questions).withColumn("__salt", salt).repartition(n, "chunk", "__salt")
+    keys = dictionary_df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(n, "key", "__salt")
+    g = grams.join(keys, (grams["chunk"] == keys["key"]) & (grams["__salt"] == keys["__salt"])).select("q_id", "pos", "len", "column", "value")
+    g = g.repartition(tasks_for(questions.sparkSession, asked * MAX_NGRAM), "q_id")
     w = Window.partitionBy("q_id", "column").orderBy(F.col("len").desc(), F.col("pos").asc())
     ents = g.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).select("q_id", "column", "value")
     year = questions.select("q_id", F.regexp_extract(F.lower(F.col("text")), YEAR_PATTERN, 1).alias("value"))

@@ -154,6 +154,26 @@ def test_deep_lists_are_ranked_without_a_global_window(spark, monkeypatch):
     assert {(r.q_id, r["rank"], r.name, r.value) for r in QUERIES["l3_answer"](spark, SF_SMALL).collect()} == want
 
 
+def test_ngrams_are_dealt_by_the_questions(spark, monkeypatch):
+    """N-grams go to as many tasks as they ask for, and one that every question holds is not left to one of them."""
+    from ledgerline.operators import questions as L
+    from ledgerline.plans import common
+
+    asked = spark.createDataFrame([(f"q{i}", f"top 3 products for Cust {i} in ASIA") for i in range(400)], "q_id string, text string")
+    known = spark.createDataFrame([("asia", "STATE", "ASIA"), *((f"cust {i}", "CUSTOMER_NAME", f"Cust {i}") for i in range(400))], "key string, column string, value string")
+    monkeypatch.setattr(common, "TASK_ROWS", 200)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = L.link_entities(asked, known)
+        parts = [int(n) for n in re.findall(r"hashpartitioning\(chunk[^,]*, __salt[^,]*, (\d+)\)", _plan(links))]
+        assert parts and min(parts) >= 400 * 30 // 200
+        got = sorted((r.q_id, r["column"], r.value) for r in links.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([(f"q{i}", "STATE", "ASIA") for i in range(400)] + [(f"q{i}", "CUSTOMER_NAME", f"Cust {i}") for i in range(400)])
+
+
 def test_churn_scores_invariants(spark):
     a = QUERIES["h6_churn_scores"](spark, SF_SMALL)
     rows1 = sorted((r.CUSTOMER_NAME, r.Churn_Probability) for r in a.collect())
