@@ -8,8 +8,8 @@ vocabulary (its links list the tokens that end at a byte), the pair test picks
 the right one, and following the stored last tokens back from the end gives the
 ids, equal to those of the merge procedure.
 
-Pre-tokens are independent: those new to a task are taken in sorted
-order, so that a prefix shared with the one before keeps its stored tokens, and
+Pre-tokens are independent: those new to a task are taken together in order of
+length, one byte of all of them at a time in numpy, and
 their encodings go to a bounded cache that lasts as long as the task. Added tokens (such as an end-of-text marker) found in a text are
 split off first, as the tokenizers library does by default.
 
@@ -37,7 +37,9 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?
 LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": "\t-\r \x85\xa0"}
 UNICODE = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\p{White_Space}"}
 CACHE_ENTRIES = 200_000
-PAIR_ENTRIES = 150_000
+PAIR_BITS = 18  # of the number of pairs whose test is kept
+LEARN_CELLS = 1_000_000  # pre-tokens learned together, times the bytes of the longest
+FEW = 128  # fewer pre-tokens are taken one by one
 SLICE_CHARS = 1_000_000
 
 
@@ -49,56 +51,52 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class SuffixAutomaton:
-    """Lists the tokens that end at a byte: Aho-Corasick over the vocabulary, its steps filled in as they are met."""
+    """Lists the tokens that end at a byte: Aho-Corasick over the vocabulary.
+
+    ``step`` holds the next node of each node and byte, ``top`` the longest token that ends at a node (-1: none) and
+    ``below`` for each token the next shorter one that ends where it ends.
+    """
 
     def __init__(self, ids: dict[bytes, int]):
-        self.step = Steps(self)
-        self.tree: dict[int, int] = {}  # node << 8 | byte -> child in the trie
-        own: list[tuple[int, int] | None] = [None]
+        import numpy as np
+
+        tree: dict[int, int] = {}  # node << 8 | byte -> child in the trie
+        own, depth = [-1], [0]
         for word, token in ids.items():
             node = 0
             for byte in word:
-                child = self.tree.get(node << 8 | byte)
+                child = tree.get(node << 8 | byte)
                 if child is None:
-                    child = self.tree[node << 8 | byte] = len(own)
-                    own.append(None)
+                    child = tree[node << 8 | byte] = len(own)
+                    own.append(-1)
+                    depth.append(depth[node] + 1)
                 node = child
-            own[node] = (token, len(word))
-        self.link = [0] * len(own)  # the node of the longest proper suffix
-        self.tokens: list[tuple[tuple[int, int], ...]] = [()] * len(own)  # longest first
-        level = [(0, byte, child) for byte in range(256) if (child := self.tree.get(byte)) is not None]
-        below: dict[int, list[tuple[int, int]]] = {}
-        for at, child in self.tree.items():
-            below.setdefault(at >> 8, []).append((at & 255, child))
-        while level:
-            deeper = []
-            for parent, byte, node in level:
-                self.link[node] = self.step[self.link[parent] << 8 | byte] if parent else 0
-                self.tokens[node] = ((own[node],) if own[node] else ()) + self.tokens[self.link[node]]
-                deeper += [(node, b, child) for b, child in below.get(node, ())]
-            level = deeper
-        self.step.clear()
-
-
-class Steps(dict):
-    """node << 8 | byte -> next node."""
-
-    def __init__(self, automaton: SuffixAutomaton):
-        self.automaton = automaton
-
-    def __missing__(self, at: int) -> int:
-        node, byte = at >> 8, at & 255
-        tree, link = self.automaton.tree, self.automaton.link
-        while (found := tree.get(node << 8 | byte)) is None and node:
-            node = link[node]
-        self[at] = found or 0
-        return found or 0
+            own[node] = token
+        edges, children = np.fromiter(tree.keys(), "i8", len(tree)), np.fromiter(tree.values(), "i4", len(tree))
+        own, level = np.array(own, "i4"), np.array(depth, "i4")[children]
+        self.step = np.zeros((len(own), 256), "i4")
+        self.top = own.copy()
+        self.below = np.full(max(ids.values(), default=0) + 1, -1, "i4")
+        link = np.zeros(len(own), "i4")  # the node of the longest proper suffix
+        for d in range(1, max(depth) + 1):
+            at = np.flatnonzero(level == d)
+            parent, byte, node = edges[at] >> 8, edges[at] & 255, children[at]
+            link[node] = self.step[link[parent], byte] if d > 1 else 0
+            if d == 1:
+                self.step[0, byte] = node
+            else:
+                self.step[parent, byte] = node
+            self.step[node] = self.step[link[node]]  # its own children follow with the next level
+            longer = self.top[link[node]]
+            self.below[own[node][own[node] >= 0]] = longer[own[node] >= 0]
+            self.top[node] = np.where(own[node] >= 0, own[node], longer)
 
 
 class ByteBpe:
     """A byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
     def __init__(self, path: str):
+        import numpy as np
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -128,7 +126,10 @@ class ByteBpe:
         self.any = regex.compile(PRE_TOKEN.format(**UNICODE))
         self.beyond = re.compile("[^\x00-\xff]")
         self.packed: dict[str, bytes] = {}  # pre-token -> its ids as little-endian int32
-        self.pairs: dict[int, bool] = {}
+        # the pair test by a hash of the pair
+        self.pairs, self.pair_stays = np.full(1 << PAIR_BITS, -1, "i8"), np.zeros(1 << PAIR_BITS, bool)
+        self.sizes = np.zeros(max(self.size_of, default=0) + 1, "i8")
+        self.sizes[list(self.size_of)] = list(self.size_of.values())
 
     def stays(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a + b leaves exactly the tokens a, b.
@@ -153,41 +154,96 @@ class ByteBpe:
                 limit, b = (rb, 1), self.parts[b][0]
 
     def learn(self, pre_tokens: Iterable[str]) -> None:
-        """Put the encodings of new pre-tokens into the cache."""
-        step, tokens, pairs, size_of = self.suffixes.step, self.suffixes.tokens, self.pairs, self.size_of
+        """Put the encodings of new pre-tokens into the cache, those of like length together."""
         if len(self.packed) >= CACHE_ENTRIES:
             self.packed.clear()
-        before, last, nodes = b"", [-1], [0]
-        for piece, name in sorted((name.encode(), name) for name in pre_tokens):
-            shared = 0
-            for x, y in zip(before, piece):
-                if x != y:
+        group: list[tuple[bytes, str]] = []
+        for piece, name in sorted(((name.encode(), name) for name in pre_tokens), key=lambda x: len(x[0])):
+            if group and (len(piece) + 1) * (len(group) + 1) > LEARN_CELLS:
+                self._learn(group)
+                group = []
+            group.append((piece, name))
+        if group:
+            self._learn(group)
+
+    def _learn_one(self, piece: bytes, name: str, known: dict[tuple[int, int], bool]) -> None:
+        """One pre-token by itself: long ones, and those of short texts."""
+        step, top, below, size_of = self.suffixes.step, self.suffixes.top, self.suffixes.below, self.size_of
+        node, last = 0, [-1]
+        for end, byte in enumerate(piece, 1):
+            node = step.item(node, byte)
+            token = top.item(node)
+            while (size := size_of[token]) < end:
+                pair = (last[end - size], token)
+                stays = known.get(pair)
+                if stays is None:
+                    if len(known) >= 1 << PAIR_BITS:
+                        known.clear()
+                    stays = known[pair] = self.stays(*pair)
+                if stays:
                     break
-                shared += 1
-            # last: for every prefix of the piece the last token of its encoding
-            del last[shared + 1:], nodes[shared + 1:]
-            node = nodes[shared]
-            for end in range(shared + 1, len(piece) + 1):
-                node = step[node << 8 | piece[end - 1]]
-                for token, size in tokens[node]:
-                    if size == end:
-                        break
-                    pair = last[end - size] << 32 | token
-                    stays = pairs.get(pair)
-                    if stays is None:
-                        if len(pairs) >= PAIR_ENTRIES:
-                            pairs.clear()
-                        stays = pairs[pair] = self.stays(pair >> 32, token)
-                    if stays:
-                        break
-                last.append(token)
-                nodes.append(node)
-            before, end, ids = piece, len(piece), []
-            while end:
-                ids.append(last[end])
-                end -= size_of[last[end]]
-            ids.reverse()
-            self.packed[name] = struct.pack(f"<{len(ids)}i", *ids)
+                token = below.item(token)
+            last.append(token)
+        ids, end = [], len(piece)
+        while end:
+            ids.append(last[end])
+            end -= size_of[last[end]]
+        self.packed[name] = struct.pack(f"<{len(ids)}i", *ids[::-1])
+
+    def _learn(self, pieces: list[tuple[bytes, str]]) -> None:
+        """The same for ``pieces`` in rising order of length, a byte of all of them at a time."""
+        import numpy as np
+
+        if len(pieces) < FEW:
+            known: dict[tuple[int, int], bool] = {}
+            for piece, name in pieces:
+                self._learn_one(piece, name, known)
+            return
+        step, top, below, size_of = self.suffixes.step, self.suffixes.top, self.suffixes.below, self.sizes
+        lengths = np.array([len(p) for p, _ in pieces])
+        data, starts = np.frombuffer(b"".join(p for p, _ in pieces), "u1"), np.cumsum(lengths) - lengths
+        longest = int(lengths.max(initial=0))
+        # last[e]: for the prefix of e bytes of each piece the last token of its encoding
+        last = np.full((longest + 1, len(pieces)), -1, "i4")
+        node = np.zeros(len(pieces), "i4")
+        for end in range(1, longest + 1):
+            first = int(np.searchsorted(lengths, end))  # the pieces from here on have that many bytes
+            node[first:] = step[node[first:], data[starts[first:] + end - 1]]
+            at, token = np.arange(first, len(pieces)), top[node[first:]]
+            while len(at):
+                before = end - size_of[token]
+                fits = before == 0
+                fits[~fits] = self._stay(last[before[~fits], at[~fits]], token[~fits])
+                last[end, at[fits]] = token[fits]
+                at, token = at[~fits], below[token[~fits]]
+        # the ids from the last one back
+        at, end, rows, ids = np.arange(len(pieces)), lengths.copy(), [], []
+        at, end = at[end > 0], end[end > 0]
+        while len(at):
+            token = last[end, at]
+            rows.append(at)
+            ids.append(token)
+            end = end - size_of[token]
+            at, end = at[end > 0], end[end > 0]
+        rows, ids = (np.concatenate(x[::-1]) if x else np.zeros(0, "i4") for x in (rows, ids))
+        flat = ids[np.argsort(rows, kind="stable")].astype("<i4").tobytes()
+        stops = np.cumsum(np.bincount(rows, minlength=len(pieces))).tolist()
+        self.packed.update({name: flat[4 * a:4 * b] for (_, name), a, b in zip(pieces, [0, *stops], stops)})
+
+    def _stay(self, a, b):
+        """``stays`` of pairs, out of a table of 1 << ``PAIR_BITS`` known ones."""
+        import numpy as np
+
+        pair = a.astype("i8") << 32 | b
+        slot = (pair.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype("i8")
+        known = self.pairs[slot] == pair
+        out = self.pair_stays[slot]
+        if not known.all():
+            new, where = np.unique(pair[~known], return_inverse=True)
+            found = np.array([self.stays(p >> 32, p & 0xFFFFFFFF) for p in new.tolist()])
+            out[~known] = found[where]
+            self.pairs[slot[~known]], self.pair_stays[slot[~known]] = pair[~known], found[where]
+        return out
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text, added tokens as they are."""
@@ -206,7 +262,11 @@ class ByteBpe:
 
     def decode(self, ids: list[int]) -> str:
         """Ids back to text, malformed bytes as U+FFFD; unknown ids are left out, as the library does."""
-        return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        try:
+            found = [*map(self.bytes_of.__getitem__, ids)]
+        except KeyError:
+            found = [self.bytes_of.get(i, b"") for i in ids]
+        return b"".join(found).decode("utf-8", "replace")
 
 
 @lru_cache(2)

@@ -10,6 +10,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,32 @@ def test_decontamination_without_broadcasts(spark, monkeypatch):
     assert Counter(queries.op5_decontaminate(spark, SF_SMALL).collect()) == Counter(want)
 
 
+
+def test_bpe_learns_many_pre_tokens_together(monkeypatch):
+    """Tokens that end at a byte against a plain search; pre-tokens together, one by one and the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    words = bpe.SuffixAutomaton({b"a": 0, b"b": 1, b"ab": 2, b"bab": 3, b"abab": 4, b"c": 5})
+    node, text = 0, b"cababbabcaab"
+    for end in range(1, len(text) + 1):
+        node = words.step[node, text[end - 1]]
+        found, token = [], words.top[node]
+        while token >= 0:
+            found.append(int(token))
+            token = words.below[token]
+        ids = {b"a": 0, b"b": 1, b"ab": 2, b"bab": 3, b"abab": 4, b"c": 5}
+        assert found == [i for w, i in sorted(ids.items(), key=lambda x: -len(x[0])) if text[:end].endswith(w)]
+    texts = ["".join(chr(97 + (i * k * k + i) % 26) + (" " if (i + k) % 5 == 0 else "") for i in range(1, 60)) + "\u00e9\u4e16 12'll" + "a" * k for k in range(120)]
+    library, made = Tokenizer.from_file(path), []
+    for few in (0, 10**9):
+        monkeypatch.setattr(bpe, "FEW", few)
+        made.append(bpe.ByteBpe(path).encode(texts))
+    assert made[0] == made[1]
+    for t, packed in zip(texts, made[0]):
+        assert np.frombuffer(packed, "<i4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 # ------------------------------------------------------------------------------------------------ 6 suffix dedup
 def brute_spans(texts, size):
     data = [(t or "").encode() for t in texts]
