@@ -392,6 +392,30 @@ def test_suffix_array_and_odd_tables(spark, put):
     assert len(rows) == len(ODD) and sum(len(r.kept) for r in rows if r.id == 5) == 0  # copies and a period: nothing is left
 
 
+def test_suffix_dedup_query_on_planted_passages(spark, tmp_path):
+    """Passages of over 50 words in three documents each: gone from all three from 400 bytes on, kept below, clean documents whole."""
+    rng = random.Random(11)
+
+    def prose(words):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(words))
+
+    texts, removed, kept = [prose(rng.randrange(40, 600)) for _ in range(100)], [0] * 100, []
+    kept += texts
+    for size in [350, 399, 400, 401, *range(402, 900, 17)]:
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(size // 6)]  # size - 1 bytes or fewer
+        passage = " ".join(words).ljust(size, "z")
+        assert len(passage) == size and len(passage.split()) > 50
+        for end in "ABC":  # other neighbours in each document, so that no match is longer than the passage
+            before, after = f"{prose(rng.randrange(300))} {end}", f"{end} {prose(rng.randrange(300))}"
+            texts.append(before + passage + after)
+            removed.append(size if size >= 400 else 0)
+            kept.append(before + after if size >= 400 else texts[-1])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(queries.op6_suffix_dedup(spark, str(tmp_path)).collect())
+    assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == [
+        (i, len(t), n, int(n > 0), hashlib.sha256(k.encode()).hexdigest()) for i, (t, n, k) in enumerate(zip(texts, removed, kept))]
+
+
 # ------------------------------------------------------------------------------------------------ 7 quality
 def test_quality_held_out_accuracy(spark):
     rows = queries.op7_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
