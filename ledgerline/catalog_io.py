@@ -77,18 +77,22 @@ def b2_replace_all(spark, sf):
     return _out(B.read_table(spark, path))
 
 
-def _write_uploads(frames: list[DataFrame], folder: str, prefix: str = "") -> None:
-    """Each frame as CSV files of its own layout, put side by side in ``folder``."""
+PACKED = ".csv.gz"
+FILE_ROWS = 500_000  # lines of a packed file, where lines may be dealt to files at will
+
+
+def _write_uploads(frames: list[DataFrame], folder: str, prefix: str = "", most_rows: int = 0) -> None:
+    """Each frame as packed CSV files of its own layout, put side by side in ``folder``; a file is read by one task."""
     spark = frames[0].sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     target = path(folder)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
     for i, df in enumerate(frames):
-        B.export_csv(df, f"{folder}-{prefix}{i}")
+        B.export_csv(df, f"{folder}-{prefix}{i}", compression="gzip", maxRecordsPerFile=most_rows)
         for st in fs.listStatus(path(f"{folder}-{prefix}{i}")):
             name = st.getPath().getName()
-            if name.endswith(".csv"):
+            if name.endswith(PACKED):
                 fs.rename(st.getPath(), path(f"{folder}/{prefix}{i}-{name}"))
 
 
@@ -108,8 +112,8 @@ def a2_read_folder(spark, sf):
     s = T.sales(spark, sf).select(*COLS).withColumn(M.ITEM, F.concat(F.lit(ODD[0]), F.col(M.ITEM), F.lit(ODD[1])))
     folder = _folder(spark, "uploads")
     noted = s.where(F.col(M.QTY) > 25).withColumn("REMARK", F.concat(F.lit('a "note", '), F.col(M.QTY).cast("int").cast("string")))
-    _write_uploads([_texts(s.where(F.col(M.QTY) <= 25)), _texts(noted.select(*reversed(noted.columns)))], folder)
-    rows, rejects = A.read_folder_with_rejects(spark, folder)
+    _write_uploads([_texts(s.where(F.col(M.QTY) <= 25)), _texts(noted.select(*reversed(noted.columns)))], folder, most_rows=FILE_ROWS)
+    rows, rejects = A.read_folder_with_rejects(spark, A.list_files(spark, folder, (PACKED,)))
     return _out(A.coerce_types(rows).select(*COLS, "REMARK", F.lit(rejects.count()).cast("int").alias("rejected")))
 
 
@@ -165,11 +169,11 @@ def _tenant_stream(spark, sf) -> str:
 
     base = _folder(spark, "tenant-stream")
     s = T.sales(spark, sf).select(*COLS)
-    files = max(4, T.buckets_for(spark, sf) // 2)
+    files = max(4, T.files_for(spark, sf))
     frames = [_texts(s.withColumn("Tenant_Id", F.lit(t))).repartition(files, M.INVOICE_NO) for t in ("007", "7", "ACME:IN")]
     for i, own in enumerate((frames, frames[:1])):
         _write_uploads(own, f"{base}/src", f"{i}-")
-        q = start_ingest(spark, f"{base}/src", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, files_per_trigger=files * 3 // 2,
+        q = start_ingest(spark, f"{base}/src", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, files_per_trigger=files * 3 // 2, glob=f"*{PACKED}",
                          archive_dir=f"{base}/archive", audit_path=f"{base}/audit", rejects_path=f"{base}/rejects")
         q.awaitTermination()
     return base
@@ -191,7 +195,7 @@ def n3_n4_stream_audit(spark, sf):
     running = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(True).alias("ok")),
                           lambda a, r: F.struct((a["sum"] + r["n"]).alias("sum"), (a["ok"] & (r["t"] == a["sum"] + r["n"])).alias("ok")), lambda a: a["ok"])
     sums = audit.agg(F.sum("NEW_RECORDS_ADDED").alias("added"), F.max("TOTAL_RECORDS_AFTER_RUN").alias("total"), F.sum("REJECTED_RECORDS").alias("rejected"), running.alias("running"))
-    left = [f for folder in (f"{base}/src", f"{base}/archive") for f in A.list_files(spark, folder, deep=True)]
+    left = [f for folder in (f"{base}/src", f"{base}/archive") for f in A.list_files(spark, folder, (PACKED,), deep=True)]
     lines = A.read_folder(spark, left).agg(F.count("*").alias("archived_or_waiting"))
     return sums.select("*", lines.scalar().alias("archived_or_waiting"))
 

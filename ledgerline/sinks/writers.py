@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .. import model as M
 from ..fixed_values import PREFERRED_ORDER
+from ..session import shuffles_go
 
 
 def append_new(new: DataFrame, existing: DataFrame | None, key: str = M.INVOICE_NO,
@@ -79,7 +80,7 @@ def may_hold_keys(existing: DataFrame, new: DataFrame, key: str = M.INVOICE_NO,
 
 def _writer(df: DataFrame, key: str = M.INVOICE_NO):
     """A writer that gives each row group a Bloom filter of its invoices, as large as they need."""
-    w = df.write
+    w = df.write.option("compression", "zstd")
     if key in df.columns:
         w = w.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{key}", "true")
     return w
@@ -175,13 +176,14 @@ def load(new: DataFrame, path: str, key: str = M.INVOICE_NO, partition_by: str =
     if partition_by not in new.columns:
         raise ValueError(f"rows to load need the column {partition_by!r}")
     existing = read_table(spark, path, (partition_by,)) if table_exists(spark, path) else None
-    if existing is not None:
-        existing = may_hold_keys(existing, new, key, partition_by)
-    rows = append_new(new, existing, key, partition_by)
-    obs = Observation("appended")
-    rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
-    keep_schema(spark, path, rows.schema)
-    _writer(rows, key).mode("append").partitionBy(partition_by).parquet(path)
+    with shuffles_go(spark):
+        if existing is not None:
+            existing = may_hold_keys(existing, new, key, partition_by)
+        rows = append_new(new, existing, key, partition_by)
+        obs = Observation("appended")
+        rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
+        keep_schema(spark, path, rows.schema)
+        _writer(rows, key).mode("append").partitionBy(partition_by).parquet(path)
     return int(obs.get.get("n", 0))
 
 
@@ -197,7 +199,8 @@ def replace_all(df: DataFrame, path: str, partition_by: str = M.TENANT) -> None:
     w = _writer(df)
     target, fs = _path(spark, place)
     try:
-        (w.partitionBy(partition_by) if partition_by in df.columns else w).parquet(fresh)
+        with shuffles_go(spark):
+            (w.partitionBy(partition_by) if partition_by in df.columns else w).parquet(fresh)
         keep_schema(spark, fresh, df.schema)
     except BaseException:
         fs.delete(_path(spark, fresh)[0], True)
@@ -234,18 +237,18 @@ def clear_tenant(spark: SparkSession, path: str, tenant: str, partition_by: str
     return deleted
 
 
-def export_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+def export_csv(df: DataFrame, path: str, bom: bool = False, **options) -> None:
     """CSV with header, written by the executors (one file per partition).
 
     Quotes are doubled, as the reader and spreadsheets expect; with ``bom`` the
     header starts with the UTF-8 mark. No rows give one file with the header.
+    ``options`` are the writer's, such as ``compression``.
     """
     if bom and df.columns:
         df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
-    if df.isEmpty():
-        df = df.coalesce(1)
     blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # the writer trims by default
-    df.write.mode("overwrite").options(header=True, escape='"', **blanks).csv(path)
+    with shuffles_go(df.sparkSession):
+        df.write.mode("overwrite").options(header=True, escape='"', **blanks, **options).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:

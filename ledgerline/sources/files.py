@@ -93,7 +93,7 @@ def _parsed(records: DataFrame, header: str, sample: str) -> DataFrame:
     return records.where(F.col("header") == header).select("path", "record", F.from_csv("record", schema.toDDL(), options).alias("__r"))
 
 
-def _read_uploads(spark: SparkSession, files: list[str], standardize: bool) -> tuple[DataFrame | None, DataFrame, bool]:
+def _read_uploads(spark: SparkSession, files: list[str], standardize: bool, scratch: str | None = None) -> tuple[DataFrame | None, DataFrame, bool]:
     """(well-formed rows, null without any header; rejects; whether some file has no header)."""
     from ..operators.ingest import standardize_headers
     from .records import read_records
@@ -101,7 +101,7 @@ def _read_uploads(spark: SparkSession, files: list[str], standardize: bool) -> t
     rejects = spark.createDataFrame([], "path string, reason string, record string")
     if not files:
         return None, rejects, False
-    records, named = read_records(spark, files)
+    records, named = read_records(spark, files, scratch)
     layouts = named.groupBy("header").agg(F.min("path").alias("sample")).collect()  # a row per distinct header
     empty = any(r["header"] is None for r in layouts)
     rejects = rejects.unionByName(named.where("header IS NULL").select("path", F.lit("empty file").alias("reason"), F.lit(None).cast("string").alias("record")))
@@ -117,17 +117,19 @@ def _read_uploads(spark: SparkSession, files: list[str], standardize: bool) -> t
     return out, rejects, empty
 
 
-def read_folder_with_rejects(spark: SparkSession, paths: str | list[str], standardize: bool = True) -> tuple[DataFrame | None, DataFrame]:
+def read_folder_with_rejects(spark: SparkSession, paths: str | list[str], standardize: bool = True,
+                             scratch: str | None = None) -> tuple[DataFrame | None, DataFrame]:
     """A2: read many CSV files whose headers may differ; files are split in records together and in parallel
     (``records``), headers normalised (C1/C2), outer union by name; ``~$`` temp files ignored.
 
     Also returns the rejects (path, reason, record): lines whose number of
     fields differs from their header's, and files without a header line. A file
-    that cannot be read raises: skipping it would lose its rows unseen.
+    that cannot be read raises: skipping it would lose its rows unseen. Both
+    rest on tables in ``scratch``, if given, for the caller to remove.
     """
     files = list_files(spark, paths) if isinstance(paths, str) else list(paths)
     files = [f for f in files if not f.rsplit("/", 1)[-1].startswith(TEMP_PREFIX)]
-    out, rejects, _ = _read_uploads(spark, files, standardize)
+    out, rejects, _ = _read_uploads(spark, files, standardize, scratch)
     return out, rejects
 
 

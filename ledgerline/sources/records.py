@@ -8,17 +8,22 @@ any number of tasks reads a file:
    each with its place: block, and position in it. Of each line two facts are
    kept: does it end inside quotes if it starts outside of them, and if it
    starts inside. They are a function on two states.
-2. Functions compose. A window per block gives every line the function of all
-   lines up to it; the functions of whole blocks, a row each, are composed along
-   the file and say in which state a block starts; hence the state at every line.
-   Only places and truth values are shuffled here, never text.
-3. A line that starts and ends outside quotes is a record. The others, with the
-   record they belong to, are joined back to their text and put together.
+2. Functions compose. Lines lie in chunks of at most ``CHUNK`` in a row; two
+   aggregations tell the function of each chunk: its last constant line, and the
+   swaps after it. The functions of chunks, a row each, are composed along the
+   file and say in which state a chunk starts. No text is shuffled here.
+3. A chunk that starts outside quotes and opens none holds a record a line. Lines
+   of the other chunks are dealt by chunk, once; windows in a chunk give the
+   state at every line, and lines of one record are put together there. Records
+   that go on in later chunks, at most one a chunk, are joined by file.
 
 The header is the first record of a file; it is found by the same pass, so no
-file is opened by the driver. The result is a stored table.
+file is opened by the driver. The result is a stored table; the lines are
+removed when the records of several lines have been stored, and shuffle files
+with each write.
 
-Joins are left to Spark, which broadcasts a stored table by its size.
+Joins are left to Spark, which broadcasts a stored table by its size; chunks are
+broadcast up to ``BROADCAST_CHUNKS`` of them.
 
 Line breaks are ``\\n`` or, where a file's first line ends so, ``\\r\\n`` (also
 inside values, where they become ``\\n``). Empty records are skipped. As in Spark's own reader a quote
@@ -33,7 +38,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import drop_folder, shared_dir, shuffles_go
 
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+'  # an opened value up to its end or the end of the line
 CLOSED = QUOTED + r'"[^,]*+'
@@ -44,12 +49,18 @@ OPENS = rf"(?s)(?:{FIELD},)*+{QUOTED}"
 STAYS = rf'(?s)[^"]*+(?:""[^"]*+)*+(?:"[^,]*+,(?:{FIELD},)*+{QUOTED})?'
 
 
+CHUNK_BITS = 16
+CHUNK = 1 << CHUNK_BITS  # lines in a row that are put together in one place
+BROADCAST_CHUNKS = 100_000
+
+
 def _whole(pattern: str) -> str:
     return rf"\A(?:{pattern})\z"
 
 
 def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.parquet(f"{folder}/{name}")
+    with shuffles_go(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -68,34 +79,55 @@ def _composed(rows: DataFrame, window) -> DataFrame:
     return rows.withColumns({"known": F.col("__last.v"), "parity": parity.cast("int")}).drop("__swaps", "__last")
 
 
+def _chunks(lines: DataFrame, folder: str) -> DataFrame:
+    """(run, chunk, starts_in, plain) of each chunk of lines: does it start inside quotes, and is each of its lines a record?"""
+    # the last constant line, as twice its place and its value
+    last = F.max(F.when(F.col("from_out") == F.col("from_in"), F.col("at") * 2 + F.col("from_out").cast("int")))
+    constants = _stored(lines.groupBy("path", "block", "run", "chunk").agg(last.alias("last"), F.bool_or("from_out").alias("opens")), folder, "constants")
+    few = constants.count() <= BROADCAST_CHUNKS
+    swaps = lines.where("from_out AND NOT from_in").select("run", "chunk", "at")
+    bounds = constants.select("run", "chunk", "last")
+    swaps = swaps.join(F.broadcast(bounds) if few else bounds, ["run", "chunk"]).where("last IS NULL OR at > shiftright(last, 1)")
+    swaps = swaps.groupBy("run", "chunk").agg((F.count(F.lit(1)) % 2).cast("int").alias("swapped"))
+    chunks = constants.join(swaps, ["run", "chunk"], "left").withColumn("swapped", F.coalesce("swapped", F.lit(0)))
+    constant = F.col("last").bitwiseAND(F.lit(1)).cast("int").bitwiseXOR(F.col("swapped")) == 1
+    chunks = chunks.withColumns({"from_out": F.coalesce(constant, F.col("swapped") == 1), "from_in": F.coalesce(constant, F.col("swapped") == 0)})
+    along = Window.partitionBy("path").orderBy("block", "chunk")  # a row per chunk of a file
+    chunks = _composed(chunks, along.rowsBetween(Window.unboundedPreceding, 0))
+    starts_in = F.coalesce(F.lag(_after(F.col("known"), F.col("parity"), F.lit(False))).over(along), F.lit(False))
+    chunks = chunks.withColumn("starts_in", starts_in)
+    return _stored(chunks.select("run", "chunk", "starts_in", (~F.col("starts_in") & ~F.col("opens")).alias("plain")), folder, "chunks")
+
+
 def _joined_lines(lines: DataFrame, folder: str) -> DataFrame:
     """(path, block, at, lines): the lines of each record, whose place is that of its first line."""
-    inside = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    slim = _composed(lines.select("path", "block", "run", "at", "from_out", "from_in"), inside)
-    slim = _stored(slim.select("run", "block", "path", "at", "known", "parity"), folder, "functions")
-    runs = slim.groupBy("path", "block", "run").agg(F.max_by(F.struct("known", "parity"), "at").alias("f"))
-    # a run is the function of its last line: constant, identity or swap
-    constant = F.col("f.known").cast("int").bitwiseXOR(F.col("f.parity")) == 1
-    runs = runs.select("path", "block", "run", F.coalesce(constant, F.col("f.parity") == 1).alias("from_out"), F.coalesce(constant, F.col("f.parity") == 0).alias("from_in"))
-    along = Window.partitionBy("path").orderBy("block")  # a row per block of a file
-    runs = _composed(runs, along.rowsBetween(Window.unboundedPreceding, 0))
-    runs = runs.withColumn("starts_in", F.coalesce(F.lag(_after(F.col("known"), F.col("parity"), F.lit(False))).over(along), F.lit(False)))
-    runs = _stored(runs.select("run", "path", "block", "starts_in"), folder, "runs")
-
-    ends = slim.drop("path", "block").join(runs.select("run", "starts_in"), "run")
-    ends = ends.withColumn("ends_in", _after(F.col("known"), F.col("parity"), F.col("starts_in")))
-    ends = ends.withColumn("starts_in", F.coalesce(F.lag("ends_in").over(Window.partitionBy("run").orderBy("at")), F.col("starts_in")))
-    ends = ends.withColumn("head", F.last(F.when(~F.col("starts_in"), F.col("at")), ignorenulls=True).over(inside))
-    parts = _stored(ends.where("starts_in OR ends_in").select("run", "at", "head"), folder, "parts")
-    # a record that began in an earlier block: the last head there
-    carried = runs.join(parts.groupBy("run").agg(F.max("head").alias("last_head")), "run", "left")
-    carried = carried.select("run", F.last("last_head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    parts = _stored(parts.join(carried, "run").select("at", F.coalesce("head", "carried").alias("head")), folder, "heads")
-
-    joined = lines.select("path", "block", "at", "line").join(parts, "at", "left")
-    many = joined.where("head IS NOT NULL").groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
-    many = many.select("path", F.get("l", 0)["block"].alias("block"), F.col("head").alias("at"), F.transform("l", lambda x: x["line"]).alias("lines"))
-    return joined.where("head IS NULL").select("path", "block", "at", F.array("line").alias("lines")).unionByName(many)
+    lines = lines.withColumn("chunk", F.shiftright("at", CHUNK_BITS))
+    chunks = _chunks(lines, folder)
+    many, odd = chunks.agg(F.count(F.lit(1)), F.count_if(~F.col("plain"))).first()
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), -(-odd // 2))
+    lines = lines.join(F.broadcast(chunks) if many <= BROADCAST_CHUNKS else chunks, ["run", "chunk"])
+    plain = lines.where("plain").select("path", "block", "at", F.array("line").alias("lines"), F.lit(True).alias("whole"), F.lit(True).alias("headed"))
+
+    inside = Window.partitionBy("run", "chunk").orderBy("at")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    parts = _composed(lines.where(~F.col("plain")).drop("plain").repartition(tasks, "run", "chunk"), upto)
+    parts = parts.withColumn("ends_in", _after(F.col("known"), F.col("parity"), F.col("starts_in")))
+    parts = parts.withColumn("starts_in", F.coalesce(F.lag("ends_in").over(inside), F.col("starts_in")))
+    parts = parts.withColumn("head", F.last(F.when(~F.col("starts_in"), F.col("at")), ignorenulls=True).over(upto))
+    # lines without a head go on from an earlier chunk; if the last one ends inside quotes, a later chunk goes on
+    parts = parts.groupBy("run", "chunk", "path", "block", "head").agg(F.array_sort(F.collect_list(F.struct("at", "line", "ends_in"))).alias("l"))
+    parts = parts.select("path", "block", F.get("l", 0)["at"].alias("at"), F.transform("l", lambda x: x["line"]).alias("lines"),
+                         (~F.element_at("l", -1)["ends_in"]).alias("whole"), F.col("head").isNotNull().alias("headed"))
+    pieces = _stored(plain.unionByName(parts), folder, "pieces")
+    drop_folder(lines.sparkSession, f"{folder}/lines")
+
+    along = Window.partitionBy("path").orderBy("block", "at")  # at most two pieces a chunk
+    split = pieces.where("NOT (whole AND headed)")
+    split = split.withColumn("head", F.last(F.when(F.col("headed"), F.struct("block", "at")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    split = split.groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct("block", "at", "lines"))).alias("l"))
+    split = split.select("path", "head.block", "head.at", F.flatten(F.transform("l", lambda x: x["lines"])).alias("lines"))
+    split = _stored(split, folder, "split")
+    return pieces.where("whole AND headed").select("path", "block", "at", "lines").unionByName(split)
 
 
 def _address(spark: SparkSession, path: str) -> str:
@@ -106,14 +138,14 @@ def _address(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
-def read_records(spark: SparkSession, files: list[str]) -> tuple[DataFrame, DataFrame]:
+def read_records(spark: SparkSession, files: list[str], folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, header, record) of the records after each file's header, and (path, header) of each file, null for one without a header.
 
-    Both rest on stored tables in the shared folder. The paths of records are encoded, as Spark gives them.
+    Both rest on stored tables in ``folder``, one of the shared folder unless given. The paths of records are encoded, as Spark gives them.
     """
     import uuid
 
-    folder = shared_dir(spark, f"records-{uuid.uuid4().hex}")
+    folder = folder or shared_dir(spark, f"records-{uuid.uuid4().hex}")
     text = spark.read.option("lineSep", "\n").text(files)
     place = text.metadataColumn("_metadata")
     lines = text.select(place["file_path"].alias("path"), place["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
@@ -127,7 +159,7 @@ def read_records(spark: SparkSession, files: list[str]) -> tuple[DataFrame, Data
     if lines.where("from_out").isEmpty():  # no value goes on in the next line: every line starts outside quotes
         every = lines.select("path", "block", "at", F.array("line").alias("lines"))
     else:
-        every = _stored(_joined_lines(lines, folder), folder, "records")
+        every = _joined_lines(lines, folder)
     begin = every.where("block = 0")  # a file's first record starts in its first block
     heads = begin.join(F.broadcast(begin.groupBy("path").agg(F.min("at").alias("at"))), ["path", "at"])  # a row per file
     returns = F.element_at("lines", -1).endswith("\r")

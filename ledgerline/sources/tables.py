@@ -102,6 +102,11 @@ def buckets_for(spark: SparkSession, sf_dir: str) -> int:
     return n
 
 
+def files_for(spark: SparkSession, sf_dir: str) -> int:
+    """Files that all lines are dealt to as text, each read by one task: an even number."""
+    return 2 * -(-_length(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet") // BUCKET_BYTES)
+
+
 def _length(spark: SparkSession, path: str) -> int:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
@@ -115,7 +120,7 @@ def bucketed(spark: SparkSession, sf_dir: str, name: str, key: str, build: Calla
     """
     import uuid
 
-    from ..session import shared_dir
+    from ..session import shared_dir, shuffles_go
 
     n = buckets_for(spark, sf_dir)
     mark = _fingerprint(spark, sf_dir)
@@ -126,7 +131,8 @@ def bucketed(spark: SparkSession, sf_dir: str, name: str, key: str, build: Calla
     columns = build()
     if not fs.exists(path(f"{target}/_SUCCESS")):
         beside, made = f"{target}-tmp-{uuid.uuid4().hex}", f"ledgerline_making_{uuid.uuid4().hex}"
-        columns.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", beside).format("parquet").saveAsTable(made)
+        with shuffles_go(spark):
+            columns.repartition(n, key).write.bucketBy(n, key).sortBy(key).options(path=beside, compression="zstd").format("parquet").saveAsTable(made)
         spark.sql(f"DROP TABLE {made}")  # the files stay: their folder was named
         if not fs.exists(path(f"{target}/_SUCCESS")):
             if fs.exists(path(target)):
@@ -272,6 +278,8 @@ def write_fact(plan: DataFrame, path: str, sf_dir: str | None = None) -> None:
     With ``sf_dir`` the ranges are taken from the orders' days, so the plan runs once; without, Spark samples the plan
     for them, which runs it twice. Lines without a date, or of a day that no order has, are dealt by invoice.
     """
+    from ..session import shuffles_go
+
     spark = plan.sparkSession
     if sf_dir is None:
         dealt = plan.repartitionByRange(M.TENANT, M.DATE)
@@ -283,7 +291,8 @@ def write_fact(plan: DataFrame, path: str, sf_dir: str | None = None) -> None:
         dealt = plan.join(days, (F.col(M.TENANT) == F.col("__tenant")) & (day == F.col("__day")), "left")
         at = F.coalesce(F.col("__range"), F.pmod(F.xxhash64(M.INVOICE_NO), F.lit(n)).cast("int"))
         dealt = dealt.withColumn("__at", at).repartitionById(n, F.col("__at")).select(*plan.columns)
-    dealt.sortWithinPartitions(M.TENANT, M.DATE).write.mode("overwrite").partitionBy(M.TENANT).parquet(path)
+    with shuffles_go(spark):
+        dealt.sortWithinPartitions(M.TENANT, M.DATE).write.mode("overwrite").option("compression", "zstd").partitionBy(M.TENANT).parquet(path)
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:

@@ -8,7 +8,7 @@ N2  ``foreachBatch``: the batch's files are cut in records in parallel (A2) and
     keyed state: the batch's distinct (tenant, invoice) pairs are staged, and a
     second stream over staged pairs drops every pair that an earlier batch had
     (``dropDuplicates``, kept in RocksDB), so the history is never read. Rows of
-    the pairs that are left go to the ``batch_id=`` partition by dynamic
+    the pairs that are left, told by these or by the known ones if fewer, go to the ``batch_id=`` partition by dynamic
     overwrite. All steps of a replayed batch give the same rows again.
 N3  ``cleanSource=archive`` moves processed files to an archive folder.
 N4  Each batch writes an audit row: rows added and rejected as counted while
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..operators.ingest import IngestConfig, ingest
+from ..session import drop_folder, shuffles_go
 from ..sinks.writers import audit_row, keep_schema, table_exists, with_tenant
 from ..sources.files import coerce_types, read_folder_with_rejects
 
@@ -33,6 +34,7 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # what the state remembers: the tenant and the number; rows of an upload without numbers count as new
 KEY = [M.TENANT, "__numbered", "__number"]
+KEY_SCHEMA = f"`{M.TENANT}` string, __numbered boolean, __number string"
 
 
 def _renamed(spark: SparkSession, source: str, target: str) -> None:
@@ -44,7 +46,7 @@ def _renamed(spark: SparkSession, source: str, target: str) -> None:
 
 
 def _dynamic(df: DataFrame, *parts: str):
-    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
+    return df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression="zstd").partitionBy(*parts)
 
 
 def with_key(rows: DataFrame, batch_id: int) -> DataFrame:
@@ -60,7 +62,7 @@ def stage_keys(spark: SparkSession, rows: DataFrame, batch_id: int, state: str)
     if table_exists(spark, target):
         return
     beside = f"{state}/staging/{uuid.uuid4().hex}"
-    rows.select(*KEY).distinct().write.parquet(beside)
+    rows.select(*KEY).distinct().write.option("compression", "zstd").parquet(beside)
     _renamed(spark, beside, target)
 
 
@@ -72,13 +74,33 @@ def new_keys(spark: SparkSession, state: str) -> DataFrame:
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = f"`{M.TENANT}` string, __numbered boolean, __number string, {BATCH} long"
+    schema = f"{KEY_SCHEMA}, {BATCH} long"
     keys = session.readStream.schema(schema).parquet(f"{state}/staged").select(*KEY, BATCH).dropDuplicates(KEY)
-    sink = keys.writeStream.format("parquet").option("checkpointLocation", f"{state}/checkpoint").option("path", f"{state}/keys")
+    sink = keys.writeStream.format("parquet").options(checkpointLocation=f"{state}/checkpoint", path=f"{state}/keys", compression="zstd")
     sink.partitionBy(BATCH).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{state}/keys")
 
 
+def _of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    keys = keys.select(*[F.col(k).alias(f"{k}_") for k in KEY])
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in KEY]
+    return rows.join(keys, same[0] & same[1] & same[2], how)
+
+
+def rows_of_new_keys(rows: DataFrame, staged: DataFrame, first: DataFrame, known_path: str) -> DataFrame:
+    """The rows whose key is in ``first``, the new ones among the batch's distinct keys (``staged``).
+
+    If all are new, every row stays and none is shuffled; else rows are told by the fewer keys, the new or the known ones.
+    """
+    new, every = first.count(), staged.count()
+    if new == every:
+        return rows
+    if 2 * new <= every:
+        return _of(rows, first, "left_semi")
+    _of(staged, first, "left_anti").write.option("compression", "zstd").parquet(known_path)
+    return _of(rows, rows.sparkSession.read.schema(KEY_SCHEMA).parquet(known_path), "left_anti")
+
+
 def process_batch(spark: SparkSession, paths: list[str], batch_id: int, dst: str, master: DataFrame | None,
                   cfg: IngestConfig, city_map: DataFrame | None, audit_path: str | None,
                   tenant_id: str | None = None, rejects_path: str | None = None, state: str | None = None) -> int:
@@ -86,10 +108,22 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, dst: str
 
     A file that cannot be read fails the batch, so that it is tried again;
     malformed lines and empty files go to ``rejects_path`` and are counted in the audit row.
-    Staged pairs and known invoices lie under ``state`` (beside ``dst`` unless given).
+    Staged pairs and known invoices lie under ``state`` (beside ``dst`` unless given), and while
+    the batch runs its lines, which are removed with its shuffle files when each is done.
     """
     state = state or f"{dst.rstrip('/')}-state"
-    raw, rejects = read_folder_with_rejects(spark, paths)  # headers normalised per file group, then unioned by name
+    scratch = f"{state}/records/{uuid.uuid4().hex}"
+    try:
+        with shuffles_go(spark):
+            return _processed(spark, paths, batch_id, dst, master, cfg, city_map, audit_path, tenant_id, rejects_path, state, scratch)
+    finally:
+        drop_folder(spark, scratch)
+
+
+def _processed(spark: SparkSession, paths: list[str], batch_id: int, dst: str, master: DataFrame | None,
+               cfg: IngestConfig, city_map: DataFrame | None, audit_path: str | None,
+               tenant_id: str | None, rejects_path: str | None, state: str, scratch: str) -> int:
+    raw, rejects = read_folder_with_rejects(spark, paths, scratch=scratch)  # headers normalised per file group, then unioned by name
     rejected = 0
     if rejects_path:
         seen = Observation(f"rejects_{batch_id}")
@@ -102,9 +136,9 @@ def process_batch(spark: SparkSession, paths: list[str], batch_id: int, dst: str
     if raw is not None:
         rows = with_key(with_tenant(ingest(raw, master, cfg, city_map, coerce=coerce_types), tenant_id), batch_id)
         stage_keys(spark, rows, batch_id, state)
-        first = new_keys(spark, state).where(F.col(BATCH) == batch_id).select(*[F.col(k).alias(f"{k}_") for k in KEY])
-        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in KEY]
-        new = rows.join(first, same[0] & same[1] & same[2], "left_semi").drop(*KEY[1:]).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        first = new_keys(spark, state).where(F.col(BATCH) == batch_id).select(*KEY)
+        staged = spark.read.schema(KEY_SCHEMA).parquet(f"{state}/staged/{BATCH}={batch_id}")
+        new = rows_of_new_keys(rows, staged, first, f"{scratch}/known").drop(*KEY[1:]).withColumn(BATCH, F.lit(batch_id).cast("long"))
         obs = Observation(f"batch_{batch_id}")
         keep_schema(spark, dst, new.schema)
         _dynamic(new.observe(obs, F.count(F.lit(1)).alias("added")), M.TENANT, BATCH).parquet(dst)

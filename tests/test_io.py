@@ -317,3 +317,53 @@ def test_uploads_of_larger_tables_are_dealt_to_more_files(spark, monkeypatch):
     monkeypatch.setattr(I.A, "read_folder_with_rejects", lambda s, paths: seen.append(len(paths)) or read(s, paths))
     monkeypatch.setattr(I.T, "buckets_for", lambda *_: 24)
     assert {tuple(r) for r in I.a2_rejects(spark, SF_SMALL).collect()} == before and seen[0] == 24
+
+
+def _shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_writes_leave_no_shuffle_files(spark, tmpdir_path):
+    """Loads, batches, exports and replacements; the session's own setting stays what it was."""
+    from ledgerline.operators.ingest import IngestConfig
+    from ledgerline.session import SHUFFLES_GO, shuffles_go
+    from ledgerline.streaming.ingest_stream import process_batch
+
+    _write(f"{tmpdir_path}/f.csv", HEAD + "".join(LINES) + '2024-04-04,4,"two\nlines",GOA,2\n')
+    many = spark.range(2000).select(F.col("id").cast("string").alias("INVOICE_NO"), F.lit("t").alias("tenant_id")).repartition(3, "INVOICE_NO")
+    own, before = spark.conf.get(SHUFFLES_GO), _shuffle_files(spark)
+    assert B.load(many.where("INVOICE_NO < '5'"), f"{tmpdir_path}/t") + B.load(many, f"{tmpdir_path}/t") == 2000
+    B.export_csv(many, f"{tmpdir_path}/csv")
+    B.replace_all(many, f"{tmpdir_path}/r")
+    assert _shuffle_files(spark) <= before
+    assert process_batch(spark, [f"{tmpdir_path}/f.csv"], 0, f"{tmpdir_path}/s", None, IngestConfig(), None, None, "t") == 5
+    assert os.listdir(f"{tmpdir_path}/s-state/records") == []
+    assert spark.conf.get(SHUFFLES_GO) == own
+    with shuffles_go(spark), shuffles_go(spark):
+        assert spark.conf.get(SHUFFLES_GO) == "true"
+    assert spark.conf.get(SHUFFLES_GO) == own
+
+
+def test_new_keys_keep_the_same_rows_by_either_side(spark, tmpdir_path):
+    """All, most, few and none of a batch's keys are new; NULL numbers too. Where all are, no join is planned."""
+    from ledgerline.streaming import ingest_stream as S
+
+    schema = f"{S.KEY_SCHEMA}, n int"
+    recs = [(t, True, k, i) for i, (t, k) in enumerate([("a", "1"), ("a", "1"), ("a", "2"), ("b", "1"), ("b", None), ("a", None), ("a", "3")])]
+    rows_ = spark.createDataFrame(recs, schema)
+    staged = rows_.select(*S.KEY).distinct()
+    for i, known in enumerate([[], [("a", "1")], [("b", None)], [("a", "1"), ("a", None), ("b", "1"), ("a", "2")], [r[::2][:2] for r in recs]]):
+        first = spark.createDataFrame([r for r in {x[:3] for x in recs} if (r[0], r[2]) not in known], S.KEY_SCHEMA)
+        out = S.rows_of_new_keys(rows_, staged, first, f"{tmpdir_path}/{i}")
+        assert sorted(r.n for r in out.collect()) == [r[3] for r in recs if (r[0], r[2]) not in known]
+        assert known or "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uploads_are_packed_and_bounded(spark, tmpdir_path):
+    """Packed files hold at most so many lines, and are read back whole."""
+    from ledgerline import catalog_io as I
+
+    I._write_uploads([spark.range(25).select(F.col("id").cast("string").alias("No")).coalesce(1)], f"{tmpdir_path}/up", most_rows=10)
+    files = A.list_files(spark, f"{tmpdir_path}/up", (I.PACKED,))
+    assert len(files) == 3 and A.read_folder(spark, files, standardize=False).count() == 25

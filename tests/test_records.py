@@ -1,5 +1,6 @@
 """Parallel splitting of quoted CSV: the same rows and rejects as the one-task reader, whatever the blocks."""
 
+import os
 import random
 
 import pytest
@@ -110,3 +111,32 @@ def test_long_lines_need_no_deep_stack(spark):
     row = spark.createDataFrame([(wide, '"' + '""' * 50_000)], "x string, y string")
     got = row.select(F.regexp_like("x", F.lit(R._whole(R.OPENS))), F.regexp_like("y", F.lit(R._whole(R.OPENS))), F.regexp_like("x", F.lit(R._whole(R.STAYS)))).first()
     assert tuple(got)[:2] == (False, True)
+
+
+@pytest.mark.parametrize("seed, bits", [(5, 0), (6, 2), (7, 4)])
+def test_records_over_chunks_are_put_together(spark, tmpdir_path, monkeypatch, seed, bits):
+    """Chunks of 1, 4 and 16 lines in one block, broadcast or not; no lines are kept beside the records."""
+    rng = random.Random(seed)
+    values = [v for v in VALUES if v] + ["plain"] * 20
+    text = ["h1,h2,h3"] + [",".join(rng.choice(values) for _ in range(3)) for _ in range(150)] + ['"' + "more\n" * 20 + '",2,3', 'a,"never closed\n', "b\n"]
+    path, scratch = f"{tmpdir_path}/up.csv", f"{tmpdir_path}/scratch"
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write("\n".join(text))
+    monkeypatch.setattr(R, "CHUNK_BITS", bits, raising=False)
+    monkeypatch.setattr(R, "BROADCAST_CHUNKS", 0 if seed == 6 else 1000, raising=False)
+    rows, rejects = A.read_folder_with_rejects(spark, [path], standardize=False, scratch=scratch)
+    want = one_task(spark, path, ["h1", "h2", "h3"])
+    assert sorted(repr(tuple(r)) for r in rows.collect()) == want[0] and len(want[0]) > 100
+    assert sorted(x.strip("\n") for x in want[1]) == sorted(r.record.strip("\n") for r in rejects.collect())
+    assert not (set(os.listdir(scratch)) & {"lines", "functions", "parts", "heads"})
+
+
+def test_packed_files_are_read(spark, tmpdir_path):
+    import gzip
+
+    for i in range(3):
+        with gzip.open(f"{tmpdir_path}/{i}.csv.gz", "wt") as f:
+            f.write(f'No,Item\n{i},"two\nlines"\n1{i},plain\n')
+    rows, rejects = A.read_folder_with_rejects(spark, A.list_files(spark, tmpdir_path, (".csv.gz",)), standardize=False)
+    assert sorted((r.No, r.Item) for r in rows.collect()) == sorted([(str(i), "two\nlines") for i in range(3)] + [(f"1{i}", "plain") for i in range(3)])
+    assert rejects.count() == 0
