@@ -11,6 +11,7 @@ import datetime as _dt
 import json
 import uuid
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -177,9 +178,7 @@ def load(new: DataFrame, path: str, key: str = M.INVOICE_NO, partition_by: str =
         raise ValueError(f"rows to load need the column {partition_by!r}")
     existing = read_table(spark, path, (partition_by,)) if table_exists(spark, path) else None
     with shuffles_go(spark):
-        if existing is not None:
-            existing = may_hold_keys(existing, new, key, partition_by)
-        rows = append_new(new, existing, key, partition_by)
+        rows = new if existing is None else _unknown(new, existing, _stored_tenants(spark, path, partition_by), key, partition_by)
         obs = Observation("appended")
         rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
         keep_schema(spark, path, rows.schema)
@@ -187,6 +186,23 @@ def load(new: DataFrame, path: str, key: str = M.INVOICE_NO, partition_by: str =
     return int(obs.get.get("n", 0))
 
 
+def _stored_tenants(spark: SparkSession, path: str, partition_by: str) -> set[str | None]:
+    """The tenants that have a folder in the table, null for the rows without one."""
+    p, fs = _path(spark, path)
+    names = (st.getPath().getName() for st in fs.listStatus(p))
+    values = [unquote(n.removeprefix(f"{partition_by}=")) for n in names if n.startswith(f"{partition_by}=")]
+    return {None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values}
+
+
+def _unknown(new: DataFrame, existing: DataFrame, tenants: set[str | None], key: str, tenant_col: str) -> DataFrame:
+    """The rows that ``append_new`` keeps; those of tenants that have nothing stored take no part in its joins."""
+    if len(tenants) > FEW_KEYS or not isinstance(new.schema[tenant_col].dataType, T.StringType):
+        return append_new(new, may_hold_keys(existing, new, key, tenant_col), key, tenant_col)
+    own = F.coalesce(F.col(tenant_col).isin(sorted(tenants - {None})), F.lit(None in tenants))
+    rest = new.where(own)
+    return new.where(~own).unionByName(append_new(rest, may_hold_keys(existing, rest, key, tenant_col), key, tenant_col))
+
+
 def replace_all(df: DataFrame, path: str, partition_by: str = M.TENANT) -> None:
     """B2: first load / full replace.
 

@@ -360,6 +360,22 @@ def test_new_keys_keep_the_same_rows_by_either_side(spark, tmpdir_path):
         assert known or "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tenants_without_stored_rows_are_not_joined(spark, tmpdir_path):
+    from ledgerline.sinks import writers as W
+
+    schema = "INVOICE_NO string, tenant_id string, QTY double"
+    path = f"{tmpdir_path}/t"
+    old = spark.createDataFrame([("1", "ACME:IN", 1.0), ("1", "50%", 1.0), ("2", None, 1.0)], schema)
+    W.load(old, path)
+    assert W._stored_tenants(spark, path, "tenant_id") == {"ACME:IN", "50%", None}
+    new = spark.createDataFrame([("1", "ACME:IN", 2.0), ("1", "é", 2.0), ("1", "50%", 2.0), ("2", None, 2.0), ("1", None, 2.0), (None, "7", 2.0), ("2", "", 2.0)], schema)
+    want = sorted(map(repr, rows(W.append_new(new, old))))
+    assert sorted(map(repr, rows(W._unknown(new, W.read_table(spark, path), {"ACME:IN", "50%", None}, "INVOICE_NO", "tenant_id")))) == want and len(want) == 4
+    plan = W._unknown(new.where("tenant_id = 'é'"), W.read_table(spark, path), {"ACME:IN"}, "INVOICE_NO", "tenant_id")
+    assert plan.count() == 1
+    assert W.load(new, path) == 4
+
+
 def test_uploads_are_packed_and_bounded(spark, tmpdir_path):
     """Packed files hold at most so many lines, and are read back whole."""
     from ledgerline import catalog_io as I
