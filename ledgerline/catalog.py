@@ -1173,13 +1173,13 @@ def b6_merge_snapshot(spark, sf):
 # ------------------------------------------------------------------ N: streaming folder ingest
 @query("n1_n4_stream_ingest", INGEST_SQL)
 def n1_n4_stream_ingest(spark, sf):
-    """The raw upload (messy headers) written as CSV files in two column orders
+    """The raw upload (messy headers) written as packed CSV files in two column orders
     (4 files, more for larger tables; invoices never span files), ingested by
     the folder stream in 4 micro-batches, read back. Scratch folders live under the shared
     checkpoint directory."""
     import uuid
 
-    from .session import shared_dir
+    from .session import shared_dir, shuffles_go
     from .sources.files import CSV_OPTIONS
     from .streaming.ingest_stream import start_ingest
 
@@ -1188,12 +1188,13 @@ def n1_n4_stream_ingest(spark, sf):
     raw = raw_upload(spark, sf)
     key = RAW_HEADERS[M.INVOICE_NO]
     layouts = [raw.columns, list(reversed(raw.columns))]
-    files = max(2, T.buckets_for(spark, sf) // 4)  # of a layout; each is written by one task
+    files = T.files_for(spark, sf)  # of a layout; each is packed, and written and read by one task
     opts = {**CSV_OPTIONS, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
     for i, cols in enumerate(layouts):
         part = (raw.where(F.abs(F.hash(F.col(f"`{key}`"))) % 2 == i).select(*[F.col(f"`{c}`") for c in cols])
                 .repartition(files, F.col(f"`{key}`")))
-        part.write.mode("overwrite").options(**opts).csv(f"{stage}/{i}")
+        with shuffles_go(spark):
+            part.write.mode("overwrite").options(**opts, compression="gzip").csv(f"{stage}/{i}")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     srcp = jvm.org.apache.hadoop.fs.Path(src)
@@ -1202,10 +1203,10 @@ def n1_n4_stream_ingest(spark, sf):
     for i in range(len(layouts)):
         for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{stage}/{i}")):
             name = st.getPath().getName()
-            if name.endswith(".csv"):
+            if name.endswith(".csv.gz"):
                 fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{src}/{i}-{name}"))
     q = start_ingest(spark, src, dst, ck, T.customer_master(spark, sf), city_map=city_map(spark, sf),
-                     trigger={"availableNow": True}, files_per_trigger=files // 2)
+                     trigger={"availableNow": True}, files_per_trigger=files // 2, glob="*.csv.gz")
     q.awaitTermination()
     out = B.read_table(spark, dst).drop("batch_id", M.FY_START, M.MONTH_START).withColumnRenamed(M.TENANT, M.TENANT.upper())
     return _out(out)
